@@ -85,26 +85,40 @@ def _squeeze(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` (a lambda binding), so a
+    value used several times is not copied into the expression tree."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def address_key(address) -> Column:
     """Canonical key for the exact parcel join and for dedupe."""
     text = _squeeze(F.regexp_replace(F.lower(F.coalesce(_c(address), F.lit(""))), r"[.,#]", " "))
-    words = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
-    n = F.size(words)
-    rejoin = ((n >= 2) & F.element_at(words, -2).isin("s", "n") & F.element_at(words, -1).isin("w", "e"))
-    words = F.when(rejoin, F.concat(F.slice(words, 1, n - 2),
-                                    F.array(F.concat(F.element_at(words, -2), F.element_at(words, -1))))
-                   ).otherwise(words)
-    n = F.size(words)
-    words = F.when((n > 2) & F.element_at(words, 1).isin(*UNIT_WORDS), F.slice(words, 3, n)).otherwise(words)
-    n = F.size(words)
-    last = F.element_at(words, -1)
-    full_quad = last.isin(*QUADRANTS)
-    tail = F.when(full_quad | last.isin(*QUADRANT_ABBREV), n - 2).otherwise(n - 1)
+    words0 = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+
+    def rejoin(w):
+        n = F.size(w)
+        hit = (n >= 2) & F.element_at(w, -2).isin("s", "n") & F.element_at(w, -1).isin("w", "e")
+        return F.when(hit, F.concat(F.slice(w, 1, n - 2),
+                                    F.array(F.concat(F.element_at(w, -2), F.element_at(w, -1))))).otherwise(w)
+
+    def unit(w):
+        n = F.size(w)
+        return F.when((n > 2) & F.element_at(w, 1).isin(*UNIT_WORDS), F.slice(w, 3, n)).otherwise(w)
+
     qmap, smap = _map(QUADRANTS), _map(STREET_TYPES)
-    words = F.transform(words, lambda x, i: F.when(full_quad & (i == n - 1), F.try_element_at(qmap, x))
-                        .when((tail >= 1) & (i == tail), F.coalesce(F.try_element_at(smap, x), x))
-                        .otherwise(x))
-    return F.when(n == 0, F.lit("")).otherwise(F.upper(F.array_join(words, " ")))
+
+    def abbreviate(w):
+        n = F.size(w)
+        last = F.element_at(w, -1)
+        full_quad = last.isin(*QUADRANTS)
+        tail = F.when(full_quad | last.isin(*QUADRANT_ABBREV), n - 2).otherwise(n - 1)
+        out = F.transform(w, lambda x, i: F.when(full_quad & (i == n - 1), F.try_element_at(qmap, x))
+                          .when((tail >= 1) & (i == tail), F.coalesce(F.try_element_at(smap, x), x))
+                          .otherwise(x))
+        return F.when(n == 0, F.lit("")).otherwise(F.upper(F.array_join(out, " ")))
+
+    return let(let(let(words0, rejoin), unit), abbreviate)
 
 
 def expand_street_type(address) -> Column:
