@@ -262,3 +262,354 @@ def q_filter_funnel(spark, sf_dir):
     from cohortwise.operators.stats import filter_funnel
     p = _p(spark, sf_dir)
     return filter_funnel(p.validated(), p.duplicates(), p.screened())
+
+
+# -- B: bulk field normalisation (v_raw) -----------------------------------------
+
+from cohortwise.functions import text as TX  # noqa: E402
+from cohortwise.functions.fmt import pyround  # noqa: E402
+from cohortwise.functions.geo import geo_bucket  # noqa: E402
+
+_RAW_PRICE = "regexp_replace(price_text, '[^0-9.]', '', 'g')"
+_AGE_RE = r"'(?i)(\d+)\s*(hour|day|week|month|year)'"
+_AGE_MAP = "MAP {'hour': 1e0 / 24e0, 'day': 1e0, 'week': 7e0, 'month': 30.44e0, 'year': 365.25e0}"
+
+
+def _duck_age(t: str) -> str:
+    cnt = f"TRY_CAST(regexp_extract({t}, {_AGE_RE}, 1) AS DOUBLE)"
+    unit = f"lower(regexp_extract({t}, {_AGE_RE}, 2))"
+    return (f"CASE WHEN regexp_full_match(trim({t}), '-?\\d+(\\.\\d+)?') THEN CAST(trunc(CAST(trim({t}) AS DOUBLE)) AS INTEGER) "
+            f"WHEN regexp_matches({t}, {_AGE_RE}) THEN CAST({O.fixed(f'{cnt} * {_AGE_MAP}[{unit}]', 0)} AS INTEGER) END")
+
+
+_ISO_RE = (r"'\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?'")
+
+
+def _duck_iso(t: str) -> str:
+    return (f"CASE WHEN regexp_full_match(trim({t}), {_ISO_RE}) THEN TRY_CAST(substr(trim({t}), 1, 10) AS DATE) "
+            f"WHEN regexp_full_match(trim({t}), '\\d{{8}}') THEN CAST(try_strptime(trim({t}), '%Y%m%d') AS DATE) END")
+
+
+def _duck_parse_date(t: str) -> str:
+    head = f"substr(trim({t}), 1, 10)"
+    return (f"coalesce({_duck_iso(t)}, CAST(try_strptime({head}, '%Y-%m-%d') AS DATE), "
+            f"CAST(try_strptime({head}, '%m/%d/%Y') AS DATE), CAST(try_strptime({head}, '%d/%m/%Y') AS DATE))")
+
+
+@register("parse_price", O.with_chain(
+    f"SELECT listing_id, CASE WHEN {_RAW_PRICE} = '' THEN NULL ELSE "
+    f"CAST(trunc(TRY_CAST({_RAW_PRICE} AS DOUBLE)) AS BIGINT) END AS price FROM v_raw"))
+def q_parse_price(spark, sf_dir):
+    return tables(spark, sf_dir).v_raw.select("listing_id", TX.parse_price("price_text").alias("price"))
+
+
+@register("parse_rooms", O.with_chain(
+    r"SELECT listing_id, CASE WHEN len(regexp_extract_all(rooms_text, '\d+(?:\.\d+)?')) = 0 THEN NULL ELSE "
+    r"list_reduce(list_transform(regexp_extract_all(rooms_text, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE)), "
+    r"lambda a, b: a + b) END AS rooms FROM v_raw"))
+def q_parse_rooms(spark, sf_dir):
+    return tables(spark, sf_dir).v_raw.select("listing_id", TX.parse_rooms("rooms_text").alias("rooms"))
+
+
+_AREA_NUM = r"TRY_CAST(replace(regexp_extract(area_text, '([\d,]+(?:\.\d+)?)', 1), ',', '') AS DOUBLE)"
+_AREA = (f"CASE WHEN lower(area_text) LIKE '%acre%' THEN {_AREA_NUM} * 43560e0 "
+         f"WHEN lower(area_text) LIKE '%m2%' OR lower(area_text) LIKE '%sqm%' THEN {_AREA_NUM} * 10.7639e0 ELSE {_AREA_NUM} END")
+
+
+@register("parse_area", O.with_chain(
+    f"SELECT listing_id, CASE WHEN ({_AREA}) > 0 THEN CAST(trunc({_AREA}) AS BIGINT) END AS sqft FROM v_raw"))
+def q_parse_area(spark, sf_dir):
+    return tables(spark, sf_dir).v_raw.select("listing_id", TX.parse_area("area_text").alias("sqft"))
+
+
+@register("parse_age", O.with_chain(f"SELECT listing_id, {_duck_age('age_text')} AS days_on_market FROM v_raw"))
+def q_parse_age(spark, sf_dir):
+    return tables(spark, sf_dir).v_raw.select("listing_id", TX.parse_age("age_text").alias("days_on_market"))
+
+
+@register("list_date", O.with_chain(
+    "SELECT listing_id, coalesce(CASE WHEN trim(date_text) <> '' THEN coalesce("
+    "CASE WHEN regexp_full_match(trim(date_text), '\\d{10,}') THEN CAST(epoch_ms(CAST(substr(trim(date_text), 1, 10) AS BIGINT) * 1000) AS DATE) END, "
+    f"{_duck_iso('date_text')}) END, DATE '2001-08-01' - {_duck_age('age_text')}) AS list_date FROM v_raw"))
+def q_list_date(spark, sf_dir):
+    from cohortwise.sources.tables import AS_OF
+    return tables(spark, sf_dir).v_raw.select(
+        "listing_id", TX.list_date([F.col("date_text")], F.col("age_text"), AS_OF).alias("list_date"))
+
+
+@register("days_since", O.with_chain(
+    f"SELECT listing_id, CASE WHEN date_diff('day', {_duck_parse_date('date_text')}, DATE '2001-08-01') < 0 THEN 0 "
+    f"ELSE date_diff('day', {_duck_parse_date('date_text')}, DATE '2001-08-01') END AS days_since FROM v_raw"))
+def q_days_since(spark, sf_dir):
+    from cohortwise.sources.tables import AS_OF
+    return tables(spark, sf_dir).v_raw.select("listing_id", TX.days_since(F.col("date_text"), AS_OF).alias("days_since"))
+
+
+_PARTS = "list_filter(list_transform(string_split(split_part(address_text, '|', 1), ','), lambda p: trim(p)), lambda p: p <> '')"
+
+
+@register("split_address", O.with_chain(
+    f"SELECT listing_id, coalesce(({_PARTS})[1], '') AS street, coalesce(({_PARTS})[2], '') AS city, "
+    f"CASE WHEN len({_PARTS}) > 2 THEN regexp_extract(upper(({_PARTS})[-1]), '[A-Z]\\d[A-Z]\\s*\\d[A-Z]\\d', 0) ELSE '' END "
+    "AS postal_code FROM v_raw"))
+def q_split_address(spark, sf_dir):
+    a = TX.split_address("address_text")
+    return tables(spark, sf_dir).v_raw.select("listing_id", a["street"].alias("street"), a["city"].alias("city"),
+                                              a["postal_code"].alias("postal_code"))
+
+
+SLUG_AREA = "Sample Town"
+
+
+def _duck_slug(area: str) -> str:
+    import re as _re
+    drop = sorted({"canada", *TX.PROVINCE_ABBREV} | {w.lower() for w in _re.split(r"[\s,]+", area) if w})
+    parts = "list_filter(string_split(slug, '-'), lambda p: p <> '')"
+    last = f"coalesce(list_max(list_transform({parts}, lambda p, i: CASE WHEN lower(p) NOT IN {O._in(drop)} THEN i ELSE 0 END)), 0)"
+    quads = O._in([q.upper() for q in TX.QUADRANT_ABBREV])
+    return (f"array_to_string(list_transform(({parts})[1:{last}], lambda p: CASE WHEN upper(p) IN {quads} THEN upper(p) "
+            f"ELSE upper(p[1]) || lower(p[2:]) END), ' ')")
+
+
+@register("slug_address", O.with_chain(f"SELECT listing_id, {_duck_slug(SLUG_AREA)} AS address FROM v_raw"))
+def q_slug_address(spark, sf_dir):
+    return tables(spark, sf_dir).v_raw.select("listing_id", TX.slug_address("slug", SLUG_AREA).alias("address"))
+
+
+@register("geo_bucket", O.with_chain(
+    "SELECT listing_id, CAST(floor(lat * 1000 + 5e-1) AS BIGINT) AS geo_y, CAST(floor(lon * 1000 + 5e-1) AS BIGINT) AS geo_x FROM v_listing"))
+def q_geo_bucket(spark, sf_dir):
+    return tables(spark, sf_dir).v_listing.select("listing_id", geo_bucket("lat").alias("geo_y"), geo_bucket("lon").alias("geo_x"))
+
+
+@register("price_ratios", O.with_chain(
+    f"SELECT l.listing_id, CASE WHEN l.price > 0 AND l.sqft > 0 THEN {O.rnd('l.price / l.sqft', 4)} END AS price_per_sqft, "
+    f"CASE WHEN l.price > 0 AND v.assessed_value > 0 THEN {O.rnd('l.price / v.assessed_value', 4)} END AS assessment_ratio "
+    f"FROM {O.address_key_sql('v_listing')} l LEFT JOIN v_parcel v ON v.address_key = l.address_key AND l.address_key <> ''"))
+def q_price_ratios(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    j = D.parcel_join(t.v_listing, t.v_parcel)
+    ok = (F.col("price") > 0) & (F.col("sqft") > 0)
+    return j.select("listing_id", F.when(ok, pyround(F.col("price") / F.col("sqft"), 4)).alias("price_per_sqft"),
+                    F.when(F.col("price") > 0, F.col("assessment_ratio")).alias("assessment_ratio"))
+
+
+GEO_LOCALITY = "Sample Town"
+
+
+def _duck_expand(col: str) -> str:
+    w = f"string_split(trim(regexp_replace({col}, '\\s+', ' ', 'g')), ' ')"
+    tail = f"(CASE WHEN lower(({w})[-1]) IN {O._in(TX.QUADRANT_ABBREV)} THEN len({w}) - 1 ELSE len({w}) END)"
+    emap = O._map(TX.expansions())
+    tr = (f"list_transform({w}, lambda x, i: CASE WHEN {tail} >= 2 AND i = {tail} AND {emap}[lower(x)] IS NOT NULL "
+          f"THEN upper(({emap}[lower(x)])[1]) || ({emap}[lower(x)])[2:] ELSE x END)")
+    return f"CASE WHEN {col} IS NULL OR len({w}) < 2 THEN {col} ELSE array_to_string({tr}, ' ') END"
+
+
+_CANDS = (f"CASE WHEN ({_duck_expand('address')}) || ', {GEO_LOCALITY}' = address || ', {GEO_LOCALITY}' "
+          f"THEN [address || ', {GEO_LOCALITY}'] ELSE [({_duck_expand('address')}) || ', {GEO_LOCALITY}', address || ', {GEO_LOCALITY}'] END")
+
+
+@register("geocode_query", O.with_chain(
+    f"SELECT listing_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS query FROM "
+    f"(SELECT listing_id, {_CANDS} AS c FROM v_listing WHERE lat IS NULL)"))
+def q_geocode_query(spark, sf_dir):
+    l = tables(spark, sf_dir).v_listing.where(F.col("lat").isNull())
+    return l.select("listing_id", F.posexplode(TX.geocode_candidates("address", F.lit(GEO_LOCALITY))).alias("pos", "query"))
+
+
+def _geocodes(t) -> DataFrame:
+    """Geocoder cache derived from located listings: one point per address text."""
+    return (t.v_listing.where(F.col("lat").isNotNull())
+            .groupBy(F.concat_ws(", ", "address", F.lit(GEO_LOCALITY)).alias("query"))
+            .agg(F.min("lat").alias("lat"), F.min("lon").alias("lon")))
+
+
+@register("geocode_join", O.with_chain(
+    f"SELECT listing_id, lat, lon FROM v_listing WHERE lat IS NOT NULL UNION ALL "
+    f"SELECT l.listing_id, b.lat, coalesce(l.lon, b.lon) AS lon FROM v_listing l LEFT JOIN ("
+    f"SELECT n.listing_id, arg_min(g.lat, n.pos) AS lat, arg_min(g.lon, n.pos) AS lon FROM "
+    f"(SELECT listing_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS query FROM "
+    f"(SELECT listing_id, {_CANDS} AS c FROM v_listing WHERE lat IS NULL)) n JOIN "
+    f"(SELECT address || ', {GEO_LOCALITY}' AS query, min(lat) AS lat, min(lon) AS lon FROM v_listing WHERE lat IS NOT NULL GROUP BY 1) g "
+    f"ON g.query = n.query GROUP BY n.listing_id) b ON b.listing_id = l.listing_id WHERE l.lat IS NULL"))
+def q_geocode_join(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    out = D.geocode_join(t.v_listing, _geocodes(t), TX.geocode_candidates("address", F.lit(GEO_LOCALITY)))
+    return out.select("listing_id", "lat", "lon")
+
+
+# -- D11/D12, A7, J: lookups and state ----------------------------------------------
+
+@register("lookup_misses", O.with_chain(
+    "SELECT DISTINCT CAST(floor(lat * 1000 + 5e-1) AS BIGINT) AS geo_y, CAST(floor(lon * 1000 + 5e-1) AS BIGINT) AS geo_x, "
+    "commute_mode AS mode, anchor_lat, anchor_lon FROM passed p WHERE NOT EXISTS (SELECT 1 FROM v_route r WHERE "
+    "r.geo_y = CAST(floor(p.lat * 1000 + 5e-1) AS BIGINT) AND r.geo_x = CAST(floor(p.lon * 1000 + 5e-1) AS BIGINT) "
+    "AND r.mode = p.commute_mode AND r.anchor_lat = p.anchor_lat AND r.anchor_lon = p.anchor_lon)"))
+def q_lookup_misses(spark, sf_dir):
+    p = _p(spark, sf_dir)
+    keys = p.passed().select(geo_bucket("lat").alias("geo_y"), geo_bucket("lon").alias("geo_x"),
+                             F.col("commute_mode").alias("mode"), "anchor_lat", "anchor_lon")
+    return D.lookup_misses(keys, p.t.v_route, ["geo_y", "geo_x", "mode", "anchor_lat", "anchor_lon"])
+
+
+@register("lookup_merge", O.with_chain(
+    "SELECT listing_id, arg_max(price, (seen_at, seq)) AS price, arg_max(source, (seen_at, seq)) AS source, "
+    "max(seen_at) AS seen_at FROM v_sighting GROUP BY listing_id"))
+def q_lookup_merge(spark, sf_dir):
+    s = tables(spark, sf_dir).v_sighting
+    fetched = s.where(F.col("source") != "view").select("listing_id", "price", "source", "seen_at", "seq")
+    table = s.where(F.col("source") == "view").select("listing_id", "price", "source", "seen_at", "seq")
+    return D.lookup_merge(table, fetched, ["listing_id"], ["seen_at", "seq"]).select("listing_id", "price", "source",
+                                                                                      "seen_at")
+
+
+@register("latest_per_id", O.with_chain(
+    "SELECT listing_id, arg_max(seq, (seen_at, seq)) AS seq, max(seen_at) AS seen_at, "
+    "arg_max(source, (seen_at, seq)) AS source, arg_max(price, (seen_at, seq)) AS price FROM v_sighting GROUP BY listing_id"))
+def q_latest_per_id(spark, sf_dir):
+    from cohortwise.sources.loads import latest_per_id
+    return latest_per_id(tables(spark, sf_dir).v_sighting, "listing_id", ["seen_at", "seq"])
+
+
+@register("upsert", O.with_chain(
+    "SELECT listing_id, arg_max(source, (seen_at, seq)) AS source, arg_max(price, (seen_at, seq)) AS price, "
+    "min(seen_at) AS first_seen, max(seen_at) AS last_seen, 'scraped' AS stage, CAST(NULL AS VARCHAR) AS reject_reason "
+    "FROM v_sighting GROUP BY listing_id"))
+def q_upsert(spark, sf_dir):
+    from cohortwise.operators.state import upsert
+    return upsert(tables(spark, sf_dir).v_sighting)
+
+
+def _stages(p: Pipeline) -> DataFrame:
+    """J3 over every (search, source row): stage and reason from each step's reason."""
+    from cohortwise.operators.state import stage_col
+    searches = p.t.v_search.select("search_id")
+    base = p.validated().select("listing_id", "invalid_reason").join(F.broadcast(searches), how="cross")
+    dups = p.duplicates().select("listing_id", F.lit(True).alias("_dup"))
+    crit = p.screened().select("search_id", "listing_id", "criteria_reason")
+    com = p.enriched().select("search_id", "listing_id", "commute_reason")
+    j = (base.join(dups, "listing_id", "left").join(crit, ["search_id", "listing_id"], "left")
+         .join(com, ["search_id", "listing_id"], "left"))
+    stage, reason = stage_col(F.col("invalid_reason"), F.coalesce(F.col("_dup"), F.lit(False)),
+                              F.col("criteria_reason"), F.col("commute_reason"))
+    return j.select("search_id", "listing_id", stage.alias("stage"), reason.alias("reject_reason"))
+
+
+_STAGE_SQL = (
+    "SELECT s.search_id, v.listing_id, CASE WHEN coalesce(v.invalid_reason, CASE WHEN d.listing_id IS NOT NULL THEN 'x' END, "
+    "c.criteria_reason, e.commute_reason) IS NULL THEN 'ranked' ELSE 'rejected' END AS stage, "
+    "coalesce(v.invalid_reason, CASE WHEN d.listing_id IS NOT NULL THEN 'duplicate listing' END, c.criteria_reason, "
+    "e.commute_reason) AS reject_reason FROM val v CROSS JOIN (SELECT search_id FROM v_search) s "
+    "LEFT JOIN dups d ON d.listing_id = v.listing_id LEFT JOIN scr c ON c.search_id = s.search_id AND c.listing_id = v.listing_id "
+    "LEFT JOIN enr e ON e.search_id = s.search_id AND e.listing_id = v.listing_id")
+
+
+@register("stage_assign", O.with_chain(_STAGE_SQL))
+def q_stage_assign(spark, sf_dir):
+    return _stages(_p(spark, sf_dir))
+
+
+@register("stage_filter", O.with_chain(f"SELECT search_id, listing_id FROM ({_STAGE_SQL}) WHERE stage = 'ranked'"))
+def q_stage_filter(spark, sf_dir):
+    from cohortwise.operators.state import stage_filter
+    return stage_filter(_stages(_p(spark, sf_dir)), "ranked").select("search_id", "listing_id")
+
+
+@register("stage_counts", O.with_chain(
+    f"SELECT search_id, coalesce(stage, 'total') AS stage, count(*) AS n FROM ({_STAGE_SQL}) "
+    "GROUP BY ROLLUP (search_id, stage) HAVING search_id IS NOT NULL"))
+def q_stage_counts(spark, sf_dir):
+    from cohortwise.operators.stats import stage_counts
+    return stage_counts(_stages(_p(spark, sf_dir)))
+
+
+@register("stage_reset", O.with_chain(
+    f"SELECT search_id, count(*) FILTER (WHERE stage = 'ranked') AS moved, "
+    f"count(*) FILTER (WHERE stage = 'ranked' OR stage = 'analyzed') AS analyzed_after FROM ({_STAGE_SQL}) GROUP BY search_id"))
+def q_stage_reset(spark, sf_dir):
+    from cohortwise.operators.state import stage_reset
+    st = _stages(_p(spark, sf_dir))
+    after = stage_reset(st.withColumn("_was", F.col("stage")), "ranked", "analyzed")
+    return after.groupBy("search_id").agg(
+        F.count_if((F.col("_was") == "ranked") & (F.col("stage") == "analyzed")).alias("moved"),
+        F.count_if(F.col("stage") == "analyzed").alias("analyzed_after"))
+
+
+@register("enrich_update", O.with_chain(
+    "SELECT k.listing_id, k.search_id, coalesce(w.walk_proxy, NULL) AS walk_proxy, w.commute_min AS commute_min, "
+    "k.price FROM passed k LEFT JOIN enr w ON w.search_id = k.search_id AND w.listing_id = k.listing_id"))
+def q_enrich_update(spark, sf_dir):
+    from cohortwise.operators.state import enrich_update
+    p = _p(spark, sf_dir)
+    base = p.passed().select("search_id", "listing_id", "price").withColumn("walk_proxy", F.lit(None).cast("double")) \
+        .withColumn("commute_min", F.lit(None).cast("double"))
+    upd = p.enriched().select(F.concat_ws(":", "search_id", "listing_id").alias("_key"), "walk_proxy", "commute_min")
+    out = enrich_update(base.withColumn("_key", F.concat_ws(":", "search_id", "listing_id")), upd, "_key",
+                        ["walk_proxy", "commute_min"])
+    return out.select("listing_id", "search_id", "walk_proxy", "commute_min", "price")
+
+
+# -- A8, A12, F: loads and aggregates ----------------------------------------------
+
+_PARCEL_RAW_SQL = (
+    "SELECT c_custkey, CAST(1 + c_custkey % 400 AS VARCHAR) || ' ' || CASE c_custkey % 4 WHEN 0 THEN 'Market' "
+    "WHEN 1 THEN 'Deer Lane' WHEN 2 THEN 'Harvest Grove' ELSE '5th' END || ' ' || CASE c_custkey % 3 WHEN 0 THEN 'Street' "
+    "WHEN 1 THEN 'St.' ELSE 'ST' END || ' NW' AS address, CAST(c_acctbal * 100 AS VARCHAR) AS assessed_value, "
+    "CAST(1995 + c_nationkey % 7 AS VARCHAR) AS roll_year FROM customer")
+
+
+def _parcel_raw(t) -> DataFrame:
+    c = t.customer
+    street = F.concat(
+        (1 + c.c_custkey % 400).cast("string"), F.lit(" "),
+        F.when(c.c_custkey % 4 == 0, "Market").when(c.c_custkey % 4 == 1, "Deer Lane")
+         .when(c.c_custkey % 4 == 2, "Harvest Grove").otherwise("5th"), F.lit(" "),
+        F.when(c.c_custkey % 3 == 0, "Street").when(c.c_custkey % 3 == 1, "St.").otherwise("ST"), F.lit(" NW"))
+    return c.select("c_custkey", street.alias("address"), (c.c_acctbal * 100).cast("string").alias("assessed_value"),
+                    (1995 + c.c_nationkey % 7).cast("string").alias("roll_year"))
+
+
+@register("parcel_load", O.with_chain(
+    f"SELECT address_key, arg_min(CAST(trunc(TRY_CAST(trim(assessed_value) AS DOUBLE)) AS BIGINT), c_custkey) AS assessed_value, "
+    f"arg_min(coalesce(CAST(trunc(TRY_CAST(trim(roll_year) AS DOUBLE)) AS BIGINT), 0), c_custkey) AS roll_year "
+    f"FROM {O.address_key_sql('(' + _PARCEL_RAW_SQL + ')')} WHERE trim(address) <> '' AND address_key <> '' "
+    f"AND CAST(trunc(TRY_CAST(trim(assessed_value) AS DOUBLE)) AS BIGINT) > 0 GROUP BY address_key"))
+def q_parcel_load(spark, sf_dir):
+    from cohortwise.sources.loads import parcel_load
+    return parcel_load(_parcel_raw(tables(spark, sf_dir)), ["c_custkey"])
+
+
+@register("parcel_count", O.with_chain(
+    f"SELECT count(*) AS parcels, max(roll_year) AS roll_year FROM (SELECT address_key, arg_min(coalesce(CAST(trunc(TRY_CAST(trim(roll_year) AS DOUBLE)) AS BIGINT), 0), c_custkey) AS roll_year "
+    f"FROM {O.address_key_sql('(' + _PARCEL_RAW_SQL + ')')} WHERE trim(address) <> '' AND address_key <> '' "
+    f"AND CAST(trunc(TRY_CAST(trim(assessed_value) AS DOUBLE)) AS BIGINT) > 0 GROUP BY address_key)"))
+def q_parcel_count(spark, sf_dir):
+    from cohortwise.operators.stats import parcel_count
+    from cohortwise.sources.loads import parcel_load
+    return parcel_count(parcel_load(_parcel_raw(tables(spark, sf_dir)), ["c_custkey"]), "roll_year")
+
+
+@register("search_params", O.with_chain(
+    "SELECT search_id, anchor_lat, anchor_lon, price_min, price_max, beds_min, baths_min, max_commute_min, commute_mode, "
+    "max_age_days, w_value / (w_value + w_location + w_freshness) AS w_value, w_location / (w_value + w_location + w_freshness) AS w_location, "
+    "w_freshness / (w_value + w_location + w_freshness) AS w_freshness, max_commute_min / 60e0 * CASE WHEN commute_mode = 'driving' "
+    "THEN 80e0 ELSE 40e0 END AS geo_bound_km FROM v_search"))
+def q_search_params(spark, sf_dir):
+    from cohortwise.sources.loads import search_params
+    return search_params(tables(spark, sf_dir).v_search).select(
+        "search_id", "anchor_lat", "anchor_lon", "price_min", "price_max", "beds_min", "baths_min", "max_commute_min",
+        "commute_mode", "max_age_days", "w_value", "w_location", "w_freshness", "geo_bound_km")
+
+
+@register("poi_totals", O.with_chain("SELECT category, count(*) AS n FROM v_poi GROUP BY category"))
+def q_poi_totals(spark, sf_dir):
+    from cohortwise.operators.stats import poi_totals
+    return poi_totals(tables(spark, sf_dir).v_poi)
+
+
+@register("source_counts", O.with_chain(
+    "SELECT source, count(*) AS listings, count(*) FILTER (WHERE price IS NULL) AS errors FROM v_listing GROUP BY source"))
+def q_source_counts(spark, sf_dir):
+    from cohortwise.operators.stats import source_counts
+    return source_counts(tables(spark, sf_dir).v_listing)
