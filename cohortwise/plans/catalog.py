@@ -613,3 +613,110 @@ def q_poi_totals(spark, sf_dir):
 def q_source_counts(spark, sf_dir):
     from cohortwise.operators.stats import source_counts
     return source_counts(tables(spark, sf_dir).v_listing)
+
+
+# -- A1/A2: portal payload scan ---------------------------------------------------
+
+def _duck_portal() -> str:
+    """Flat-view rendering of the portal scan: each field parsed from v_raw directly."""
+    price1 = f"CASE WHEN {_RAW_PRICE} = '' THEN NULL ELSE CAST(trunc(TRY_CAST({_RAW_PRICE} AS DOUBLE)) AS BIGINT) END"
+    rooms = (r"CASE WHEN len(regexp_extract_all(rooms_text, '\d+(?:\.\d+)?')) = 0 THEN NULL ELSE "
+             r"list_reduce(list_transform(regexp_extract_all(rooms_text, '\d+(?:\.\d+)?'), lambda x: CAST(x AS DOUBLE)), "
+             r"lambda a, b: a + b) END")
+    ld = ("coalesce(CASE WHEN trim(date_text) <> '' THEN coalesce(CASE WHEN regexp_full_match(trim(date_text), '\\d{10,}') "
+          "THEN CAST(epoch_ms(CAST(substr(trim(date_text), 1, 10) AS BIGINT) * 1000) AS DATE) END, "
+          f"{_duck_iso('date_text')}) END, DATE '2001-08-01' - {_duck_age('age_text')})")
+    return (f"SELECT CASE WHEN listing_id % 13 <> 0 THEN 'M' || CAST(listing_id AS VARCHAR) ELSE CAST(listing_id AS VARCHAR) END AS listing_id, "
+            f"'https://portal.example/real-estate/' || CAST(listing_id AS VARCHAR) || '/' || slug AS url, "
+            f"coalesce(({_PARTS})[1], '') AS address, coalesce({price1}, listing_id * 1000) AS price, {rooms} AS beds, "
+            f"CASE WHEN ({_AREA}) > 0 THEN CAST(trunc({_AREA}) AS BIGINT) END AS sqft, {ld} AS list_date, "
+            f"{_duck_age('age_text')} AS days_on_market FROM v_raw")
+
+
+@register("scan_portal", O.with_chain(_duck_portal()))
+def q_scan_portal(spark, sf_dir):
+    from cohortwise.sources.portal import PAGE_DDL, payload_from_raw, portal_listings
+    pages = payload_from_raw(tables(spark, sf_dir).v_raw)
+    parsed = pages.select("page", F.from_json("json", PAGE_DDL).alias("p")).select("page", "p.Results")
+    return portal_listings(parsed, ["page"]).select("listing_id", "url", "address", "price", "beds", "sqft",
+                                                    "list_date", "days_on_market")
+
+
+@register("source_union", O.with_chain(
+    "SELECT CAST(listing_id AS VARCHAR) AS listing_id, source, price FROM v_listing UNION ALL "
+    f"SELECT listing_id, 'portal' AS source, price FROM ({_duck_portal()})"))
+def q_source_union(spark, sf_dir):
+    from cohortwise.sources.union import union_sources
+    t = tables(spark, sf_dir)
+
+    def listing_view():
+        return t.v_listing.select(F.col("listing_id").cast("string").alias("listing_id"), "source", "price")
+
+    def portal():
+        return q_scan_portal(spark, sf_dir).select("listing_id", F.lit("portal").alias("source"), "price")
+
+    rows, _status = union_sources({"listing_view": listing_view, "portal": portal})
+    return rows
+
+
+# -- A4/A6/A9/A10: pages, link windows, POI tags, synthetic rows ---------------------
+
+PAGE_LINK = r"(?<=\s)/([^\s/]+)"
+_ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"))
+
+
+def _duck_page_text() -> str:
+    t = "replace(replace(replace(replace(html, '=\r\n', ''), '=\n', ''), '=3D', '='), '&amp;', '&')"
+    for ent, ch in _ENTITIES[1:] + _ENTITIES[:1]:
+        t = f"replace({t}, {O._q(ent)}, {O._q(ch)})"
+    anchor = r"""'<[aA]\b[^>]*?[hH][rR][eE][fF]\s*=\s*["'']([^"'']+)["''][^>]*>'"""
+    t = f"regexp_replace({t}, {anchor}, ' \\1 ', 'g')"
+    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
+    return f"regexp_replace({t}, '[ \t]+', ' ', 'g')"
+
+
+def _page_text_df(spark, sf_dir):
+    from cohortwise.sources.messages import decode
+    pages = tables(spark, sf_dir).pages.select("page_id", F.encode("html", "UTF-8").alias("content"))
+    return decode(pages, ["page_id"])
+
+
+@register("page_text", O.with_chain(f"SELECT page_id, {_duck_page_text()} AS text FROM pages"))
+def q_page_text(spark, sf_dir):
+    return _page_text_df(spark, sf_dir).select("page_id", "text")
+
+
+@register("link_windows", None)
+def q_link_windows(spark, sf_dir):
+    from cohortwise.sources.messages import link_windows
+    return link_windows(_page_text_df(spark, sf_dir), ["page_id"], PAGE_LINK)
+
+
+@register("abs_url", O.with_chain(
+    "SELECT page_id, i - 1 AS pos, CASE WHEN trim(h[i]) = '' THEN '' WHEN starts_with(trim(h[i]), 'http') THEN trim(h[i]) "
+    "WHEN starts_with(trim(h[i]), '/') THEN base || trim(h[i]) ELSE base || '/' || trim(h[i]) END AS url FROM ("
+    "SELECT page_id, base, h, unnest(range(1, len(h) + 1)) AS i FROM ("
+    "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, "
+    "regexp_extract_all(html, 'href=\"([^\"]*)\"', 1) AS h FROM pages))"))
+def q_abs_url(spark, sf_dir):
+    p = tables(spark, sf_dir).pages
+    base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
+    ex = p.select("page_id", base.alias("base"),
+                  F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("pos", "href"))
+    r = F.regexp_replace(F.coalesce(F.col("href"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    url = (F.when(r == "", F.lit("")).when(r.startswith("http"), r)
+           .when(r.startswith("/"), F.concat(F.col("base"), r)).otherwise(F.concat(F.col("base"), F.lit("/"), r)))
+    return ex.select("page_id", "pos", url.alias("url"))
+
+
+@register("poi_tag", O.with_chain("SELECT poi_id, category, lat, lon FROM v_poi"))
+def q_poi_tag(spark, sf_dir):
+    from cohortwise.sources.pois import elements_from_pois, tag_pois
+    return tag_pois(elements_from_pois(tables(spark, sf_dir).v_poi))
+
+
+@register("synth_listings", None)
+def q_synth(spark, sf_dir):
+    from cohortwise.sources.synth import synth_listings
+    return synth_listings(tables(spark, sf_dir).v_parcel)
