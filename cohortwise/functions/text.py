@@ -81,8 +81,23 @@ def expansions() -> dict[str, str]:
     return out
 
 
+# Every character Python's str.split()/strip() treat as whitespace, derived by rule.
+WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def spaces(text: Column) -> Column:
+    """Map every whitespace character to a plain space (char translation, no regex)."""
+    return F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+
+
+def strip(text: Column) -> Column:
+    """``str.strip()``: trim all whitespace at both ends."""
+    return F.btrim(text, F.lit(WHITESPACE))
+
+
 def _squeeze(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
+    """``" ".join(text.split())``."""
+    return F.btrim(F.regexp_replace(spaces(text), " {2,}", " "), F.lit(" "))
 
 
 def let(value: Column, body) -> Column:
@@ -91,40 +106,39 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def address_key(address) -> Column:
-    """Canonical key for the exact parcel join and for dedupe."""
-    text = _squeeze(F.regexp_replace(F.lower(F.coalesce(_c(address), F.lit(""))), r"[.,#]", " "))
-    words0 = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
-
-    def rejoin(w):
-        n = F.size(w)
-        hit = (n >= 2) & F.element_at(w, -2).isin("s", "n") & F.element_at(w, -1).isin("w", "e")
-        return F.when(hit, F.concat(F.slice(w, 1, n - 2),
-                                    F.array(F.concat(F.element_at(w, -2), F.element_at(w, -1))))).otherwise(w)
-
-    def unit(w):
-        n = F.size(w)
-        return F.when((n > 2) & F.element_at(w, 1).isin(*UNIT_WORDS), F.slice(w, 3, n)).otherwise(w)
+def _alt(words) -> str:
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
-    qmap, smap = _map(QUADRANTS), _map(STREET_TYPES)
 
-    def abbreviate(w):
-        n = F.size(w)
-        last = F.element_at(w, -1)
-        full_quad = last.isin(*QUADRANTS)
-        tail = F.when(full_quad | last.isin(*QUADRANT_ABBREV), n - 2).otherwise(n - 1)
-        out = F.transform(w, lambda x, i: F.when(full_quad & (i == n - 1), F.try_element_at(qmap, x))
-                          .when((tail >= 1) & (i == tail), F.coalesce(F.try_element_at(smap, x), x))
-                          .otherwise(x))
-        return F.when(n == 0, F.lit("")).otherwise(F.upper(F.array_join(out, " ")))
-
-    return let(let(let(words0, rejoin), unit), abbreviate)
+def address_key(address) -> Column:
+    """Canonical key for the exact parcel join and for dedupe.
+
+    Written as string and regex steps only (no array lambdas), so it stays in
+    whole-stage codegen: lower-case, punctuation to spaces, squeeze; rejoin a
+    split 's w' quadrant; drop a leading unit designator and its number when
+    more words follow; abbreviate a spelled-out final quadrant; abbreviate
+    only the street-type word (the one before the quadrant, else the last,
+    never the first); upper-case.
+    """
+    t = _squeeze(F.regexp_replace(F.lower(F.coalesce(_c(address), F.lit(""))), r"[.,#]", " "))
+    t = F.regexp_replace(t, r"(^| )([sn]) ([we])$", "$1$2$3")
+    t = F.regexp_replace(t, rf"^(?:{_alt(UNIT_WORDS)}) [^ ]+ ", "")
+    t = F.regexp_replace(t, rf"(^| )({_alt(QUADRANTS)})$", "$1#$2")
+    for full, ab in QUADRANTS.items():
+        t = F.regexp_replace(t, f"#{full}$", ab)
+    quad = _alt(QUADRANT_ABBREV)
+    pat = rf" ({_alt(STREET_TYPES)})((?: (?:{quad}))?)$"
+    word = F.regexp_extract(t, pat, 1)
+    whole = F.regexp_extract(t, pat, 0)
+    abbreviated = F.concat(F.substring(t, F.lit(1), F.length(t) - F.length(whole)), F.lit(" "),
+                           F.element_at(_map(STREET_TYPES), word), F.regexp_extract(t, pat, 2))
+    return F.upper(F.when(word == "", t).otherwise(abbreviated))
 
 
 def expand_street_type(address) -> Column:
     """B12 helper: expand the abbreviated street type (same position rule as B11)."""
     a = _c(address)
-    words = F.split(F.regexp_replace(F.regexp_replace(a, r"(?U)\s+", " "), r"^ | $", ""), " ")
+    words = F.split(_squeeze(a), " ")
     n = F.size(words)
     tail = F.when(F.lower(F.element_at(words, -1)).isin(*QUADRANT_ABBREV), n - 2).otherwise(n - 1)
     emap = _map(expansions())
@@ -269,7 +283,7 @@ def list_date(fields: list, age_text, as_of: str) -> Column:
 def split_address(text) -> Column:
     """struct(street, city, postal) from 'street, city, province postal|extra'."""
     first = F.split_part(F.coalesce(_c(text), F.lit("")), F.lit("|"), F.lit(1))
-    parts = F.filter(F.transform(F.split(first, ","), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")),
+    parts = F.filter(F.transform(F.split(first, ","), lambda p: strip(p)),
                      lambda p: p != "")
     n = F.size(parts)
     postal = F.when(n > 2, F.regexp_extract(F.upper(F.element_at(parts, -1)), POSTAL_PATTERN, 0)).otherwise(F.lit(""))
@@ -280,7 +294,7 @@ def split_address(text) -> Column:
 
 def abs_url(relative, base: str) -> Column:
     """Prefix the portal base unless already absolute; blank stays blank."""
-    r = F.regexp_replace(F.coalesce(_c(relative), F.lit("")), r"(?U)^\s+|\s+$", "")
+    r = strip(F.coalesce(_c(relative), F.lit("")))
     return (F.when(r == "", F.lit(""))
             .when(r.startswith("http"), r)
             .when(r.startswith("/"), F.concat(F.lit(base), r))

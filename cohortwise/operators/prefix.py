@@ -19,9 +19,6 @@ from pyspark.sql import types as T
 
 from cohortwise.session import ensure_checkpoint_dir
 
-# The offsets table has one row per (partition, group) pair; broadcast it
-# only below this many rows.
-MAX_BROADCAST_OFFSETS = 2_000_000
 
 
 def _pinned(df: DataFrame, group_cols: list[str], order: list[Column], partitions: int | None) -> DataFrame:
@@ -33,15 +30,18 @@ def _pinned(df: DataFrame, group_cols: list[str], order: list[Column], partition
     return ranged.checkpoint(eager=True).withColumn("_pid", F.spark_partition_id())
 
 
-def _offsets(pinned: DataFrame, group_cols: list[str], weight: str) -> tuple[DataFrame, bool]:
-    per_part = pinned.groupBy("_pid", *group_cols).agg(F.sum(weight).alias("_w"))
+def _offsets(per_part: DataFrame, group_cols: list[str]) -> DataFrame:
+    """Per (partition, group): rows of the group in earlier partitions, and the group total.
+
+    One row per (partition, group) pair, so at most partitions + groups rows;
+    no broadcast hint -- AQE broadcasts it from its measured size.
+    """
     w = Window.partitionBy(*group_cols).orderBy("_pid")
-    offs = (per_part.withColumn("_off", F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                     F.lit(0)).cast("bigint"))
+    return (per_part
+            .withColumn("_off", F.coalesce(F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1)),
+                                           F.lit(0)).cast("bigint"))
             .withColumn("_group_total", F.sum("_w").over(Window.partitionBy(*group_cols)).cast("bigint"))
             .drop("_w"))
-    small = per_part.count() <= MAX_BROADCAST_OFFSETS
-    return offs, small
 
 
 def row_position(df: DataFrame, group_cols: list[str], order: list[Column],
@@ -54,47 +54,43 @@ def row_position(df: DataFrame, group_cols: list[str], order: list[Column],
     """
     pinned = _pinned(df, group_cols, order, partitions)
     pinned = pinned.withColumn("_idx", F.monotonically_increasing_id() - F.shiftleft(F.col("_pid").cast("bigint"), 33))
-    pinned = pinned.withColumn("_one", F.lit(1))
-    firsts = pinned.groupBy("_pid", *group_cols).agg(F.min("_idx").alias("_lo"))
-    offs, small = _offsets(pinned, group_cols, "_one")
-    offs = offs.join(firsts, ["_pid", *group_cols])
-    offs = F.broadcast(offs) if small else offs
-    out = pinned.join(offs, ["_pid", *group_cols])
+    per_part = pinned.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_w"), F.min("_idx").alias("_lo"))
+    out = pinned.join(_offsets(per_part, group_cols), ["_pid", *group_cols])
     return (out.withColumn("_before", F.col("_off") + F.col("_idx") - F.col("_lo"))
-            .drop("_pid", "_idx", "_one", "_lo", "_off"))
-
-
-def weighted_before(df: DataFrame, group_cols: list[str], order_col: str, weight: str,
-                    partitions: int | None = None) -> DataFrame:
-    """Add ``_before`` = sum of ``weight`` over rows of the group with a smaller ``order_col``.
+            .drop("_pid", "_idx", "_lo", "_off"))
 
-    Rows must be unique on (group, order_col), e.g. a value -> count table.
-    The running sum inside a partition is a vectorised pandas cumsum over the
-    sorted partition (Arrow batches); carries cross batch boundaries.
-    """
-    pinned = _pinned(df, group_cols, [F.col(order_col)], partitions)
-    schema = T.StructType(pinned.schema.fields + [T.StructField("_in", T.LongType(), False)])
 
-    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _running(group_cols: list[str], weight: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry_key, carry = None, 0
         for pdf in batches:
             if pdf.empty:
                 continue
-            key = pdf[group_cols].astype(str).agg("\x1f".join, axis=1) if len(group_cols) > 1 \
-                else pdf[group_cols[0]].astype(str)
             w = pdf[weight].astype("int64")
-            cum = w.groupby(key, sort=False).cumsum() - w
-            first_key = key.iloc[0]
+            cum = w.groupby([pdf[c] for c in group_cols], sort=False).cumsum() - w
+            first_key = tuple(pdf[group_cols].iloc[0])
             if carry_key is not None and first_key == carry_key:
-                cum = cum + (key == first_key) * carry
-            last_key = key.iloc[-1]
-            last_rows = key == last_key
-            carry = int((cum[last_rows] + w[last_rows]).iloc[-1])
+                same = (pdf[group_cols] == pd.Series(first_key, index=group_cols)).all(axis=1)
+                cum = cum + same.astype("int64") * carry
+            last_key = tuple(pdf[group_cols].iloc[-1])
+            carry = int(cum.iloc[-1] + w.iloc[-1])
             carry_key = last_key
             yield pdf.assign(_in=cum.astype("int64"))
+    return run
+
+
+def weighted_before(df: DataFrame, group_cols: list[str], order_col: str, weight: str,
+                    partitions: int | None = None) -> DataFrame:
+    """Add ``_before`` = sum of ``weight`` over rows of the group with a smaller ``order_col``,
+    and ``_group_total``.
 
-    inner = pinned.mapInPandas(running, schema)
-    offs, small = _offsets(pinned, group_cols, weight)
-    offs = F.broadcast(offs) if small else offs
-    out = inner.join(offs, ["_pid", *group_cols])
+    Rows must be unique on (group, order_col), e.g. a value -> count table.
+    Inside a partition (sorted by group, then value) the running sum is a
+    vectorised pandas cumsum over Arrow batches, carried across batches.
+    """
+    pinned = _pinned(df, group_cols, [F.col(order_col)], partitions)
+    schema = T.StructType(pinned.schema.fields + [T.StructField("_in", T.LongType(), False)])
+    inner = pinned.mapInPandas(_running(group_cols, weight), schema)
+    per_part = pinned.groupBy("_pid", *group_cols).agg(F.sum(weight).alias("_w"))
+    out = inner.join(_offsets(per_part, group_cols), ["_pid", *group_cols])
     return out.withColumn("_before", F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off")

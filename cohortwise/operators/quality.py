@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.functions.text import address_key, days_since
+from cohortwise.functions.text import address_key, days_since, strip
 
 # Plausible interior size bounds (sqft).
 SQFT_MIN_PLAUSIBLE = 200
@@ -20,7 +20,7 @@ def invalid_reason(df: DataFrame) -> Column:
             .when(~lat.between(-90, 90) | ~lon.between(-180, 180), F.lit("coordinates out of range"))
             .when(sqft.isNotNull() & ~sqft.between(SQFT_MIN_PLAUSIBLE, SQFT_MAX_PLAUSIBLE),
                   F.concat(F.lit("implausible sqft ("), sqft.cast("string"), F.lit(")")))
-            .when(addr.isNull() | (F.regexp_replace(addr, r"(?U)\s", "") == ""), F.lit("missing address")))
+            .when(addr.isNull() | (strip(addr) == ""), F.lit("missing address")))
 
 
 def validate(df: DataFrame) -> DataFrame:
@@ -29,8 +29,16 @@ def validate(df: DataFrame) -> DataFrame:
 
 def reconcile_age(df: DataFrame, as_of: str, date_col: str = "list_date") -> DataFrame:
     """A parseable list date overrides the reported day count."""
+    from pyspark.sql.types import DateType, TimestampNTZType, TimestampType
+
+    from cohortwise.functions.text import days_since_date
+
     dom = F.col("days_on_market") if "days_on_market" in df.columns else F.lit(None).cast("int")
-    return df.withColumn("days_on_market", F.coalesce(days_since(F.col(date_col), as_of), dom.cast("int")))
+    if isinstance(df.schema[date_col].dataType, (DateType, TimestampType, TimestampNTZType)):
+        derived = days_since_date(F.col(date_col).cast("date"), as_of)   # already typed: no text parsing
+    else:
+        derived = days_since(F.col(date_col), as_of)
+    return df.withColumn("days_on_market", F.coalesce(derived, dom.cast("int")))
 
 
 def with_address_key(df: DataFrame, col: str = "address") -> DataFrame:
@@ -40,17 +48,18 @@ def with_address_key(df: DataFrame, col: str = "address") -> DataFrame:
 def dedupe(valid: DataFrame, order_col: str = "seq") -> DataFrame:
     """C3 for unique ids: keep the first row (by ``order_col``) per (address key, price).
 
-    Written as an aggregate plus a semi-join instead of a window: the min is
-    combined map-side, and the join key includes the order column, so a key
-    that holds a third of all rows is still spread over many tasks.
-    Rows with a blank key never match anything and are all kept.
+    One aggregate, no window and no join: ``min_by`` is combined map-side, so
+    each task ships at most one row per key, and a key holding a third of all
+    rows costs no more than any other. Rows with a blank key never match
+    anything: each becomes its own group.
     """
-    keyed = with_address_key(valid).withColumn("_dprice", F.coalesce(F.col("price"), F.lit(0)))
-    firsts = (keyed.where(F.col("address_key") != "")
-              .groupBy("address_key", "_dprice").agg(F.min(order_col).alias(order_col)))
-    blank = keyed.where(F.col("address_key") == "")
-    kept = keyed.join(firsts, ["address_key", "_dprice", order_col], "left_semi")
-    return kept.unionByName(blank).drop("_dprice")
+    keyed = with_address_key(valid)
+    cols = keyed.columns
+    group = F.when(F.col("address_key") == "", F.concat(F.lit("\u0000"), F.col(order_col).cast("string"))) \
+        .otherwise(F.col("address_key"))
+    firsts = (keyed.groupBy(group.alias("_g"), F.coalesce(F.col("price"), F.lit(0)).alias("_p"))
+              .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_r")))
+    return firsts.select(*[F.col(f"_r.{c}").alias(c) for c in cols])
 
 
 def duplicates(valid: DataFrame, kept: DataFrame, id_col: str = "listing_id") -> DataFrame:

@@ -704,7 +704,7 @@ def q_abs_url(spark, sf_dir):
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     ex = p.select("page_id", base.alias("base"),
                   F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("pos", "href"))
-    r = F.regexp_replace(F.coalesce(F.col("href"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    r = TX.strip(F.coalesce(F.col("href"), F.lit("")))
     url = (F.when(r == "", F.lit("")).when(r.startswith("http"), r)
            .when(r.startswith("/"), F.concat(F.col("base"), r)).otherwise(F.concat(F.col("base"), F.lit("/"), r)))
     return ex.select("page_id", "pos", url.alias("url"))

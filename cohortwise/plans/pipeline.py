@@ -18,6 +18,7 @@ from cohortwise.operators import quality as Q
 from cohortwise.operators.explain import explain
 from cohortwise.operators.rank import assign_rank
 from cohortwise.operators.score import score_cohorts
+from cohortwise.session import ensure_checkpoint_dir
 from cohortwise.sources.tables import AS_OF, Tables
 
 
@@ -66,7 +67,13 @@ class Pipeline:
         return self._m("enriched", build)
 
     def analyzed(self) -> DataFrame:
-        return self._m("analyzed", lambda: self.enriched().where(F.col("commute_reason").isNull()))
+        """Stage boundary: the analysed cohort is written once (reliable checkpoint in the
+        session's shared checkpoint folder) so scoring and ranking, which read it
+        several times, never recompute ingest, dedupe, criteria and enrichment."""
+        def build():
+            ensure_checkpoint_dir(self.t.spark)
+            return self.enriched().where(F.col("commute_reason").isNull()).checkpoint(eager=True)
+        return self._m("analyzed", build)
 
     def scored(self) -> DataFrame:
         return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.functions.text import address_key
+from cohortwise.functions.text import address_key, strip
 from cohortwise.operators.criteria import complete_searches
 
 PARCEL_CSV_SCHEMA = "address string, assessed_value string, roll_year string"
@@ -31,10 +31,10 @@ def parcel_load(raw: DataFrame, order_cols: list[str]) -> DataFrame:
     Blank address or key, and non-positive or unparseable values, are skipped;
     among the remaining rows the first (by ``order_cols``) per key wins.
     """
-    addr = F.regexp_replace(F.coalesce(F.col("address"), F.lit("")), r"(?U)^\s+|\s+$", "")
+    addr = strip(F.coalesce(F.col("address"), F.lit("")))
 
     def to_int(c):
-        t = F.regexp_replace(F.col(c).cast("string"), r"(?U)^\s+|\s+$", "")
+        t = strip(F.col(c).cast("string"))
         return t.try_cast("double").try_cast("bigint")
 
     rows = (raw.withColumn("address_key", address_key(addr))

@@ -113,3 +113,16 @@ def test_nothing_present_scores_zero(spark):
 def test_zero_weights_become_thirds(spark):
     r = _score_row(spark, price_per_sqft=0.0, days_on_market=100.0, wv=0.0, wl=0.0, wf=0.0)
     assert r.score_total == round((100.0 / 3 + 0.0 / 3) / (2 / 3), 2)
+
+
+def test_running_sum_carries_across_arrow_batches(spark):
+    """Small Arrow batches: a group spans many batches inside one partition."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rnd = random.Random(9)
+        groups = {g: [float(rnd.randint(0, 200)) for _ in range(300)] for g in (1, 2)}
+        got = _pcts(spark, groups, 3)
+        for g, vals in groups.items():
+            assert [got[(g, k)] for k in range(len(vals))] == naive_pct(vals)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
