@@ -17,6 +17,9 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # HotSpot does not JIT methods over 8000 bytes of bytecode; past that, use
+    # per-operator code instead of one huge (interpreted) fused method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
