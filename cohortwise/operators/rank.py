@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.operators.prefix import row_position
+from cohortwise.operators.prefix import row_position, use_window
 
 
 def assign_rank(scored: DataFrame, group_cols: list[str] = ("search_id",), score: str = "score_total",
-                tie: str = "seq", partitions: int | None = None) -> DataFrame:
-    """G1: 1..n by score descending, ties in input order; adds ``cohort_size``."""
-    out = row_position(scored, list(group_cols), [F.col(score).desc(), F.col(tie).asc()], partitions)
+                tie: str = "seq", partitions: int | None = None, method: str = "auto") -> DataFrame:
+    """G1: 1..n by score descending, ties in input order; adds ``cohort_size``.
+
+    Cohorts within the checked bound use ``row_number``; a larger cohort is
+    range-partitioned so its sort is spread over many tasks.
+    """
+    g = list(group_cols)
+    order = [F.col(score).desc(), F.col(tie).asc()]
+    if use_window(scored, g, method):
+        return (scored.withColumn("rank", F.row_number().over(Window.partitionBy(*g).orderBy(*order)))
+                .withColumn("cohort_size", F.count(F.lit(1)).over(Window.partitionBy(*g)).cast("int")))
+    out = row_position(scored, g, order, partitions)
     return (out.withColumn("rank", (F.col("_before") + 1).cast("int"))
             .withColumn("cohort_size", F.col("_group_total").cast("int"))
             .drop("_before", "_group_total"))

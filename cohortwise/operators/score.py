@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.fmt import pyround
 from cohortwise.operators.enrich import amenity_total_col
-from cohortwise.operators.prefix import weighted_before
+from pyspark.sql import Window
+
+from cohortwise.operators.prefix import use_window, weighted_before
 
 # Fixed values (must equal the reference's).
 # (component, lower-is-better) in component order.
@@ -31,18 +33,27 @@ def raw_components(df: DataFrame) -> DataFrame:
 
 
 def value_percentiles(df: DataFrame, group_cols: list[str], comps: list[str],
-                      partitions: int | None = None) -> DataFrame:
+                      partitions: int | None = None, method: str = "auto") -> DataFrame:
     """E1 table: (group, comp, v) -> mid-rank percentile, 2 dp.
 
-    Ties collapse first (value -> count, combined map-side), then each
-    value's count of smaller values comes from the range-partitioned prefix
-    sum, so neither a hot value nor a huge cohort lands on one task.
+    Ties collapse first (value -> count, combined map-side). Each value's
+    count of smaller values then comes from a running-sum window when the
+    largest cohort is within the checked bound, else from the
+    range-partitioned prefix sum, so neither a hot value nor a huge cohort
+    lands on one task.
     """
     long = df.select(*group_cols, F.explode(F.array(*[
         F.struct(F.lit(c).alias("comp"), F.col(f"c_{c}").alias("v")) for c in comps])).alias("_e"))
     long = long.select(*group_cols, "_e.comp", "_e.v").where(F.col("v").isNotNull())
     counts = long.groupBy(*group_cols, "comp", "v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = weighted_before(counts, [*group_cols, "comp"], "v", "_c", partitions)
+    g = [*group_cols, "comp"]
+    if use_window(df, group_cols, method):
+        w = Window.partitionBy(*g)
+        ranked = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(
+            w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+            .withColumn("_group_total", F.sum("_c").over(w)))
+    else:
+        ranked = weighted_before(counts, g, "v", "_c", partitions)
     i = F.col("_before")
     j = F.col("_before") + F.col("_c") - 1
     n = F.col("_group_total")
@@ -105,10 +116,11 @@ def score_columns(df: DataFrame) -> DataFrame:
             .drop("_sv", "_sl", "_sf"))
 
 
-def score_cohorts(df: DataFrame, group_cols: list[str] = ("search_id",), partitions: int | None = None) -> DataFrame:
+def score_cohorts(df: DataFrame, group_cols: list[str] = ("search_id",), partitions: int | None = None,
+                  method: str = "auto") -> DataFrame:
     """E1-E8 for every cohort at once (cohort = rows sharing ``group_cols``)."""
     g = list(group_cols)
     comps = [c for c, _ in COMPONENTS]
     raw = raw_components(df)
-    table = value_percentiles(raw, g, comps, partitions)
+    table = value_percentiles(raw, g, comps, partitions, method)
     return score_columns(attach_percentiles(raw, table, g, comps))

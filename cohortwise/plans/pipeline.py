@@ -26,6 +26,9 @@ from cohortwise.sources.tables import AS_OF, Tables
 class Pipeline:
     t: Tables
     as_of: str = AS_OF
+    # "auto": plain windows when the largest cohort is within the checked bound,
+    # else the range-partitioned prefix path; "window"/"range" force one.
+    method: str = "auto"
     _memo: dict = field(default_factory=dict)
 
     def _m(self, key, fn):
@@ -76,10 +79,10 @@ class Pipeline:
         return self._m("analyzed", build)
 
     def scored(self) -> DataFrame:
-        return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"]))
+        return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"], method=self.method))
 
     def ranked(self) -> DataFrame:
-        return self._m("ranked", lambda: assign_rank(self.scored(), ["search_id"]))
+        return self._m("ranked", lambda: assign_rank(self.scored(), ["search_id"], method=self.method))
 
     def explained(self) -> DataFrame:
         return self._m("explained", lambda: explain(self.ranked()))
