@@ -58,7 +58,13 @@ class Pipeline:
         return self._m("screened", lambda: C.apply_criteria(self.kept(), self.t.v_search))
 
     def passed(self) -> DataFrame:
-        return self._m("passed", lambda: self.screened().where(F.col("criteria_reason").isNull()))
+        """Stage boundary: the filter stage's survivors are written once; enrichment
+        reads them from several branches (distinct points, rows, route keys)
+        and must not re-run ingest, dedupe and criteria for each."""
+        def build():
+            ensure_checkpoint_dir(self.t.spark)
+            return self.screened().where(F.col("criteria_reason").isNull()).checkpoint(eager=True)
+        return self._m("passed", build)
 
     def enriched(self) -> DataFrame:
         def build():
@@ -78,11 +84,22 @@ class Pipeline:
             return self.enriched().where(F.col("commute_reason").isNull()).checkpoint(eager=True)
         return self._m("analyzed", build)
 
+    def cohort_method(self) -> str:
+        """Decide once, from the analysed stage, how cohorts are ordered (cohort sizes
+        do not change after it): windows within the checked bound, else range."""
+        from cohortwise.operators.prefix import use_window
+
+        def build():
+            if self.method != "auto":
+                return self.method
+            return "window" if use_window(self.analyzed(), ["search_id"]) else "range"
+        return self._m("method", build)
+
     def scored(self) -> DataFrame:
-        return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"], method=self.method))
+        return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"], method=self.cohort_method()))
 
     def ranked(self) -> DataFrame:
-        return self._m("ranked", lambda: assign_rank(self.scored(), ["search_id"], method=self.method))
+        return self._m("ranked", lambda: assign_rank(self.scored(), ["search_id"], method=self.cohort_method()))
 
     def explained(self) -> DataFrame:
         return self._m("explained", lambda: explain(self.ranked()))
