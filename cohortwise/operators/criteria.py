@@ -93,3 +93,36 @@ def field_health(df: DataFrame, group_col: str = "source", threshold: float = 0.
         (F.count("beds") / n).alias("beds_share"))
     return out.withColumn("unhealthy", (F.col("price_share") < threshold) | (F.col("lat_share") < threshold)
                           | (F.col("beds_share") < threshold))
+
+
+BAND_CELL_DEG = 0.5
+
+
+def criteria_pass_banded(listings: DataFrame, searches: DataFrame, cell_deg: float = BAND_CELL_DEG) -> DataFrame:
+    """C4/C7 pass set for any number of searches, without the listings x searches product.
+
+    Every validated listing has coordinates, and a pass needs the haversine
+    distance within the search's bound, so each search is exploded over the
+    coarse lat/lon cells its bound can reach and equi-joined to listings on
+    their own cell (one cell per listing, so each pair meets once); the exact
+    rules then run on the candidate pairs. Returns passing pairs only
+    (``criteria_reason`` is null by construction).
+    """
+    from cohortwise.functions.geo import KM_PER_DEGREE
+
+    s = complete_searches(searches)
+    reach = F.col("geo_bound_km") / KM_PER_DEGREE * 1.01
+    lat_hi = F.least(F.abs(F.col("anchor_lat")) + reach, F.lit(89.999999))
+    dlon = F.least(reach / F.cos(F.radians(lat_hi)), F.lit(180.0))
+    s = (s.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("anchor_lat") - reach) / cell_deg).cast("bigint"),
+                                                  F.floor((F.col("anchor_lat") + reach) / cell_deg).cast("bigint"))))
+          .withColumn("_cx", F.explode(F.sequence(F.floor((F.col("anchor_lon") - dlon) / cell_deg).cast("bigint"),
+                                                  F.floor((F.col("anchor_lon") + dlon) / cell_deg).cast("bigint")))))
+    l = (listings.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+         .withColumn("_cy", F.floor(F.col("lat") / cell_deg).cast("bigint"))
+         .withColumn("_cx", F.floor(F.col("lon") / cell_deg).cast("bigint")))
+    joined = l.join(s, ["_cy", "_cx"]).drop("_cy", "_cx")
+    joined = joined.withColumn("_dist_raw", haversine_km("lat", "lon", "anchor_lat", "anchor_lon"))
+    return (joined.withColumn("criteria_reason", criteria_reason_col())
+            .where(F.col("criteria_reason").isNull())
+            .withColumn("distance_km", pyround(F.col("_dist_raw"), 3)))

@@ -65,3 +65,47 @@ def dedupe(valid: DataFrame, order_col: str = "seq") -> DataFrame:
 def duplicates(valid: DataFrame, kept: DataFrame, id_col: str = "listing_id") -> DataFrame:
     """H2: valid rows that dedupe dropped (keyed difference)."""
     return valid.join(kept.select(id_col), id_col, "left_anti")
+
+
+def dedupe_exact(valid: DataFrame, id_col: str = "listing_id", order_col: str = "seq",
+                 max_rounds: int = 10_000) -> DataFrame:
+    """C3 when ids repeat: the reference's greedy rule exactly, computed in rounds.
+
+    Greedy rule (in ``order_col`` order): keep a row unless an already *kept*
+    row has its id, or its (address key, price); dropped rows block nothing.
+    Two chained windows get this wrong (rows (i1,k1), (i2,k1), (i2,k2) keep
+    rows 1 and 3). Each round keeps every undecided row that is the earliest
+    undecided row of both its id group and its key group -- all earlier rows
+    of both groups were dropped, so the greedy rule keeps it -- then drops the
+    undecided rows sharing an id or key with a row just kept. The globally
+    earliest undecided row always qualifies, so every round decides at least
+    one row; the state is checkpointed each round to cut lineage.
+    ``order_col`` must be unique.
+    """
+    from cohortwise.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(valid.sparkSession)
+    keyed = with_address_key(valid)
+    key = F.when(F.col("address_key") == "", F.concat(F.lit("\u0000"), F.col(order_col).cast("string"))) \
+        .otherwise(F.col("address_key"))
+    state = (keyed.withColumn("_k", key).withColumn("_kp", F.coalesce(F.col("price"), F.lit(0)))
+             .withColumn("_st", F.lit(0)).checkpoint(eager=True))
+    for _ in range(max_rounds):
+        und = state.where(F.col("_st") == 0)
+        if und.isEmpty():
+            break
+        first_id = und.groupBy(id_col).agg(F.min(order_col).alias("_fi"))
+        first_key = und.groupBy("_k", "_kp").agg(F.min(order_col).alias("_fk"))
+        keep = (und.join(first_id, id_col).join(first_key, ["_k", "_kp"])
+                .where((F.col(order_col) == F.col("_fi")) & (F.col(order_col) == F.col("_fk")))
+                .select(id_col, "_k", "_kp", order_col))
+        kept_ids = keep.select(id_col, F.lit(True).alias("_hid")).distinct()
+        kept_keys = keep.select("_k", "_kp", F.lit(True).alias("_hkey")).distinct()
+        st = (state.join(keep.select(order_col, F.lit(True).alias("_new")), order_col, "left")
+              .join(kept_ids, id_col, "left").join(kept_keys, ["_k", "_kp"], "left"))
+        new_st = (F.when(F.col("_st") != 0, F.col("_st"))
+                  .when(F.col("_new"), F.lit(1))
+                  .when(F.col("_hid") | F.col("_hkey"), F.lit(2))
+                  .otherwise(F.lit(0)))
+        state = st.withColumn("_st", new_st).drop("_new", "_hid", "_hkey").checkpoint(eager=True)
+    return state.where(F.col("_st") == 1).drop("_k", "_kp", "_st")

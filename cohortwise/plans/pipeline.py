@@ -63,7 +63,12 @@ class Pipeline:
         and must not re-run ingest, dedupe and criteria for each."""
         def build():
             ensure_checkpoint_dir(self.t.spark)
-            return self.screened().where(F.col("criteria_reason").isNull()).checkpoint(eager=True)
+            searches = self.t.v_search
+            if searches.count() <= C.MAX_BROADCAST_SEARCHES:
+                survivors = self.screened().where(F.col("criteria_reason").isNull())
+            else:  # too many searches to broadcast: banded equi-join, pass set only
+                survivors = C.criteria_pass_banded(self.kept(), searches)
+            return survivors.checkpoint(eager=True)
         return self._m("passed", build)
 
     def enriched(self) -> DataFrame:
