@@ -116,16 +116,15 @@ def radius_counts(df: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM)
     hits = poi_counts_at(df, pois, radius_km)
     wide = hits.groupBy("lat", "lon").agg(
         *[F.max(F.when(F.col("category") == c, F.col("n"))).alias(f"_h_{c}") for c in CATEGORIES])
-    # One-row availability table (bounded by the category list): broadcast on a constant key.
-    avail = pois.agg(*[F.max(F.when(F.col("category") == c, F.lit(True))).alias(f"_a_{c}") for c in CATEGORIES]) \
-        .withColumn("_k", F.lit(1))
-    out = (df.withColumn("_k", F.lit(1)).join(F.broadcast(avail), "_k")
-           .join(wide, ["lat", "lon"], "left"))
+    # Whether each category exists in the POI table: scalar subqueries (each
+    # runs once and is inlined as a value), so no join is needed.
+    avail = {c: pois.where(F.col("category") == c).select(F.count(F.lit(1)) > 0).scalar() for c in CATEGORIES}
+    out = df.join(wide, ["lat", "lon"], "left")
     has_point = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     for c in CATEGORIES:
-        out = out.withColumn(f"{c}_n", F.when(has_point & F.col(f"_a_{c}").isNotNull(),
+        out = out.withColumn(f"{c}_n", F.when(has_point & avail[c],
                                               F.coalesce(F.col(f"_h_{c}"), F.lit(0))).cast("int"))
-    return out.drop("_k", *[f"_h_{c}" for c in CATEGORIES], *[f"_a_{c}" for c in CATEGORIES])
+    return out.drop(*[f"_h_{c}" for c in CATEGORIES])
 
 
 def walk_proxy_col() -> Column:

@@ -10,9 +10,11 @@ a small table of per-partition offsets.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,10 @@ from cohortwise.session import ensure_checkpoint_dir
 
 
 
+# The functions below run inside Python workers: ship them by value so an
+# executor needs no copy of this package on its path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Groups up to this many rows may be ordered by one task (a sort-based window
 # spills to disk, so this bounds time, not memory); larger groups take the
 # range-partitioned path. Overridable per session.

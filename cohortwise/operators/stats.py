@@ -20,15 +20,13 @@ def cohort_summary(scored: DataFrame, group_cols=("search_id",)) -> DataFrame:
 
 def filter_funnel(validated: DataFrame, duplicates: DataFrame, screened: DataFrame) -> DataFrame:
     """input, invalid, duplicate, off-criteria, passed (per search)."""
-    head = validated.agg(F.count(F.lit(1)).alias("input"),
-                         F.count_if(F.col("invalid_reason").isNotNull()).alias("invalid"))
-    dup = duplicates.agg(F.count(F.lit(1)).alias("duplicate"))
+    n_input = validated.select(F.count(F.lit(1))).scalar()
+    n_invalid = validated.select(F.count_if(F.col("invalid_reason").isNotNull())).scalar()
+    n_dup = duplicates.select(F.count(F.lit(1))).scalar()
     per = screened.groupBy("search_id").agg(F.count_if(F.col("criteria_reason").isNotNull()).alias("off_criteria"),
                                             F.count_if(F.col("criteria_reason").isNull()).alias("passed"))
-    # head and dup are one-row aggregates: attach them to every search row.
-    one = head.withColumn("_k", F.lit(1)).join(dup.withColumn("_k", F.lit(1)), "_k")
-    return (per.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k")
-            .select("search_id", "input", "invalid", "duplicate", "off_criteria", "passed"))
+    return per.select("search_id", n_input.alias("input"), n_invalid.alias("invalid"), n_dup.alias("duplicate"),
+                      "off_criteria", "passed")
 
 
 def stage_counts(stages: DataFrame, group_cols=("search_id",)) -> DataFrame:
