@@ -14,11 +14,11 @@ LINK = M.detail_link_pattern()
 
 EML = (b"From: alerts@portal.example\r\nDate: Tue, 17 Jul 2001 09:30:00 -0600\r\nSubject: New listings\r\n"
        b"Content-Type: text/html; charset=utf-8\r\n\r\n"
-       b'<p><a href=3D"https://www.portal.example/real-estate/111/12-oak-dr-nw-calgary-ab">Open</a> '
+       b'<p><a href=3D"https://www.portal.example/real-estate/111/12-oak-dr-nw-sampletown-ab">Open</a> '
        b"$549,900 3 + 1 bed 2.5 bath 1,850 sqft MLS&reg; A2100001</p>\r\n"
-       b'<p><a href="https://portal.example/real-estate/222/9-elm-rd-ne-calgary-ab">x</a> $1,200,000 4 bedroom</p>'
-       b'<p><a href="https://portal.example/real-estate/111/12-oak-dr-nw-calgary-ab">again</a></p>')
-HTML = (b'<html><a href="https://portal.example/real-estate/333/5-main-st-sw-calgary-ab">go</a>'
+       b'<p><a href="https://portal.example/real-estate/222/9-elm-rd-ne-sampletown-ab">x</a> $1,200,000 4 bedroom</p>'
+       b'<p><a href="https://portal.example/real-estate/111/12-oak-dr-nw-sampletown-ab">again</a></p>')
+HTML = (b'<html><a href="https://portal.example/real-estate/333/5-main-st-sw-sampletown-ab">go</a>'
         b" $399,000 2 bed 1 bath &amp; more</html>")
 
 
@@ -39,7 +39,7 @@ def test_message_decode_windows_fields(spark, tmpdir_path):
     assert str(dates["a.eml"]) == "2001-07-17" and dates["b.html"] is None
     wins = M.link_windows(text, ["path", "modificationTime"], LINK)
     wins = wins.withColumn("slug", F.regexp_extract("window", LINK, 2))
-    rows = {r.listing_id: r for r in M.message_listings(wins, ["path", "modificationTime"], "Calgary").collect()}
+    rows = {r.listing_id: r for r in M.message_listings(wins, ["path", "modificationTime"], "Sampletown").collect()}
     assert set(rows) == {"A2100001", "RCA222", "RCA333"}
     a = rows["A2100001"]
     assert (a.price, a.beds, a.baths, a.sqft, a.address) == (549900, 4.0, 2.5, 1850, "12 Oak Dr NW")
@@ -68,7 +68,7 @@ def test_latest_message_wins(spark):
 def test_portal_json_files(spark, tmpdir_path):
     p1 = {"Results": [
         {"MlsNumber": "A1", "Property": {"Price": "$650,000", "Type": "House",
-                                         "Address": {"AddressText": "12 Oak Dr NW, Calgary, AB T2P 1A1|x",
+                                         "Address": {"AddressText": "12 Oak Dr NW, Sampletown, AB T2P 1A1|x",
                                                      "Latitude": "51.05", "Longitude": "-114.07"}},
          "Building": {"Bedrooms": "3 + 1", "BathroomTotal": "2", "SizeInterior": "1,800 sqft"},
          "TimeOnRealtor": "3 days", "RelativeDetailsURL": "/real-estate/1/a"},
@@ -84,7 +84,7 @@ def test_portal_json_files(spark, tmpdir_path):
     assert set(got) == {"A1", "777"}
     a = got["A1"]
     assert (a.price, a.beds, a.baths, a.sqft, a.address, a.city, a.postal_code, a.days_on_market) == \
-        (650000, 4.0, 2.0, 1800, "12 Oak Dr NW", "Calgary", "T2P 1A1", 3)
+        (650000, 4.0, 2.0, 1800, "12 Oak Dr NW", "Sampletown", "T2P 1A1", 3)
     assert a.url == "https://portal.example/real-estate/1/a" and a.lat == 51.05
     b = got["777"]
     assert b.price == 700000 and str(b.list_date) == "2001-09-09" and b.days_on_market == 12 and b.lat == 51.1
