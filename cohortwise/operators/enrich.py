@@ -60,9 +60,10 @@ def cohort_bbox(cohort: DataFrame, group_cols: list[str]) -> DataFrame:
             .where(F.col("south").isNotNull() & F.col("west").isNotNull()))
 
 
-def poi_in_bbox(pois: DataFrame, boxes: DataFrame, max_broadcast_boxes: int = 100_000) -> DataFrame:
+def poi_in_bbox(pois: DataFrame, boxes: DataFrame, max_broadcast_boxes: int = 256) -> DataFrame:
     """POIs inside each box. The box table has one row per search; it is
-    broadcast behind a size check, else joined on a coarse degree grid."""
+    broadcast behind a size check (every POI is tested against every box, so
+    the bound is small), else equi-joined on whole-degree cells."""
     inside = ((F.col("p.lat") >= F.col("b.south")) & (F.col("p.lat") <= F.col("b.north"))
               & (F.col("p.lon") >= F.col("b.west")) & (F.col("p.lon") <= F.col("b.east")))
     p, b = pois.alias("p"), boxes.alias("b")

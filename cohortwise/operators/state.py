@@ -57,3 +57,26 @@ def enrich_update(base: DataFrame, updates: DataFrame, key: str, cols: list[str]
     for c in cols:
         out = out.withColumn(c, F.when(F.col("_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)))
     return out.drop("_hit", *[f"_u_{c}" for c in cols])
+
+
+def stage_table(validated: DataFrame, duplicates: DataFrame, screened: DataFrame, enriched: DataFrame,
+                searches: DataFrame, id_col: str = "listing_id") -> DataFrame:
+    """J3 over every (search, source row): where each row ended and why.
+
+    A row is judged per search, so the output is validated rows x searches;
+    the search table is broadcast after the same size check as criteria.
+    """
+    from cohortwise.operators.criteria import MAX_BROADCAST_SEARCHES
+
+    n = searches.count()
+    if n > MAX_BROADCAST_SEARCHES:
+        raise ValueError(f"{n} searches: per-search stage rows exceed the broadcast bound")
+    base = validated.select(id_col, "invalid_reason").join(F.broadcast(searches.select("search_id")), how="cross")
+    dups = duplicates.select(id_col, F.lit(True).alias("_dup"))
+    crit = screened.select("search_id", id_col, "criteria_reason")
+    com = enriched.select("search_id", id_col, "commute_reason")
+    j = (base.join(dups, id_col, "left").join(crit, ["search_id", id_col], "left")
+         .join(com, ["search_id", id_col], "left"))
+    stage, reason = stage_col(F.col("invalid_reason"), F.coalesce(F.col("_dup"), F.lit(False)),
+                              F.col("criteria_reason"), F.col("commute_reason"))
+    return j.select("search_id", id_col, stage.alias("stage"), reason.alias("reject_reason"))

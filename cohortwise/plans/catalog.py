@@ -338,8 +338,8 @@ def q_list_date(spark, sf_dir):
 
 
 @register("days_since", O.with_chain(
-    f"SELECT listing_id, CASE WHEN date_diff('day', {_duck_parse_date('date_text')}, DATE '2001-08-01') < 0 THEN 0 "
-    f"ELSE date_diff('day', {_duck_parse_date('date_text')}, DATE '2001-08-01') END AS days_since FROM v_raw"))
+    f"SELECT listing_id, CAST(CASE WHEN date_diff('day', {_duck_parse_date('date_text')}, DATE '2001-08-01') < 0 THEN 0 "
+    f"ELSE date_diff('day', {_duck_parse_date('date_text')}, DATE '2001-08-01') END AS INTEGER) AS days_since FROM v_raw"))
 def q_days_since(spark, sf_dir):
     from cohortwise.sources.tables import AS_OF
     return tables(spark, sf_dir).v_raw.select("listing_id", TX.days_since(F.col("date_text"), AS_OF).alias("days_since"))
@@ -411,7 +411,7 @@ _CANDS = (f"CASE WHEN ({_duck_expand('address')}) || ', {GEO_LOCALITY}' = addres
 
 
 @register("geocode_query", O.with_chain(
-    f"SELECT listing_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS query FROM "
+    f"SELECT listing_id, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS pos, unnest(c) AS query FROM "
     f"(SELECT listing_id, {_CANDS} AS c FROM v_listing WHERE lat IS NULL)"))
 def q_geocode_query(spark, sf_dir):
     l = tables(spark, sf_dir).v_listing.where(F.col("lat").isNull())
@@ -482,18 +482,8 @@ def q_upsert(spark, sf_dir):
 
 
 def _stages(p: Pipeline) -> DataFrame:
-    """J3 over every (search, source row): stage and reason from each step's reason."""
-    from cohortwise.operators.state import stage_col
-    searches = p.t.v_search.select("search_id")
-    base = p.validated().select("listing_id", "invalid_reason").join(F.broadcast(searches), how="cross")
-    dups = p.duplicates().select("listing_id", F.lit(True).alias("_dup"))
-    crit = p.screened().select("search_id", "listing_id", "criteria_reason")
-    com = p.enriched().select("search_id", "listing_id", "commute_reason")
-    j = (base.join(dups, "listing_id", "left").join(crit, ["search_id", "listing_id"], "left")
-         .join(com, ["search_id", "listing_id"], "left"))
-    stage, reason = stage_col(F.col("invalid_reason"), F.coalesce(F.col("_dup"), F.lit(False)),
-                              F.col("criteria_reason"), F.col("commute_reason"))
-    return j.select("search_id", "listing_id", stage.alias("stage"), reason.alias("reject_reason"))
+    from cohortwise.operators.state import stage_table
+    return stage_table(p.validated(), p.duplicates(), p.screened(), p.enriched(), p.t.v_search)
 
 
 _STAGE_SQL = (
@@ -694,7 +684,7 @@ def q_link_windows(spark, sf_dir):
 
 
 @register("abs_url", O.with_chain(
-    "SELECT page_id, i - 1 AS pos, CASE WHEN trim(h[i]) = '' THEN '' WHEN starts_with(trim(h[i]), 'http') THEN trim(h[i]) "
+    "SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN trim(h[i]) = '' THEN '' WHEN starts_with(trim(h[i]), 'http') THEN trim(h[i]) "
     "WHEN starts_with(trim(h[i]), '/') THEN base || trim(h[i]) ELSE base || '/' || trim(h[i]) END AS url FROM ("
     "SELECT page_id, base, h, unnest(range(1, len(h) + 1)) AS i FROM ("
     "SELECT page_id, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS base, "

@@ -77,3 +77,15 @@ def test_geocode_join_first_resolving_candidate(spark):
     from cohortwise.functions.text import geocode_candidates
     got = {r.listing_id: (r.lat, r.lon) for r in D.geocode_join(df, geo, geocode_candidates("address", F.lit("Town"))).collect()}
     assert got == {1: (7.0, 8.0), 2: (1.0, 2.0)}
+
+
+def test_poi_in_bbox_grid_path_equals_broadcast(spark):
+    rnd = random.Random(4)
+    boxes = spark.createDataFrame([(i, 50 + rnd.uniform(0, 3), -115 + rnd.uniform(0, 3)) for i in range(40)],
+                                  "search_id int, s double, w double") \
+        .selectExpr("search_id", "s AS south", "w AS west", "s + 0.7 AS north", "w + 1.3 AS east")
+    pois = spark.createDataFrame([(j, "cafes", 50 + rnd.uniform(-0.5, 4), -115 + rnd.uniform(-0.5, 4)) for j in range(3000)],
+                                 "poi_id int, category string, lat double, lon double")
+    a = D.poi_in_bbox(pois, boxes).select("search_id", "poi_id")
+    b = D.poi_in_bbox(pois, boxes, max_broadcast_boxes=0).select("search_id", "poi_id")
+    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -33,6 +33,16 @@ def norm(v):
     return v
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE",
+                 "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT", "array<string>": "VARCHAR[]"}
+
+
+def type_mismatches(sdtypes, dcols, dtypes):
+    d = dict(zip(dcols, (str(t) for t in dtypes)))
+    return [(c, t, d.get(c)) for c, t in sdtypes if SPARK_TO_DUCK.get(t, t) != d.get(c)]
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted((tuple(norm(r[i]) for i in order) for r in rows), key=repr)
@@ -64,6 +74,7 @@ def main():
         try:
             rel = con.sql(sql)
             dcols = rel.columns
+            dtypes = rel.types
             drows = rel.fetchall()
         except Exception as e:  # noqa: BLE001
             print(f"FAIL {name}: duckdb error {str(e)[:300]}")
@@ -72,6 +83,9 @@ def main():
             print(f"FAIL {name}: columns {sorted(scols)} vs {sorted(dcols)}")
             continue
         a, b = rows_of(scols, srows), rows_of(dcols, drows)
+        tm = type_mismatches(df.dtypes, dcols, dtypes)
+        if tm:
+            print(f"TYPE {name}: {tm}")
         if a == b:
             print(f"OK   {name}: {len(a)} rows ({dt:.1f}s)")
             ok += 1
