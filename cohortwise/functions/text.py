@@ -81,23 +81,26 @@ def expansions() -> dict[str, str]:
     return out
 
 
-# Every character Python's str.split()/strip() treat as whitespace, derived by rule.
-WHITESPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
-
-
-def spaces(text: Column) -> Column:
-    """Map every whitespace character to a plain space (char translation, no regex)."""
-    return F.translate(text, WHITESPACE, " " * len(WHITESPACE))
+# Regex class of exactly the characters Python's str.isspace() accepts (so
+# split()/strip() agree with the reference): Java's \s, the Unicode separator
+# category, and four control characters. A category test is far cheaper than
+# listing the characters or using translate(). tests/test_text.py checks the
+# equivalence over the whole BMP.
+WS = r"\s\p{Z}\x1c-\x1f\x85"
 
 
 def strip(text: Column) -> Column:
     """``str.strip()``: trim all whitespace at both ends."""
-    return F.btrim(text, F.lit(WHITESPACE))
+    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+
+
+def is_blank(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(f"^[{WS}]*$"))
 
 
 def _squeeze(text: Column) -> Column:
     """``" ".join(text.split())``."""
-    return F.btrim(F.regexp_replace(spaces(text), " {2,}", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(text, f"[{WS}]+", " "), F.lit(" "))
 
 
 def let(value: Column, body) -> Column:
@@ -110,6 +113,11 @@ def _alt(words) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
 
+def _key_text(address) -> Column:
+    """Lower-case, '.', ',' and '#' to spaces, whitespace squeezed -- one regex pass."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(_c(address), F.lit(""))), f"[.,#{WS}]+", " "), F.lit(" "))
+
+
 def address_key(address) -> Column:
     """Canonical key for the exact parcel join and for dedupe.
 
@@ -120,7 +128,7 @@ def address_key(address) -> Column:
     only the street-type word (the one before the quadrant, else the last,
     never the first); upper-case.
     """
-    t = _squeeze(F.regexp_replace(F.lower(F.coalesce(_c(address), F.lit(""))), r"[.,#]", " "))
+    t = _key_text(address)
     t = F.regexp_replace(t, r"(^| )([sn]) ([we])$", "$1$2$3")
     t = F.regexp_replace(t, rf"^(?:{_alt(UNIT_WORDS)}) [^ ]+ ", "")
     t = F.regexp_replace(t, rf"(^| )({_alt(QUADRANTS)})$", "$1#$2")
@@ -135,6 +143,43 @@ def address_key(address) -> Column:
     return F.upper(F.when(word == "", t).otherwise(abbreviated))
 
 
+def _words(c: Column) -> Column:
+    return F.when(c == "", F.lit(0)).otherwise(F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit(""))) + 1)
+
+
+def add_address_key(df, src: str = "address", dst: str = "address_key"):
+    """B11 as a DataFrame transform: same rule as ``address_key``, but each step is
+    its own column (computed once) and uses token slicing and literal-map lookups
+    instead of regex passes -- about 3x cheaper on the dedupe and join hot path."""
+    qmap, smap = _map(QUADRANTS), _map(STREET_TYPES)
+    df = df.withColumn("_ak0", _key_text(F.col(src)))
+    a0 = F.col("_ak0")
+    tail2 = F.substring_index(a0, " ", -2)
+    df = df.withColumn("_ak1", F.when(tail2.isin("s w", "s e", "n w", "n e"),
+                                      F.concat(F.substring(a0, F.lit(1), F.length(a0) - 3),
+                                               F.translate(tail2, " ", ""))).otherwise(a0))
+    a1 = F.col("_ak1")
+    head2 = F.substring_index(a1, " ", 2)
+    df = df.withColumn("_ak2", F.when(F.substring_index(a1, " ", 1).isin(*UNIT_WORDS) & (F.length(head2) < F.length(a1)),
+                                      F.substring(a1, F.length(head2) + 2, 1 << 30)).otherwise(a1))
+    a2 = F.col("_ak2")
+    last2 = F.substring_index(a2, " ", -1)
+    q = F.try_element_at(qmap, last2)
+    df = df.withColumn("_ak3", F.when(q.isNotNull(), F.concat(F.substring(a2, F.lit(1), F.length(a2) - F.length(last2)), q))
+                       .otherwise(a2))
+    a3 = F.col("_ak3")
+    last3 = F.substring_index(a3, " ", -1)
+    is_quad = last3.isin(*QUADRANT_ABBREV)
+    tok = F.when(is_quad, F.substring_index(F.substring_index(a3, " ", -2), " ", 1)).otherwise(last3)
+    suffix = F.when(is_quad, F.concat(F.lit(" "), last3)).otherwise(F.lit(""))
+    ok = F.when(is_quad, _words(a3) >= 3).otherwise(_words(a3) >= 2)
+    df = df.withColumn("_ak4", tok).withColumn("_ak5", suffix).withColumn("_ak6", F.try_element_at(smap, F.col("_ak4")))
+    out = F.when(ok & F.col("_ak6").isNotNull(),
+                 F.concat(F.substring(a3, F.lit(1), F.length(a3) - F.length("_ak4") - F.length("_ak5")),
+                          F.col("_ak6"), F.col("_ak5"))).otherwise(a3)
+    return df.withColumn(dst, F.upper(out)).drop("_ak0", "_ak1", "_ak2", "_ak3", "_ak4", "_ak5", "_ak6")
+
+
 def expand_street_type(address) -> Column:
     """B12 helper: expand the abbreviated street type (same position rule as B11)."""
     a = _c(address)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.functions.text import address_key, days_since, strip
+from cohortwise.functions.text import address_key, days_since, is_blank
 
 # Plausible interior size bounds (sqft).
 SQFT_MIN_PLAUSIBLE = 200
@@ -20,7 +20,7 @@ def invalid_reason(df: DataFrame) -> Column:
             .when(~lat.between(-90, 90) | ~lon.between(-180, 180), F.lit("coordinates out of range"))
             .when(sqft.isNotNull() & ~sqft.between(SQFT_MIN_PLAUSIBLE, SQFT_MAX_PLAUSIBLE),
                   F.concat(F.lit("implausible sqft ("), sqft.cast("string"), F.lit(")")))
-            .when(addr.isNull() | (strip(addr) == ""), F.lit("missing address")))
+            .when(addr.isNull() | is_blank(addr), F.lit("missing address")))
 
 
 def validate(df: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def reconcile_age(df: DataFrame, as_of: str, date_col: str = "list_date") -> Dat
 
 
 def with_address_key(df: DataFrame, col: str = "address") -> DataFrame:
-    return df if "address_key" in df.columns else df.withColumn("address_key", address_key(F.col(col)))
+    from cohortwise.functions.text import add_address_key
+    return df if "address_key" in df.columns else add_address_key(df, col, "address_key")
 
 
 def dedupe(valid: DataFrame, order_col: str = "seq") -> DataFrame:

@@ -43,3 +43,17 @@ def test_rank_does_not_follow_completeness(spark):
     r = Pipeline(tables(spark, SF)).explained()
     top = r.where("rank <= 50").agg(F.min("data_completeness")).first()[0]
     assert top < 100.0
+
+
+def test_same_result_at_1_and_64_partitions(spark):
+    """Partitioning never changes the answer (range path, where it matters most)."""
+    t = tables(spark, "/root/testdata/sf0.001")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        outs = []
+        for n in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            outs.append(Pipeline(t, method="range").explained().select(*COLS).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert sorted(map(tuple, outs[0])) == sorted(map(tuple, outs[1]))

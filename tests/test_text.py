@@ -98,3 +98,10 @@ def test_mls_id(spark):
     df = spark.createDataFrame([("see MLS® #a1234567 now", "99"), ("no number", "42")], "w string, l string")
     got = [r.o for r in df.select(T.mls_id(F.col("w"), F.col("l")).alias("o")).collect()]
     assert got == ["A1234567", "RCA42"]
+
+
+def test_whitespace_class_equals_python_isspace(spark):
+    chars = [chr(c) for c in range(0x10000) if not (0xD800 <= c < 0xE000)]
+    df = spark.createDataFrame([(c,) for c in chars], "c string")
+    java = {r.c for r in df.where(F.regexp_like("c", F.lit(f"^[{T.WS}]$"))).collect()}
+    assert java == {c for c in chars if c.isspace()}
