@@ -20,6 +20,8 @@ BASE_CONF = {
     # HotSpot does not JIT methods over 8000 bytes of bytecode; past that, use
     # per-operator code instead of one huge (interpreted) fused method.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Stage checkpoints are scratch: delete each once its DataFrame is garbage-collected.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
