@@ -58,17 +58,17 @@ class Pipeline:
         return self._m("screened", lambda: C.apply_criteria(self.kept(), self.t.v_search))
 
     def passed(self) -> DataFrame:
-        """Stage boundary: the filter stage's survivors are written once; enrichment
-        reads them from several branches (distinct points, rows, route keys)
-        and must not re-run ingest, dedupe and criteria for each."""
+        """Stage boundary: the filter stage's survivors, written once (enrichment reads
+        them from several branches and must not re-run ingest, dedupe and criteria).
+
+        Survivors come from the banded equi-join (searches exploded over the
+        coarse cells their distance bound reaches), never from the listings x
+        searches product; ``screened`` (with per-pair reasons) is built only
+        for the queries that report reasons. Both give the same pass set.
+        """
         def build():
             ensure_checkpoint_dir(self.t.spark)
-            searches = self.t.v_search
-            if searches.count() <= C.MAX_BROADCAST_SEARCHES:
-                survivors = self.screened().where(F.col("criteria_reason").isNull())
-            else:  # too many searches to broadcast: banded equi-join, pass set only
-                survivors = C.criteria_pass_banded(self.kept(), searches)
-            return survivors.checkpoint(eager=True)
+            return C.criteria_pass_banded(self.kept(), self.t.v_search).checkpoint(eager=True)
         return self._m("passed", build)
 
     def enriched(self) -> DataFrame:
