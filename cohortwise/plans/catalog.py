@@ -527,7 +527,7 @@ def q_stage_reset(spark, sf_dir):
 
 
 @register("enrich_update", O.with_chain(
-    "SELECT k.listing_id, k.search_id, coalesce(w.walk_proxy, NULL) AS walk_proxy, w.commute_min AS commute_min, "
+    "SELECT k.listing_id, k.search_id, w.walk_proxy AS walk_proxy, w.commute_min AS commute_min, "
     "k.price FROM passed k LEFT JOIN enr w ON w.search_id = k.search_id AND w.listing_id = k.listing_id"))
 def q_enrich_update(spark, sf_dir):
     from cohortwise.operators.state import enrich_update

@@ -20,12 +20,11 @@ KEYS = {"orders": ["o_orderkey", "o_custkey"], "customer": ["c_custkey"], "part"
 def main():
     src, dst, n = sys.argv[1], sys.argv[2], int(sys.argv[3])
     spark = local_session()
-    copies = spark.range(n).withColumnRenamed("id", "_copy")
     for t in BASE_TABLES:
         df = spark.read.parquet(f"{src}/{t}.parquet")
         if t in KEYS:
             span = df.agg(*[F.max(k).alias(k) for k in KEYS[t]]).first()
-            df = df.join(F.broadcast(copies), how="cross")
+            df = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
             for k in KEYS[t]:
                 df = df.withColumn(k, (F.col(k) + F.col("_copy") * (span[k] + 1)).cast(df.schema[k].dataType))
             df = df.drop("_copy")
