@@ -41,10 +41,12 @@ def poi_totals(pois: DataFrame) -> DataFrame:
     return pois.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-def source_counts(df: DataFrame) -> DataFrame:
-    """listings and rows lacking a price (parse errors) per source."""
-    return df.groupBy("source").agg(F.count(F.lit(1)).alias("listings"),
-                                    F.count_if(F.col("price").isNull()).alias("errors"))
+def source_counts(rows: DataFrame, status: DataFrame) -> DataFrame:
+    """listings per source and whether the source failed (from the union's status table)."""
+    counts = rows.groupBy("source_name").agg(F.count(F.lit(1)).alias("listings"))
+    st = status.select(F.col("source").alias("source_name"), F.when(F.col("ok"), 0).otherwise(1).alias("errors"))
+    return (st.join(counts, "source_name", "left")
+            .select("source_name", F.coalesce(F.col("listings"), F.lit(0)).cast("bigint").alias("listings"), "errors"))
 
 
 def parcel_count(parcels: DataFrame, year_col: str | None = None) -> DataFrame:

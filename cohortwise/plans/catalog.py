@@ -598,13 +598,6 @@ def q_poi_totals(spark, sf_dir):
     return poi_totals(tables(spark, sf_dir).v_poi)
 
 
-@register("source_counts", O.with_chain(
-    "SELECT source, count(*) AS listings, count(*) FILTER (WHERE price IS NULL) AS errors FROM v_listing GROUP BY source"))
-def q_source_counts(spark, sf_dir):
-    from cohortwise.operators.stats import source_counts
-    return source_counts(tables(spark, sf_dir).v_listing)
-
-
 # -- A1/A2: portal payload scan ---------------------------------------------------
 
 def _duck_portal() -> str:
@@ -646,7 +639,25 @@ def q_source_union(spark, sf_dir):
         return q_scan_portal(spark, sf_dir).select("listing_id", F.lit("portal").alias("source"), "price")
 
     rows, _status = union_sources({"listing_view": listing_view, "portal": portal})
-    return rows
+    return rows.drop("source_name")
+
+
+def _union(spark, sf_dir):
+    from cohortwise.sources.union import union_sources
+    t = tables(spark, sf_dir)
+    return union_sources({
+        "listing_view": lambda: t.v_listing.select(F.col("listing_id").cast("string").alias("listing_id"),
+                                                   "source", "price"),
+        "portal": lambda: q_scan_portal(spark, sf_dir).select("listing_id", F.lit("portal").alias("source"), "price")})
+
+
+@register("source_counts", O.with_chain(
+    "SELECT 'listing_view' AS source_name, count(*) AS listings, 1 - 1 AS errors FROM v_listing UNION ALL "
+    f"SELECT 'portal' AS source_name, count(*) AS listings, 1 - 1 AS errors FROM ({_duck_portal()})"))
+def q_source_counts(spark, sf_dir):
+    from cohortwise.operators.stats import source_counts
+    rows, status = _union(spark, sf_dir)
+    return source_counts(rows, status)
 
 
 # -- A4/A6/A9/A10: pages, link windows, POI tags, synthetic rows ---------------------

@@ -6,6 +6,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def union_sources(sources: dict[str, Callable[[], DataFrame]],
@@ -20,7 +21,7 @@ def union_sources(sources: dict[str, Callable[[], DataFrame]],
         try:
             df = sources[name]()
             spark = df.sparkSession
-            frames.append(df)
+            frames.append(df.withColumn("source_name", F.lit(name)))
             status.append((name, True, None))
         except Exception as exc:  # noqa: BLE001 - one source must not sink the others
             status.append((name, False, f"{type(exc).__name__}: {exc}"[:500]))

@@ -125,3 +125,19 @@ def test_sinks_roundtrip(spark, tmpdir_path):
     assert back == {1: 9.0, 2: 2.0}
     retain_raw(df, os.path.join(tmpdir_path, "raw"), "2001-08-01")
     assert spark.read.parquet(os.path.join(tmpdir_path, "raw")).count() == 2
+
+
+def test_failing_source_does_not_sink_the_union(spark):
+    from cohortwise.operators.stats import source_counts
+    from cohortwise.sources.union import union_sources
+
+    def good():
+        return spark.createDataFrame([("a", 1), ("b", 2)], "listing_id string, price int")
+
+    def bad():
+        raise OSError("payload folder missing")
+
+    rows, status = union_sources({"good": good, "bad": bad, "dev": good}, development="dev")
+    assert rows.count() == 2
+    got = {r.source_name: (r.listings, r.errors) for r in source_counts(rows, status).collect()}
+    assert got == {"good": (2, 0), "bad": (0, 1)}
