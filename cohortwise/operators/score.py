@@ -61,15 +61,36 @@ def value_percentiles(df: DataFrame, group_cols: list[str], comps: list[str],
     return ranked.select(*group_cols, "comp", "v", pct.alias("pct"))
 
 
-def attach_percentiles(df: DataFrame, table: DataFrame, group_cols: list[str], comps: list[str]) -> DataFrame:
-    """Join each component's percentile back by (group, value); AQE picks broadcast or
-    sort-merge from the measured size, and splits a skewed value."""
-    out = df
-    for c in comps:
-        t = table.where(F.col("comp") == c).select(*group_cols, F.col("v").alias(f"c_{c}"),
-                                                   F.col("pct").alias(f"r_{c}"))
-        out = out.join(t, [*group_cols, f"c_{c}"], "left")
-    return out
+# Percentile tables up to this many rows are broadcast to the cohort rows.
+MAX_BROADCAST_PCT_ROWS = 2_000_000
+
+
+def attach_percentiles(df: DataFrame, table: DataFrame, group_cols: list[str], comps: list[str],
+                       key_cols: list[str] | None = None) -> DataFrame:
+    """Bring each component's percentile back to its rows.
+
+    The (group, comp, value) table is counted first. Within the bound it is
+    broadcast and joined once per component, with no shuffle of the cohort
+    rows. Beyond it, a single join in long form (one narrow row per
+    component) then one pivot back to a row per listing, so the cohort is
+    shuffled a fixed number of times instead of once per component.
+    """
+    n = table.count()
+    if n <= MAX_BROADCAST_PCT_ROWS:
+        out = df
+        for c in comps:
+            t = table.where(F.col("comp") == c).select(*group_cols, F.col("v").alias(f"c_{c}"),
+                                                       F.col("pct").alias(f"r_{c}"))
+            out = out.join(F.broadcast(t), [*group_cols, f"c_{c}"], "left")
+        return out
+    keys = key_cols or ["listing_id"]
+    long = df.select(*group_cols, *keys, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("comp"), F.col(f"c_{c}").alias("v")) for c in comps])).alias("_e"))
+    long = long.select(*group_cols, *keys, "_e.comp", "_e.v").where(F.col("v").isNotNull())
+    hit = long.join(table, [*group_cols, "comp", "v"])
+    wide = hit.groupBy(*group_cols, *keys).agg(
+        *[F.max(F.when(F.col("comp") == c, F.col("pct"))).alias(f"r_{c}") for c in comps])
+    return df.join(wide, [*group_cols, *keys], "left")
 
 
 def _weighted_present(parts) -> tuple[Column, Column]:

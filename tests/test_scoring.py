@@ -127,3 +127,16 @@ def test_running_sum_carries_across_arrow_batches(spark):
             assert [got[(g, k)] for k in range(len(vals))] == naive_pct(vals)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_attach_long_form_equals_broadcast(spark, monkeypatch):
+    from cohortwise.operators import score as S
+    rnd = random.Random(8)
+    rows = [(rnd.randint(1, 3), i, float(rnd.randint(0, 9)), None if i % 5 == 0 else float(rnd.randint(0, 4)))
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "search_id int, listing_id int, c_a double, c_b double")
+    table = S.value_percentiles(df, ["search_id"], ["a", "b"], method="window")
+    a = S.attach_percentiles(df, table, ["search_id"], ["a", "b"]).select("listing_id", "r_a", "r_b")
+    monkeypatch.setattr(S, "MAX_BROADCAST_PCT_ROWS", 0)
+    b = S.attach_percentiles(df, table, ["search_id"], ["a", "b"]).select("listing_id", "r_a", "r_b")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
