@@ -141,3 +141,13 @@ def test_failing_source_does_not_sink_the_union(spark):
     assert rows.count() == 2
     got = {r.source_name: (r.listings, r.errors) for r in source_counts(rows, status).collect()}
     assert got == {"good": (2, 0), "bad": (0, 1)}
+
+
+def test_bounded_link_windows_stop_at_next_link(spark):
+    text = ("x " + " ".join(f"https://portal.example/real-estate/{i}/s-{i} " + "body " * (i * 40) for i in range(1, 12)))
+    df = spark.createDataFrame([(1, text)], "id int, text string")
+    got = [(r.link_id, r.window) for r in M.link_windows(df, ["id"], LINK, bounded=True).orderBy("pos").collect()]
+    starts = [m.start() for m in re.finditer(LINK, text)] + [len(text)]
+    expect = [(m.group(1), text[m.start(): min(m.start() + 1400, starts[k + 1])])
+              for k, m in enumerate(re.finditer(LINK, text))]
+    assert got == expect
