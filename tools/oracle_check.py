@@ -8,12 +8,13 @@ Compares row count, column names and the order-insensitive multiset of rows
 from __future__ import annotations
 
 import math
+import os
 import sys
 import time
 
 import duckdb
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from cohortwise.plans.catalog import REGISTRY  # noqa: E402
 from cohortwise.session import local_session  # noqa: E402
 from cohortwise.sources.tables import BASE_TABLES  # noqa: E402
@@ -51,7 +52,12 @@ def rows_of(cols, rows):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     names = sys.argv[2:] or list(REGISTRY)
-    spark = local_session()
+    if os.environ.get("ORACLE_PLAIN"):  # the driver's kind of session: no settings of ours
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session()
     con = duckdb.connect()
     for t in BASE_TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")

@@ -5,9 +5,10 @@ Every row is a copy of a given row with its keys shifted, so the data keeps
 the same distributions and grows N-fold.
 """
 
+import os
 import sys
 
-sys.path.insert(0, ".")
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import functions as F  # noqa: E402
 
 from cohortwise.session import local_session  # noqa: E402
