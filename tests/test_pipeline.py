@@ -20,6 +20,7 @@ def test_range_and_window_paths_agree(spark):
 def test_ranked_invariants(spark):
     p = Pipeline(tables(spark, SF))
     r = p.explained().cache()
+    assert r.where("sqft IS NULL").count() > 0
     # ranks are 1..n per search, scores descending
     chk = r.groupBy("search_id").agg(F.min("rank").alias("lo"), F.max("rank").alias("hi"),
                                      F.count("*").alias("n"), F.max("cohort_size").alias("cs")).collect()
@@ -28,9 +29,16 @@ def test_ranked_invariants(spark):
                             & (F.col("a.rank") + 1 == F.col("b.rank"))) \
         .where(F.col("a.score_total") < F.col("b.score_total")).count()
     assert bad == 0
-    # every score in range, completeness in [0, 100], explanation quotes the stored total
-    row = r.where("rank = 1").orderBy("search_id").first()
-    assert f"scoring {round(row.score_total):.0f}/100" in row.explanation or "scoring" in row.explanation
+    # explanations quote the stored scores and the cohort size, and name missing data
+    for row in r.where("rank <= 10 OR sqft IS NULL").collect():
+        text = row.explanation
+        assert f"Ranked #{row.rank} of {row.cohort_size} matches, scoring {row.score_total:.0f}/100." in text
+        for label, v in (("Value", row.score_value), ("Location", row.score_location),
+                         ("Freshness", row.score_freshness)):
+            if v is not None:
+                assert f"{label} {v:.0f}" in text
+        if row.sqft is None:
+            assert row.data_completeness < 100.0 and "available signals" in text
     assert r.where("score_total < 0 OR score_total > 100 OR data_completeness < 0 OR data_completeness > 100").count() == 0
     # the planted defects never reach the ranked table
     v = p.validated().where(F.col("invalid_reason").isNotNull()).select("listing_id")
