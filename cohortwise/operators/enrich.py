@@ -111,15 +111,24 @@ def poi_counts_at(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_
     return hits
 
 
-def radius_counts(df: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
-    """Add ``<category>_n`` columns: 0 when the category is known but nothing is near,
-    null when the category is absent from the POI table (or the row has no coordinates)."""
+def radius_counts(df: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM,
+                  categories: DataFrame | None = None) -> DataFrame:
+    """Add ``<category>_n`` columns: 0 when the category is available but nothing is near,
+    null when it is unavailable (or the row has no coordinates).
+
+    Availability comes from ``categories(category, available)`` when given (a
+    category fetched successfully may hold no points), else from the POI
+    table itself (a category with any point is available)."""
     hits = poi_counts_at(df, pois, radius_km)
     wide = hits.groupBy("lat", "lon").agg(
         *[F.max(F.when(F.col("category") == c, F.col("n"))).alias(f"_h_{c}") for c in CATEGORIES])
     # Whether each category exists in the POI table: scalar subqueries (each
     # runs once and is inlined as a value), so no join is needed.
-    avail = {c: pois.where(F.col("category") == c).select(F.count(F.lit(1)) > 0).scalar() for c in CATEGORIES}
+    if categories is not None:
+        avail = {c: categories.where((F.col("category") == c) & F.col("available"))
+                 .select(F.count(F.lit(1)) > 0).scalar() for c in CATEGORIES}
+    else:
+        avail = {c: pois.where(F.col("category") == c).select(F.count(F.lit(1)) > 0).scalar() for c in CATEGORIES}
     out = df.join(wide, ["lat", "lon"], "left")
     has_point = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     for c in CATEGORIES:

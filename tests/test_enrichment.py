@@ -89,3 +89,18 @@ def test_poi_in_bbox_grid_path_equals_broadcast(spark):
     a = D.poi_in_bbox(pois, boxes).select("search_id", "poi_id")
     b = D.poi_in_bbox(pois, boxes, max_broadcast_boxes=0).select("search_id", "poi_id")
     assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_count_near_radius_and_empty_available_category(spark):
+    """~1.1 km per 0.01 degree of latitude: 2 of 3 cafes are within 1 km; parks were fetched
+    but have no points, so they count 0; transit was never fetched, so it is null."""
+    pois = spark.createDataFrame([(1, "cafes", 51.000, -114.0), (2, "cafes", 51.005, -114.0),
+                                  (3, "cafes", 51.050, -114.0)], "poi_id int, category string, lat double, lon double")
+    cats = spark.createDataFrame([("cafes", True), ("parks", True), ("transit", False)], "category string, available boolean")
+    pt = spark.createDataFrame([(1, 51.0, -114.0)], "listing_id int, lat double, lon double")
+    r = D.radius_counts(pt, pois, categories=cats).collect()[0]
+    assert (r.cafes_n, r.parks_n, r.transit_n, r.schools_n) == (2, 0, None, None)
+    r2 = D.radius_counts(pt, pois).collect()[0]
+    assert (r2.cafes_n, r2.parks_n) == (2, None)
+    w = D.radius_counts(pt, pois, categories=cats).withColumn("w", D.walk_proxy_col()).collect()[0].w
+    assert w == round(0.25 * (2 / 12) * 100, 1)
