@@ -49,3 +49,17 @@ def test_every_query_registered_runs(spark):
     assert set(E.queries()) == set(REGISTRY)
     assert set(E.oracle_sql()) <= set(E.queries())
     assert E.entry(spark).count() > 0
+
+
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE", "timestamp_ntz": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(n for n, (_, sql) in REGISTRY.items() if sql))
+def test_schema_matches_oracle(spark, con, name):
+    """Names and types of every registered query equal its oracle's (DuckDB only binds the SQL)."""
+    fn, sql = REGISTRY[name]
+    df = fn(spark, SF)
+    rel = con.sql(sql)
+    duck = dict(zip(rel.columns, (str(t) for t in rel.types)))
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in df.dtypes} == duck
