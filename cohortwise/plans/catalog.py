@@ -669,7 +669,11 @@ _ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#
 
 def _duck_page_text() -> str:
     t = "replace(replace(replace(replace(html, '=\r\n', ''), '=\n', ''), '=3D', '='), '&amp;', '&')"
-    for ent, ch in _ENTITIES[1:] + _ENTITIES[:1]:
+    # Named references with ';', then the legacy ones HTML5 also accepts without
+    # it (as html.unescape does); '&amp' last in each group.
+    semi = _ENTITIES[1:] + _ENTITIES[:1]
+    bare = [(e.rstrip(";"), c) for e, c in semi if e.rstrip(";")[1:] in ("lt", "gt", "quot", "nbsp", "copy", "middot", "amp")]
+    for ent, ch in list(semi) + bare:
         t = f"replace({t}, {O._q(ent)}, {O._q(ch)})"
     anchor = r"""'<[aA]\b[^>]*?[hH][rR][eE][fF]\s*=\s*["'']([^"'']+)["''][^>]*>'"""
     t = f"regexp_replace({t}, {anchor}, ' \\1 ', 'g')"
