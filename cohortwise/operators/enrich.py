@@ -124,11 +124,10 @@ def radius_counts(df: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM,
         *[F.max(F.when(F.col("category") == c, F.col("n"))).alias(f"_h_{c}") for c in CATEGORIES])
     # Whether each category exists in the POI table: scalar subqueries (each
     # runs once and is inlined as a value), so no join is needed.
-    if categories is not None:
-        avail = {c: categories.where((F.col("category") == c) & F.col("available"))
-                 .select(F.count(F.lit(1)) > 0).scalar() for c in CATEGORIES}
-    else:
-        avail = {c: pois.where(F.col("category") == c).select(F.count(F.lit(1)) > 0).scalar() for c in CATEGORIES}
+    # One scalar subquery: the set of available categories (at most the five known names).
+    source = categories.where(F.col("available")) if categories is not None else pois
+    present = source.where(F.col("category").isin(*CATEGORIES)).select(F.collect_set("category")).scalar()
+    avail = {c: F.array_contains(present, c) for c in CATEGORIES}
     out = df.join(wide, ["lat", "lon"], "left")
     has_point = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     for c in CATEGORIES:
