@@ -29,6 +29,13 @@ class Pipeline:
     # "auto": plain windows when the largest cohort is within the checked bound,
     # else the range-partitioned prefix path; "window"/"range" force one.
     method: str = "auto"
+    # Any listing source (portal scan, messages, source union, synthetic rows) and
+    # lookup tables; defaults are the fixture views of ``t``.
+    source: DataFrame | None = None
+    searches: DataFrame | None = None
+    parcels: DataFrame | None = None
+    pois: DataFrame | None = None
+    routes: DataFrame | None = None
     _memo: dict = field(default_factory=dict)
 
     def _m(self, key, fn):
@@ -36,9 +43,29 @@ class Pipeline:
             self._memo[key] = fn()
         return self._memo[key]
 
+    def _search(self) -> DataFrame:
+        return self.searches if self.searches is not None else self.t.v_search
+
+    def _parcels(self) -> DataFrame:
+        return self.parcels if self.parcels is not None else self.t.v_parcel
+
+    def _pois(self) -> DataFrame:
+        return self.pois if self.pois is not None else self.t.v_poi
+
+    def _routes(self) -> DataFrame:
+        return self.routes if self.routes is not None else self.t.v_route
+
     def listings(self) -> DataFrame:
-        """Source rows; insertion order is the listing id."""
-        return self._m("listings", lambda: self.t.v_listing.withColumn("seq", F.col("listing_id")))
+        """Source rows with the optional fields filled as nulls. Insertion order is
+        ``seq`` when the source has it, else the listing id."""
+        def build():
+            df = self.source if self.source is not None else self.t.v_listing
+            for c, typ in (("property_type", "string"), ("days_on_market", "int"), ("sqft", "bigint"),
+                           ("beds", "double"), ("baths", "double")):
+                if c not in df.columns:
+                    df = df.withColumn(c, F.lit(None).cast(typ))
+            return df if "seq" in df.columns else df.withColumn("seq", F.col("listing_id"))
+        return self._m("listings", build)
 
     def validated(self) -> DataFrame:
         return self._m("validated", lambda: Q.validate(self.listings()))
@@ -55,7 +82,7 @@ class Pipeline:
 
     def screened(self) -> DataFrame:
         """Every kept listing against every search, with its first failing reason."""
-        return self._m("screened", lambda: C.apply_criteria(self.kept(), self.t.v_search))
+        return self._m("screened", lambda: C.apply_criteria(self.kept(), self._search()))
 
     def passed(self) -> DataFrame:
         """Stage boundary: the filter stage's survivors, written once (enrichment reads
@@ -68,15 +95,15 @@ class Pipeline:
         """
         def build():
             ensure_checkpoint_dir(self.t.spark)
-            return C.criteria_pass_banded(self.kept(), self.t.v_search).checkpoint(eager=True)
+            return C.criteria_pass_banded(self.kept(), self._search()).checkpoint(eager=True)
         return self._m("passed", build)
 
     def enriched(self) -> DataFrame:
         def build():
-            df = D.parcel_join(self.passed(), self.t.v_parcel)
-            df = D.radius_counts(df, self.t.v_poi)
+            df = D.parcel_join(self.passed(), self._parcels())
+            df = D.radius_counts(df, self._pois())
             df = df.withColumn("walk_proxy", D.walk_proxy_col())
-            df = D.commute(df, self.t.v_route)
+            df = D.commute(df, self._routes())
             return df.withColumn("commute_reason", C.commute_reason_col())
         return self._m("enriched", build)
 

@@ -22,7 +22,8 @@ def synth_listings(parcels: DataFrame, seed: int = 7) -> DataFrame:
     planted defects (missing sqft, missing coordinates, null/zero price,
     implausible sqft, a copied address/price under another id, a bad date)."""
     k = F.col("address_key")
-    idx = F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(1000))
+    # Defect slot per parcel: each planted kind hits about 1 in 40 rows.
+    idx = F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(40))
     price = F.floor(F.col("assessed_value") * (PRICE_LOW + (PRICE_HIGH - PRICE_LOW) * _u(k, seed, 1)) / PRICE_STEP) \
         * PRICE_STEP
     base = parcels.select(

@@ -65,3 +65,31 @@ def test_same_result_at_1_and_64_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(map(tuple, outs[0])) == sorted(map(tuple, outs[1]))
+
+
+def test_pipeline_on_synthetic_source_rejects_planted_defects(spark):
+    """Any listing source runs through the same stages; planted defects never rank."""
+    from cohortwise.sources.synth import synth_listings
+    t = tables(spark, SF)
+    syn = synth_listings(t.v_parcel).cache()
+    p = Pipeline(t, source=syn)
+    reasons = {r.listing_id: r.invalid_reason for r in p.validated().collect()}
+    rows = {r.listing_id: r for r in syn.collect()}
+    for lid, r in rows.items():
+        if r.price is None or r.price == 0:
+            assert reasons[lid] == "missing or zero price"
+        elif r.lat is None:
+            assert reasons[lid] == "missing coordinates"
+        elif r.sqft in (45, 99_000):
+            assert reasons[lid] == f"implausible sqft ({r.sqft})"
+        else:
+            assert reasons[lid] is None
+    dups = {r.listing_id for r in p.duplicates().collect()}
+    copies = {lid for lid in rows if lid.endswith("-COPY")}
+    assert copies and copies <= dups
+    ranked = p.explained()
+    assert ranked.count() > 0
+    assert ranked.where(F.col("listing_id").endswith("-COPY")).count() == 0
+    bad = [lid for lid, why in reasons.items() if why]
+    assert ranked.where(F.col("listing_id").isin(bad)).count() == 0
+    syn.unpersist()
