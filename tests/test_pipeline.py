@@ -93,3 +93,26 @@ def test_pipeline_on_synthetic_source_rejects_planted_defects(spark):
     bad = [lid for lid, why in reasons.items() if why]
     assert ranked.where(F.col("listing_id").isin(bad)).count() == 0
     syn.unpersist()
+
+
+def test_price_drop_is_reconsidered_after_upsert(spark):
+    """A listing rejected as too dear is re-scraped cheaper: the upserted snapshot passes."""
+    import datetime as dt
+
+    from cohortwise.operators.state import upsert
+    t = tables(spark, SF)
+    base = dict(address="12 Oak Dr NW", beds=3.0, baths=2.0, sqft=1500, property_type="House",
+                list_date="2001-07-20", lat=51.10, lon=-114.10)
+    cols = ["listing_id", "seen_at", "seq", "source", "price", *base]
+    first = ("X1", dt.datetime(2001, 7, 25), 1, "portal", 900_000, *base.values())
+    again = ("X1", dt.datetime(2001, 7, 30), 2, "portal", 300_000, *base.values())
+    schema = ("listing_id string, seen_at timestamp, seq long, source string, price long, address string, beds double, "
+              "baths double, sqft long, property_type string, list_date string, lat double, lon double")
+    sightings = spark.createDataFrame([first], schema)
+    before = upsert(sightings, source_cols=cols[3:]).drop("stage", "reject_reason", "first_seen", "last_seen")
+    reasons = {r.search_id: r.criteria_reason for r in Pipeline(t, source=before).screened().collect()}
+    assert reasons[1] == "price $900,000 above maximum"
+    after = upsert(spark.createDataFrame([first, again], schema), source_cols=cols[3:]) \
+        .drop("stage", "reject_reason", "first_seen", "last_seen")
+    ranked = Pipeline(t, source=after).explained().where("search_id = 1").collect()
+    assert [r.listing_id for r in ranked] == ["X1"] and ranked[0].price == 300_000
