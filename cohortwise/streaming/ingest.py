@@ -1,11 +1,11 @@
-"""K1/K2: incremental message ingest and an idempotent snapshot upsert.
+"""K1/K2: incremental message ingest and an incremental, idempotent snapshot upsert.
 
 K1 reads new message files with the ``binaryFile`` stream source; each
 micro-batch goes through the same decode -> windows -> fields plan as the
 batch job. K2 folds each micro-batch into the listing snapshot inside
-``foreachBatch``: the new snapshot is written to a folder named by the batch
-id and a commit marker is written last, so a replayed batch (after a driver
-or executor loss) finds its marker and does nothing.
+``foreachBatch``: only the hash buckets holding the batch's listings are read
+and rewritten (dynamic partition overwrite), and the merge is idempotent, so
+a batch replayed after a driver or executor loss changes nothing.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ def messages_to_rows(files: DataFrame, link: str | None = None, area: str = "")
     return rows.join(text.select(*keys, "sent_date"), keys)
 
 
+SNAPSHOT_BUCKETS = 64
+SOURCE_COLS = ("source", "price", "beds", "baths", "sqft", "address")
+
+
 def _fs(spark: SparkSession, path: str):
     """Hadoop file system for ``path`` (works for local, HDFS and object stores)."""
     jvm = spark.sparkContext._jvm
@@ -49,46 +53,47 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _committed(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path.rstrip("/") + "/_COMMITTED")
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
     return bool(fs.exists(p))
 
 
-def _versions(spark: SparkSession, root: str) -> list[str]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    names = sorted(st.getPath().getName() for st in fs.listStatus(p))
-    return [n for n in names if n.startswith("v") and _committed(spark, f"{root.rstrip('/')}/{n}")]
-
+def snapshot_upsert(batch: DataFrame, batch_id: int, root: str, buckets: int = SNAPSHOT_BUCKETS) -> None:
+    """K2: fold one micro-batch into the listing snapshot (J1 rules), touching only
+    the hash buckets of the listings in the batch.
 
-def snapshot_upsert(batch: DataFrame, batch_id: int, root: str) -> None:
-    """K2: fold one micro-batch into the snapshot (J1 rules), idempotent on ``batch_id``."""
+    The snapshot is partitioned by ``bucket = pmod(xxhash64(listing_id), n)``;
+    a batch reads just its buckets, merges, pins the result with a reliable
+    checkpoint (so the write never reads the files it replaces) and rewrites
+    those buckets with dynamic partition overwrite. The merge (newest row
+    wins, first/last seen as min/max) is idempotent, so replaying a batch
+    after a failure -- even after a partial write -- converges to the same
+    snapshot.
+    """
     from cohortwise.operators.state import upsert
+    from cohortwise.session import ensure_checkpoint_dir
 
     spark = batch.sparkSession
-    target = f"{root.rstrip('/')}/v{batch_id:012d}"
-    if _committed(spark, target):
-        return
-    prior = _versions(spark, root)
-    cols = ["listing_id", "seen_at", "seq", "source", "price", "beds", "baths", "sqft", "address"]
+    ensure_checkpoint_dir(spark)
+    bucket = F.pmod(F.xxhash64(F.col("listing_id")), F.lit(buckets)).cast("int")
     new = batch.select(
-        "listing_id", F.col("modificationTime").alias("seen_at"),
+        "listing_id", F.col("modificationTime").cast("timestamp").alias("seen_at"),
         (F.lit(batch_id).cast("bigint") * (1 << 20) + F.col("pos")).alias("seq"),
-        F.lit("email").alias("source"), "price", "beds", "baths", "sqft", "address")
-    if prior:
-        old = spark.read.parquet(f"{root.rstrip('/')}/{prior[-1]}")
+        F.lit("email").alias("source"), "price", "beds", "baths", "sqft", "address").withColumn("bucket", bucket)
+    cols = ["listing_id", "seen_at", "seq", *SOURCE_COLS, "bucket"]
+    if _exists(spark, root):
+        touched = new.select("bucket").distinct()
+        old = spark.read.parquet(root).join(F.broadcast(touched), "bucket", "left_semi")   # at most n rows
         # The old first_seen rides on a row that can never be the newest (seq -1, time <= last_seen).
         first = old.select("listing_id", F.col("first_seen").alias("seen_at"), F.lit(-1).cast("bigint").alias("seq"),
-                           "source", "price", "beds", "baths", "sqft", "address")
-        last = old.select("listing_id", F.col("last_seen").alias("seen_at"), F.lit(0).cast("bigint").alias("seq"),
-                          "source", "price", "beds", "baths", "sqft", "address")
-        new = new.unionByName(first).unionByName(last)
-    merged = upsert(new.select(*cols), "listing_id", ("seen_at", "seq"),
-                    ("source", "price", "beds", "baths", "sqft", "address"), "seen_at")
-    merged.write.mode("overwrite").parquet(target)
-    fs, marker = _fs(spark, target + "/_COMMITTED")
-    fs.create(marker, True).close()
+                           *SOURCE_COLS, "bucket")
+        last = old.select("listing_id", F.col("last_seen").alias("seen_at"), F.col("last_seq").alias("seq"),
+                          *SOURCE_COLS, "bucket")
+        new = new.select(*cols).unionByName(first.select(*cols)).unionByName(last.select(*cols))
+    merged = (upsert(new.select(*cols), "listing_id", ("seen_at", "seq"), (*SOURCE_COLS, "bucket", "seq"), "seen_at")
+              .withColumnRenamed("seq", "last_seq").checkpoint(eager=True))
+    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(root))
 
 
 def run_ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, link: str | None = None):
@@ -101,4 +106,4 @@ def run_ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, link
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root.rstrip('/')}/{_versions(spark, root)[-1]}")
+    return spark.read.parquet(root).drop("bucket", "last_seq")
