@@ -39,7 +39,11 @@ def messages_to_rows(files: DataFrame, link: str | None = None, area: str = "")
     wins = link_windows(text, keys, pattern, id_group=1)
     wins = wins.withColumn("slug", F.regexp_extract("window", pattern, 2))
     rows = message_listings(wins, keys, area)
-    return rows.join(text.select(*keys, "sent_date"), keys)
+    city = area.split(",")[0].strip() if area else ""
+    # The message's own date is the listing date (an alert means "new as of when it was sent").
+    return (rows.join(text.select(*keys, "sent_date"), keys)
+            .withColumn("list_date", F.col("sent_date"))
+            .withColumn("city", F.lit(city)).withColumn("source", F.lit("email")))
 
 
 SNAPSHOT_BUCKETS = 64

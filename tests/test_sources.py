@@ -205,3 +205,12 @@ def test_expansion_cases(spark, address, expected):
     from cohortwise.functions.text import expand_street_type
     df = spark.createDataFrame([(address,)], "a string")
     assert df.select(expand_street_type("a").alias("e")).first().e == expected
+
+
+def test_message_source_batch(spark, tmpdir_path):
+    _write(tmpdir_path, "a.eml", EML)
+    _write(tmpdir_path, "b.html", HTML)
+    rows = {r.listing_id: r for r in M.message_source(spark, tmpdir_path, "Sampletown, AB").collect()}
+    assert set(rows) == {"A2100001", "RCA222", "RCA333"}
+    assert str(rows["A2100001"].list_date) == "2001-07-17" and rows["RCA333"].list_date is None
+    assert rows["A2100001"].city == "Sampletown" and rows["A2100001"].source == "email"
