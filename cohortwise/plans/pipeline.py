@@ -29,6 +29,9 @@ class Pipeline:
     # "auto": plain windows when the largest cohort is within the checked bound,
     # else the range-partitioned prefix path; "window"/"range" force one.
     method: str = "auto"
+    # One row per listing id (true after the J1 upsert, as in the reference's flow)
+    # allows the one-aggregate dedupe; otherwise the exact iterative form runs.
+    unique_ids: bool = True
     # Any listing source (portal scan, messages, source union, synthetic rows) and
     # lookup tables; defaults are the fixture views of ``t``.
     source: DataFrame | None = None
@@ -75,7 +78,7 @@ class Pipeline:
             self.validated().where(F.col("invalid_reason").isNull()), self.as_of))
 
     def kept(self) -> DataFrame:
-        return self._m("kept", lambda: Q.dedupe(self.valid()))
+        return self._m("kept", lambda: Q.dedupe(self.valid()) if self.unique_ids else Q.dedupe_exact(self.valid()))
 
     def duplicates(self) -> DataFrame:
         return self._m("dups", lambda: Q.duplicates(self.valid(), self.kept()))

@@ -116,3 +116,23 @@ def test_price_drop_is_reconsidered_after_upsert(spark):
         .drop("stage", "reject_reason", "first_seen", "last_seen")
     ranked = Pipeline(t, source=after).explained().where("search_id = 1").collect()
     assert [r.listing_id for r in ranked] == ["X1"] and ranked[0].price == 300_000
+
+
+def test_repeated_ids_use_exact_dedupe(spark):
+    """Two sources reporting the same ids: the kept set equals the greedy rule run row by row."""
+    from cohortwise.operators.quality import with_address_key
+    t = tables(spark, "/root/testdata/sf0.001")
+    base = t.v_listing.withColumn("seq", F.col("listing_id") * 2)
+    again = t.v_listing.withColumn("seq", F.col("listing_id") * 2 + 1).withColumn("price", F.col("price") + 5000)
+    p = Pipeline(t, source=base.unionByName(again), unique_ids=False)
+    rows = with_address_key(p.valid()).select("listing_id", "seq", "address_key", "price").collect()
+    ids, keys, expect = set(), set(), set()
+    for r in sorted(rows, key=lambda r: r.seq):
+        if r.listing_id in ids or (r.address_key and (r.address_key, r.price) in keys):
+            continue
+        ids.add(r.listing_id)
+        if r.address_key:
+            keys.add((r.address_key, r.price))
+        expect.add(r.seq)
+    got = {r.seq for r in p.kept().collect()}
+    assert got == expect and len({s % 2 for s in got}) == 2
