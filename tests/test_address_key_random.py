@@ -9,27 +9,20 @@ from cohortwise.functions.text import QUADRANT_ABBREV, QUADRANTS, STREET_TYPES,
 
 
 def rule(address):
-    if not address:
+    """Token-level statement of the key rule, used as the brute-force check."""
+    toks = re.sub(r"[.,#]", " ", (address or "").lower()).split()
+    if len(toks) >= 2 and toks[-2] + toks[-1] in {"sw", "se", "nw", "ne"} and len(toks[-1]) == 1:
+        toks = toks[:-2] + [toks[-2] + toks[-1]]
+    if len(toks) > 2 and toks[0] in UNIT_WORDS:
+        toks = toks[2:]
+    if not toks:
         return ""
-    text = re.sub(r"\s+", " ", re.sub(r"[.,#]", " ", str(address).lower())).strip()
-    if not text:
-        return ""
-    words = text.split()
-    if len(words) >= 2 and words[-2] in ("s", "n") and words[-1] in ("w", "e"):
-        words[-2:] = [words[-2] + words[-1]]
-    if words and words[0] in UNIT_WORDS:
-        words = words[2:] if len(words) > 2 else words
-    if not words:
-        return ""
-    tail = len(words) - 1
-    if words[tail] in QUADRANTS:
-        words[tail] = QUADRANTS[words[tail]]
-        tail -= 1
-    elif words[tail] in QUADRANT_ABBREV:
-        tail -= 1
-    if tail >= 1:
-        words[tail] = STREET_TYPES.get(words[tail], words[tail])
-    return " ".join(words).upper()
+    quad_last = toks[-1] in QUADRANTS or toks[-1] in QUADRANT_ABBREV
+    toks[-1] = QUADRANTS.get(toks[-1], toks[-1])
+    at = len(toks) - (2 if quad_last else 1)
+    if at >= 1:
+        toks[at] = STREET_TYPES.get(toks[at], toks[at])
+    return " ".join(toks).upper()
 
 
 def test_regex_key_equals_rule(spark):
