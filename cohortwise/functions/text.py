@@ -73,12 +73,11 @@ def _map(d: dict[str, str]) -> Column:
 
 
 def expansions() -> dict[str, str]:
-    """Abbreviation -> longest full word, derived from STREET_TYPES."""
-    out: dict[str, str] = {}
+    """Abbreviation -> its longest spelling in STREET_TYPES (first one on a tie)."""
+    spellings: dict[str, list[str]] = {}
     for word, abbrev in STREET_TYPES.items():
-        if abbrev not in out or len(word) > len(out[abbrev]):
-            out[abbrev] = word
-    return out
+        spellings.setdefault(abbrev, []).append(word)
+    return {abbrev: max(words, key=len) for abbrev, words in spellings.items()}
 
 
 # Regex class of exactly the characters Python's str.isspace() accepts (so
