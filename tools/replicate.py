@@ -25,7 +25,7 @@ def main():
         df = spark.read.parquet(f"{src}/{t}.parquet")
         if t in KEYS:
             span = df.agg(*[F.max(k).alias(k) for k in KEYS[t]]).first()
-            df = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("bigint"))
+            df = df.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("_copy", F.col("_copy").cast("bigint"))
             for k in KEYS[t]:
                 df = df.withColumn(k, (F.col(k) + F.col("_copy") * (span[k] + 1)).cast(df.schema[k].dataType))
             df = df.drop("_copy")
