@@ -80,3 +80,32 @@ def stage_table(validated: DataFrame, duplicates: DataFrame, screened: DataFrame
     stage, reason = stage_col(F.col("invalid_reason"), F.coalesce(F.col("_dup"), F.lit(False)),
                               F.col("criteria_reason"), F.col("commute_reason"))
     return j.select("search_id", id_col, stage.alias("stage"), reason.alias("reject_reason"))
+
+
+def upsert_into(snapshot: DataFrame, incoming: DataFrame, key: str = "listing_id",
+                order_cols=("seen_at", "seq"), source_cols=("source", "price"),
+                time_col: str = "seen_at") -> DataFrame:
+    """J1 against an existing snapshot: for every id seen again, the newest source
+    columns replace the old ones (nulls too), ``first_seen`` is kept,
+    ``last_seen`` advances, the stage resets to 'scraped' and the reason is
+    cleared; every other column (enrichment, scores) is left as it was.
+    New ids are added; ids not seen again are unchanged.
+
+    The incoming rows fold to one per id first (``max_by``, map-side), then
+    one full outer join on the id rewrites the snapshot.
+    """
+    fresh = upsert(incoming, key, order_cols, source_cols, time_col).withColumn("_hit", F.lit(True))
+    bookkeeping = ("first_seen", "last_seen", "stage", "reject_reason")
+    rest = [c for c in snapshot.columns if c not in (key, *source_cols, *bookkeeping)]
+    o = snapshot.alias("o")
+    n = fresh.alias("n")
+    hit = F.coalesce(F.col("n._hit"), F.lit(False))
+    j = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full")
+    return j.select(
+        F.coalesce(F.col(f"n.{key}"), F.col(f"o.{key}")).alias(key),
+        *[F.when(hit, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in source_cols],
+        F.least(F.col("o.first_seen"), F.col("n.first_seen")).alias("first_seen"),
+        F.greatest(F.col("o.last_seen"), F.col("n.last_seen")).alias("last_seen"),
+        F.when(hit, F.lit("scraped")).otherwise(F.col("o.stage")).alias("stage"),
+        F.when(hit, F.lit(None).cast("string")).otherwise(F.col("o.reject_reason")).alias("reject_reason"),
+        *[F.col(f"o.{c}").alias(c) for c in rest])
