@@ -55,3 +55,10 @@ def parcel_count(parcels: DataFrame, year_col: str | None = None) -> DataFrame:
     if year_col:
         aggs.append(F.max(year_col).alias("roll_year"))
     return parcels.agg(*aggs)
+
+
+def cohort_count(snapshot: DataFrame, ranked_only: bool = False, group_cols=()) -> DataFrame:
+    """F4 over a state snapshot: rows holding a score whatever their stage (as the
+    reference counts, so stale rejects still count), or only ranked rows."""
+    df = snapshot.where(F.col("stage") == "ranked") if ranked_only else snapshot
+    return df.groupBy(*group_cols).agg(F.count("score_total").alias("cohort_size"))

@@ -43,3 +43,11 @@ def test_enrich_update_only_supplied_columns(spark):
     upd = spark.createDataFrame([("A", None)], "k string, walk double")
     got = {r.k: (r.walk, r.commute) for r in enrich_update(base, upd, "k", ["walk"]).collect()}
     assert got == {"A": (None, 2.0), "B": (3.0, 4.0)}
+
+
+def test_cohort_count_with_and_without_stale_rows(spark):
+    from cohortwise.operators.stats import cohort_count
+    snap = spark.createDataFrame([("A", "ranked", 70.0), ("B", "rejected", 55.0), ("C", "scraped", None)],
+                                 "listing_id string, stage string, score_total double")
+    assert cohort_count(snap).first().cohort_size == 2
+    assert cohort_count(snap, ranked_only=True).first().cohort_size == 1
