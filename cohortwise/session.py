@@ -41,8 +41,11 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by the session.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) is a scratch folder made.
+    On a cluster ``spark.checkpoint.dir`` names a folder that the driver and
+    all executors share, and is used as is. Only a ``local[...]`` session
+    (tests, where there are no other machines) gets a scratch folder when it
+    is unset; any other master raises instead of writing where executors
+    cannot read.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -50,6 +53,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="cohortwise-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        master = sc.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder shared by all executors (master is {master})")
+        conf_dir = tempfile.mkdtemp(prefix="cohortwise-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
