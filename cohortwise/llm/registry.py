@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe
+from cohortwise.llm import bpe, sharding
 
-LLM_REGISTRY = {**bpe.QUERIES}
+LLM_REGISTRY = {**sharding.QUERIES, **bpe.QUERIES}
