@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe, sharding
+from cohortwise.llm import bpe, packing, sharding
 
-LLM_REGISTRY = {**sharding.QUERIES, **bpe.QUERIES}
+LLM_REGISTRY = {**packing.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
