@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe, packing, sharding
+from cohortwise.llm import bpe, packing, sharding, warc
 
-LLM_REGISTRY = {**packing.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
+LLM_REGISTRY = {**packing.QUERIES, **warc.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
