@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe, packing, sharding, warc
+from cohortwise.llm import bpe, packing, sharding, topk, warc
 
-LLM_REGISTRY = {**packing.QUERIES, **warc.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
+LLM_REGISTRY = {**packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
