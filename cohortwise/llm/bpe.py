@@ -24,6 +24,7 @@ import json
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -205,9 +206,7 @@ def encode(df: DataFrame, text_col: str, path: str, out_col: str = "ids") -> Dat
     """
 
     @F.pandas_udf("array<bigint>")
-    def ids(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = tokenizer(path)
         for texts in batches:
             yield pd.Series([bpe.encode(x).astype(np.int64) for x in texts], dtype=object)
@@ -219,9 +218,7 @@ def decode(df: DataFrame, ids_col: str, path: str, out_col: str = "text") -> Dat
     """``df`` with the text of the ids in ``ids_col`` (null: empty); bytes that are no UTF-8 become U+FFFD."""
 
     @F.pandas_udf("string")
-    def text(batches: Iterator) -> Iterator:
-        import pandas as pd
-
+    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = tokenizer(path)
         for rows in batches:
             yield pd.Series([bpe.decode(np.asarray(x if x is not None else [], np.int64)) for x in rows], dtype=object)

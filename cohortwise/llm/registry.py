@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe, packing, sharding, topk, warc
+from cohortwise.llm import bpe, packing, sharding, simhash, topk, warc
 
-LLM_REGISTRY = {**packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
+LLM_REGISTRY = {**simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
