@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.bpe import public_path
+from cohortwise.llm.bpe import byte_characters, public_path
 from cohortwise.llm.common import buckets_for, slices_by_bytes, table, utf8_parts, written
 
 #: Groups of the linear grouping.
@@ -38,7 +38,8 @@ GROUPS = 400
 LARGE_SHARE = 3
 #: Words after which a worker begins a new table of known ids (it keeps the last two).
 KEPT_WORDS = 400_000
-AT_ONCE = 1 << 20
+#: Bytes of text encoded at a time (a longer text stands alone).
+AT_ONCE = 1 << 22
 
 
 # ---- the plan, on the histogram ------------------------------------------------------------------
@@ -284,6 +285,8 @@ class WordIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.model = self.library.model
+        self.chars = byte_characters()
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -294,37 +297,43 @@ class WordIds:
             return []
         return self.split(text) if self.odd_space(text) else text.split()
 
-    def _words(self, words: set[str]) -> dict[str, bytes]:
-        out, new = {}, []
-        for w in words:
-            ids = self.words.get(w) or self.older_words.get(w)
+    def _plain_ids(self, word: str) -> bytes:
+        """Ids of lower-case Latin letters, or of marks: one pre-token, which needs none of the file's rules before merging."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self.older_words.get(word)
             if ids is None:
-                new.append(w)
-            else:
-                out[w] = self.words[w] = ids
-        for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            out[w] = self.words[w] = np.array(e.ids, "<u4").tobytes()
-        if len(self.words) > KEPT_WORDS:
-            self.older_words, self.words = self.words, {}
-        return out
+                shown = word if word.isascii() else "".join(map(self.chars.__getitem__, word.encode()))
+                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.words[word] = ids
+        return ids
 
     def _learn(self, fragments: set[str]) -> dict[str, bytes]:
-        found, parts = {}, {}
+        found, other = {}, []
+        kept, older, plain, ids_of = self.kept, self.older, self.plain, self._plain_ids
         for f in fragments:
-            ids = self.kept.get(f) or self.older.get(f)
-            if ids is not None:
-                found[f] = self.kept[f] = ids
-            elif m := self.plain(f):
-                parts[f] = (m[1].lower(), m[2])
-            else:
-                parts[f] = (f, None)
-        ids = self._words({p for pair in parts.values() for p in pair if p})
-        for f, (word, marks) in parts.items():
-            found[f] = ids[word] + ids[marks] if marks else ids[word]
+            ids = kept.get(f)
+            if ids is None:
+                ids = older.get(f)
+                if ids is None:
+                    m = plain(f)
+                    if m is None:
+                        other.append(f)
+                        continue
+                    ids = ids_of(m[1].lower())
+                    if m[2]:
+                        ids += ids_of(m[2])
+                if len(f) <= 64:
+                    kept[f] = ids
+            found[f] = ids
+        for f, e in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
+            found[f] = np.array(e.ids, "<u4").tobytes()
             if len(f) <= 64:
-                self.kept[f] = found[f]
-        if len(self.kept) > KEPT_WORDS:
-            self.older, self.kept = self.kept, {}
+                kept[f] = found[f]
+        if len(self.words) > KEPT_WORDS:
+            self.older_words, self.words = self.words, {}
+        if len(kept) > KEPT_WORDS:
+            self.older, self.kept = kept, {}
         return found
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
