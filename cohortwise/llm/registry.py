@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe, fingerprints, packing, sharding, simhash, topk, warc
+from cohortwise.llm import bpe, fingerprints, packing, sharding, simhash, topk, url_filters, warc
 
-LLM_REGISTRY = {**fingerprints.QUERIES, **simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
+LLM_REGISTRY = {**url_filters.QUERIES, **fingerprints.QUERIES, **simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
