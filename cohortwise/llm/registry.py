@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from cohortwise.llm import bpe, fingerprints, packing, quality, sharding, simhash, topk, url_filters, warc
+from cohortwise.llm import bpe, fingerprints, packing, quality, sharding, simhash, suffix_dedup, topk, url_filters, warc
 
-LLM_REGISTRY = {**url_filters.QUERIES, **quality.QUERIES, **fingerprints.QUERIES, **simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES}
+LLM_REGISTRY = {**url_filters.QUERIES, **quality.QUERIES, **fingerprints.QUERIES, **simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES, **suffix_dedup.QUERIES}
