@@ -129,6 +129,17 @@ def _links(distinct_fps: DataFrame, most_bits: int) -> DataFrame:
     return links.distinct()
 
 
+def _classes(df: DataFrame, shingle: int, most_bits: int) -> DataFrame:
+    """``df`` (id, text and more) without the text, with fp, root (the same for a class) and component_id."""
+    more = [c for c in df.columns if c != "text"]
+    rows = written(fingerprints(df, "text", "fp", shingle).select(*more, "fp"), "fingerprints")
+    distinct_fps = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
+    roots = written(components(_links(distinct_fps.select("fp"), most_bits), "a", "b"), "roots")
+    rooted = distinct_fps.join(roots, distinct_fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+
+
 def simhash_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, most_bits: int = 3) -> DataFrame:
     """(id, fingerprint, component_id) for every row: the near-duplicate classes of the whole texts.
 
@@ -139,14 +150,8 @@ def simhash_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 3,
     smallest id is that of the others (null if there are none). Repeated rows
     are kept. An empty table gives an empty table.
     """
-    rows = written(fingerprints(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "fp", shingle).select("id", "fp"), "fingerprints")
-    distinct_fps = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
-    roots = written(components(_links(distinct_fps.select("fp"), most_bits), "a", "b"), "roots")
-    rooted = distinct_fps.join(roots, distinct_fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(classes, "fp").select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = _classes(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shingle, most_bits)
+    return classes.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,14 +160,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, most_bits: int = 3) -> DataFrame:
-    """The rows of ``df`` that stay: of each near-duplicate class the row with the smallest id.
+    """The rows of ``df`` that stay, whole: one of each near-duplicate class.
 
-    Rows that share that id all stay if their texts differ, one of them if all
-    their columns are equal; a class without any id keeps each distinct row.
+    It is the row with the smallest id (a null id is larger than any other); of
+    rows that share it, one that two hashes of all their columns choose.
     """
-    classes = simhash_classes(df, id_col, text_col, shingle, most_bits)
-    stay = classes.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__stay")).distinct()
-    return df.join(stay, df[id_col].eqNullSafe(stay["__stay"]), "left_semi").distinct()
+    marks = [F.xxhash64(F.lit(k), *df.columns) for k in (1, 2)]
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), marks[0].alias("h1"), marks[1].alias("h2"))
+    first = _classes(rows, shingle, most_bits).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "h1", "h2")).alias("r"))
+    stay = first.select(F.col("r.h1").alias("__h1"), F.col("r.h2").alias("__h2"))
+    # the join leaves equal rows together, so dropping repeats needs no further shuffle
+    marked = df.withColumn("__a", marks[0]).withColumn("__b", marks[1])
+    kept = marked.join(stay, (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")), "left_semi")
+    return kept.dropDuplicates(["__a", "__b"]).drop("__a", "__b")
 
 
 QUERIES = {"op3_simhash": (op3_simhash, None)}
