@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from cohortwise.llm.common import buckets_for, slices_by_bytes, table, utf8_parts, written
 from cohortwise.llm.fingerprints import _MULTIPLIER, _U, _mixed, _powers
@@ -291,10 +292,10 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, k
     if "removed" in keep:
         added["removed"] = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
     docs = docs.drop(*added)
-    spans = written(repeated_spans(docs, text_col, length), "spans").withColumnRenamed("text", "__text")
+    spans = written(repeated_spans(docs, text_col, length), "spans").withColumnsRenamed({"text": "__text", "spans": "__spans"})
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     others = [c for c in docs.columns if c != text_col or "text" in keep]
-    joined = docs.withColumn("__data", data).withColumn("__hash", F.xxhash64("__data")).join(spans, F.col("__hash") == F.col("__text"), "left").select(*others, "__data", "spans")
+    joined = docs.withColumn("__data", data).withColumn("__hash", F.xxhash64("__data")).join(spans, F.col("__hash") == F.col("__text"), "left").select(*others, "__data", "__spans")
     n = len(others)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,17 +313,20 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, k
                         values[k].append(row[k])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *(pa.array(values[k], t) for k, t in added.items())], names=[*others, *added])
 
-    kinds = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "kept": "string", "removed": "array<struct<a:bigint,b:bigint>>"}
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
-
-    schema = StructType([joined.schema[c] for c in others] + [StructField(k, _parse_datatype_string(kinds[k])) for k in added])
+    span = StructType().add("a", LongType()).add("b", LongType())
+    kinds = {"n_bytes": LongType(), "n_removed": LongType(), "n_spans": LongType(), "kept_sha256": StringType(), "kept": StringType(), "removed": ArrayType(span)}
+    schema = StructType([joined.schema[c] for c in others])
+    for name in added:
+        schema = schema.add(name, kinds[name])
     return joined.mapInArrow(apply, schema)
 
 
 def without_repeats(docs: DataFrame, text_col: str = "text", length: int = 200) -> DataFrame:
     """``docs`` with the repeated strings taken out of the texts; all other columns as they were."""
-    out = remove_repeats(docs.withColumn("__whole", F.col(text_col)), "__whole", length, ("kept",))
-    return out.withColumn(text_col, F.col("kept")).select(docs.columns)
+    # under names of their own, so that none clashes with those that remove_repeats adds
+    plain = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    out = remove_repeats(docs.withColumnsRenamed(plain), plain[text_col], length, ("kept",))
+    return out.select(*[F.col("kept" if c == text_col else plain[c]).alias(c) for c in docs.columns])
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

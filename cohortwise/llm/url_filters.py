@@ -95,9 +95,9 @@ def temporal_filter(captures: DataFrame, events: DataFrame, url_col: str, day_co
     per_key = hits.groupBy("kind", "value", "__day").agg(
         F.max_by(F.struct("verdict", "list", "kind", "value", "valid_from", "valid_to"), order).alias("best"), F.max(order).alias("order"), F.count(F.lit(1)).alias("n"))
     decided = keyed.join(per_key, ["kind", "value", "__day"]).groupBy("__url", "__day").agg(F.max_by("best", "order").alias("best"), F.sum("n").alias("n_active"))
-    decided = decided.withColumnsRenamed({"__url": "__u", "__day": "__d"})
+    decided = decided.withColumnsRenamed({"__url": "__u", "__day": "__d", "best": "__best", "n_active": "__n"})
     out = captures.join(decided, (url == F.col("__u")) & (day == F.col("__d")), "left")
-    return out.select(*captures.columns, F.coalesce("best.verdict", F.lit("none")).alias("verdict"), *[F.col(f"best.{c}").alias(c) for c in added[1:6]], F.coalesce("n_active", F.lit(0)).cast("bigint").alias("n_active"))
+    return out.select(*captures.columns, F.coalesce("__best.verdict", F.lit("none")).alias("verdict"), *[F.col(f"__best.{c}").alias(c) for c in added[1:6]], F.coalesce("__n", F.lit(0)).cast("bigint").alias("n_active"))
 
 
 # ---- the query: captures and dated entries derived from pages ------------------------------------
