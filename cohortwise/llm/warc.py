@@ -180,7 +180,7 @@ class _ArchiveWriter:
 
     def _begin(self) -> None:
         where, path = _open(self.uri)
-        self.out = where.open_output_stream(path)
+        self.out = where.open_output_stream(path, compression=None)
         try:
             dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, [x[:4096] for x in self.sample if x], k=256, d=8)
             body = zstandard.ZstdCompressor(level=3).compress(dictionary.as_bytes())
@@ -281,7 +281,7 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, strict: bool =
         for batch in batches:
             for uri in batch.column(0).drop_null().to_pylist():
                 where, path = _open(uri)
-                with where.open_input_stream(path) as stream:
+                with where.open_input_stream(path, compression=None) as stream:
                     for offset, length, raw in frames(stream):
                         try:
                             if isinstance(raw, RecordError):
