@@ -235,8 +235,8 @@ def classify(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: fl
     The model of a language is trained on all its trusted documents (see
     ``trusted_ids``). A document's ``low`` is its log-perplexity less what so
     few characters leave uncertain (``SPREAD`` / sqrt(n)). The threshold of a
-    language is the ``share`` quantile of its trusted documents' ``low`` times
-    (1 + ``margin``); a document whose ``low`` is above it is rejected. Documents in a language without trusted text and texts without
+    language is the ``share`` quantile of its trusted documents' ``low`` and
+    ``margin`` of its size more; a document whose ``low`` is above it is rejected. Documents in a language without trusted text and texts without
     characters have no perplexity and are kept. A null language is a language
     of its own, a null text is empty, a null id is kept as it is; repeated rows
     are kept, each with its verdict. Empty tables give no rows.
@@ -253,7 +253,7 @@ def _classified(docs: DataFrame, labels: DataFrame, share: float, margin: float)
     scores = written(gram_scores(gram_counts(rows), model), "scores")
     found = log_perplexities(rows, scores).withColumn("low", F.round(F.col("log_perplexity") - F.lit(SPREAD) / F.sqrt("n"), 9))
     found = written(found, "perplexities")
-    limits = quantiles(found.join(of, "doc_id", "left_semi"), share).select("lang", (F.col("value") * F.lit(1 + margin)).alias("threshold"))
+    limits = quantiles(found.join(of, "doc_id", "left_semi"), share).select("lang", (F.col("value") + F.abs("value") * F.lit(margin)).alias("threshold"))
     keep = F.coalesce(F.col("low") <= F.col("threshold"), F.lit(True))
     # a row for each language
     return found.join(F.broadcast(limits), "lang", "left").select("doc_id", "lang", F.col("n").alias("n_chars"), "log_perplexity", "low", "threshold", keep.alias("keep"), "key")
