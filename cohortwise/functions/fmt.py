@@ -27,6 +27,8 @@ def pyround(x: Column, places: int) -> Column:
 
     ``bround`` rounds the shortest decimal text instead (5.35 -> 5.4, while
     the binary value 5.3499... rounds to 5.3), so go through DecimalFormat,
-    which rounds the exact value.
+    which rounds the exact value. ``x`` stands once in the result, so rounded
+    values of rounded values stay small plans. Infinite values give
+    null.
     """
-    return F.regexp_replace(F.format_number(x, places), ",", "").cast("double")
+    return F.regexp_replace(F.format_number(x, places), ",", "").try_cast("double")

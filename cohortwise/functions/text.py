@@ -61,9 +61,19 @@ AGE_UNITS: dict[str, float] = {"hour": 1 / 24, "day": 1.0, "week": 7.0, "month":
 SQFT_PER_ACRE = 43_560.0
 SQFT_PER_M2 = 10.7639
 POSTAL_PATTERN = r"[A-Z]\d[A-Z]\s*\d[A-Z]\d"
+AGE_PATTERN = r"(?i)(\d+)\s*(hour|day|week|month|year)"
+MESSAGE_PRICE_PATTERN = r"\$\s?([\d,]{6,12})"
+MESSAGE_ROOM_PATTERNS = {"beds": r"(?i)(\d+(?:\s*\+\s*\d+)?)\s*(?:bed|bdrm|bedroom|chambre)",
+                         "baths": r"(?i)(\d+(?:\.\d+)?)\s*(?:bath|bthrm|bathroom|salle)"}
+MESSAGE_AREA_PATTERN = r"(?i)([\d,]{3,7})\s*(?:sq\.?\s?ft|sqft|square feet|pi\.?\s?ca)"
+MLS_PATTERN = r"(?i)MLS[®\s#:]*([A-Z]?\d{6,9})"
 # ---------------------------------------------------------------------------
 
 
+# Ages beyond this many days name no date.
+MAX_AGE_DAYS = 700_000
+
+
 def _c(x) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
@@ -227,7 +237,7 @@ def parse_price(text) -> Column:
 
 def message_price(window) -> Column:
     """B1 (message form): '$' then 6-12 digits/commas; zero means unknown."""
-    g = F.regexp_extract(_c(window), r"\$\s?([\d,]{6,12})", 1)
+    g = F.regexp_extract(_c(window), MESSAGE_PRICE_PATTERN, 1)
     v = F.regexp_replace(g, ",", "").try_cast("bigint")
     return F.when((g == "") | (v == 0), F.lit(None).cast("bigint")).otherwise(v)
 
@@ -244,9 +254,7 @@ parse_rooms = sum_numbers
 
 def message_rooms(window, kind: str) -> Column:
     """B2 (message form): numbers inside the matched beds/baths group only."""
-    pattern = {"beds": r"(?i)(\d+(?:\s*\+\s*\d+)?)\s*(?:bed|bdrm|bedroom|chambre)",
-               "baths": r"(?i)(\d+(?:\.\d+)?)\s*(?:bath|bthrm|bathroom|salle)"}[kind]
-    g = F.regexp_extract(_c(window), pattern, 1)
+    g = F.regexp_extract(_c(window), MESSAGE_ROOM_PATTERNS[kind], 1)
     return F.when(g == "", F.lit(None).cast("double")).otherwise(sum_numbers(g))
 
 
@@ -259,25 +267,25 @@ def parse_area(text) -> Column:
     scaled = (F.when(low.contains("acre"), num * SQFT_PER_ACRE)
               .when(low.contains("m2") | low.contains("sqm"), num * SQFT_PER_M2)
               .otherwise(num))
-    return F.when(scaled > 0, scaled.cast("bigint")).otherwise(F.lit(None).cast("bigint"))
+    return F.when(scaled > 0, scaled.try_cast("bigint")).otherwise(F.lit(None).cast("bigint"))
 
 
 def message_sqft(window) -> Column:
-    g = F.regexp_extract(_c(window), r"(?i)([\d,]{3,7})\s*(?:sq\.?\s?ft|sqft|square feet|pi\.?\s?ca)", 1)
+    g = F.regexp_extract(_c(window), MESSAGE_AREA_PATTERN, 1)
     v = F.regexp_replace(g, ",", "").try_cast("bigint")
     return F.when((g == "") | (v == 0), F.lit(None).cast("bigint")).otherwise(v)
 
 
 def parse_age(text) -> Column:
     """B4: 'N unit' -> whole days (half-even); a bare number is truncated."""
-    t = F.trim(_c(text).cast("string"))
-    m = F.regexp_extract(t, r"(?i)(\d+)\s*(hour|day|week|month|year)", 0)
-    count = F.regexp_extract(t, r"(?i)(\d+)\s*(hour|day|week|month|year)", 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(t, r"(?i)(\d+)\s*(hour|day|week|month|year)", 2))
+    t = strip(_c(text).cast("string"))
+    m = F.regexp_extract(t, AGE_PATTERN, 0)
+    count = F.regexp_extract(t, AGE_PATTERN, 1).try_cast("double")
+    unit = F.lower(F.regexp_extract(t, AGE_PATTERN, 2))
     factor = F.try_element_at(F.create_map(*[F.lit(v) for kv in AGE_UNITS.items() for v in kv]), unit)
     numeric = t.rlike(r"^-?\d+(\.\d+)?$")
-    return (F.when(numeric, t.try_cast("double").cast("int"))
-            .when(m != "", F.bround(count * factor, 0).cast("int"))
+    return (F.when(numeric, t.try_cast("double").try_cast("int"))
+            .when(m != "", F.bround(count * factor, 0).try_cast("int"))
             .otherwise(F.lit(None).cast("int")))
 
 
@@ -287,14 +295,14 @@ _ISO = (r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?"
 
 def iso_date(text) -> Column:
     """ISO date or timestamp (own calendar date, no zone shift); 'YYYYMMDD' too."""
-    t = F.trim(_c(text).cast("string"))
+    t = strip(_c(text).cast("string"))
     return (F.when(t.rlike(_ISO), F.try_to_date(F.substring(t, 1, 10), "yyyy-MM-dd"))
             .when(t.rlike(r"^\d{8}$"), F.try_to_date(t, "yyyyMMdd")))
 
 
 def parse_date(text) -> Column:
     """B6 parser: ISO first, then y-m-d, m/d/Y and d/m/Y on the first ten characters."""
-    t = F.trim(_c(text).cast("string"))
+    t = strip(_c(text).cast("string"))
     head = F.substring(t, 1, 10)
     return F.coalesce(iso_date(t),
                       F.try_to_date(head, "yyyy-M-d"),
@@ -316,11 +324,13 @@ def list_date(fields: list, age_text, as_of: str) -> Column:
     """First field that parses (epoch digits, ISO), else as_of minus the age."""
     picks = []
     for f in fields:
-        t = F.trim(_c(f).cast("string"))
+        t = strip(_c(f).cast("string"))
         epoch = F.when(t.rlike(r"^\d{10,}$"),
                        F.to_date(F.timestamp_seconds(F.substring(t, 1, 10).cast("bigint"))))
         picks.append(F.when(t.isNotNull() & (t != ""), F.coalesce(epoch, iso_date(t))))
-    fallback = F.date_sub(F.lit(as_of).cast("date"), parse_age(age_text))
+    # an age before the first year gives no date
+    age = parse_age(age_text)
+    fallback = F.date_sub(F.lit(as_of).cast("date"), F.when(F.abs(age) <= MAX_AGE_DAYS, age))
     return F.coalesce(*picks, fallback)
 
 
@@ -336,16 +346,17 @@ def split_address(text) -> Column:
                     postal.alias("postal_code"))
 
 
-def abs_url(relative, base: str) -> Column:
-    """Prefix the portal base unless already absolute; blank stays blank."""
+def abs_url(relative, base: str | Column) -> Column:
+    """Prefix the base (a text, or a column) unless already absolute; blank stays blank."""
     r = strip(F.coalesce(_c(relative), F.lit("")))
+    base = base if isinstance(base, Column) else F.lit(base)
     return (F.when(r == "", F.lit(""))
             .when(r.startswith("http"), r)
-            .when(r.startswith("/"), F.concat(F.lit(base), r))
-            .otherwise(F.concat(F.lit(base + "/"), r)))
+            .when(r.startswith("/"), F.concat(base, r))
+            .otherwise(F.concat(base, F.lit("/"), r)))
 
 
 def mls_id(window, link_id) -> Column:
     """MLS number in the window (upper-cased), else a prefixed link id."""
-    g = F.regexp_extract(_c(window), r"(?i)MLS[®\s#:]*([A-Z]?\d{6,9})", 1)
+    g = F.regexp_extract(_c(window), MLS_PATTERN, 1)
     return F.when(g != "", F.upper(g)).otherwise(F.concat(F.lit("RCA"), _c(link_id)))

@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from cohortwise.functions.fmt import fixed, general, grouped, pyround
 from cohortwise.functions.geo import haversine_km
 
-# Searches are broadcast to every listing partition; beyond this many rows the
-# product is refused and the banded pass-only join is used instead.
-MAX_BROADCAST_SEARCHES = 20_000
 OPTIONAL_SEARCH_COLS = {"beds_max": "int", "baths_max": "int", "sqft_min": "int", "sqft_max": "int",
                         "property_types": "array<string>"}
 
@@ -57,17 +54,14 @@ def criteria_reason_col() -> Column:
                            F.lit(" km pre-filter bound"))))
 
 
-def apply_criteria(listings: DataFrame, searches: DataFrame, n_searches: int | None = None) -> DataFrame:
-    """Every listing against every search, with the first failing reason.
+def criteria_report(listings: DataFrame, searches: DataFrame, search_ids: list) -> DataFrame:
+    """C4/C6/C7 with reasons: every listing against the searches named, with the first failing reason.
 
-    The searches side is broadcast; its size is checked first because the
-    product is listings x searches.
+    A report for the few searches that someone asks about, whose ids are in the
+    plan; what passes for all searches comes from ``criteria_pass_banded``.
     """
-    n = searches.count() if n_searches is None else n_searches
-    if n > MAX_BROADCAST_SEARCHES:
-        raise ValueError(f"{n} searches: use criteria_pass_banded for pass-only matching at this size")
-    s = complete_searches(searches)
-    joined = listings.join(F.broadcast(s), how="cross")
+    s = complete_searches(searches.where(F.col("search_id").isin(*search_ids)))
+    joined = listings.join(F.broadcast(s))
     joined = joined.withColumn(
         "_dist_raw", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(),
                             haversine_km("lat", "lon", "anchor_lat", "anchor_lon")))
@@ -75,6 +69,14 @@ def apply_criteria(listings: DataFrame, searches: DataFrame, n_searches: int | N
             .withColumn("distance_km", pyround(F.col("_dist_raw"), 3)))
 
 
+def pass_counts(kept: DataFrame, passed: DataFrame, searches: DataFrame) -> DataFrame:
+    """C5 for every search: how many kept rows pass, and how many don't."""
+    n = kept.select(F.count(F.lit(1))).scalar()
+    per = passed.groupBy("search_id").agg(F.count(F.lit(1)).alias("passed"))
+    out = searches.select("search_id").join(per, "search_id", "left").withColumn("passed", F.coalesce("passed", F.lit(0)))
+    return out.withColumn("rejected", n - F.col("passed"))
+
+
 def commute_reason_col() -> Column:
     """Minutes above the limit reject; unknown minutes pass."""
     m = F.col("commute_min")
@@ -95,18 +97,45 @@ def field_health(df: DataFrame, group_col: str = "source", threshold: float = 0.
                           | (F.col("beds_share") < threshold))
 
 
-BAND_CELL_DEG = 0.5
+BAND_CELL_DEG = 0.1
+# Prices are banded by this ratio: a search reaches a few bands, or all (some 200) if it has no upper bound.
+PRICE_RATIO = 1.2
+MAX_BAND = 240
+
+
+def _price_band(price: Column) -> Column:
+    """Band of a price; -1 for none (which passes any bound), 0 for all below one."""
+    p = price.cast("double")
+    return F.when(p.isNull(), -1).when(p < 1, 0).otherwise(
+        F.least(F.floor(F.log(p) / F.log(F.lit(PRICE_RATIO))) + 1, F.lit(MAX_BAND))).cast("int")
+
+
+def lon_cells(lon: Column, reach: Column, cell_deg: float) -> Column:
+    """The distinct columns of cells within ``reach`` degrees of a longitude, across the 180th meridian too."""
+    low, high = lon - reach, lon + reach
+    cell = lambda x: F.floor((x + 180.0) / cell_deg).cast("bigint")
+    span = lambda a, b: F.sequence(cell(a), cell(b))
+    ends = (F.lit(-180.0), F.lit(180.0))
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(
+        span(F.greatest(low, ends[0]), F.least(high, ends[1])),
+        F.when(low < -180.0, span(F.greatest(low + 360.0, ends[0]), ends[1])).otherwise(none),
+        F.when(high > 180.0, span(ends[0], F.least(high - 360.0, ends[1]))).otherwise(none)))
+
+
+def lon_cell(lon: Column, cell_deg: float) -> Column:
+    return F.floor((lon + 180.0) / cell_deg).cast("bigint")
 
 
 def criteria_pass_banded(listings: DataFrame, searches: DataFrame, cell_deg: float = BAND_CELL_DEG) -> DataFrame:
     """C4/C7 pass set for any number of searches, without the listings x searches product.
 
     Every validated listing has coordinates, and a pass needs the haversine
-    distance within the search's bound, so each search is exploded over the
-    coarse lat/lon cells its bound can reach and equi-joined to listings on
-    their own cell (one cell per listing, so each pair meets once); the exact
-    rules then run on the candidate pairs. Returns passing pairs only
-    (``criteria_reason`` is null by construction).
+    distance within the search's bound and the price within its bounds. So each
+    search is exploded over the cells and price bands that it can reach and
+    equi-joined to listings on their own cell and band (one of each, so each
+    pair meets once); the exact rules then run on the candidate pairs. Returns
+    passing pairs only (``criteria_reason`` is null by construction).
     """
     from cohortwise.functions.geo import KM_PER_DEGREE
 
@@ -114,14 +143,18 @@ def criteria_pass_banded(listings: DataFrame, searches: DataFrame, cell_deg: flo
     reach = F.col("geo_bound_km") / KM_PER_DEGREE * 1.01
     lat_hi = F.least(F.abs(F.col("anchor_lat")) + reach, F.lit(89.999999))
     dlon = F.least(reach / F.cos(F.radians(lat_hi)), F.lit(180.0))
+    bands = F.concat(F.array(F.lit(-1)), F.sequence(
+        F.coalesce(F.greatest(_price_band(F.col("price_min")), F.lit(0)), F.lit(0)),
+        F.greatest(F.coalesce(F.when(F.col("price_max").isNotNull(), _price_band(F.col("price_max"))), F.lit(MAX_BAND)),
+                   F.coalesce(F.greatest(_price_band(F.col("price_min")), F.lit(0)), F.lit(0)))))
     s = (s.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("anchor_lat") - reach) / cell_deg).cast("bigint"),
                                                   F.floor((F.col("anchor_lat") + reach) / cell_deg).cast("bigint"))))
-          .withColumn("_cx", F.explode(F.sequence(F.floor((F.col("anchor_lon") - dlon) / cell_deg).cast("bigint"),
-                                                  F.floor((F.col("anchor_lon") + dlon) / cell_deg).cast("bigint")))))
+          .withColumn("_cx", F.explode(lon_cells(F.col("anchor_lon"), dlon, cell_deg)))
+          .withColumn("_band", F.explode(bands)))
     l = (listings.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
          .withColumn("_cy", F.floor(F.col("lat") / cell_deg).cast("bigint"))
-         .withColumn("_cx", F.floor(F.col("lon") / cell_deg).cast("bigint")))
-    joined = l.join(s, ["_cy", "_cx"]).drop("_cy", "_cx")
+         .withColumn("_cx", lon_cell(F.col("lon"), cell_deg)).withColumn("_band", _price_band(F.col("price"))))
+    joined = l.join(s, ["_cy", "_cx", "_band"]).drop("_cy", "_cx", "_band")
     joined = joined.withColumn("_dist_raw", haversine_km("lat", "lon", "anchor_lat", "anchor_lon"))
     return (joined.withColumn("criteria_reason", criteria_reason_col())
             .where(F.col("criteria_reason").isNull())

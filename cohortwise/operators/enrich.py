@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.fmt import pyround
 from cohortwise.functions.geo import KM_PER_DEGREE, geo_bucket, haversine_km
+from cohortwise.functions.text import is_blank
+from cohortwise.operators.criteria import lon_cell, lon_cells
 from cohortwise.operators.quality import with_address_key
 
 # Fixed values (must equal the reference's).
@@ -59,20 +61,21 @@ def cohort_bbox(cohort: DataFrame, group_cols: list[str]) -> DataFrame:
             .where(F.col("south").isNotNull() & F.col("west").isNotNull()))
 
 
-def poi_in_bbox(pois: DataFrame, boxes: DataFrame, max_broadcast_boxes: int = 256) -> DataFrame:
-    """POIs inside each box. The box table has one row per search; it is
-    broadcast behind a size check (every POI is tested against every box, so
-    the bound is small), else equi-joined on whole-degree cells."""
+BOX_CELL_DEG = 0.25
+
+
+def poi_in_bbox(pois: DataFrame, boxes: DataFrame) -> DataFrame:
+    """POIs inside each box: boxes exploded over the grid cells they touch, POIs in their own
+    cell, so each pair meets once."""
     inside = ((F.col("p.lat") >= F.col("b.south")) & (F.col("p.lat") <= F.col("b.north"))
               & (F.col("p.lon") >= F.col("b.west")) & (F.col("p.lon") <= F.col("b.east")))
-    p, b = pois.alias("p"), boxes.alias("b")
-    if boxes.count() <= max_broadcast_boxes:
-        return p.join(F.broadcast(b), inside).select("b.*", "p.*")
-    cells = b.withColumn("_gy", F.explode(F.sequence(F.floor("south"), F.floor("north")))) \
-             .withColumn("_gx", F.explode(F.sequence(F.floor("west"), F.floor("east"))))
-    pc = p.withColumn("_gy", F.floor("lat")).withColumn("_gx", F.floor("lon"))
-    return pc.alias("p").join(cells.alias("b"), ["_gy", "_gx"]).where(inside).select("b.*", "p.*") \
-        .drop("_gy", "_gx")
+
+    def cell(c):
+        return F.floor(F.col(c) / BOX_CELL_DEG).cast("bigint")
+    b = (boxes.withColumn("_gy", F.explode(F.sequence(cell("south"), cell("north"))))
+         .withColumn("_gx", F.explode(F.sequence(cell("west"), cell("east")))))
+    p = pois.withColumn("_gy", cell("lat")).withColumn("_gx", cell("lon"))
+    return p.alias("p").join(b.alias("b"), ["_gy", "_gx"]).where(inside).select("b.*", "p.*").drop("_gy", "_gx")
 
 
 # -- D5/D6/D7 ---------------------------------------------------------------
@@ -81,48 +84,46 @@ def _cell_deg(radius_km: float) -> float:
     return radius_km / KM_PER_DEGREE * 1.01
 
 
-def poi_counts_at(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
-    """D5 core: for each distinct (lat, lon), POIs per category within ``radius_km``.
+def poi_counts_at(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM, box_deg: float | None = None) -> DataFrame:
+    """D5 core: for each distinct (lat, lon), the POIs of each category within ``radius_km``
+    (and, with ``box_deg``, inside the point's own box of that half width).
 
     A grid-cell equi-join, not a theta join: each POI sits in one cell of
     ``radius`` degrees; each point is exploded over the cells its disc can
-    touch (3 rows of latitude, and as many columns as its latitude needs).
-    Both sides are pre-aggregated first -- points to distinct coordinates,
-    POIs to (category, coordinate) with a weight -- so repeated places and a
-    dense cell do not multiply the pair count. Returns (lat, lon, category, n)
-    for pairs with at least one hit.
+    touch (3 rows of latitude, and as many columns as its latitude needs,
+    across the 180th meridian too). Both sides are pre-aggregated first --
+    points to distinct coordinates, POIs to a coordinate with a count for each
+    category -- so repeated places do not multiply the pairs. Returns (lat, lon,
+    ``_h_<category>``) for points with at least one hit.
     """
     cell = _cell_deg(radius_km)
+    counts = [F.sum(F.when(F.col("category") == c, 1).otherwise(0)).cast("int").alias(f"_w_{c}") for c in CATEGORIES]
     pw = (pois.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-          .groupBy("category", "lat", "lon").agg(F.count(F.lit(1)).alias("_w"))
-          .select("category", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "_w",
-                  F.floor(F.col("lat") / cell).alias("_cy"), F.floor(F.col("lon") / cell).alias("_cx")))
+          .groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(*counts)
+          .withColumn("_cy", F.floor(F.col("plat") / cell)).withColumn("_cx", lon_cell(F.col("plon"), cell)))
     q = points.select("lat", "lon").where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).distinct()
     reach_lat = F.least(F.abs(F.col("lat")) + F.lit(cell), F.lit(89.999999))
     dlon = F.least(F.lit(radius_km / KM_PER_DEGREE * 1.01) / F.cos(F.radians(reach_lat)), F.lit(180.0))
     cy = F.floor(F.col("lat") / cell)
     q = (q.withColumn("_cy", F.explode(F.sequence(cy - 1, cy + 1)))
-          .withColumn("_cx", F.explode(F.sequence(F.floor((F.col("lon") - dlon) / cell),
-                                                  F.floor((F.col("lon") + dlon) / cell)))))
-    hits = (q.join(pw, ["_cy", "_cx"])
-            .where(haversine_km("lat", "lon", "plat", "plon") <= radius_km)
-            .groupBy("lat", "lon", "category").agg(F.sum("_w").cast("int").alias("n")))
-    return hits
+          .withColumn("_cx", F.explode(lon_cells(F.col("lon"), dlon, cell))))
+    near = haversine_km("lat", "lon", "plat", "plon") <= radius_km
+    if box_deg is not None:
+        across = F.abs(F.col("lon") - F.col("plon"))
+        near = near & (F.abs(F.col("lat") - F.col("plat")) <= box_deg) & (F.least(across, 360.0 - across) <= box_deg)
+    return q.join(pw, ["_cy", "_cx"]).where(near).groupBy("lat", "lon").agg(
+        *[F.sum(f"_w_{c}").cast("int").alias(f"_h_{c}") for c in CATEGORIES])
 
 
 def radius_counts(df: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM,
-                  categories: DataFrame | None = None) -> DataFrame:
+                  categories: DataFrame | None = None, box_deg: float | None = None) -> DataFrame:
     """Add ``<category>_n`` columns: 0 when the category is available but nothing is near,
     null when it is unavailable (or the row has no coordinates).
 
     Availability comes from ``categories(category, available)`` when given (a
     category fetched successfully may hold no points), else from the POI
     table itself (a category with any point is available)."""
-    hits = poi_counts_at(df, pois, radius_km)
-    wide = hits.groupBy("lat", "lon").agg(
-        *[F.max(F.when(F.col("category") == c, F.col("n"))).alias(f"_h_{c}") for c in CATEGORIES])
-    # Whether each category exists in the POI table: scalar subqueries (each
-    # runs once and is inlined as a value), so no join is needed.
+    wide = poi_counts_at(df, pois, radius_km, box_deg)
     # One scalar subquery: the set of available categories (at most the five known names).
     source = categories.where(F.col("available")) if categories is not None else pois
     present = source.where(F.col("category").isin(*CATEGORIES)).select(F.collect_set("category")).scalar()
@@ -190,23 +191,28 @@ def commute(df: DataFrame, routes: DataFrame) -> DataFrame:
 # -- D10/D11/D12 ------------------------------------------------------------
 
 def geocode_join(df: DataFrame, geocodes: DataFrame, candidates: Column) -> DataFrame:
-    """Rows without coordinates take the first candidate query that resolves."""
+    """Rows without coordinates take the first candidate query that resolves.
+
+    Both coordinates come from the geocoder, so a row that had one is not left
+    with a mixed point; what does not resolve stays as it is. Rows whose
+    address is null or blank are not looked up.
+    """
     need = df.where(F.col("lat").isNull() | F.col("lon").isNull())
     have = df.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    ex = need.select("listing_id", F.posexplode(candidates).alias("_pos", "query"))
-    g = geocodes.select("query", F.col("lat").alias("_glat"), F.col("lon").alias("_glon"))
+    ex = need.where(~is_blank(F.coalesce("address", F.lit("")))).select("listing_id", F.posexplode(candidates).alias("_pos", "query"))
+    g = geocodes.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select("query", F.col("lat").alias("_glat"), F.col("lon").alias("_glon"))
     best = (ex.join(g, "query").groupBy("listing_id")
             .agg(F.min_by(F.struct("_glat", "_glon"), F.col("_pos")).alias("_g")))
     fixed = (need.join(best, "listing_id", "left")
-             .withColumn("lat", F.coalesce(F.col("lat"), F.col("_g._glat")))
-             .withColumn("lon", F.coalesce(F.col("lon"), F.col("_g._glon"))).drop("_g"))
+             .withColumn("lat", F.coalesce(F.col("_g._glat"), F.col("lat")))
+             .withColumn("lon", F.coalesce(F.col("_g._glon"), F.col("lon"))).drop("_g"))
     return have.unionByName(fixed)
 
 
 def lookup_misses(keys: DataFrame, table: DataFrame, key_cols: list[str]) -> DataFrame:
-    """Distinct keys not yet in a lookup table (the external fetcher's work list)."""
-    return keys.select(*key_cols).where(F.coalesce(*[F.col(c).isNull() for c in key_cols]) == F.lit(False)) \
-        .distinct().join(table.select(*key_cols), key_cols, "left_anti")
+    """Distinct keys, with no null in any column, that are not yet in a lookup table (the external fetcher's work list)."""
+    return keys.select(*key_cols).dropna().distinct() \
+       .join(table.select(*key_cols), key_cols, "left_anti")
 
 
 def lookup_merge(table: DataFrame, fetched: DataFrame, key_cols: list[str], order_cols: list[str]) -> DataFrame:
@@ -223,6 +229,4 @@ def lookup_merge(table: DataFrame, fetched: DataFrame, key_cols: list[str], orde
 
 def nearby(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM) -> DataFrame:
     """Radius counts for ad-hoc points, each with its own padded box."""
-    p = pois.alias("p")
-    boxed = points.select("point_id", "lat", "lon").alias("q")
-    return radius_counts(boxed, p, radius_km)
+    return radius_counts(points.select("point_id", "lat", "lon"), pois, radius_km, box_deg=BBOX_PAD_DEG)

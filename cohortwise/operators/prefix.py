@@ -27,26 +27,6 @@ from cohortwise.session import ensure_checkpoint_dir
 # executor needs no copy of this package on its path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Groups up to this many rows may be ordered by one task (a sort-based window
-# spills to disk, so this bounds time, not memory); larger groups take the
-# range-partitioned path. Overridable per session.
-WINDOW_MAX_GROUP_ROWS = 5_000_000
-CONF_KEY = "cohortwise.window.maxGroupRows"
-
-
-def largest_group(df: DataFrame, group_cols: list[str]) -> int:
-    """Rows in the largest group (one small aggregate job; a single number to the driver)."""
-    row = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(row[0] or 0)
-
-
-def use_window(df: DataFrame, group_cols: list[str], method: str = "auto") -> bool:
-    if method in ("window", "range"):
-        return method == "window"
-    limit = int(df.sparkSession.conf.get(CONF_KEY, str(WINDOW_MAX_GROUP_ROWS)))
-    return largest_group(df, group_cols) <= limit
-
-
 def _pinned(df: DataFrame, group_cols: list[str], order: list[Column], partitions: int | None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)

@@ -46,21 +46,24 @@ def with_address_key(df: DataFrame, col: str = "address") -> DataFrame:
     return df if "address_key" in df.columns else add_address_key(df, col, "address_key")
 
 
+def _dedupe_keys(keyed: DataFrame, order_col: str) -> list[Column]:
+    """The two parts of the dedupe key; a row with a blank address key is alone in its group."""
+    own = F.concat(F.lit("\u0000"), F.col(order_col).cast("string"))
+    return [F.when(F.col("address_key") == "", own).otherwise(F.col("address_key")).alias("_k"), F.coalesce(F.col("price"), F.lit(0)).alias("_p")]
+
+
 def dedupe(valid: DataFrame, order_col: str = "seq") -> DataFrame:
-    """C3 for unique ids: keep the first row (by ``order_col``) per (address key, price).
+    """C3 for unique ids: keep the first row (by ``order_col``, unique) per (address key, price).
 
-    One aggregate, no window and no join: ``min_by`` is combined map-side, so
-    each task ships at most one row per key, and a key holding a third of all
-    rows costs no more than any other. Rows with a blank key never match
-    anything: each becomes its own group.
+    The winners are found on a narrow frame by a hash aggregate that combines
+    map-side, so a key holding a third of all rows costs no more than any
+    other; then the rows are semi-joined with them. Rows with a blank key never
+    match anything.
     """
     keyed = with_address_key(valid)
-    cols = keyed.columns
-    group = F.when(F.col("address_key") == "", F.concat(F.lit("\u0000"), F.col(order_col).cast("string"))) \
-        .otherwise(F.col("address_key"))
-    firsts = (keyed.groupBy(group.alias("_g"), F.coalesce(F.col("price"), F.lit(0)).alias("_p"))
-              .agg(F.min_by(F.struct(*cols), F.col(order_col)).alias("_r")))
-    return firsts.select(*[F.col(f"_r.{c}").alias(c) for c in cols])
+    narrow = keyed.select(*_dedupe_keys(keyed, order_col), F.col(order_col).alias("_o"))
+    first = narrow.groupBy("_k", "_p").agg(F.min("_o").alias("_o")).select("_o")
+    return keyed.join(first, keyed[order_col] == first["_o"], "left_semi")
 
 
 def duplicates(valid: DataFrame, kept: DataFrame, id_col: str = "listing_id") -> DataFrame:
@@ -68,9 +71,12 @@ def duplicates(valid: DataFrame, kept: DataFrame, id_col: str = "listing_id") ->
     return valid.join(kept.select(id_col), id_col, "left_anti")
 
 
-def dedupe_exact(valid: DataFrame, id_col: str = "listing_id", order_col: str = "seq",
-                 max_rounds: int = 10_000) -> DataFrame:
-    """C3 when ids repeat: the reference's greedy rule exactly, computed in rounds.
+# Undecided rows (three numbers or short texts each) up to this many are decided by one task at once.
+FINISH_ROWS = 200_000
+
+
+def dedupe_exact(valid: DataFrame, id_col: str = "listing_id", order_col: str = "seq") -> DataFrame:
+    """C3 when ids repeat: the greedy rule exactly.
 
     Greedy rule (in ``order_col`` order): keep a row unless an already *kept*
     row has its id, or its (address key, price); dropped rows block nothing.
@@ -78,35 +84,53 @@ def dedupe_exact(valid: DataFrame, id_col: str = "listing_id", order_col: str =
     rows 1 and 3). Each round keeps every undecided row that is the earliest
     undecided row of both its id group and its key group -- all earlier rows
     of both groups were dropped, so the greedy rule keeps it -- then drops the
-    undecided rows sharing an id or key with a row just kept. The globally
-    earliest undecided row always qualifies, so every round decides at least
-    one row; the state is checkpointed each round to cut lineage.
-    ``order_col`` must be unique.
+    undecided rows sharing an id or key with a row just kept. Rounds go on
+    until no row is undecided; only undecided rows are carried, and only their
+    id, key and order. The globally earliest always qualifies, so every round
+    decides rows. Long chains, of which a round decides one link, are a few
+    rows: once no more than ``FINISH_ROWS`` are undecided, one task goes through
+    them in order. The whole rows are joined back once. ``order_col`` must be
+    unique.
     """
+    keyed = with_address_key(valid)
+    undecided = _pinned(keyed.select(F.col(id_col).alias("_i"), *_dedupe_keys(keyed, order_col), F.col(order_col).alias("_o")))
+    kept = []
+    while (n := undecided.count()) > FINISH_ROWS:
+        first_id = undecided.groupBy("_i").agg(F.min("_o").alias("_fi"))
+        first_key = undecided.groupBy("_k", "_p").agg(F.min("_o").alias("_fk"))
+        keep = _pinned(undecided.join(first_id, "_i").join(first_key, ["_k", "_p"])
+                       .where((F.col("_o") == F.col("_fi")) & (F.col("_o") == F.col("_fk"))).select("_i", "_k", "_p", "_o"))
+        kept.append(keep.select("_o"))
+        undecided = _pinned(undecided.join(keep.select("_i"), "_i", "left_anti").join(keep.select("_k", "_p"), ["_k", "_p"], "left_anti"))
+    if n:
+        kept.append(_greedy(undecided))
+    if not kept:
+        return keyed
+    winners = kept[0]
+    for more in kept[1:]:
+        winners = winners.unionByName(more)
+    return keyed.join(winners, keyed[order_col] == winners["_o"], "left_semi")
+
+
+def _pinned(df: DataFrame) -> DataFrame:
     from cohortwise.session import ensure_checkpoint_dir
 
-    ensure_checkpoint_dir(valid.sparkSession)
-    keyed = with_address_key(valid)
-    key = F.when(F.col("address_key") == "", F.concat(F.lit("\u0000"), F.col(order_col).cast("string"))) \
-        .otherwise(F.col("address_key"))
-    state = (keyed.withColumn("_k", key).withColumn("_kp", F.coalesce(F.col("price"), F.lit(0)))
-             .withColumn("_st", F.lit(0)).checkpoint(eager=True))
-    for _ in range(max_rounds):
-        und = state.where(F.col("_st") == 0)
-        if und.isEmpty():
-            break
-        first_id = und.groupBy(id_col).agg(F.min(order_col).alias("_fi"))
-        first_key = und.groupBy("_k", "_kp").agg(F.min(order_col).alias("_fk"))
-        keep = (und.join(first_id, id_col).join(first_key, ["_k", "_kp"])
-                .where((F.col(order_col) == F.col("_fi")) & (F.col(order_col) == F.col("_fk")))
-                .select(id_col, "_k", "_kp", order_col))
-        kept_ids = keep.select(id_col, F.lit(True).alias("_hid")).distinct()
-        kept_keys = keep.select("_k", "_kp", F.lit(True).alias("_hkey")).distinct()
-        st = (state.join(keep.select(order_col, F.lit(True).alias("_new")), order_col, "left")
-              .join(kept_ids, id_col, "left").join(kept_keys, ["_k", "_kp"], "left"))
-        new_st = (F.when(F.col("_st") != 0, F.col("_st"))
-                  .when(F.col("_new"), F.lit(1))
-                  .when(F.col("_hid") | F.col("_hkey"), F.lit(2))
-                  .otherwise(F.lit(0)))
-        state = st.withColumn("_st", new_st).drop("_new", "_hid", "_hkey").checkpoint(eager=True)
-    return state.where(F.col("_st") == 1).drop("_k", "_kp", "_st")
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _greedy(undecided: DataFrame) -> DataFrame:
+    """The greedy rule over a bounded number of rows, in one task."""
+    def scan(batches):
+        ids, keys = set(), set()
+        for pdf in batches:
+            out = []
+            for i, k, p, o in zip(pdf["_i"], pdf["_k"], pdf["_p"], pdf["_o"]):
+                if i not in ids and (k, p) not in keys:
+                    ids.add(i)
+                    keys.add((k, p))
+                    out.append(o)
+            yield pdf[pdf["_o"].isin(out)][["_o"]]
+
+    kind = undecided.schema["_o"].dataType.simpleString()
+    return undecided.repartition(1).sortWithinPartitions("_o").mapInPandas(scan, f"_o {kind}")

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortwise.operators.prefix import row_position, use_window
+from cohortwise.operators.prefix import row_position
 
 
 def assign_rank(scored: DataFrame, group_cols: list[str] = ("search_id",), score: str = "score_total",
-                tie: str = "seq", partitions: int | None = None, method: str = "auto") -> DataFrame:
+                tie: str = "seq", partitions: int | None = None, key: str = "listing_id") -> DataFrame:
     """G1: 1..n by score descending, ties in input order; adds ``cohort_size``.
 
-    Cohorts within the checked bound use ``row_number``; a larger cohort is
-    range-partitioned so its sort is spread over many tasks.
+    Positions are found on a narrow, range-partitioned frame (group, score, tie,
+    key), so a cohort of any size is sorted by many tasks, and joined back on
+    (group, key), which is unique.
     """
     g = list(group_cols)
-    order = [F.col(score).desc(), F.col(tie).asc()]
-    if use_window(scored, g, method):
-        return (scored.withColumn("rank", F.row_number().over(Window.partitionBy(*g).orderBy(*order)))
-                .withColumn("cohort_size", F.count(F.lit(1)).over(Window.partitionBy(*g)).cast("int")))
-    out = row_position(scored, g, order, partitions)
-    return (out.withColumn("rank", (F.col("_before") + 1).cast("int"))
-            .withColumn("cohort_size", F.col("_group_total").cast("int"))
-            .drop("_before", "_group_total"))
+    narrow = scored.select(*g, F.col(score).alias("_s"), F.col(tie).alias("_t"), F.col(key).alias("_key"))
+    out = row_position(narrow, g, [F.col("_s").desc(), F.col("_t").asc()], partitions)
+    place = out.select(*g, F.col("_key").alias(key), (F.col("_before") + 1).cast("int").alias("rank"), F.col("_group_total").cast("int").alias("cohort_size"))
+    return scored.join(place, [*g, key])
 
 
 def top_k(ranked: DataFrame, k: int, group_cols: list[str] = ("search_id",), score: str = "score_total",

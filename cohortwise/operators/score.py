@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortwise.functions.fmt import pyround
 from cohortwise.operators.enrich import amenity_total_col
-from pyspark.sql import Window
-
-from cohortwise.operators.prefix import use_window, weighted_before
+from cohortwise.operators.prefix import weighted_before
 
 # Fixed values (must equal the reference's).
 # (component, lower-is-better) in component order.
@@ -32,28 +30,22 @@ def raw_components(df: DataFrame) -> DataFrame:
             .withColumn("c_days_on_market", F.col("days_on_market").cast("double")))
 
 
-def value_percentiles(df: DataFrame, group_cols: list[str], comps: list[str],
-                      partitions: int | None = None, method: str = "auto") -> DataFrame:
+def _long(df: DataFrame, keys: list[str], comps: list[str]) -> DataFrame:
+    """A row for each known component of each row."""
+    parts = F.array(*[F.struct(F.lit(c).alias("comp"), F.col(f"c_{c}").alias("v")) for c in comps])
+    return df.select(*keys, F.inline(parts)).where(F.col("v").isNotNull())
+
+
+def value_percentiles(df: DataFrame, group_cols: list[str], comps: list[str], partitions: int | None = None) -> DataFrame:
     """E1 table: (group, comp, v) -> mid-rank percentile, 2 dp.
 
-    Ties collapse first (value -> count, combined map-side). Each value's
-    count of smaller values then comes from a running-sum window when the
-    largest cohort is within the checked bound, else from the
-    range-partitioned prefix sum, so neither a hot value nor a huge cohort
-    lands on one task.
+    Ties collapse first (value -> count, combined map-side). Each value's count
+    of smaller values then comes from the range-partitioned prefix sum, so
+    neither a hot value nor a huge cohort lands on one task.
     """
-    long = df.select(*group_cols, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("comp"), F.col(f"c_{c}").alias("v")) for c in comps])).alias("_e"))
-    long = long.select(*group_cols, "_e.comp", "_e.v").where(F.col("v").isNotNull())
-    counts = long.groupBy(*group_cols, "comp", "v").agg(F.count(F.lit(1)).alias("_c"))
     g = [*group_cols, "comp"]
-    if use_window(df, group_cols, method):
-        w = Window.partitionBy(*g)
-        ranked = (counts.withColumn("_before", F.coalesce(F.sum("_c").over(
-            w.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-            .withColumn("_group_total", F.sum("_c").over(w)))
-    else:
-        ranked = weighted_before(counts, g, "v", "_c", partitions)
+    counts = _long(df, group_cols, comps).groupBy(*g, "v").agg(F.count(F.lit(1)).alias("_c"))
+    ranked = weighted_before(counts, g, "v", "_c", partitions)
     i = F.col("_before")
     j = F.col("_before") + F.col("_c") - 1
     n = F.col("_group_total")
@@ -61,36 +53,18 @@ def value_percentiles(df: DataFrame, group_cols: list[str], comps: list[str],
     return ranked.select(*group_cols, "comp", "v", pct.alias("pct"))
 
 
-# Percentile tables up to this many rows are broadcast to the cohort rows.
-MAX_BROADCAST_PCT_ROWS = 2_000_000
-
-
 def attach_percentiles(df: DataFrame, table: DataFrame, group_cols: list[str], comps: list[str],
                        key_cols: list[str] | None = None) -> DataFrame:
     """Bring each component's percentile back to its rows.
 
-    The (group, comp, value) table is counted first. Within the bound it is
-    broadcast and joined once per component, with no shuffle of the cohort
-    rows. Beyond it, a single join in long form (one narrow row per
-    component) then one pivot back to a row per listing, so the cohort is
-    shuffled a fixed number of times instead of once per component.
+    One join in long form (a narrow row for each component), then one pivot
+    back to a row for each listing: the table is computed once and the cohort is
+    shuffled a fixed number of times. ``key_cols`` tell the rows of a group apart.
     """
-    n = table.count()
-    if n <= MAX_BROADCAST_PCT_ROWS:
-        out = df
-        for c in comps:
-            t = table.where(F.col("comp") == c).select(*group_cols, F.col("v").alias(f"c_{c}"),
-                                                       F.col("pct").alias(f"r_{c}"))
-            out = out.join(F.broadcast(t), [*group_cols, f"c_{c}"], "left")
-        return out
-    keys = key_cols or ["listing_id"]
-    long = df.select(*group_cols, *keys, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("comp"), F.col(f"c_{c}").alias("v")) for c in comps])).alias("_e"))
-    long = long.select(*group_cols, *keys, "_e.comp", "_e.v").where(F.col("v").isNotNull())
-    hit = long.join(table, [*group_cols, "comp", "v"])
-    wide = hit.groupBy(*group_cols, *keys).agg(
-        *[F.max(F.when(F.col("comp") == c, F.col("pct"))).alias(f"r_{c}") for c in comps])
-    return df.join(wide, [*group_cols, *keys], "left")
+    keys = [*group_cols, *(key_cols or ["listing_id"])]
+    hit = _long(df, keys, comps).join(table, [*group_cols, "comp", "v"])
+    wide = hit.groupBy(*keys).agg(*[F.max(F.when(F.col("comp") == c, F.col("pct"))).alias(f"r_{c}") for c in comps])
+    return df.join(wide, keys, "left")
 
 
 def _weighted_present(parts) -> tuple[Column, Column]:
@@ -137,11 +111,10 @@ def score_columns(df: DataFrame) -> DataFrame:
             .drop("_sv", "_sl", "_sf"))
 
 
-def score_cohorts(df: DataFrame, group_cols: list[str] = ("search_id",), partitions: int | None = None,
-                  method: str = "auto") -> DataFrame:
+def score_cohorts(df: DataFrame, group_cols: list[str] = ("search_id",), partitions: int | None = None) -> DataFrame:
     """E1-E8 for every cohort at once (cohort = rows sharing ``group_cols``)."""
     g = list(group_cols)
     comps = [c for c, _ in COMPONENTS]
     raw = raw_components(df)
-    table = value_percentiles(raw, g, comps, partitions, method)
+    table = value_percentiles(raw, g, comps, partitions)
     return score_columns(attach_percentiles(raw, table, g, comps))

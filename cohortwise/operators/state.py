@@ -59,27 +59,26 @@ def enrich_update(base: DataFrame, updates: DataFrame, key: str, cols: list[str]
     return out.drop("_hit", *[f"_u_{c}" for c in cols])
 
 
-def stage_table(validated: DataFrame, duplicates: DataFrame, screened: DataFrame, enriched: DataFrame,
-                searches: DataFrame, id_col: str = "listing_id") -> DataFrame:
-    """J3 over every (search, source row): where each row ended and why.
-
-    A row is judged per search, so the output is validated rows x searches;
-    the search table is broadcast after the same size check as criteria.
+def stage_table(validated: DataFrame, duplicates: DataFrame, enriched: DataFrame, searches: DataFrame,
+                id_col: str = "listing_id", progress_col: str = "progress") -> DataFrame:
+    """(search_id, id, stage, reject_reason) for all rows whose state says something.
+
+    A row that is invalid or a duplicate is rejected for every search: one row
+    with a null search. Pairs that fail a search's criteria are implied by their
+    absence (``stage_counts`` counts them), so the table has as many rows as
+    there are matches, not listings x searches. Pairs that pass stand at the
+    stage their search has reached (``progress_col``: filtered, analyzed or
+    ranked); from 'analyzed' on a pair beyond the commute limit is rejected.
     """
-    from cohortwise.operators.criteria import MAX_BROADCAST_SEARCHES
-
-    n = searches.count()
-    if n > MAX_BROADCAST_SEARCHES:
-        raise ValueError(f"{n} searches: per-search stage rows exceed the broadcast bound")
-    base = validated.select(id_col, "invalid_reason").join(F.broadcast(searches.select("search_id")), how="cross")
-    dups = duplicates.select(id_col, F.lit(True).alias("_dup"))
-    crit = screened.select("search_id", id_col, "criteria_reason")
-    com = enriched.select("search_id", id_col, "commute_reason")
-    j = (base.join(dups, id_col, "left").join(crit, ["search_id", id_col], "left")
-         .join(com, ["search_id", id_col], "left"))
-    stage, reason = stage_col(F.col("invalid_reason"), F.coalesce(F.col("_dup"), F.lit(False)),
-                              F.col("criteria_reason"), F.col("commute_reason"))
-    return j.select("search_id", id_col, stage.alias("stage"), reason.alias("reject_reason"))
+    null_search = F.lit(None).cast(searches.schema["search_id"].dataType)
+    invalid = validated.where(F.col("invalid_reason").isNotNull()).select(null_search.alias("search_id"), id_col, F.col("invalid_reason").alias("reject_reason"))
+    dup = duplicates.select(null_search.alias("search_id"), id_col, F.lit("duplicate listing").alias("reject_reason"))
+    gone = invalid.unionByName(dup).withColumn("stage", F.lit("rejected"))
+    reached = searches.select("search_id", F.col(progress_col).alias("_at"))
+    cut = (F.col("_at") != "filtered") & F.col("commute_reason").isNotNull()
+    pairs = enriched.select("search_id", id_col, "commute_reason").join(reached, "search_id").select(
+        "search_id", id_col, F.when(cut, F.col("commute_reason")).alias("reject_reason"), F.when(cut, F.lit("rejected")).otherwise(F.col("_at")).alias("stage"))
+    return gone.unionByName(pairs).select("search_id", id_col, "stage", "reject_reason")
 
 
 def upsert_into(snapshot: DataFrame, incoming: DataFrame, key: str = "listing_id",

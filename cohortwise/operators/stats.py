@@ -18,22 +18,28 @@ def cohort_summary(scored: DataFrame, group_cols=("search_id",)) -> DataFrame:
                     (F.col("cohort_size") < SMALL_COHORT).alias("small_cohort")))
 
 
-def filter_funnel(validated: DataFrame, duplicates: DataFrame, screened: DataFrame) -> DataFrame:
-    """input, invalid, duplicate, off-criteria, passed (per search)."""
+def filter_funnel(validated: DataFrame, duplicates: DataFrame, counts: DataFrame) -> DataFrame:
+    """input, invalid, duplicate, off-criteria, passed (per search).
+
+    ``counts`` holds search_id, passed and rejected (``criteria.pass_counts``)."""
     n_input = validated.select(F.count(F.lit(1))).scalar()
     n_invalid = validated.select(F.count_if(F.col("invalid_reason").isNotNull())).scalar()
     n_dup = duplicates.select(F.count(F.lit(1))).scalar()
-    per = screened.groupBy("search_id").agg(F.count_if(F.col("criteria_reason").isNotNull()).alias("off_criteria"),
-                                            F.count_if(F.col("criteria_reason").isNull()).alias("passed"))
-    return per.select("search_id", n_input.alias("input"), n_invalid.alias("invalid"), n_dup.alias("duplicate"),
-                      "off_criteria", "passed")
+    return counts.select("search_id", n_input.alias("input"), n_invalid.alias("invalid"), n_dup.alias("duplicate"),
+                         F.col("rejected").alias("off_criteria"), "passed")
+
 
+def stage_counts(stages: DataFrame, validated: DataFrame, searches: DataFrame) -> DataFrame:
+    """rows per stage and in total, for every search, from the stage table.
 
-def stage_counts(stages: DataFrame, group_cols=("search_id",)) -> DataFrame:
-    """rows per stage plus a total row (rollup)."""
-    return (stages.rollup(*group_cols, "stage").agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col(group_cols[0]).isNotNull())
-            .withColumn("stage", F.coalesce(F.col("stage"), F.lit("total"))))
+    All rows that a search has no other stage for are rejected (invalid,
+    duplicate or off its criteria)."""
+    total = validated.select(F.count(F.lit(1))).scalar()
+    per = stages.where(F.col("search_id").isNotNull() & (F.col("stage") != "rejected")).groupBy("search_id", "stage").agg(F.count(F.lit(1)).alias("n"))
+    live = per.groupBy("search_id").agg(F.sum("n").alias("_live"))
+    rest = searches.select("search_id").join(live, "search_id", "left").withColumn("_live", F.coalesce("_live", F.lit(0)))
+    out = F.array(F.struct(F.lit("rejected").alias("stage"), (total - F.col("_live")).alias("n")), F.struct(F.lit("total").alias("stage"), total.alias("n")))
+    return per.unionByName(rest.select("search_id", F.inline(out)).where("n > 0"))
 
 
 def poi_totals(pois: DataFrame) -> DataFrame:

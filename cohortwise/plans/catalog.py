@@ -67,18 +67,43 @@ def q_duplicates(spark, sf_dir):
     return D.with_address_key(p.duplicates()).select("listing_id", "address_key", "price")
 
 
-@register("criteria_reason", O.with_chain("SELECT search_id, listing_id, criteria_reason, distance_km FROM scr"))
+def _duck_greedy(rounds: int = 12) -> str:
+    """The greedy rule in rounds: a row stays if it is the first undecided one of its id and of its key."""
+    ctes = ["u0 AS MATERIALIZED (SELECT listing_id, seq, CASE WHEN address_key = '' THEN 'own ' || CAST(seq AS VARCHAR) ELSE address_key END AS k, "
+            f"coalesce(price, 0) AS p, address_key, price FROM {O.address_key_sql(_TWICE)})"]
+    for r in range(rounds):
+        ctes += [f"k{r} AS MATERIALIZED (SELECT * FROM u{r} QUALIFY seq = min(seq) OVER (PARTITION BY listing_id) AND seq = min(seq) OVER (PARTITION BY k, p))",
+                 f"u{r + 1} AS MATERIALIZED (SELECT * FROM u{r} u WHERE NOT EXISTS (SELECT 1 FROM k{r} x WHERE x.listing_id = u.listing_id) "
+                 f"AND NOT EXISTS (SELECT 1 FROM k{r} x WHERE x.k = u.k AND x.p = u.p))"]
+    # rows still undecided would show as rows without an id
+    kept = " UNION ALL ".join([*(f"SELECT listing_id, seq, address_key, price FROM k{r}" for r in range(rounds)),
+                               f"SELECT NULL, seq, address_key, price FROM u{rounds}"])
+    return f"SELECT * FROM (WITH {', '.join(ctes)} {kept})"
+
+
+_TWICE = ("(SELECT listing_id, listing_id * 2 AS seq, address, price FROM val WHERE invalid_reason IS NULL UNION ALL "
+          "SELECT listing_id, listing_id * 2 + 1 AS seq, address, price + 10000 AS price FROM val WHERE invalid_reason IS NULL)")
+
+
+@register("dedupe_repeated_ids", O.with_chain(_duck_greedy()))
+def q_dedupe_repeated_ids(spark, sf_dir):
+    """C3 on two sources that report the same ids, the second at a higher price."""
+    t = tables(spark, sf_dir)
+    first = t.v_listing.withColumn("seq", F.col("listing_id") * 2)
+    again = t.v_listing.withColumn("seq", F.col("listing_id") * 2 + 1).withColumn("price", F.col("price") + 10000)
+    return Pipeline(t, source=first.unionByName(again), unique_ids=False).kept().select("listing_id", "seq", "address_key", "price")
+
+
+@register("criteria_reason", O.with_chain("SELECT search_id, listing_id, criteria_reason, distance_km FROM rep"))
 def q_criteria_reason(spark, sf_dir):
-    return _p(spark, sf_dir).screened().select("search_id", "listing_id", "criteria_reason", "distance_km")
+    return _p(spark, sf_dir).report([1, 2]).select("search_id", "listing_id", "criteria_reason", "distance_km")
 
 
 @register("pass_reject_counts", O.with_chain(
-    "SELECT search_id, count(*) FILTER (WHERE criteria_reason IS NULL) AS passed, "
-    "count(*) FILTER (WHERE criteria_reason IS NOT NULL) AS rejected FROM scr GROUP BY search_id"))
+    "SELECT s.search_id, count(p.listing_id) AS passed, (SELECT count(*) FROM kept) - count(p.listing_id) AS rejected "
+    "FROM srch s LEFT JOIN passed p ON p.search_id = s.search_id GROUP BY s.search_id"))
 def q_pass_reject(spark, sf_dir):
-    return _p(spark, sf_dir).screened().groupBy("search_id").agg(
-        F.count_if(F.col("criteria_reason").isNull()).alias("passed"),
-        F.count_if(F.col("criteria_reason").isNotNull()).alias("rejected"))
+    return _p(spark, sf_dir).pass_counts()
 
 
 @register("distance_km", O.with_chain("SELECT search_id, listing_id, distance_km FROM passed"))
@@ -146,11 +171,12 @@ def q_radius_counts(spark, sf_dir):
     "SELECT q.point_id, " + ", ".join(
         f"CAST(count(*) FILTER (WHERE p.category = '{c}') AS INTEGER) AS {c}_n" for c in CATS) +
     " FROM (SELECT poi_id AS point_id, lat, lon FROM v_poi) q JOIN v_poi p ON "
+    "abs(q.lat - p.lat) <= 0.02e0 AND abs(q.lon - p.lon) <= 0.02e0 AND "
     + O.haversine("q.lat", "q.lon", "p.lat", "p.lon") + " <= 1e0 GROUP BY q.point_id"))
 def q_nearby(spark, sf_dir):
     pois = tables(spark, sf_dir).v_poi
     pts = pois.select(F.col("poi_id").alias("point_id"), "lat", "lon")
-    return D.radius_counts(pts, pois).select("point_id", *[f"{c}_n" for c in CATS])
+    return D.nearby(pts, pois).select("point_id", *[f"{c}_n" for c in CATS])
 
 
 @register("walk_proxy", O.with_chain("SELECT search_id, listing_id, walk_proxy FROM walk"))
@@ -249,19 +275,26 @@ def q_cohort_summary(spark, sf_dir):
     return cohort_summary(_p(spark, sf_dir).scored())
 
 
-@register("cohort_size", O.with_chain("SELECT search_id, count(score_total) AS cohort_size FROM scored GROUP BY search_id"))
+@register("cohort_size", O.with_chain(
+    "SELECT search_id, count(score_total) AS cohort_size, count(score_total) FILTER (WHERE listing_id % 10 <> 0) AS ranked_size "
+    "FROM scored GROUP BY search_id HAVING count(*) FILTER (WHERE listing_id % 10 <> 0) > 0"))
 def q_cohort_size(spark, sf_dir):
-    return _p(spark, sf_dir).scored().groupBy("search_id").agg(F.count("score_total").alias("cohort_size"))
+    from cohortwise.operators.stats import cohort_count
+    # a tenth of the scored rows have been rejected since: they keep their score and still count
+    stage = F.when(F.col("listing_id") % 10 == 0, F.lit("rejected")).otherwise(F.lit("ranked"))
+    snapshot = _p(spark, sf_dir).scored().select("search_id", "listing_id", "score_total", stage.alias("stage"))
+    ranked = cohort_count(snapshot, True, ["search_id"]).withColumnRenamed("cohort_size", "ranked_size")
+    return cohort_count(snapshot, False, ["search_id"]).join(ranked, "search_id")
 
 
 @register("filter_funnel", O.with_chain(
     "SELECT s.search_id, (SELECT count(*) FROM lst) AS input, (SELECT count(*) FROM val WHERE invalid_reason IS NOT NULL) AS invalid, "
-    "(SELECT count(*) FROM dups) AS duplicate, count(*) FILTER (WHERE criteria_reason IS NOT NULL) AS off_criteria, "
-    "count(*) FILTER (WHERE criteria_reason IS NULL) AS passed FROM scr s GROUP BY s.search_id"))
+    "(SELECT count(*) FROM dups) AS duplicate, (SELECT count(*) FROM kept) - count(p.listing_id) AS off_criteria, "
+    "count(p.listing_id) AS passed FROM srch s LEFT JOIN passed p ON p.search_id = s.search_id GROUP BY s.search_id"))
 def q_filter_funnel(spark, sf_dir):
     from cohortwise.operators.stats import filter_funnel
     p = _p(spark, sf_dir)
-    return filter_funnel(p.validated(), p.duplicates(), p.screened())
+    return filter_funnel(p.validated(), p.duplicates(), p.pass_counts())
 
 
 # -- B: bulk field normalisation (v_raw) -----------------------------------------
@@ -278,8 +311,12 @@ _AGE_MAP = "MAP {'hour': 1e0 / 24e0, 'day': 1e0, 'week': 7e0, 'month': 30.44e0,
 def _duck_age(t: str) -> str:
     cnt = f"TRY_CAST(regexp_extract({t}, {_AGE_RE}, 1) AS DOUBLE)"
     unit = f"lower(regexp_extract({t}, {_AGE_RE}, 2))"
-    return (f"CASE WHEN regexp_full_match(trim({t}), '-?\\d+(\\.\\d+)?') THEN CAST(trunc(CAST(trim({t}) AS DOUBLE)) AS INTEGER) "
-            f"WHEN regexp_matches({t}, {_AGE_RE}) THEN CAST({O.fixed(f'{cnt} * {_AGE_MAP}[{unit}]', 0)} AS INTEGER) END")
+    return (f"CASE WHEN regexp_full_match(trim({t}), '-?\\d+(\\.\\d+)?') THEN TRY_CAST(trunc(CAST(trim({t}) AS DOUBLE)) AS INTEGER) "
+            f"WHEN regexp_matches({t}, {_AGE_RE}) THEN TRY_CAST({O.fixed(f'{cnt} * {_AGE_MAP}[{unit}]', 0)} AS INTEGER) END")
+
+
+def _duck_bounded_age(t: str) -> str:
+    return f"CASE WHEN abs({_duck_age(t)}) <= {TX.MAX_AGE_DAYS} THEN {_duck_age(t)} END"
 
 
 _ISO_RE = (r"'\d{4}-\d{2}-\d{2}(?:[T ]\d{2}(?::?\d{2}(?::?\d{2}(?:[.,]\d+)?)?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?'")
@@ -317,7 +354,7 @@ _AREA = (f"CASE WHEN lower(area_text) LIKE '%acre%' THEN {_AREA_NUM} * 43560e0 "
 
 
 @register("parse_area", O.with_chain(
-    f"SELECT listing_id, CASE WHEN ({_AREA}) > 0 THEN CAST(trunc({_AREA}) AS BIGINT) END AS sqft FROM v_raw"))
+    f"SELECT listing_id, CASE WHEN ({_AREA}) > 0 THEN TRY_CAST(trunc({_AREA}) AS BIGINT) END AS sqft FROM v_raw"))
 def q_parse_area(spark, sf_dir):
     return tables(spark, sf_dir).v_raw.select("listing_id", TX.parse_area("area_text").alias("sqft"))
 
@@ -330,7 +367,7 @@ def q_parse_age(spark, sf_dir):
 @register("list_date", O.with_chain(
     "SELECT listing_id, coalesce(CASE WHEN trim(date_text) <> '' THEN coalesce("
     "CASE WHEN regexp_full_match(trim(date_text), '\\d{10,}') THEN CAST(epoch_ms(CAST(substr(trim(date_text), 1, 10) AS BIGINT) * 1000) AS DATE) END, "
-    f"{_duck_iso('date_text')}) END, DATE '2001-08-01' - {_duck_age('age_text')}) AS list_date FROM v_raw"))
+    f"{_duck_iso('date_text')}) END, DATE '2001-08-01' - {_duck_bounded_age('age_text')}) AS list_date FROM v_raw"))
 def q_list_date(spark, sf_dir):
     from cohortwise.sources.tables import AS_OF
     return tables(spark, sf_dir).v_raw.select(
@@ -427,7 +464,7 @@ def _geocodes(t) -> DataFrame:
 
 @register("geocode_join", O.with_chain(
     f"SELECT listing_id, lat, lon FROM v_listing WHERE lat IS NOT NULL UNION ALL "
-    f"SELECT l.listing_id, b.lat, coalesce(l.lon, b.lon) AS lon FROM v_listing l LEFT JOIN ("
+    f"SELECT l.listing_id, coalesce(b.lat, l.lat) AS lat, coalesce(b.lon, l.lon) AS lon FROM v_listing l LEFT JOIN ("
     f"SELECT n.listing_id, arg_min(g.lat, n.pos) AS lat, arg_min(g.lon, n.pos) AS lon FROM "
     f"(SELECT listing_id, generate_subscripts(c, 1) - 1 AS pos, unnest(c) AS query FROM "
     f"(SELECT listing_id, {_CANDS} AS c FROM v_listing WHERE lat IS NULL)) n JOIN "
@@ -483,16 +520,14 @@ def q_upsert(spark, sf_dir):
 
 def _stages(p: Pipeline) -> DataFrame:
     from cohortwise.operators.state import stage_table
-    return stage_table(p.validated(), p.duplicates(), p.screened(), p.enriched(), p.t.v_search)
+    return stage_table(p.validated(), p.duplicates(), p.enriched(), p.t.v_search)
 
 
 _STAGE_SQL = (
-    "SELECT s.search_id, v.listing_id, CASE WHEN coalesce(v.invalid_reason, CASE WHEN d.listing_id IS NOT NULL THEN 'x' END, "
-    "c.criteria_reason, e.commute_reason) IS NULL THEN 'ranked' ELSE 'rejected' END AS stage, "
-    "coalesce(v.invalid_reason, CASE WHEN d.listing_id IS NOT NULL THEN 'duplicate listing' END, c.criteria_reason, "
-    "e.commute_reason) AS reject_reason FROM val v CROSS JOIN (SELECT search_id FROM v_search) s "
-    "LEFT JOIN dups d ON d.listing_id = v.listing_id LEFT JOIN scr c ON c.search_id = s.search_id AND c.listing_id = v.listing_id "
-    "LEFT JOIN enr e ON e.search_id = s.search_id AND e.listing_id = v.listing_id")
+    "SELECT CAST(NULL AS BIGINT) AS search_id, v.listing_id, 'rejected' AS stage, coalesce(v.invalid_reason, 'duplicate listing') AS reject_reason "
+    "FROM val v WHERE v.invalid_reason IS NOT NULL OR v.listing_id IN (SELECT listing_id FROM dups) UNION ALL "
+    "SELECT search_id, listing_id, CASE WHEN progress <> 'filtered' AND commute_reason IS NOT NULL THEN 'rejected' ELSE progress END, "
+    "CASE WHEN progress <> 'filtered' THEN commute_reason END FROM enr")
 
 
 @register("stage_assign", O.with_chain(_STAGE_SQL))
@@ -507,19 +542,22 @@ def q_stage_filter(spark, sf_dir):
 
 
 @register("stage_counts", O.with_chain(
-    f"SELECT search_id, coalesce(stage, 'total') AS stage, count(*) AS n FROM ({_STAGE_SQL}) "
-    "GROUP BY ROLLUP (search_id, stage) HAVING search_id IS NOT NULL"))
+    f"SELECT search_id, stage, count(*) AS n FROM ({_STAGE_SQL}) WHERE search_id IS NOT NULL AND stage <> 'rejected' GROUP BY ALL "
+    "UNION ALL SELECT search_id, 'total' AS stage, (SELECT count(*) FROM val) AS n FROM srch UNION ALL "
+    "SELECT * FROM (SELECT s.search_id, 'rejected' AS stage, (SELECT count(*) FROM val) - count(l.listing_id) AS n "
+    f"FROM srch s LEFT JOIN (SELECT * FROM ({_STAGE_SQL}) WHERE stage <> 'rejected') l ON l.search_id = s.search_id GROUP BY s.search_id) WHERE n > 0"))
 def q_stage_counts(spark, sf_dir):
     from cohortwise.operators.stats import stage_counts
-    return stage_counts(_stages(_p(spark, sf_dir)))
+    p = _p(spark, sf_dir)
+    return stage_counts(_stages(p), p.validated(), p.t.v_search)
 
 
 @register("stage_reset", O.with_chain(
     f"SELECT search_id, count(*) FILTER (WHERE stage = 'ranked') AS moved, "
-    f"count(*) FILTER (WHERE stage = 'ranked' OR stage = 'analyzed') AS analyzed_after FROM ({_STAGE_SQL}) GROUP BY search_id"))
+    f"count(*) FILTER (WHERE stage = 'ranked' OR stage = 'analyzed') AS analyzed_after FROM ({_STAGE_SQL}) WHERE search_id IS NOT NULL GROUP BY search_id"))
 def q_stage_reset(spark, sf_dir):
     from cohortwise.operators.state import stage_reset
-    st = _stages(_p(spark, sf_dir))
+    st = _stages(_p(spark, sf_dir)).where(F.col("search_id").isNotNull())
     after = stage_reset(st.withColumn("_was", F.col("stage")), "ranked", "analyzed")
     return after.groupBy("search_id").agg(
         F.count_if((F.col("_was") == "ranked") & (F.col("stage") == "analyzed")).alias("moved"),
@@ -543,7 +581,7 @@ def q_enrich_update(spark, sf_dir):
 # -- A8, A12, F: loads and aggregates ----------------------------------------------
 
 _PARCEL_RAW_SQL = (
-    "SELECT c_custkey, CAST(1 + c_custkey % 400 AS VARCHAR) || ' ' || CASE c_custkey % 4 WHEN 0 THEN 'Market' "
+    "SELECT c_custkey, CAST(1 + c_custkey % 100000 AS VARCHAR) || ' ' || CASE c_custkey % 4 WHEN 0 THEN 'Market' "
     "WHEN 1 THEN 'Deer Lane' WHEN 2 THEN 'Harvest Grove' ELSE '5th' END || ' ' || CASE c_custkey % 3 WHEN 0 THEN 'Street' "
     "WHEN 1 THEN 'St.' ELSE 'ST' END || ' NW' AS address, CAST(c_acctbal * 100 AS VARCHAR) AS assessed_value, "
     "CAST(1995 + c_nationkey % 7 AS VARCHAR) AS roll_year FROM customer")
@@ -552,7 +590,7 @@ _PARCEL_RAW_SQL = (
 def _parcel_raw(t) -> DataFrame:
     c = t.customer
     street = F.concat(
-        (1 + c.c_custkey % 400).cast("string"), F.lit(" "),
+        (1 + c.c_custkey % 100000).cast("string"), F.lit(" "),
         F.when(c.c_custkey % 4 == 0, "Market").when(c.c_custkey % 4 == 1, "Deer Lane")
          .when(c.c_custkey % 4 == 2, "Harvest Grove").otherwise("5th"), F.lit(" "),
         F.when(c.c_custkey % 3 == 0, "Street").when(c.c_custkey % 3 == 1, "St.").otherwise("ST"), F.lit(" NW"))
@@ -581,9 +619,9 @@ def q_parcel_count(spark, sf_dir):
 
 
 @register("search_params", O.with_chain(
-    "SELECT search_id, anchor_lat, anchor_lon, price_min, price_max, beds_min, baths_min, max_commute_min, commute_mode, "
-    "max_age_days, w_value / (w_value + w_location + w_freshness) AS w_value, w_location / (w_value + w_location + w_freshness) AS w_location, "
-    "w_freshness / (w_value + w_location + w_freshness) AS w_freshness, max_commute_min / 60e0 * CASE WHEN commute_mode = 'driving' "
+    "SELECT search_id, anchor_lat, anchor_lon, price_min, price_max, beds_min, baths_min, max_commute_min, commute_mode, max_age_days, "
+    + ", ".join(f"CASE WHEN w_value + w_location + w_freshness <= 0 THEN 1e0 / 3 ELSE {w} / (w_value + w_location + w_freshness) END AS {w}"
+                for w in ("w_value", "w_location", "w_freshness")) + ", max_commute_min / 60e0 * CASE WHEN commute_mode = 'driving' "
     "THEN 80e0 ELSE 40e0 END AS geo_bound_km FROM v_search"))
 def q_search_params(spark, sf_dir):
     from cohortwise.sources.loads import search_params
@@ -608,11 +646,11 @@ def _duck_portal() -> str:
              r"lambda a, b: a + b) END")
     ld = ("coalesce(CASE WHEN trim(date_text) <> '' THEN coalesce(CASE WHEN regexp_full_match(trim(date_text), '\\d{10,}') "
           "THEN CAST(epoch_ms(CAST(substr(trim(date_text), 1, 10) AS BIGINT) * 1000) AS DATE) END, "
-          f"{_duck_iso('date_text')}) END, DATE '2001-08-01' - {_duck_age('age_text')})")
+          f"{_duck_iso('date_text')}) END, DATE '2001-08-01' - {_duck_bounded_age('age_text')})")
     return (f"SELECT CASE WHEN listing_id % 13 <> 0 THEN 'M' || CAST(listing_id AS VARCHAR) ELSE CAST(listing_id AS VARCHAR) END AS listing_id, "
             f"'https://portal.example/real-estate/' || CAST(listing_id AS VARCHAR) || '/' || slug AS url, "
             f"coalesce(({_PARTS})[1], '') AS address, coalesce({price1}, listing_id * 1000) AS price, {rooms} AS beds, "
-            f"CASE WHEN ({_AREA}) > 0 THEN CAST(trunc({_AREA}) AS BIGINT) END AS sqft, {ld} AS list_date, "
+            f"CASE WHEN ({_AREA}) > 0 THEN TRY_CAST(trunc({_AREA}) AS BIGINT) END AS sqft, {ld} AS list_date, "
             f"{_duck_age('age_text')} AS days_on_market FROM v_raw")
 
 
@@ -629,16 +667,7 @@ def q_scan_portal(spark, sf_dir):
     "SELECT CAST(listing_id AS VARCHAR) AS listing_id, source, price FROM v_listing UNION ALL "
     f"SELECT listing_id, 'portal' AS source, price FROM ({_duck_portal()})"))
 def q_source_union(spark, sf_dir):
-    from cohortwise.sources.union import union_sources
-    t = tables(spark, sf_dir)
-
-    def listing_view():
-        return t.v_listing.select(F.col("listing_id").cast("string").alias("listing_id"), "source", "price")
-
-    def portal():
-        return q_scan_portal(spark, sf_dir).select("listing_id", F.lit("portal").alias("source"), "price")
-
-    rows, _status = union_sources({"listing_view": listing_view, "portal": portal})
+    rows, _status = _union(spark, sf_dir)
     return rows.drop("source_name")
 
 
@@ -692,12 +721,56 @@ def q_page_text(spark, sf_dir):
     return _page_text_df(spark, sf_dir).select("page_id", "text")
 
 
-@register("link_windows", None)
+# Where each link starts: the lengths of the text between links add up.
+_LINK_STARTS = (
+    "SELECT page_id, text, unnest(ids) AS link_id, unnest(starts) AS start FROM (SELECT page_id, text, "
+    "list_transform(list_filter(p, lambda x, i: i > 1), lambda x: regexp_extract(x, '^([^\\s/]+)', 1)) AS ids, "
+    "list_transform(list_filter(p, lambda x, i: i > 1), lambda x, i: len(array_to_string(p[1:i], '/')) + 1) AS starts FROM "
+    "(SELECT page_id, text, string_split(text, '/') AS p FROM (" + "{pages}" + ")))")
+_WINDOWS = (
+    "SELECT page_id, link_id, start, substr(text, start, 1400) AS win FROM (SELECT *, row_number() OVER (PARTITION BY page_id, link_id ORDER BY start) AS r FROM "
+    "(SELECT * FROM (" + _LINK_STARTS + ") WHERE link_id <> '' AND start > 1 AND regexp_full_match(substr(text, start - 1, 1), '\\s'))) WHERE r = 1")
+
+
+def _duck_windows() -> str:
+    return _WINDOWS.replace("{pages}", f"SELECT page_id, {_duck_page_text()} AS text FROM pages")
+
+
+@register("link_windows", O.with_chain(
+    f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS INTEGER) AS pos, link_id, win AS window FROM ({_duck_windows()})"))
 def q_link_windows(spark, sf_dir):
     from cohortwise.sources.messages import link_windows
     return link_windows(_page_text_df(spark, sf_dir), ["page_id"], PAGE_LINK)
 
 
+# A message around each page: its headers, its body, and a few facts of a listing after every link of it.
+def _page_messages(t) -> DataFrame:
+    pid = F.col("page_id").cast("string")
+    day = F.lpad((1 + F.col("page_id") % 28).cast("string"), 2, "0")
+    facts = F.concat(F.lit(" $"), (100 + F.col("page_id") % 900).cast("string"), F.lit(",000 "), (1 + F.col("page_id") % 5).cast("string"), F.lit(" + 1 bed "),
+                     (1 + F.col("page_id") % 3).cast("string"), F.lit(".5 bath "), (900 + F.col("page_id") % 2000).cast("string"), F.lit(" sqft "),
+                     F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("MLS# a"), F.lpad(pid, 7, "1"))).otherwise(F.lit("")))
+    head = F.concat(F.lit("From: a@portal.example\r\nDate: "), day, F.lit(" Jul 2001 09:30:00 +0000\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"))
+    link = F.concat(F.lit("<a href='https://portal.example/real-estate/"), pid, F.lit("/12-oak-dr-nw-sampletown-ab'>x</a>"))
+    return t.pages.select("page_id", F.encode(F.concat(head, link, facts, F.lit(" "), "html"), "UTF-8").alias("content"))
+
+
+@register("message_fields", O.with_chain(
+    "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'A' || lpad(CAST(page_id AS VARCHAR), 7, '1') ELSE 'RCA' || CAST(page_id AS VARCHAR) END AS listing_id, "
+    "(100 + page_id % 900) * 1000 AS price, CAST(1 + page_id % 5 AS DOUBLE) + 1e0 AS beds, CAST(1 + page_id % 3 AS DOUBLE) + 5e-1 AS baths, "
+    "900 + page_id % 2000 AS sqft, '12 Oak Dr NW' AS address, DATE '2001-07-01' + CAST(page_id % 28 AS INTEGER) AS list_date, "
+    "'https://portal.example/real-estate/' || CAST(page_id AS VARCHAR) || '/12-oak-dr-nw-sampletown-ab' AS url FROM pages"))
+def q_message_fields(spark, sf_dir):
+    """A4/A5/B1/B2/B9/B10 on mail messages: one for each page, with its date and the facts after its link."""
+    from cohortwise.sources.messages import decode, detail_link_pattern, link_windows, message_listings
+    text = decode(_page_messages(tables(spark, sf_dir)), ["page_id"])
+    pattern = detail_link_pattern()
+    wins = link_windows(text, ["page_id", "sent_date"], pattern)
+    wins = wins.withColumn("slug", F.regexp_extract("window", pattern, 2)).withColumn("url", F.regexp_extract("window", pattern, 0))
+    rows = message_listings(wins, ["page_id", "sent_date"], "Sampletown, AB")
+    return rows.select("page_id", "listing_id", "price", "beds", "baths", "sqft", "address", F.col("sent_date").alias("list_date"), "url")
+
+
 @register("abs_url", O.with_chain(
     "SELECT page_id, CAST(i - 1 AS INTEGER) AS pos, CASE WHEN trim(h[i]) = '' THEN '' WHEN starts_with(trim(h[i]), 'http') THEN trim(h[i]) "
     "WHEN starts_with(trim(h[i]), '/') THEN base || trim(h[i]) ELSE base || '/' || trim(h[i]) END AS url FROM ("
@@ -709,10 +782,7 @@ def q_abs_url(spark, sf_dir):
     base = F.regexp_extract("url", r"^(https?://[^/?#]+)", 1)
     ex = p.select("page_id", base.alias("base"),
                   F.posexplode(F.regexp_extract_all("html", F.lit(r'href="([^"]*)"'), 1)).alias("pos", "href"))
-    r = TX.strip(F.coalesce(F.col("href"), F.lit("")))
-    url = (F.when(r == "", F.lit("")).when(r.startswith("http"), r)
-           .when(r.startswith("/"), F.concat(F.col("base"), r)).otherwise(F.concat(F.col("base"), F.lit("/"), r)))
-    return ex.select("page_id", "pos", url.alias("url"))
+    return ex.select("page_id", "pos", TX.abs_url("href", F.col("base")).alias("url"))
 
 
 @register("poi_tag", O.with_chain("SELECT poi_id, category, lat, lon FROM v_poi"))
@@ -721,7 +791,22 @@ def q_poi_tag(spark, sf_dir):
     return tag_pois(elements_from_pois(tables(spark, sf_dir).v_poi))
 
 
-@register("synth_listings", None)
+def _duck_draw(stream: int) -> str:
+    return f"(('0x' || substr(md5(address_key || ':7:{stream}'), 1, 7))::BIGINT / 268435456e0)"
+
+
+_SYNTH_SQL = (
+    "SELECT 'SYN' || substr(md5(address_key || ':7:0'), 1, 15) AS listing_id, 'synthetic' AS source, address_key AS address, "
+    "CASE WHEN i = 3 THEN NULL WHEN i = 4 THEN 0 ELSE CAST(floor(assessed_value * (0.86e0 + (1.18e0 - 0.86e0) * " + _duck_draw(1) + ") / 5000e0) * 5000 AS BIGINT) END AS price, "
+    "CAST(2 + floor(" + _duck_draw(2) + " * 4) AS BIGINT) AS beds, CAST(1 + floor(" + _duck_draw(3) + " * 3) AS BIGINT) AS baths, "
+    "CASE WHEN i < 3 THEN NULL WHEN i = 5 THEN 45 WHEN i = 6 THEN 99000 ELSE CAST(900 + floor(" + _duck_draw(4) + " * 2100) AS BIGINT) END AS sqft, "
+    "CASE WHEN i = 7 THEN 'not a date' ELSE CAST(DATE '2001-08-01' - CAST(floor(" + _duck_draw(5) + " * 60) AS INTEGER) AS VARCHAR) END AS list_date, "
+    "CASE WHEN i = 8 THEN NULL ELSE 51e0 + " + _duck_draw(6) + " * 0.2e0 END AS lat, -114.2e0 + " + _duck_draw(7) + " * 0.2e0 AS lon, i "
+    "FROM (SELECT *, CAST(floor(" + _duck_draw(8) + " * 40) AS INTEGER) AS i FROM v_parcel)")
+
+
+@register("synth_listings", O.with_chain(
+    f"SELECT * EXCLUDE (i) FROM ({_SYNTH_SQL}) UNION ALL SELECT * EXCLUDE (i) REPLACE (listing_id || '-COPY' AS listing_id) FROM ({_SYNTH_SQL}) WHERE i = 9 AND price > 0"))
 def q_synth(spark, sf_dir):
     from cohortwise.sources.synth import synth_listings
     return synth_listings(tables(spark, sf_dir).v_parcel)

@@ -144,12 +144,13 @@ def _chain() -> list[tuple[str, str]]:
         ("kept", "SELECT * FROM keyed QUALIFY address_key = '' OR row_number() OVER (PARTITION BY address_key, coalesce(price, 0) ORDER BY seq) = 1"),
         ("dups", "SELECT * FROM keyed WHERE listing_id NOT IN (SELECT listing_id FROM kept)"),
         ("srch", "SELECT *, max_commute_min / 60e0 * CASE WHEN commute_mode = 'driving' THEN 80e0 ELSE 40e0 END AS geo_bound_km FROM v_search"),
-        ("scr0", f"SELECT k.*, s.*, CASE WHEN k.lat IS NOT NULL AND k.lon IS NOT NULL THEN {haversine('k.lat', 'k.lon', 's.anchor_lat', 's.anchor_lon')} END AS _dist_raw FROM kept k CROSS JOIN srch s"),
-        ("scr", f"SELECT *, {_criteria_reason()} AS criteria_reason, {rnd('_dist_raw', 3)} AS distance_km FROM scr0"),
-        ("passed", "SELECT * FROM scr WHERE criteria_reason IS NULL"),
+        ("rep0", f"SELECT k.*, s.*, CASE WHEN k.lat IS NOT NULL AND k.lon IS NOT NULL THEN {haversine('k.lat', 'k.lon', 's.anchor_lat', 's.anchor_lon')} END AS _dist_raw FROM kept k CROSS JOIN srch s WHERE s.search_id IN (1, 2)"),
+        ("rep", f"SELECT *, {_criteria_reason()} AS criteria_reason, {rnd('_dist_raw', 3)} AS distance_km FROM rep0"),
+        ("scr0", f"SELECT k.*, s.*, CASE WHEN k.lat IS NOT NULL AND k.lon IS NOT NULL THEN {haversine('k.lat', 'k.lon', 's.anchor_lat', 's.anchor_lon')} END AS _dist_raw FROM kept k JOIN srch s ON k.price BETWEEN s.price_min AND s.price_max AND k.beds >= s.beds_min AND k.baths >= s.baths_min AND k.days_on_market <= s.max_age_days AND abs(k.lat - s.anchor_lat) <= s.geo_bound_km / 100e0"),
+        ("passed", f"SELECT *, {rnd('_dist_raw', 3)} AS distance_km FROM scr0 WHERE ({_criteria_reason()}) IS NULL"),
         ("par", f"SELECT p.*, v.assessed_value, CASE WHEN p.price IS NOT NULL AND p.price <> 0 AND v.assessed_value > 0 THEN {rnd('p.price / v.assessed_value', 4)} END AS assessment_ratio FROM passed p LEFT JOIN v_parcel v ON v.address_key = p.address_key AND p.address_key <> ''"),
         ("pts", "SELECT DISTINCT lat, lon FROM passed WHERE lat IS NOT NULL AND lon IS NOT NULL"),
-        ("hits", f"SELECT q.lat, q.lon, p.category, count(*) AS n FROM pts q JOIN v_poi p ON {haversine('q.lat', 'q.lon', 'p.lat', 'p.lon')} <= 1e0 GROUP BY ALL"),
+        ("hits", f"SELECT q.lat, q.lon, p.category, count(*) AS n FROM pts q JOIN v_poi p ON abs(q.lat - p.lat) < 1e-2 AND {haversine('q.lat', 'q.lon', 'p.lat', 'p.lon')} <= 1e0 GROUP BY ALL"),
         ("hitw", f"SELECT lat, lon, {hn} FROM hits GROUP BY lat, lon"),
         ("avail", f"SELECT {has} FROM v_poi"),
         ("rad", f"SELECT par.*, {cats} FROM par CROSS JOIN avail a LEFT JOIN hitw h ON h.lat = par.lat AND h.lon = par.lon"),

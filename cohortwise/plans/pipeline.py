@@ -22,13 +22,15 @@ from cohortwise.session import ensure_checkpoint_dir
 from cohortwise.sources.tables import AS_OF, Tables
 
 
+# What the stages after dedupe, the reports and the sinks use of a listing.
+KEPT_COLS = ("listing_id", "seq", "source", "url", "address", "address_key", "city", "price", "beds", "baths", "sqft", "property_type",
+             "list_date", "days_on_market", "lat", "lon")
+
+
 @dataclass
 class Pipeline:
     t: Tables
     as_of: str = AS_OF
-    # "auto": plain windows when the largest cohort is within the checked bound,
-    # else the range-partitioned prefix path; "window"/"range" force one.
-    method: str = "auto"
     # One row per listing id (true after the J1 upsert, as in the reference's flow)
     # allows the one-aggregate dedupe; otherwise the exact iterative form runs.
     unique_ids: bool = True
@@ -60,14 +62,19 @@ class Pipeline:
 
     def listings(self) -> DataFrame:
         """Source rows with the optional fields filled as nulls. Insertion order is
-        ``seq`` when the source has it, else the listing id."""
+        ``seq`` when the source has it, else the columns that tell a source's own
+        order (file and page of a payload, path and place of a message), else the
+        listing id."""
         def build():
             df = self.source if self.source is not None else self.t.v_listing
             for c, typ in (("property_type", "string"), ("days_on_market", "int"), ("sqft", "bigint"),
                            ("beds", "double"), ("baths", "double")):
                 if c not in df.columns:
                     df = df.withColumn(c, F.lit(None).cast(typ))
-            return df if "seq" in df.columns else df.withColumn("seq", F.col("listing_id"))
+            if "seq" in df.columns:
+                return df
+            own = [c for c in ("path", "_file", "_page", "modificationTime", "_pos", "pos") if c in df.columns]
+            return df.withColumn("seq", F.struct(*own, "listing_id") if own else F.col("listing_id"))
         return self._m("listings", build)
 
     def validated(self) -> DataFrame:
@@ -78,23 +85,32 @@ class Pipeline:
             self.validated().where(F.col("invalid_reason").isNull()), self.as_of))
 
     def kept(self) -> DataFrame:
-        return self._m("kept", lambda: Q.dedupe(self.valid()) if self.unique_ids else Q.dedupe_exact(self.valid()))
+        """Stage boundary: the deduplicated listings, with the columns that later stages use, are
+        written once, so no stage goes through ingest and dedupe again."""
+        def build():
+            ensure_checkpoint_dir(self.t.spark)
+            df = Q.dedupe(self.valid()) if self.unique_ids else Q.dedupe_exact(self.valid())
+            used = [c for c in KEPT_COLS if c in df.columns]
+            return df.select(*used).checkpoint(eager=True)
+        return self._m("kept", build)
 
     def duplicates(self) -> DataFrame:
         return self._m("dups", lambda: Q.duplicates(self.valid(), self.kept()))
 
-    def screened(self) -> DataFrame:
-        """Every kept listing against every search, with its first failing reason."""
-        return self._m("screened", lambda: C.apply_criteria(self.kept(), self._search()))
+    def report(self, search_ids: list) -> DataFrame:
+        """Every kept listing against the searches named, with its first failing reason."""
+        return C.criteria_report(self.kept(), self._search(), search_ids)
+
+    def pass_counts(self) -> DataFrame:
+        return self._m("pass_counts", lambda: C.pass_counts(self.kept(), self.passed(), self._search()))
 
     def passed(self) -> DataFrame:
         """Stage boundary: the filter stage's survivors, written once (enrichment reads
         them from several branches and must not re-run ingest, dedupe and criteria).
 
         Survivors come from the banded equi-join (searches exploded over the
-        coarse cells their distance bound reaches), never from the listings x
-        searches product; ``screened`` (with per-pair reasons) is built only
-        for the queries that report reasons. Both give the same pass set.
+        cells and price bands their bounds reach), never from the listings x
+        searches product; ``report`` gives the reasons for searches someone names.
         """
         def build():
             ensure_checkpoint_dir(self.t.spark)
@@ -119,22 +135,11 @@ class Pipeline:
             return self.enriched().where(F.col("commute_reason").isNull()).checkpoint(eager=True)
         return self._m("analyzed", build)
 
-    def cohort_method(self) -> str:
-        """Decide once, from the analysed stage, how cohorts are ordered (cohort sizes
-        do not change after it): windows within the checked bound, else range."""
-        from cohortwise.operators.prefix import use_window
-
-        def build():
-            if self.method != "auto":
-                return self.method
-            return "window" if use_window(self.analyzed(), ["search_id"]) else "range"
-        return self._m("method", build)
-
     def scored(self) -> DataFrame:
-        return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"], method=self.cohort_method()))
+        return self._m("scored", lambda: score_cohorts(self.analyzed(), ["search_id"]))
 
     def ranked(self) -> DataFrame:
-        return self._m("ranked", lambda: assign_rank(self.scored(), ["search_id"], method=self.cohort_method()))
+        return self._m("ranked", lambda: assign_rank(self.scored(), ["search_id"]))
 
     def explained(self) -> DataFrame:
         return self._m("explained", lambda: explain(self.ranked()))

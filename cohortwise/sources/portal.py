@@ -23,15 +23,20 @@ DEFAULT_BASE = "https://portal.example"
 
 
 def read_portal_json(spark: SparkSession, path: str) -> DataFrame:
-    """Payload files (one page per JSON document). Every leaf is read as text:
-    a leaf may be a number or a phrase, and parsing decides."""
+    """Payload files (a page, or an array of pages, per file). Every leaf is read as text:
+    a leaf may be a number or a phrase, and parsing decides.
+
+    ``_file`` sorts files by their names with numbers as numbers (page2 before
+    page10); ``_page`` is the page's place in its file (a file is read by one task, in order).
+    """
     return (spark.read.schema(PAGE_DDL).option("multiLine", True).json(path)
-            .withColumn("_file", F.input_file_name()).withColumn("_page", F.lit(0)))
+            .withColumn("_file", natural_key(F.input_file_name())).withColumn("_page", F.monotonically_increasing_id()))
 
 
-def parse_pages(pages: Column) -> Column:
-    """JSON text column -> parsed page struct."""
-    return F.from_json(pages, PAGE_DDL)
+def natural_key(name: Column) -> Column:
+    """A text that sorts names with the numbers in them as numbers."""
+    parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), 0)
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 24, "0")).otherwise(p)), "")
 
 
 def _first(parser, *cols) -> Column:
@@ -40,10 +45,16 @@ def _first(parser, *cols) -> Column:
 
 
 def _nonblank(c: Column) -> Column:
-    t = F.trim(c)
+    t = TX.strip(c)
     return F.when(t != "", t)
 
 
+def _truthy(c: Column) -> Column:
+    """A leaf that is neither blank nor zero."""
+    t = _nonblank(c)
+    return F.when(~t.rlike(r"^-?0+(\.0+)?$"), t)
+
+
 def portal_listings(pages: DataFrame, order_cols: list[str], base: str = DEFAULT_BASE,
                     as_of: str = AS_OF) -> DataFrame:
     """A1: flatten ``Results`` of every page; id = MlsNumber else Id; rows without
@@ -53,7 +64,7 @@ def portal_listings(pages: DataFrame, order_cols: list[str], base: str = DEFAULT
     lid = F.coalesce(_nonblank(res["MlsNumber"]), _nonblank(res["Id"]))
     num = lambda c: c.try_cast("double")
     split = TX.split_address(F.coalesce(_nonblank(addr["AddressText"]), _nonblank(addr["Text"]), F.lit("")))
-    age_raw = F.coalesce(_nonblank(res["TimeOnRealtor"]), _nonblank(res["DaysOnMarket"]))
+    age_raw = F.coalesce(_truthy(res["TimeOnRealtor"]), _nonblank(res["DaysOnMarket"]))
     rows = r.select(
         *order_cols, "_pos",
         lid.alias("listing_id"),
@@ -70,7 +81,7 @@ def portal_listings(pages: DataFrame, order_cols: list[str], base: str = DEFAULT
         _first(num, addr["Latitude"], prop["Latitude"], res["Latitude"]).alias("lat"),
         _first(num, addr["Longitude"], prop["Longitude"], res["Longitude"]).alias("lon"),
     ).where(F.col("listing_id").isNotNull())
-    rest = [c for c in rows.columns if c not in (*order_cols, "_pos", "listing_id")]
+    rest = [c for c in rows.columns if c != "listing_id"]
     first = rows.groupBy("listing_id").agg(
         F.min_by(F.struct(*rest), F.struct(*order_cols, "_pos")).alias("_r"))
     return first.select("listing_id", *[F.col(f"_r.{c}").alias(c) for c in rest]).withColumn("source", F.lit("portal"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+ROWS_PER_FILE = 1_000_000
+
+
 def retain_raw(raw: DataFrame, path: str, ingest_date: str) -> None:
     """Keep the source payload beside the parsed rows, partitioned by ingest date."""
     (raw.withColumn("ingest_date", F.lit(ingest_date).cast("date"))
@@ -14,6 +17,10 @@ def retain_raw(raw: DataFrame, path: str, ingest_date: str) -> None:
 
 def write_ranked(ranked: DataFrame, path: str) -> None:
     """One Parquet folder per search (dynamic partition overwrite, so a rerun
-    replaces only the searches it ranked)."""
-    (ranked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    replaces only the searches it ranked).
+
+    Rows meet by search first, so a search has one file, or one for each
+    ``ROWS_PER_FILE`` ranks if it is larger."""
+    part = F.floor(F.coalesce(F.col("rank"), F.lit(0)) / ROWS_PER_FILE) if "rank" in ranked.columns else F.lit(0)
+    (ranked.repartition("search_id", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("search_id").parquet(path))

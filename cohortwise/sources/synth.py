@@ -1,7 +1,7 @@
 """A10: deterministic listing generator seeded from parcel rows.
 
-Every draw is ``xxhash64(key, seed, stream)`` mapped to [0, 1): stable under
-any repartitioning (unlike ``rand``), so a rerun yields the same rows.
+Every draw is the head of ``md5(key:seed:stream)`` mapped to [0, 1): stable under
+any repartitioning (unlike ``rand``), so a rerun, or another engine, yields the same rows.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 PRICE_LOW, PRICE_HIGH, PRICE_STEP = 0.86, 1.18, 5000
 
 
+def _digest(key: Column, seed: int, stream: int) -> Column:
+    return F.md5(F.concat(key, F.lit(f":{seed}:{stream}")))
+
+
 def _u(key: Column, seed: int, stream: int) -> Column:
-    h = F.xxhash64(key, F.lit(seed), F.lit(stream))
-    return (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
+    return F.conv(F.substring(_digest(key, seed, stream), 1, 7), 16, 10).cast("double") / float(1 << 28)
 
 
 def synth_listings(parcels: DataFrame, seed: int = 7) -> DataFrame:
@@ -23,12 +26,12 @@ def synth_listings(parcels: DataFrame, seed: int = 7) -> DataFrame:
     implausible sqft, a copied address/price under another id, a bad date)."""
     k = F.col("address_key")
     # Defect slot per parcel: each planted kind hits about 1 in 40 rows.
-    idx = F.pmod(F.xxhash64(k, F.lit(seed)), F.lit(40))
+    idx = F.floor(_u(k, seed, 8) * 40).cast("int")
     price = F.floor(F.col("assessed_value") * (PRICE_LOW + (PRICE_HIGH - PRICE_LOW) * _u(k, seed, 1)) / PRICE_STEP) \
         * PRICE_STEP
     base = parcels.select(
-        F.concat(F.lit("SYN"), F.abs(F.xxhash64(k, F.lit(seed))).cast("string")).alias("listing_id"),
-        F.lit("synthetic").alias("source"), F.initcap(k).alias("address"),
+        F.concat(F.lit("SYN"), F.substring(_digest(k, seed, 0), 1, 15)).alias("listing_id"),
+        F.lit("synthetic").alias("source"), k.alias("address"),
         F.when(idx == 3, F.lit(None)).when(idx == 4, F.lit(0)).otherwise(price).cast("bigint").alias("price"),
         (2 + F.floor(_u(k, seed, 2) * 4)).alias("beds"), (1 + F.floor(_u(k, seed, 3) * 3)).alias("baths"),
         F.when(idx < 3, F.lit(None)).when(idx == 5, F.lit(45)).when(idx == 6, F.lit(99_000))

@@ -24,7 +24,7 @@ def union_sources(sources: dict[str, Callable[[], DataFrame]],
             frames.append(df.withColumn("source_name", F.lit(name)))
             status.append((name, True, None))
         except Exception as exc:  # noqa: BLE001 - one source must not sink the others
-            status.append((name, False, f"{type(exc).__name__}: {exc}"[:500]))
+            status.append((name, False, f"{type(exc).__name__}: {exc}"))
     if not frames:
         raise RuntimeError(f"every source failed: {status}")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

@@ -2,102 +2,115 @@
 
 K1 reads new message files with the ``binaryFile`` stream source; each
 micro-batch goes through the same decode -> windows -> fields plan as the
-batch job. K2 folds each micro-batch into the listing snapshot inside
-``foreachBatch``: only the hash buckets holding the batch's listings are read
-and rewritten (dynamic partition overwrite), and the merge is idempotent, so
-a batch replayed after a driver or executor loss changes nothing.
+batch job, with no join and so no stream state. K2 folds each micro-batch into
+the listing snapshot inside ``foreachBatch``.
+
+A snapshot is never overwritten. Its rows lie in hash buckets; a batch writes
+the buckets it touches to a folder of its own and then appends one small file
+to ``versions``, which says for each bucket of the new version where its rows
+are. A failure before that leaves the old version as it was; a batch that is
+replayed merges the same rows again and changes nothing.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.sources.messages import (
-    MESSAGE_SUFFIXES,
-    decode,
-    detail_link_pattern,
-    link_windows,
-    message_listings,
-)
+from cohortwise.sources.messages import MESSAGE_GLOB, decode, detail_link_pattern, link_windows, message_listings
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def message_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """K1 source: new message files in ``folder`` as a stream of binary rows."""
-    glob = "*.{" + ",".join(MESSAGE_SUFFIXES) + "}"
+    """K1 source: new message files in ``folder`` as a stream of binary rows.
+
+    A file counts as new whatever its modification time (the source's age limit
+    would lose files that arrive late), so the stream's record of files it has
+    seen grows with the inbox; ``cleanSource`` bounds the inbox if wanted.
+    """
     return (spark.readStream.format("binaryFile").schema(BINARY_SCHEMA)
-            .option("pathGlobFilter", glob).load(folder))
+            .option("pathGlobFilter", MESSAGE_GLOB).option("maxFileAge", "36500d").load(folder))
 
 
 def messages_to_rows(files: DataFrame, link: str | None = None, area: str = "") -> DataFrame:
-    """Decode -> link windows -> listing fields, keyed by (path, modificationTime)."""
-    keys = ["path", "modificationTime"]
-    text = decode(files, keys)
+    """Decode -> link windows -> listing fields, keyed by (path, modificationTime).
+
+    The message's own date is the listing date (an alert means "new as of when
+    it was sent"). A message has no coordinates: ``lat`` and ``lon`` are null
+    until the geocode join (D10) fills them.
+    """
+    keys = ["path", "modificationTime", "sent_date"]
+    text = decode(files, keys[:2])
     pattern = link or detail_link_pattern()
     wins = link_windows(text, keys, pattern, id_group=1)
-    wins = wins.withColumn("slug", F.regexp_extract("window", pattern, 2))
+    wins = (wins.withColumn("slug", F.regexp_extract("window", pattern, 2))
+            .withColumn("url", F.regexp_extract("window", pattern, 0)))
     rows = message_listings(wins, keys, area)
     city = area.split(",")[0].strip() if area else ""
-    # The message's own date is the listing date (an alert means "new as of when it was sent").
-    return (rows.join(text.select(*keys, "sent_date"), keys)
-            .withColumn("list_date", F.col("sent_date"))
+    return (rows.withColumn("list_date", F.col("sent_date"))
+            .withColumn("lat", F.lit(None).cast("double")).withColumn("lon", F.lit(None).cast("double"))
             .withColumn("city", F.lit(city)).withColumn("source", F.lit("email")))
 
 
 SNAPSHOT_BUCKETS = 64
-SOURCE_COLS = ("source", "price", "beds", "baths", "sqft", "address")
+SOURCE_COLS = ("source", "url", "price", "beds", "baths", "sqft", "address", "city", "list_date", "lat", "lon")
+# A later file (by path, then time), and a later place in it, is newer: the order of the batch job.
+ORDER_COLS = ("path", "modificationTime", "pos")
 
 
-def _fs(spark: SparkSession, path: str):
-    """Hadoop file system for ``path`` (works for local, HDFS and object stores)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def _version(spark: SparkSession, root: str) -> tuple[int, dict[int, str]]:
+    """The latest version and the folder of each of its buckets (at most a row for each bucket)."""
+    try:
+        rows = spark.read.parquet(f"{root}/versions")
+    except AnalysisException:
+        return -1, {}
+    last = rows.agg(F.max("version")).first()[0]
+    return last, {r.bucket: r.folder for r in rows.filter(F.col("version") == last).collect()}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return bool(fs.exists(p))
+def _rows_of(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.parquet(*sorted(set(folders)))
 
 
 def snapshot_upsert(batch: DataFrame, batch_id: int, root: str, buckets: int = SNAPSHOT_BUCKETS) -> None:
     """K2: fold one micro-batch into the listing snapshot (J1 rules), touching only
     the hash buckets of the listings in the batch.
 
-    The snapshot is partitioned by ``bucket = pmod(xxhash64(listing_id), n)``;
-    a batch reads just its buckets, merges, pins the result with a reliable
-    checkpoint (so the write never reads the files it replaces) and rewrites
-    those buckets with dynamic partition overwrite. The merge (newest row
-    wins, first/last seen as min/max) is idempotent, so replaying a batch
-    after a failure -- even after a partial write -- converges to the same
-    snapshot.
+    Within a batch the latest message wins (A7). A row of the snapshot is
+    replaced by rows of later files only, whatever the order in which the files
+    arrive, so the stream ends as the batch job does. Columns of the snapshot
+    that messages don't have (enrichment, scores) stay as they are.
     """
-    from cohortwise.operators.state import upsert
-    from cohortwise.session import ensure_checkpoint_dir
+    from cohortwise.operators.state import upsert_into
 
     spark = batch.sparkSession
-    ensure_checkpoint_dir(spark)
     bucket = F.pmod(F.xxhash64(F.col("listing_id")), F.lit(buckets)).cast("int")
-    new = batch.select(
-        "listing_id", F.col("modificationTime").cast("timestamp").alias("seen_at"),
-        (F.lit(batch_id).cast("bigint") * (1 << 20) + F.col("pos")).alias("seq"),
-        F.lit("email").alias("source"), "price", "beds", "baths", "sqft", "address").withColumn("bucket", bucket)
-    cols = ["listing_id", "seen_at", "seq", *SOURCE_COLS, "bucket"]
-    if _exists(spark, root):
-        touched = new.select("bucket").distinct()
-        old = spark.read.parquet(root).join(F.broadcast(touched), "bucket", "left_semi")   # at most n rows
-        # The old first_seen rides on a row that can never be the newest (seq -1, time <= last_seen).
-        first = old.select("listing_id", F.col("first_seen").alias("seen_at"), F.lit(-1).cast("bigint").alias("seq"),
-                           *SOURCE_COLS, "bucket")
-        last = old.select("listing_id", F.col("last_seen").alias("seen_at"), F.col("last_seq").alias("seq"),
-                          *SOURCE_COLS, "bucket")
-        new = new.select(*cols).unionByName(first.select(*cols)).unionByName(last.select(*cols))
-    merged = (upsert(new.select(*cols), "listing_id", ("seen_at", "seq"), (*SOURCE_COLS, "bucket", "seq"), "seen_at")
-              .withColumnRenamed("seq", "last_seq").checkpoint(eager=True))
-    (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(root))
+    new = batch.select("listing_id", *ORDER_COLS, F.col("modificationTime").cast("timestamp").alias("seen_at"), *SOURCE_COLS).withColumn("bucket", bucket)
+    version, folders = _version(spark, root)
+    touched = {r.bucket for r in new.select("bucket").distinct().collect()}
+    if not touched:
+        return
+    cols = (*SOURCE_COLS, *(c for c in ORDER_COLS), "bucket")
+    old = [folders[b] for b in sorted(touched) if b in folders]
+    if old:
+        held = _rows_of(spark, old)
+        # the stored row takes part, so that an older file that arrives late does not win
+        again = held.select("listing_id", *ORDER_COLS, F.col("last_seen").alias("seen_at"), *SOURCE_COLS, "bucket")
+        seen = new.select("listing_id").distinct()
+        rows = new.unionByName(again.join(seen, "listing_id", "left_semi"))
+        merged = upsert_into(held, rows, "listing_id", ORDER_COLS, cols, "seen_at")
+    else:
+        from cohortwise.operators.state import upsert
+        merged = upsert(new, "listing_id", ORDER_COLS, cols, "seen_at")
+    folder = f"{root}/data-{version + 1:09d}-{uuid.uuid4().hex}"
+    (merged.withColumn("part", F.col("bucket")).repartition("bucket").write.partitionBy("part").parquet(folder))
+    now = {**folders, **{b: f"{folder}/part={b}" for b in touched}}
+    rows = [(version + 1, b, f) for b, f in sorted(now.items())]
+    spark.createDataFrame(rows, "version long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
 
 
 def run_ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, link: str | None = None):
@@ -110,4 +123,6 @@ def run_ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, link
 
 
 def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(root).drop("bucket", "last_seq")
+    """The rows of the latest version."""
+    _, folders = _version(spark, root)
+    return _rows_of(spark, list(folders.values())).drop("bucket", "part", *ORDER_COLS)

@@ -79,16 +79,15 @@ def test_geocode_join_first_resolving_candidate(spark):
     assert got == {1: (7.0, 8.0), 2: (1.0, 2.0)}
 
 
-def test_poi_in_bbox_grid_path_equals_broadcast(spark):
+def test_poi_in_bbox(spark):
     rnd = random.Random(4)
-    boxes = spark.createDataFrame([(i, 50 + rnd.uniform(0, 3), -115 + rnd.uniform(0, 3)) for i in range(40)],
-                                  "search_id int, s double, w double") \
+    boxes = [(i, 50 + rnd.uniform(0, 3), -115 + rnd.uniform(0, 3)) for i in range(40)]
+    pois = [(j, "cafes", 50 + rnd.uniform(-0.5, 4), -115 + rnd.uniform(-0.5, 4)) for j in range(3000)]
+    df = spark.createDataFrame(boxes, "search_id int, s double, w double") \
         .selectExpr("search_id", "s AS south", "w AS west", "s + 0.7 AS north", "w + 1.3 AS east")
-    pois = spark.createDataFrame([(j, "cafes", 50 + rnd.uniform(-0.5, 4), -115 + rnd.uniform(-0.5, 4)) for j in range(3000)],
-                                 "poi_id int, category string, lat double, lon double")
-    a = D.poi_in_bbox(pois, boxes).select("search_id", "poi_id")
-    b = D.poi_in_bbox(pois, boxes, max_broadcast_boxes=0).select("search_id", "poi_id")
-    assert a.count() > 0 and a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    got = {(r.search_id, r.poi_id) for r in
+           D.poi_in_bbox(spark.createDataFrame(pois, "poi_id int, category string, lat double, lon double"), df).collect()}
+    assert got == {(i, j) for i, s, w in boxes for j, _, y, x in pois if s <= y <= s + 0.7 and w <= x <= w + 1.3}
 
 
 def test_count_near_radius_and_empty_available_category(spark):
@@ -104,3 +103,25 @@ def test_count_near_radius_and_empty_available_category(spark):
     assert (r2.cafes_n, r2.parks_n) == (2, None)
     w = D.radius_counts(pt, pois, categories=cats).withColumn("w", D.walk_proxy_col()).collect()[0].w
     assert w == round(0.25 * (2 / 12) * 100, 1)
+
+
+def test_counts_across_the_180th_meridian(spark):
+    pois = spark.createDataFrame([(1, "cafes", 10.0, -179.9999), (2, "cafes", 10.0, 179.9), (3, "parks", 10.001, 180.0)], "poi_id int, category string, lat double, lon double")
+    at = spark.createDataFrame([(1, 10.0, 179.9999)], "point_id int, lat double, lon double")
+    r = D.radius_counts(at, pois).collect()[0]
+    assert (r.cafes_n, r.parks_n) == (1, 1)
+    r = D.nearby(at, pois).collect()[0]
+    assert (r.cafes_n, r.parks_n) == (1, 1)
+
+
+def test_a_point_has_its_own_box(spark):
+    """Far north a kilometre is more degrees of longitude than the box is wide."""
+    pois = spark.createDataFrame([(1, "cafes", 80.0, 20.03), (2, "cafes", 80.0, 20.01)], "poi_id int, category string, lat double, lon double")
+    at = spark.createDataFrame([(1, 80.0, 20.0)], "point_id int, lat double, lon double")
+    assert D.radius_counts(at, pois).collect()[0].cafes_n == 2 and D.nearby(at, pois).collect()[0].cafes_n == 1
+
+
+def test_a_null_in_any_key_is_no_miss(spark):
+    keys = spark.createDataFrame([(1, 1), (1, 3), (1, None), (None, 3), (2, 2), (2, 2)], "a int, b int")
+    table = spark.createDataFrame([(1, 1)], "a int, b int")
+    assert sorted(map(tuple, D.lookup_misses(keys, table, ["a", "b"]).collect())) == [(1, 3), (2, 2)]

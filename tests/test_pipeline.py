@@ -10,11 +10,13 @@ COLS = ["search_id", "listing_id", "rank", "cohort_size", "score_total", "score_
         "score_freshness", "data_completeness", "explanation"]
 
 
-def test_range_and_window_paths_agree(spark):
-    t = tables(spark, SF)
-    a = Pipeline(t, method="range").explained().select(*COLS)
-    b = Pipeline(t, method="window").explained().select(*COLS)
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def _near(spark):
+    """Two searches where the synthetic listings lie."""
+    return spark.createDataFrame([
+        (1, 51.1, -114.1, 100000, 400000, 2, 1, 20, "driving", 2000, 0.34, 0.33, 0.33),
+        (2, 51.15, -114.0, 50000, 250000, 3, 2, 35, "transit", 1200, 0.5, 0.3, 0.2)],
+        "search_id int, anchor_lat double, anchor_lon double, price_min int, price_max int, beds_min int, baths_min int, "
+        "max_commute_min int, commute_mode string, max_age_days int, w_value double, w_location double, w_freshness double")
 
 
 def test_ranked_invariants(spark):
@@ -54,14 +56,14 @@ def test_rank_does_not_follow_completeness(spark):
 
 
 def test_same_result_at_1_and_64_partitions(spark):
-    """Partitioning never changes the answer (range path, where it matters most)."""
+    """Partitioning never changes the answer."""
     t = tables(spark, "/root/testdata/sf0.001")
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         outs = []
         for n in ("1", "64"):
             spark.conf.set("spark.sql.shuffle.partitions", n)
-            outs.append(Pipeline(t, method="range").explained().select(*COLS).collect())
+            outs.append(Pipeline(t).explained().select(*COLS).collect())
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
     assert sorted(map(tuple, outs[0])) == sorted(map(tuple, outs[1]))
@@ -72,7 +74,7 @@ def test_pipeline_on_synthetic_source_rejects_planted_defects(spark):
     from cohortwise.sources.synth import synth_listings
     t = tables(spark, SF)
     syn = synth_listings(t.v_parcel).cache()
-    p = Pipeline(t, source=syn)
+    p = Pipeline(t, source=syn, searches=_near(spark))
     reasons = {r.listing_id: r.invalid_reason for r in p.validated().collect()}
     rows = {r.listing_id: r for r in syn.collect()}
     for lid, r in rows.items():
@@ -110,11 +112,11 @@ def test_price_drop_is_reconsidered_after_upsert(spark):
               "baths double, sqft long, property_type string, list_date string, lat double, lon double")
     sightings = spark.createDataFrame([first], schema)
     before = upsert(sightings, source_cols=cols[3:]).drop("stage", "reject_reason", "first_seen", "last_seen")
-    reasons = {r.search_id: r.criteria_reason for r in Pipeline(t, source=before).screened().collect()}
+    reasons = {r.search_id: r.criteria_reason for r in Pipeline(t, source=before, searches=_near(spark)).report([1, 2]).collect()}
     assert reasons[1] == "price $900,000 above maximum"
     after = upsert(spark.createDataFrame([first, again], schema), source_cols=cols[3:]) \
         .drop("stage", "reject_reason", "first_seen", "last_seen")
-    ranked = Pipeline(t, source=after).explained().where("search_id = 1").collect()
+    ranked = Pipeline(t, source=after, searches=_near(spark)).explained().where("search_id = 1").collect()
     assert [r.listing_id for r in ranked] == ["X1"] and ranked[0].price == 300_000
 
 
@@ -123,7 +125,7 @@ def test_repeated_ids_use_exact_dedupe(spark):
     from cohortwise.operators.quality import with_address_key
     t = tables(spark, "/root/testdata/sf0.001")
     base = t.v_listing.withColumn("seq", F.col("listing_id") * 2)
-    again = t.v_listing.withColumn("seq", F.col("listing_id") * 2 + 1).withColumn("price", F.col("price") + 5000)
+    again = t.v_listing.withColumn("seq", F.col("listing_id") * 2 + 1).withColumn("price", F.col("price") + 10000)
     p = Pipeline(t, source=base.unionByName(again), unique_ids=False)
     rows = with_address_key(p.valid()).select("listing_id", "seq", "address_key", "price").collect()
     ids, keys, expect = set(), set(), set()

@@ -26,10 +26,10 @@ def naive_pct(values):
     return out
 
 
-def _pcts(spark, groups, partitions=8, method="range"):
+def _pcts(spark, groups, partitions=8):
     rows = [(g, k, v) for g, vals in groups.items() for k, v in enumerate(vals)]
     df = spark.createDataFrame(rows, "search_id int, k int, c_x double")
-    t = value_percentiles(df, ["search_id"], ["x"], partitions, method)
+    t = value_percentiles(df, ["search_id"], ["x"], partitions)
     got = {(r.search_id, r.v): r.pct for r in t.collect()}
     return {(g, k): (None if v is None else got[(g, v)]) for g, k, v in rows}
 
@@ -50,12 +50,12 @@ def test_outlier_does_not_compress(spark):
     assert got[(1, 3)] - got[(1, 0)] >= 70
 
 
-@pytest.mark.parametrize("partitions,method", [(1, "range"), (4, "range"), (64, "range"), (8, "window"), (8, "auto")])
-def test_random_cohorts_match_naive(spark, partitions, method):
+@pytest.mark.parametrize("partitions", [1, 4, 64])
+def test_random_cohorts_match_naive(spark, partitions):
     rnd = random.Random(partitions)
     groups = {g: [None if rnd.random() < 0.1 else float(rnd.randint(0, 30)) for _ in range(rnd.randint(1, 400))]
               for g in range(1, 6)}
-    got = _pcts(spark, groups, partitions, method)
+    got = _pcts(spark, groups, partitions)
     for g, vals in groups.items():
         assert [got[(g, k)] for k in range(len(vals))] == naive_pct(vals)
 
@@ -70,16 +70,15 @@ def test_hot_value_spread(spark):
 def test_rank_ties_keep_input_order(spark):
     rows = [(1, i, float(s)) for i, s in enumerate([5, 9, 9, 1, 9, 5])]
     df = spark.createDataFrame(rows, "search_id int, seq long, score_total double")
-    out = {r.seq: (r.rank, r.cohort_size) for r in assign_rank(df, ["search_id"], partitions=3, method="range").collect()}
+    out = {r.seq: (r.rank, r.cohort_size) for r in assign_rank(df, ["search_id"], partitions=3, key="seq").collect()}
     assert out == {1: (1, 6), 2: (2, 6), 4: (3, 6), 0: (4, 6), 5: (5, 6), 3: (6, 6)}
 
 
-@pytest.mark.parametrize("method", ["range", "window"])
-def test_rank_random_vs_sort(spark, method):
+def test_rank_random_vs_sort(spark):
     rnd = random.Random(5)
     rows = [(rnd.randint(1, 3), i, float(rnd.randint(0, 50))) for i in range(2000)]
     df = spark.createDataFrame(rows, "search_id int, seq long, score_total double")
-    got = {(r.search_id, r.seq): r.rank for r in assign_rank(df, ["search_id"], partitions=7, method=method).collect()}
+    got = {(r.search_id, r.seq): r.rank for r in assign_rank(df, ["search_id"], partitions=7, key="seq").collect()}
     for g in (1, 2, 3):
         order = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))
         assert all(got[(g, r[1])] == i + 1 for i, r in enumerate(order))
@@ -129,14 +128,15 @@ def test_running_sum_carries_across_arrow_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
-def test_attach_long_form_equals_broadcast(spark, monkeypatch):
+def test_attach_gives_each_row_its_percentiles(spark):
     from cohortwise.operators import score as S
     rnd = random.Random(8)
     rows = [(rnd.randint(1, 3), i, float(rnd.randint(0, 9)), None if i % 5 == 0 else float(rnd.randint(0, 4)))
             for i in range(500)]
     df = spark.createDataFrame(rows, "search_id int, listing_id int, c_a double, c_b double")
-    table = S.value_percentiles(df, ["search_id"], ["a", "b"], method="window")
-    a = S.attach_percentiles(df, table, ["search_id"], ["a", "b"]).select("listing_id", "r_a", "r_b")
-    monkeypatch.setattr(S, "MAX_BROADCAST_PCT_ROWS", 0)
-    b = S.attach_percentiles(df, table, ["search_id"], ["a", "b"]).select("listing_id", "r_a", "r_b")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    table = S.value_percentiles(df, ["search_id"], ["a", "b"])
+    got = {(r.search_id, r.listing_id): (r.r_a, r.r_b) for r in S.attach_percentiles(df, table, ["search_id"], ["a", "b"]).collect()}
+    for g in (1, 2, 3):
+        own = [r for r in rows if r[0] == g]
+        a, b = naive_pct([r[2] for r in own]), naive_pct([r[3] for r in own])
+        assert [got[(g, r[1])] for r in own] == list(zip(a, b))

@@ -1,57 +1,92 @@
-"""K1/K2: streamed ingest equals the batch result; a replayed batch changes nothing."""
+"""K1/K2: the streamed snapshot equals the batch result row for row; versions, replays, no stream state."""
 
 import os
-import time
 
 from pyspark.sql import functions as F
 
+from cohortwise.operators.enrich import geocode_join
+from cohortwise.plans.pipeline import Pipeline
 from cohortwise.sources import messages as M
+from cohortwise.sources.tables import tables
 from cohortwise.streaming.ingest import latest_snapshot, messages_to_rows, run_ingest, snapshot_upsert
-from tests.test_sources import EML, HTML
 
+COLS = ["listing_id", "source", "url", "price", "beds", "baths", "sqft", "address", "city", "list_date", "lat", "lon"]
 
-def test_stream_equals_batch_and_is_idempotent(spark, tmpdir_path):
-    inbox = os.path.join(tmpdir_path, "inbox")
+
+def mail(day, *listings):
+    body = "".join(f'<a href="https://portal.example/real-estate/{i}/{i}-ferry-ln-ne-pebble-bay">x</a> ${price:,} 2 bed 1 bath 900 sqft<br>' + "." * 1400 for i, price in listings)
+    return f"From: a@b.example\r\nDate: {day:02d} Jul 2001 08:00:00 +0000\r\nContent-Type: text/html\r\n\r\n{body}".encode()
+
+
+def put(folder, name, data, at):
+    path = os.path.join(folder, name)
+    with open(path, "wb") as f:
+        f.write(data)
+    os.utime(path, (at, at))
+
+
+def rows(df):
+    return sorted(map(tuple, df.select(*COLS).collect()))
+
+
+def test_stream_equals_batch(spark, tmpdir_path):
+    """Paths and times order the files differently, a later batch brings an earlier path, and suffixes vary in case."""
+    inbox, root, ck = (os.path.join(tmpdir_path, x) for x in ("inbox", "snap", "ck"))
     os.makedirs(inbox)
-    with open(os.path.join(inbox, "a.eml"), "wb") as f:
-        f.write(EML)
-    root, ck = os.path.join(tmpdir_path, "snap"), os.path.join(tmpdir_path, "ck")
+    put(inbox, "b.eml", mail(2, (1, 399_000), (2, 150_000)), 1_000_000_000)
+    put(inbox, "a.EML", mail(1, (1, 350_000), (3, 275_000)), 1_000_000_500)   # later in time, earlier by path
     run_ingest(spark, inbox, root, ck)
-    time.sleep(1.1)
-    with open(os.path.join(inbox, "b.html"), "wb") as f:
-        f.write(HTML)
+    put(inbox, "a1.Htm", mail(4, (2, 120_000), (4, 500_000)), 1_000_001_000)
+    put(inbox, "c.txt", mail(3, (3, 199_000)), 900_000_000)
     run_ingest(spark, inbox, root, ck)
-    snap = {r.listing_id: r for r in latest_snapshot(spark, root).collect()}
-    batch = messages_to_rows(M.read_messages(spark, inbox))
-    assert set(snap) == {r.listing_id for r in batch.collect()} == {"A2100001", "RCA222", "RCA333"}
-    assert snap["RCA333"].price == 399000 and snap["A2100001"].first_seen <= snap["RCA333"].last_seen
-    # replaying a batch (same rows, same batch id) leaves the snapshot unchanged
-    before = sorted(map(tuple, latest_snapshot(spark, root).collect()))
-    files = M.read_messages(spark, inbox).where(F.col("path").endswith("a.eml"))
-    snapshot_upsert(messages_to_rows(files), 0, root)
-    assert sorted(map(tuple, latest_snapshot(spark, root).collect())) == before
+    batch = M.latest_message_wins(messages_to_rows(M.read_messages(spark, inbox)))
+    got = rows(latest_snapshot(spark, root))
+    assert got == rows(batch) and {(r[0], r[3]) for r in got} == {("RCA1", 399_000), ("RCA2", 150_000), ("RCA3", 199_000), ("RCA4", 500_000)}
+    assert all(r[9] is not None for r in got)                                 # the message's date
+    assert not os.path.exists(os.path.join(ck, "state"))                      # no join, no state
+    seen = {r.listing_id: (r.first_seen, r.last_seen) for r in latest_snapshot(spark, root).collect()}
+    assert seen["RCA1"][0] < seen["RCA1"][1]
 
 
-def test_batch_rewrites_only_its_buckets(spark, tmpdir_path):
-    root = os.path.join(tmpdir_path, "snap")
-    inbox = os.path.join(tmpdir_path, "in")
+def test_versions_and_replay(spark, tmpdir_path):
+    inbox, root = os.path.join(tmpdir_path, "in"), os.path.join(tmpdir_path, "snap")
     os.makedirs(inbox)
-    with open(os.path.join(inbox, "a.eml"), "wb") as f:
-        f.write(EML)
-    snapshot_upsert(messages_to_rows(M.read_messages(spark, inbox)), 0, root)
+    put(inbox, "a.eml", mail(1, (1, 300_000), (2, 310_000)), 1_000_000_000)
+    first = messages_to_rows(M.read_messages(spark, inbox))
+    snapshot_upsert(first, 0, root)
+    before = sorted(map(tuple, latest_snapshot(spark, root).collect()))
 
     def files():
-        return {d: sorted((n, os.stat(os.path.join(root, d, n)).st_mtime_ns) for n in os.listdir(os.path.join(root, d)))
-                for d in os.listdir(root) if d.startswith("bucket=")}
-    before = files()
-    time.sleep(1.1)
-    os.remove(os.path.join(inbox, "a.eml"))
-    with open(os.path.join(inbox, "b.html"), "wb") as f:
-        f.write(HTML)
-    batch = messages_to_rows(M.read_messages(spark, inbox))
-    snapshot_upsert(batch, 1, root)
-    after = files()
-    touched = {f"bucket={r.b}" for r in batch.select(
-        F.pmod(F.xxhash64("listing_id"), F.lit(64)).alias("b")).collect()}
-    assert all(after[d] == before[d] for d in before if d not in touched)
-    assert {r.listing_id for r in latest_snapshot(spark, root).collect()} == {"A2100001", "RCA222", "RCA333"}
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(root) for f in names if "_SUCCESS" not in f}
+    old = files()
+    snapshot_upsert(first, 0, root)                                           # replayed
+    assert sorted(map(tuple, latest_snapshot(spark, root).collect())) == before
+    put(inbox, "b.eml", mail(2, (2, 290_000), (3, 100_000)), 1_000_000_100)
+    snapshot_upsert(messages_to_rows(M.read_messages(spark, inbox).where(F.col("path").endswith("b.eml"))), 1, root)
+    assert {f: t for f, t in files().items() if f in old} == old              # nothing is overwritten
+    got = {r.listing_id: r.price for r in latest_snapshot(spark, root).collect()}
+    assert got == {"RCA1": 300_000, "RCA2": 290_000, "RCA3": 100_000}
+    # a batch that failed before its version was recorded leaves no trace
+    spark.range(1).write.parquet(os.path.join(root, "data-999999999-lost"))
+    assert latest_snapshot(spark, root).count() == 3
+
+
+def test_a_message_is_ranked_end_to_end(spark, tmpdir_path):
+    """Alert messages -> geocode join -> pipeline."""
+    put(tmpdir_path, "a.eml", mail(9, (11, 250_000), (12, 900_000)), 1_000_000_000)
+    listings = M.message_source(spark, tmpdir_path, "Pebble Bay")
+    found = spark.createDataFrame([("11 Ferry Ln NE, Pebble Bay", 51.1, -114.1), ("12 Ferry Ln NE, Pebble Bay", 51.1, -114.1)], "query string, lat double, lon double")
+    located = geocode_join(listings, found, F.array(F.concat_ws(", ", "address", "city")))
+    search = spark.createDataFrame([(1, 51.1, -114.1, 100000, 400000, 1, 1, 20, "driving", 2000, 1.0, 1.0, 1.0)],
+                                   "search_id int, anchor_lat double, anchor_lon double, price_min int, price_max int, beds_min int, baths_min int, "
+                                   "max_commute_min int, commute_mode string, max_age_days int, w_value double, w_location double, w_freshness double")
+    (r,) = Pipeline(tables(spark, "/root/testdata/sf0.001"), source=located, searches=search).explained().collect()
+    assert (r.listing_id, r.rank, r.price, r.days_on_market) == ("RCA11", 1, 250_000, 23)
+    assert r.url == "https://portal.example/real-estate/11/11-ferry-ln-ne-pebble-bay"
+
+
+def test_a_blank_address_is_not_looked_up(spark):
+    df = spark.createDataFrame([("a", " ", None, None), ("b", "1 X", 5.0, None), ("c", "2 Y", 7.0, None)], "listing_id string, address string, lat double, lon double")
+    codes = spark.createDataFrame([(" ", 1.0, 1.0), ("1 X", 2.0, 3.0)], "query string, lat double, lon double")
+    got = {r.listing_id: (r.lat, r.lon) for r in geocode_join(df, codes, F.array("address")).collect()}
+    assert got == {"a": (None, None), "b": (2.0, 3.0), "c": (7.0, None)}
