@@ -82,15 +82,15 @@ def _duck_greedy(rounds: int = 12) -> str:
 
 
 _TWICE = ("(SELECT listing_id, listing_id * 2 AS seq, address, price FROM val WHERE invalid_reason IS NULL UNION ALL "
-          "SELECT listing_id, listing_id * 2 + 1 AS seq, address, price + 10000 AS price FROM val WHERE invalid_reason IS NULL)")
+          "SELECT listing_id, listing_id * 2 + 1 AS seq, address, price * 2 AS price FROM val WHERE invalid_reason IS NULL)")
 
 
 @register("dedupe_repeated_ids", O.with_chain(_duck_greedy()))
 def q_dedupe_repeated_ids(spark, sf_dir):
-    """C3 on two sources that report the same ids, the second at a higher price."""
+    """C3 on two sources that report the same ids, the second at twice the price."""
     t = tables(spark, sf_dir)
     first = t.v_listing.withColumn("seq", F.col("listing_id") * 2)
-    again = t.v_listing.withColumn("seq", F.col("listing_id") * 2 + 1).withColumn("price", F.col("price") + 10000)
+    again = t.v_listing.withColumn("seq", F.col("listing_id") * 2 + 1).withColumn("price", F.col("price") * 2)
     return Pipeline(t, source=first.unionByName(again), unique_ids=False).kept().select("listing_id", "seq", "address_key", "price")
 
 
