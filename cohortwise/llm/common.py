@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
+import os
 import uuid
 
 import numpy as np
@@ -12,12 +15,23 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortwise.session import ensure_checkpoint_dir
 
 
+def importable(spark: SparkSession) -> None:
+    """Python workers that see this folder find the package in it; on other machines install it, or send it with --py-files."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
     """A new path in the folder that the driver and all executors share."""
+    importable(spark)
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
@@ -38,6 +52,35 @@ def buckets_for(spark: SparkSession, amount: float, each: float, least: int | No
     return max(least if least is not None else shuffle_width(spark), math.ceil(amount / each), 1)
 
 
+_held: dict[str, list] = {}
+_owner: list[str] = [""]
+
+
+def holds_tables(owner: str):
+    """Marks a cached function whose tables serve the tasks of one operator; see ``task_of``."""
+    def mark(cached):
+        _held.setdefault(owner, []).append(cached.cache_clear)
+        return cached
+    return mark
+
+
+def task_of(owner: str) -> None:
+    """Called by a task as it begins: a Python worker that turns to another operator gives back the last one's tables."""
+    if _owner[0] == owner:
+        return
+    for name, clear in _held.items():
+        if name != owner:
+            for c in clear:
+                c()
+    _owner[0] = owner
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n + 1 offsets; a null has no bytes."""
     if isinstance(column, pa.ChunkedArray):

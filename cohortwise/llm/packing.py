@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortwise.llm.bpe import byte_characters, public_path
-from cohortwise.llm.common import buckets_for, slices_by_bytes, table, utf8_parts, written
+from cohortwise.llm.common import buckets_for, holds_tables, slices_by_bytes, table, task_of, utf8_parts, written
 
 #: Groups of the linear grouping.
 GROUPS = 400
@@ -342,6 +342,7 @@ class WordIds:
         return [np.frombuffer(b"".join(map(ids.__getitem__, words)), "<u4") for words in cut]
 
 
+@holds_tables("packing")
 @functools.lru_cache(maxsize=4)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
@@ -360,6 +361,7 @@ def token_pieces(docs: DataFrame, key_col: str, text_col: str, path: str, capaci
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("packing")
         words = word_ids(path)
         end = np.array([end_id], "<u4")
         for batch in batches:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import table, written
+from cohortwise.llm.common import table, task_of, written
 from cohortwise.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -67,6 +67,7 @@ def fingerprints(df: DataFrame, text_col: str, out_col: str = "fp", shingle: int
 
     @F.pandas_udf("bigint")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        task_of("simhash")
         for texts in batches:
             yield pd.Series([np.int64(np.uint64(fingerprint(x.encode() if x else b"", shingle))) for x in texts], dtype="int64")
 
