@@ -103,7 +103,7 @@ def _packed(keyed: DataFrame, extra: str, most: int, rows: int, dim: int) -> Dat
 
     ``extra`` is an array<bigint> column whose values travel along.
     """
-    parts = max(shuffle_width(keyed.sparkSession), -(-rows // most))
+    parts = max(-(-rows // most), min(shuffle_width(keyed.sparkSession), -(-rows // 512)), 1)
     ordered = keyed.select("pivot", "r", "v", extra).repartitionByRange(parts, "pivot", "r").sortWithinPartitions("pivot", "r")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +126,26 @@ def _packed(keyed: DataFrame, extra: str, most: int, rows: int, dim: int) -> Dat
 FOUND = "q bigint, score bigint, ids array<bigint>"
 
 
+def _reach(m2: float, size, kth):
+    """The distance within which an entry can score ``kth``, with room for rounding."""
+    return np.sqrt(np.maximum(m2 + size - 2.0 * kth, 0.0)) * (1 + 1e-9) + 1e-6 * (1 + m2 ** 0.5)
+
+
 def _visit(pairs: DataFrame, k: int, dim: int, m2: float) -> DataFrame:
     """The k best entries of each block for each query of the chunk that the bound allows."""
     exact = m2 < EXACT
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of the chunks that this task has met: the k-th best, and how far it reaches
         for batch in batches:
             for row in batch.to_pylist():
                 q = np.frombuffer(row["q_x"]).reshape(-1, dim)
                 x = np.frombuffer(row["x"]).reshape(-1, dim)
                 keys = np.frombuffer(row["q_ids"], np.int64)
-                reach = np.frombuffer(row["reach"])
+                if row["chunk"] not in so_far:
+                    so_far[row["chunk"]] = np.frombuffer(row["kth"], np.int64).copy(), np.frombuffer(row["reach"]).copy()
+                floor_, reach = so_far[row["chunk"]]
+                size = (q * q).sum(1)
                 d = np.frombuffer(row["q_d"]).reshape(len(q), -1)[:, row["pivot"]]
                 least = np.maximum(np.maximum(d - row["outer"], row["inner"] - d), 0.0)
                 open_ = np.flatnonzero(least <= reach)
@@ -144,7 +153,6 @@ def _visit(pairs: DataFrame, k: int, dim: int, m2: float) -> DataFrame:
                 ends = np.cumsum(np.frombuffer(row["counts"], np.int64))
                 starts = np.r_[0, ends[:-1]]
                 first = ids[starts]
-                floor_ = np.frombuffer(row["kth"], np.int64)
                 for a in range(0, len(open_), 256):
                     some = open_[a:a + 256]
                     s = np.rint(q[some] @ x.T).astype(np.int64) if exact else q[some].astype(np.int64) @ x.T.astype(np.int64)
@@ -155,12 +163,15 @@ def _visit(pairs: DataFrame, k: int, dim: int, m2: float) -> DataFrame:
                             edge = np.partition(scores[at], len(at) - k)[len(at) - k]
                             at = at[scores[at] >= edge]
                         at = at[np.lexsort((first[at], -scores[at]))][:k]
+                        if len(at) == k and scores[at[-1]] > floor_[i]:  # no worse entry matters any more
+                            floor_[i] = scores[at[-1]]
+                            reach[i] = min(reach[i], _reach(m2, size[i], floor_[i]))
                         out_q += [int(keys[i])] * len(at)
                         out_s += scores[at].tolist()
                         out_i += [ids[starts[j]:ends[j]] for j in at.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_s, pa.int64()), pa.array(out_i, pa.list_(pa.int64()))], names=["q", "score", "ids"])
 
-    return pairs.select("q_x", "q_ids", "q_d", "reach", "kth", "pivot", "inner", "outer", "x", "counts", "ids").mapInArrow(search, FOUND)
+    return pairs.select("chunk", "q_x", "q_ids", "q_d", "reach", "kth", "pivot", "inner", "outer", "x", "counts", "ids").mapInArrow(search, FOUND)
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
@@ -192,8 +203,7 @@ def _chunks(queries: DataFrame, best: DataFrame | None, pivots: np.ndarray, dim:
                     by = {x["q"]: x["kth"] for x in row["known"]}
                     kth = np.array([by.get(i, np.iinfo(np.int64).min) for i in keys.tolist()], np.int64)
                     bounded = kth > np.iinfo(np.int64).min
-                    square = m2 + (q * q).sum(1) - 2.0 * np.where(bounded, kth, 0)
-                    reach = np.where(bounded, np.sqrt(np.maximum(square, 0.0)) * (1 + 1e-9) + 1e-6 * (1 + m2 ** 0.5), np.inf)
+                    reach = np.where(bounded, _reach(m2, (q * q).sum(1), np.where(bounded, kth, 0)), np.inf)
                 home = d.argmin(1)
                 for p in range(d.shape[1]):
                     own = home == p
