@@ -304,7 +304,8 @@ def read_archives(manifest: DataFrame, with_payload: bool = True, strict: bool =
         if rows:
             yield flush()
 
-    names = manifest.select("archive").repartition(shuffle_width(manifest.sparkSession) * 2, "archive")
+    tasks = min(manifest.count(), 2 * shuffle_width(manifest.sparkSession))
+    names = manifest.select("archive").repartition(max(tasks, 1), "archive")
     return names.mapInArrow(read, RECORDS)
 
 
