@@ -18,7 +18,7 @@ The suffix array of a corpus is built in shards that have nothing in common:
 Texts that are equal as a whole are not compared: they go, if long enough.
 
 Texts and anchors are told apart by 64-bit hashes (a clash of two texts' hashes
-could hide a repeat; one in 10^10 for a million texts). That bytes are equal is
+could hide a repeat; about one in 40 million for a million texts). That bytes are equal is
 always found on the bytes.
 """
 
@@ -33,15 +33,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from cohortwise.llm.common import buckets_for, slices_by_bytes, table, utf8_parts, written
+from cohortwise.llm.common import buckets_for, shuffle_width, slices_by_bytes, table, task_of, utf8_parts, written
 from cohortwise.llm.fingerprints import _MULTIPLIER, _U, _mixed, _powers
 from cohortwise.llm.suffix_arrays import repeated_starts
 
 GRAM = 32
 #: Bytes of run texts that a shard holds.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Few shards are made of little text: no more than one for so many bytes.
+LEAST_SHARD = 1 << 16
 #: Repeated anchors up to this number are broadcast (8 bytes each); more are joined by a shuffle.
-FEW_ANCHORS = 4_000_000
+FEW_ANCHORS = 2_000_000
 #: Bytes of text searched for anchors at a time; a longer text is searched in overlapping pieces.
 AT_ONCE = 1 << 20
 
@@ -115,6 +117,7 @@ def _anchor_table(texts: DataFrame, length: int) -> DataFrame:
     """(anchor, text, first, again): the runs; a text that comes again in a task is not searched again."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("suffix")
         seen: set[int] = set()
         for batch in batches:
             ids = np.asarray(batch.column(1))
@@ -153,9 +156,10 @@ def _run_texts(texts: DataFrame, repeated: DataFrame, anchors: DataFrame, length
             size, start = int(sizes[stop - 1]), stop
 
     if repeated.count() <= FEW_ANCHORS:
-        shared = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in repeated.collect()], np.int64)))
+        shared = spark.sparkContext.broadcast(np.sort(repeated.toArrow().column(0).to_numpy()))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task_of("suffix")
             known, seen = shared.value, set()
 
             def wanted(anchor, row):
@@ -190,7 +194,7 @@ def _sorted_shards(entries: DataFrame, length: int) -> DataFrame:
     spark = entries.sparkSession
     sizes = entries.groupBy("anchor").agg(F.sum(F.octet_length("run")).alias("bytes"))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    shards = buckets_for(spark, total, SHARD_BYTES)
+    shards = buckets_for(spark, total, SHARD_BYTES, least=min(shuffle_width(spark), total // LEAST_SHARD + 1))
     large = sizes.filter(F.col("bytes") > SHARD_BYTES).select("anchor", F.lit(True).alias("large"))
     marked = entries.join(large, "anchor", "left")
 
@@ -227,6 +231,7 @@ def _sorted_shards(entries: DataFrame, length: int) -> DataFrame:
             w = which[edge]
             return pa.RecordBatch.from_arrays([pa.array(ids[w]), pa.array(place[edge] + shift[w]), pa.array(place[last] + shift[w] + length)], names=["run_id", "a", "b"])
 
+        task_of("suffix")
         held, shard = [], None
         for batch in batches:
             for r, s, k, run in zip(np.asarray(batch.column(0)).tolist(), np.asarray(batch.column(1)).tolist(), np.asarray(batch.column(2)).tolist(), batch.column(3).to_pylist()):
