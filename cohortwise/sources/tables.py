@@ -46,7 +46,7 @@ VIEW_SQL: dict[str, str] = {
     # One search for each supplier; one in fifty weighs nothing, one in seven has reached each earlier stage.
     "v_search": f"""
 SELECT s_suppkey AS search_id, {_south(_SUPP_CITY)} + 1e-1 AS anchor_lat, {_west(_SUPP_CITY)} + 1e-1 AS anchor_lon,
-  CAST(20000 + (s_suppkey * 7) % 40 * 10000 AS INTEGER) AS price_min, CAST(80000 + (s_suppkey * 7) % 40 * 10000 AS INTEGER) AS price_max,
+  CAST(20000 + (s_suppkey * 7) % 40 * 10000 AS INTEGER) AS price_min, CAST(40000 + (s_suppkey * 7) % 40 * 10000 AS INTEGER) AS price_max,
   CAST(1 + s_suppkey % 4 AS INTEGER) AS beds_min, CAST(1 + s_suppkey % 2 AS INTEGER) AS baths_min,
   CAST(9 + s_suppkey % 12 AS INTEGER) AS max_commute_min, CASE s_suppkey % 3 WHEN 0 THEN 'transit' ELSE 'driving' END AS commute_mode,
   CAST(1200 + (s_suppkey * 13) % 2000 AS INTEGER) AS max_age_days,
