@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +31,14 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import slices_by_bytes, table, utf8_parts
+from cohortwise.llm.common import holds_tables, slices_by_bytes, table, task_of, utf8_parts
 
 #: Fragments after which a Python worker begins a new table of known ids (it keeps the last two).
 KEPT_FRAGMENTS = 250_000
 #: Longer fragments are not kept: they seldom repeat, and the tables stay small.
 LONG = 64
 #: Bytes of text encoded at a time (a longer text stands alone).
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 22
 
 
 def public_path(name: str) -> str:
@@ -97,6 +98,10 @@ class ForcedBoundaryBpe:
         self.solid_set = frozenset(self.solid.tolist())
         # the last byte of any character beyond ASCII is 0x80 to 0xBF
         self.wide_solid = not self.inside[0x80:0xC0, 0x20].any()
+        # a space and letters, and the marks behind them: two pre-tokens, whatever follows
+        self.plain = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]+)?\Z").match
+        self.parts: dict[str, bytes] = {}
+        self.older_parts: dict[str, bytes] = {}
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -106,14 +111,21 @@ class ForcedBoundaryBpe:
 
     def fragments(self, text: str) -> list[str]:
         """``text`` cut at the outer forced boundaries."""
-        parts = text.split(" ")
-        out = [parts[0]]
-        for part in parts[1:]:
-            if out[-1] and self._is_cut(out[-1][-1]):
-                out.append(" " + part)
-            else:
+        out: list[str] = []
+        add, solid = out.append, self._is_cut
+        last = ""  # the last character before the next space
+        for k, part in enumerate(text.split(" ")):
+            if not k:
+                if part:
+                    add(part)
+            elif last and solid(last):
+                add(" " + part)
+            elif out:
                 out[-1] += " " + part
-        return out if out[0] else out[1:]
+            else:
+                add(" " + part)
+            last = part[-1:] or " "
+        return out
 
     def _inner(self, word: str) -> Iterator[str]:
         """The bytes of one pre-token, as vocabulary characters, cut at the inner forced boundaries."""
@@ -147,6 +159,17 @@ class ForcedBoundaryBpe:
                 out += (np.array([t.id for t in self.model.tokenize(piece)], "<u4").tobytes() for piece in self._inner(word))
         return b"".join(out)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one pre-token without a cut inside."""
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.older_parts.get(part)
+            if ids is None:
+                shown = "".join(map(self.chars.__getitem__, part.encode()))
+                ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.parts[part] = ids
+        return ids
+
     def _learn(self, fragments: set[str]) -> dict[str, bytes]:
         """The ids of every fragment of the set."""
         kept, older, found, new = self.kept, self.older, {}, []
@@ -155,8 +178,11 @@ class ForcedBoundaryBpe:
             if ids is None:
                 ids = older.get(f)
                 if ids is None:
-                    new.append(f)
-                    continue
+                    m = self.plain(f) if len(f) <= LONG else None
+                    if m is None:
+                        new.append(f)
+                        continue
+                    ids = self._part(m[1]) + (self._part(m[2]) if m[2] else b"")
                 kept[f] = ids
             found[f] = ids
         short = [f for f in new if len(f) <= LONG]
@@ -166,11 +192,13 @@ class ForcedBoundaryBpe:
         found.update((f, self._encode_long(f)) for f in new if len(f) > LONG)
         if len(kept) > KEPT_FRAGMENTS:  # the fragments met of late stay, older ones go
             self.older, self.kept = kept, {}
+        if len(self.parts) > KEPT_FRAGMENTS:
+            self.older_parts, self.parts = self.parts, {}
         return found
 
     def encode_many(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of whole texts (null: empty), as little-endian unsigned 32-bit integers."""
-        cut: list[list[str | bytes]] = []
+        cut: list[list] = []  # fragments, and added tokens as tuples
         for text in texts:
             if not text:
                 cut.append([])
@@ -179,11 +207,13 @@ class ForcedBoundaryBpe:
             else:  # added tokens are found before anything else, and stand alone
                 parts, start = [], 0
                 for m in self.at_added.finditer(text):
-                    parts += [*self.fragments(text[start:m.start()]), np.array([self.added[m[0]]], "<u4").tobytes()]
+                    parts += [*self.fragments(text[start:m.start()]), (m[0],)]
                     start = m.end()
                 cut.append([*parts, *self.fragments(text[start:])])
-        ids = self._learn({f for parts in cut for f in parts if isinstance(f, str)})
-        return [np.frombuffer(b"".join([ids[f] if isinstance(f, str) else f for f in parts]), "<u4") for parts in cut]
+        alone = {(token,): np.array([i], "<u4").tobytes() for token, i in self.added.items()}
+        ids = self._learn(set().union(*cut).difference(alone))
+        ids.update(alone)
+        return [np.frombuffer(b"".join(map(ids.__getitem__, parts)), "<u4") for parts in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -192,6 +222,7 @@ class ForcedBoundaryBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
+@holds_tables("bpe")
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str) -> ForcedBoundaryBpe:
     """One table for each Python worker."""
@@ -207,6 +238,7 @@ def encode(df: DataFrame, text_col: str, path: str, out_col: str = "ids") -> Dat
 
     @F.pandas_udf("array<bigint>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        task_of("bpe")
         bpe = tokenizer(path)
         for texts in batches:
             yield pd.Series([bpe.encode(x).astype(np.int64) for x in texts], dtype=object)
@@ -219,6 +251,7 @@ def decode(df: DataFrame, ids_col: str, path: str, out_col: str = "text") -> Dat
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        task_of("bpe")
         bpe = tokenizer(path)
         for rows in batches:
             yield pd.Series([bpe.decode(np.asarray(x if x is not None else [], np.int64)) for x in rows], dtype=object)
@@ -235,6 +268,7 @@ def round_trip(df: DataFrame, key_col: str, text_col: str, path: str) -> DataFra
     rows = df.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("bpe")
         bpe = tokenizer(path)
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
