@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import slices_by_bytes, table, utf8_parts, written
+from cohortwise.llm.common import slices_by_bytes, table, task_of, utf8_parts, written
 
 ORDER = 4
 _BITS = 12
@@ -67,6 +67,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """(lang, gram, n): how often each n-gram occurs in the texts of each language; summed up in each task first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("quality")
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
@@ -158,6 +159,22 @@ def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
     return grams.join(scores, ["lang", "gram"])
 
 
+def _head(scores: DataFrame) -> DataFrame:
+    """The most frequent n-grams, ``HEAD`` at most: all whose count reaches the step that this number allows.
+
+    Steps are sixteenths of a doubling, so their table has some hundred rows
+    and no task sends the driver more than its share of the head.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    steps = sorted(scores.groupBy(step.alias("step")).count().collect(), reverse=True)
+    least, total = 1 << 30, 0
+    for s, n in steps:
+        if total + n > HEAD:
+            break
+        least, total = s, total + n
+    return scores.filter(step >= least)
+
+
 def log_perplexities(docs: DataFrame, scores: DataFrame) -> DataFrame:
     """(doc_id, lang, key, n, log_perplexity) for every row of ``docs`` (doc_id, lang, text, key).
 
@@ -167,12 +184,13 @@ def log_perplexities(docs: DataFrame, scores: DataFrame) -> DataFrame:
     with the same key have the same language and text.
     """
     spark = docs.sparkSession
-    ranked = scores.orderBy(F.desc("n"), "lang", "gram").limit(HEAD).toPandas()  # HEAD rows
+    ranked = _head(scores).select("lang", "gram", "score").toArrow().to_pandas()  # HEAD rows at most
     head = {lang: (part["gram"].to_numpy(np.int64), part["score"].to_numpy(float)) for lang, part in ranked.groupby("lang")}
     shared = spark.sparkContext.broadcast(head)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "lang", "key", "gram", "k", "n", "total"]
+        task_of("quality")
         index = {lang: (pd.Index(grams), values) for lang, (grams, values) in shared.value.items()}
 
         def out(batch, rows, lang, gram, k, n, total):
