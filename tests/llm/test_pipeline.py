@@ -1,12 +1,22 @@
 """The registered queries and the stages of the pipeline."""
 
+import functools
+import math
 import re
 
+from tokenizers import Tokenizer
+
 import __spark_entry__
 import corpus_pipeline
+from cohortwise.llm.bpe import public_path
 from cohortwise.llm.common import written
+from cohortwise.llm.quality import ORDER, SPREAD, STEP
 from cohortwise.llm.registry import LLM_REGISTRY
 
+from tests.llm.test_quality import plain_model
+from tests.llm.test_simhash import plain_classes, plain_fingerprint
+from tests.llm.test_suffix_dedup import brute
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -16,25 +26,53 @@ def test_every_operator_has_a_query():
     assert set(LLM_REGISTRY) <= set(__spark_entry__.queries())
 
 
-def test_stages(spark):
+def plain_quality(rows, labels):
+    """Ids that the classifier keeps: models, bounds and quantiles in plain Python."""
+    def fold(t):
+        return "".join(c if ord(c) < 4000 else chr(4000 + ord(c) % 96) for c in t)
+    good = {i for i in {x.doc_id for x in labels} if all(x.quality == 1 and not x.toxic for x in labels if x.doc_id == i)}
+    low, kept = {}, set()
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang]
+        trusted = [fold(r.text) for r in own if r.doc_id in good]
+        p = functools.cache(plain_model(trusted))
+        for r in own:
+            padded = "\n" * (ORDER - 1) + fold(r.text)
+            n = len(r.text)
+            low[r.doc_id] = -sum(math.log(p(padded[i:i + ORDER])) for i in range(n)) / n - SPREAD / math.sqrt(n) if n else None
+        bins = sorted(math.ceil(low[r.doc_id] / STEP) for r in own if r.doc_id in good)
+        value = STEP * next(b for k, b in enumerate(bins) if sum(x <= b for x in bins) >= 0.99 * len(bins))
+        kept |= {r.doc_id for r in own if low[r.doc_id] is None or low[r.doc_id] <= value + 0.1 * abs(value)}
+    return kept
+
+
+def test_stages_against_plain_python(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, before = docs.columns, {r.doc_id: r for r in docs.collect()}
-    counts = []
-    for name, stage in corpus_pipeline.STAGES:
+    labels = spark.read.parquet(f"{SF}/labels.parquet").collect()
+    columns, before = docs.columns, docs.collect()
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         docs = written(stage(spark, docs, SF), "stage")
-        if name != corpus_pipeline.STAGES[-1][0]:
-            assert docs.columns == columns
-            rows = docs.collect()
-            counts.append(len(rows))
-            assert {r.doc_id for r in rows} <= set(before)
-            if name != "suffix-array dedup":
-                assert all(r == before[r.doc_id] for r in rows)
-            before = {r.doc_id: r for r in rows}
-            assert len(before) == len(rows)
-            assert name != "suffix-array dedup" or all(r.n_chars == len(r.text) for r in rows)
-    assert counts[0] < 200 and counts[1] < counts[0] and counts[2] == counts[1]
-    packed = docs.collect()
-    assert {r.doc_id for r in packed} == set(before)
+        after = docs.collect()
+        if k < 3:
+            assert docs.columns == columns and len({r.doc_id for r in after}) == len(after)
+        if k == 0:
+            assert {r.doc_id for r in after} == plain_quality(before, labels) and set(after) <= set(before)
+        elif k == 1:
+            classes = plain_classes([(r.doc_id, plain_fingerprint(r.text)) for r in before])
+            assert {r.doc_id for r in after} == set(classes) and set(after) <= set(before) and len(after) < len(before)
+        elif k == 2:
+            left = brute([r.text.encode() for r in before], 200)
+            want = {r.doc_id: x[3].decode("utf-8", "ignore") for r, x in zip(before, left)}
+            assert {r.doc_id: r.text for r in after} == want and all(r.n_chars == len(r.text) for r in after)
+            assert any(r.text != want[r.doc_id] for r in before)
+        else:
+            library = Tokenizer.from_file(public_path("word_bpe_49k.json"))
+            ids = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in before}
+            held = {}
+            for r in after:
+                held[r.doc_id] = held.get(r.doc_id, 0) + r.length
+            assert held == ids
+        before = after
 
 
 def test_run(spark):
