@@ -205,15 +205,19 @@ def _chunks(queries: DataFrame, best: DataFrame | None, pivots: np.ndarray, dim:
                     bounded = kth > np.iinfo(np.int64).min
                     reach = np.where(bounded, _reach(m2, (q * q).sum(1), np.where(bounded, kth, 0)), np.inf)
                 home = d.argmin(1)
+                spans = []
                 for p in range(d.shape[1]):
-                    own = home == p
-                    yield pa.RecordBatch.from_pylist([{
-                        "chunk": row["chunk"], "q_x": row["x"], "q_ids": row["ids"], "q_d": d.tobytes(), "reach": reach.tobytes(), "kth": kth.tobytes(), "pivot": p,
-                        "near": float(d[:, p].min()), "far": float(d[:, p].max()), "own_near": float(d[own, p].min()) if own.any() else None, "own_far": float(d[own, p].max()) if own.any() else None,
-                        "most": float(min(reach.max(), 1e300))}], schema=pa.schema([("chunk", pa.int64()), ("q_x", pa.binary()), ("q_ids", pa.binary()), ("q_d", pa.binary()), ("reach", pa.binary()), ("kth", pa.binary()),
-                                                                                    ("pivot", pa.int32()), ("near", pa.float64()), ("far", pa.float64()), ("own_near", pa.float64()), ("own_far", pa.float64()), ("most", pa.float64())]))
+                    own = d[home == p, p]
+                    spans.append({"pivot": p, "near": float(d[:, p].min()), "far": float(d[:, p].max()),
+                                  "own_near": float(own.min()) if len(own) else None, "own_far": float(own.max()) if len(own) else None})
+                yield pa.RecordBatch.from_pylist([{
+                    "chunk": row["chunk"], "q_x": row["x"], "q_ids": row["ids"], "q_d": d.tobytes(), "reach": reach.tobytes(), "kth": kth.tobytes(),
+                    "most": float(min(reach.max(), 1e300)), "spans": spans}], schema=fields)
 
-    return chunks.mapInArrow(measure, "chunk bigint, q_x binary, q_ids binary, q_d binary, reach binary, kth binary, pivot int, near double, far double, own_near double, own_far double, most double")
+    span = pa.struct([("pivot", pa.int32()), *((c, pa.float64()) for c in ("near", "far", "own_near", "own_far"))])
+    fields = pa.schema([("chunk", pa.int64()), *((c, pa.binary()) for c in ("q_x", "q_ids", "q_d", "reach", "kth")), ("most", pa.float64()), ("spans", pa.list_(span))])
+    return chunks.mapInArrow(measure, "chunk bigint, q_x binary, q_ids binary, q_d binary, reach binary, kth binary, most double, "
+                             "spans array<struct<pivot: int, near: double, far: double, own_near: double, own_far: double>>")
 
 
 def top_k(vectors: DataFrame, query_filter, k: int) -> DataFrame:
@@ -253,20 +257,21 @@ def top_k(vectors: DataFrame, query_filter, k: int) -> DataFrame:
     best, visited = None, None
     for share in RINGS:
         chunks = _chunks(queries, best, pivots, dim, m2, most)
+        spans = chunks.select("chunk", "most", F.inline("spans"))
         if share == 0.0:
             near, far, ring = F.col("own_near"), F.col("own_far"), F.lit(0.0)
         else:
             near, far, ring = F.col("near"), F.col("far"), F.col("most") * F.lit(share)
         summary = blocks.select("block", "pivot", "inner", "outer")
-        span = chunks.select("chunk", "pivot", near.alias("near"), far.alias("far"), ring.alias("ring"))
+        span = spans.select("chunk", "pivot", near.alias("near"), far.alias("far"), ring.alias("ring"))
         open_ = (summary.join(span, "pivot").filter((F.col("outer") + F.col("ring") >= F.col("near")) & (F.col("inner") - F.col("ring") <= F.col("far")))
                  .select("chunk", "block"))
         if visited is not None:
             open_ = open_.join(visited, ["chunk", "block"], "left_anti")
         open_ = written(open_, "open")
         visited = open_ if visited is None else visited.unionByName(open_)
-        pairs = (open_.repartition(shuffle_width(spark) * 2, "chunk", "block")
-                 .join(blocks, "block").join(chunks.select("chunk", "pivot", "q_x", "q_ids", "q_d", "reach", "kth"), ["chunk", "pivot"]))
+        # packed rows are never broadcast, however small their files are
+        pairs = open_.join(chunks.drop("spans", "most").hint("merge"), "chunk").join(blocks.hint("merge"), "block")
         found = _visit(pairs, most, dim, m2)
         best = written(_best(found if best is None else best.unionByName(found), most), "best")
 
