@@ -13,13 +13,14 @@ The suffix array of a corpus is built in shards that have nothing in common:
   corpus they make up); that they are several is enough to remove them.
 * A shard holds the runs of many anchors, told by the anchor's hash, and is
   sorted in one task (``suffix_arrays``). The strings of an anchor with more text
-  than a shard are dealt by their own hash instead, so shards stay small.
+  than a shard are counted instead, by a 128-bit digest of their bytes, with the
+  copies folded in each task, so no task holds all copies of a string.
 
 Texts that are equal as a whole are not compared: they go, if long enough.
 
 Texts and anchors are told apart by 64-bit hashes (a clash of two texts' hashes
 could hide a repeat; about one in 40 million for a million texts). That bytes are equal is
-always found on the bytes.
+found on the bytes in a shard, and on BLAKE2b digests of 128 bits for large anchors.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
@@ -185,61 +186,117 @@ def _run_texts(texts: DataFrame, repeated: DataFrame, anchors: DataFrame, length
     return texts.join(marks, "text").select("data", "text", "marks").mapInArrow(look_up, schema)
 
 
-def _sorted_shards(entries: DataFrame, length: int) -> DataFrame:
+def _string_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(run_id, shift, digest as two numbers) of every string of some runs (run_id, run), some 65,536 at a time."""
+    ids, shifts, digests, held = [], [], [], 0
+    for batch in batches:
+        for run_id, run in zip(np.asarray(batch.column(0)).tolist(), batch.column(1)):
+            whole = run.as_py()
+            for a in range(0, len(whole) - length + 1, 1 << 16):
+                b = min(a + (1 << 16), len(whole) - length + 1)
+                ids.append(np.full(b - a, run_id, np.int64))
+                shifts.append(np.arange(a, b))
+                digests.append(b"".join([hashlib.blake2b(whole[k:k + length], digest_size=16).digest() for k in range(a, b)]))
+                held += b - a
+                if held >= 1 << 16:
+                    yield np.concatenate(ids), np.concatenate(shifts), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    ids, shifts, digests, held = [], [], [], 0
+    if held:
+        yield np.concatenate(ids), np.concatenate(shifts), np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+
+
+def _among(known: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """Which rows of ``digests`` are rows of ``known`` (sorted by the first number)."""
+    at, end = (np.searchsorted(known[:, 0], digests[:, 0], side=side) for side in ("left", "right"))
+    found = np.zeros(len(digests), bool)
+    for k in range(int((end - at).max(initial=0))):
+        found |= (at + k < end) & (known[np.minimum(at + k, len(known) - 1), 1] == digests[:, 1])
+    return found
+
+
+def _counted_strings(entries: DataFrame, length: int) -> DataFrame:
+    """(run_id, a, b) as ``_sorted_shards`` gives them, for anchors with any amount of text.
+
+    Strings are counted by their digest, folded in each task before anything is
+    shuffled, so a string that very many runs share is a row for each task.
+    """
+    spark = entries.sparkSession
+    runs_ = entries.select("run_id", "run")
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("suffix")
+        for _, _, d in _string_digests(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1])], names=["d0", "d1"])
+
+    counts = runs_.mapInArrow(digests, "d0 bigint, d1 bigint").groupBy("d0", "d1").agg(F.count(F.lit(1)).alias("n"))
+    again = written(counts.filter("n > 1").select("d0", "d1"), "strings")
+    if again.count() <= FEW_ANCHORS:
+        known = again.toArrow()
+        known = np.stack([known.column(k).to_numpy() for k in (0, 1)], axis=1)
+        shared = spark.sparkContext.broadcast(known[np.argsort(known[:, 0], kind="stable")])
+
+        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task_of("suffix")
+            for ids, shift, d in _string_digests(batches, length):
+                found = _among(shared.value, d)
+                ids, shift = ids[found], shift[found]
+                edge = np.flatnonzero(np.r_[True, (np.diff(ids) != 0) | (np.diff(shift) != 1)]) if len(ids) else np.empty(0, np.int64)
+                last = np.r_[edge[1:], len(ids)] - 1 if len(edge) else edge
+                yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(shift[edge]), pa.array(shift[last] + length)], names=["run_id", "a", "b"])
+
+        return runs_.mapInArrow(look_up, "run_id bigint, a bigint, b bigint")
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("suffix")
+        for ids, shift, d in _string_digests(batches, length):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shift), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["run_id", "shift", "d0", "d1"])
+
+    # a frequent string's places are many rows of one key: sorted on disk, and split by AQE
+    hit = runs_.mapInArrow(places, "run_id bigint, shift bigint, d0 bigint, d1 bigint").join(again, ["d0", "d1"], "left_semi")
+    island = F.col("shift") - F.row_number().over(Window.partitionBy("run_id").orderBy("shift"))
+    return (hit.select("run_id", "shift", island.alias("island")).groupBy("run_id", "island")
+            .agg(F.min("shift").alias("a"), (F.max("shift") + length).alias("b")).select("run_id", "a", "b"))
+
+
+def _repeated_strings(entries: DataFrame, length: int) -> DataFrame:
     """(run_id, a, b): the strings of each entry, by ranges of their starts, that stand somewhere else too.
 
-    ``entries`` holds run_id, anchor, run and several. The strings of an
-    anchor with more text than a shard are dealt one by one, by their hash.
+    ``entries`` holds run_id, anchor and run. Anchors with more text than a
+    shard have their strings counted, the others are sorted in shards.
     """
-    spark = entries.sparkSession
     sizes = entries.groupBy("anchor").agg(F.sum(F.octet_length("run")).alias("bytes"))
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    shards = buckets_for(spark, total, SHARD_BYTES, least=min(shuffle_width(spark), total // LEAST_SHARD + 1))
-    large = sizes.filter(F.col("bytes") > SHARD_BYTES).select("anchor", F.lit(True).alias("large"))
-    marked = entries.join(large, "anchor", "left")
+    large = written(sizes.filter(F.col("bytes") > SHARD_BYTES), "large")
+    n, in_large = large.agg(F.count(F.lit(1)), F.sum("bytes")).first()
+    total = (entries.agg(F.sum(F.octet_length("run"))).first()[0] or 0) - (in_large or 0)
+    if not n:
+        return _sorted_shards(entries, length, total)
+    ids = large.select("anchor")
+    return _sorted_shards(entries.join(ids, "anchor", "left_anti"), length, total).unionByName(_counted_strings(entries.join(ids, "anchor", "left_semi"), length))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, anchor, big = np.asarray(batch.column(0)), np.asarray(batch.column(1)), batch.column(3).to_pylist()
-            out = [[], [], [], []]
-            size = 0
-            for i, run in enumerate(batch.column(2)):
-                whole = run.as_py()
-                if not big[i]:
-                    parts = [(int(anchor[i]) & ((1 << 62) - 1), 0, whole)]
-                else:
-                    parts = ((int.from_bytes(hashlib.blake2b(whole[k:k + length], digest_size=8).digest(), "little") >> 2, k, whole[k:k + length]) for k in range(len(whole) - length + 1))
-                for shard, k, part in parts:
-                    for column, value in zip(out, (int(ids[i]), shard % shards, k, part)):
-                        column.append(value)
-                    size += len(part)
-                    if size > 2 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["run_id", "shard", "shift", "run"])
-                        out, size = [[], [], [], []], 0
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], names=["run_id", "shard", "shift", "run"])
-
-    dealt = marked.select("run_id", "anchor", "run", "large").mapInArrow(deal, "run_id bigint, shard bigint, shift bigint, run binary")
+
+def _sorted_shards(entries: DataFrame, length: int, total: int) -> DataFrame:
+    """(run_id, a, b) as ``_repeated_strings`` gives them, for anchors with no more text than a shard; ``total`` bytes."""
+    spark = entries.sparkSession
+    shards = buckets_for(spark, total, SHARD_BYTES, least=min(shuffle_width(spark), total // LEAST_SHARD + 1))
+    dealt = entries.select("run_id", F.pmod(F.col("anchor").bitwiseAND(F.lit((1 << 62) - 1)), F.lit(shards)).alias("shard"), "run")
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solved(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-            which, place = repeated_starts([run for _, _, run in held], length)
-            ids = np.array([r for r, _, _ in held], np.int64)
-            shift = np.array([s for _, s, _ in held], np.int64)
+        def solved(held: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            which, place = repeated_starts([run for _, run in held], length)
+            ids = np.array([r for r, _ in held], np.int64)
             edge = np.flatnonzero(np.r_[True, (np.diff(which) != 0) | (np.diff(place) != 1)]) if len(which) else np.empty(0, np.int64)
             last = np.r_[edge[1:], len(which)] - 1 if len(edge) else edge
-            w = which[edge]
-            return pa.RecordBatch.from_arrays([pa.array(ids[w]), pa.array(place[edge] + shift[w]), pa.array(place[last] + shift[w] + length)], names=["run_id", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(ids[which[edge]]), pa.array(place[edge]), pa.array(place[last] + length)], names=["run_id", "a", "b"])
 
         task_of("suffix")
         held, shard = [], None
         for batch in batches:
-            for r, s, k, run in zip(np.asarray(batch.column(0)).tolist(), np.asarray(batch.column(1)).tolist(), np.asarray(batch.column(2)).tolist(), batch.column(3).to_pylist()):
+            for r, s, run in zip(np.asarray(batch.column(0)).tolist(), np.asarray(batch.column(1)).tolist(), batch.column(2).to_pylist()):
                 if s != shard and held:
                     yield solved(held)
                     held = []
                 shard = s
-                held.append((r, k, run))
+                held.append((r, run))
         if held:
             yield solved(held)
 
@@ -263,9 +320,9 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int = 200) -> DataFra
     entries = found.groupBy("run_id", "anchor", "run").agg(
         F.min("text").alias("t0"), F.max("text").alias("t1"), F.min("first").alias("f0"), F.max("first").alias("f1"), F.max("count").alias("count"))
     entries = written(entries.withColumn("several", F.expr("t0 <> t1 or f0 <> f1")).select("run_id", "anchor", "run", "several", "count"), "entries")
-    in_shards = _sorted_shards(entries, length)
+    found_again = _repeated_strings(entries, length)
     several = entries.filter("several").select("run_id", F.lit(0).cast("bigint").alias("a"), (F.col("count") + (length - 1)).alias("b"))
-    hits = written(in_shards.unionByName(several), "hits")
+    hits = written(found_again.unionByName(several), "hits")
     spans = found.select("run_id", "text", "first").distinct().join(hits, "run_id").select("text", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     return spans.unionByName(whole).groupBy("text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 

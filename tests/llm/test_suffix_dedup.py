@@ -111,3 +111,33 @@ def test_a_cut_character_goes_whole(spark, docs):
     a, b = "x" * 10 + "é", "y" + "x" * 10 + "è"
     out = without_repeats(docs([(1, a), (2, b)]), "text", 11).orderBy("doc_id").collect()
     assert [r.text for r in out] == ["", "y"]
+
+
+@pytest.mark.parametrize("few", [4_000_000, 0])
+def test_a_passage_shared_by_many_is_folded(spark, monkeypatch, few):
+    """Each text has its own words before one passage: no shard holds its copies."""
+    monkeypatch.setattr(sd, "FEW_ANCHORS", few)
+    monkeypatch.setattr(sd, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(sd, "GRAM", 6)
+    plain = sd.repeated_starts
+
+    def bounded(held, length):
+        if sum(map(len, held)) > 6000:
+            raise AssertionError("a shard holds three times its bytes")
+        return plain(held, length)
+
+    monkeypatch.setattr(sd, "repeated_starts", bounded)
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    shared = word(45)
+    texts = [word(40) + shared + word(rng.randint(0, 30)) for _ in range(400)] + ["x" * 5000, word(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df, "text", 20, ()).collect()}
+    assert [got[i] for i in range(len(texts))] == rows_of(texts)
+
+
+def test_digests_with_equal_first_halves():
+    known = np.array([[1, 5], [3, 1], [3, 2], [3, 9]])
+    asked = np.array([[3, 9], [3, 4], [1, 5], [0, 5], [7, 7], [3, 2]])
+    assert sd._among(known, asked).tolist() == [True, False, True, False, False, True]
+    assert not sd._among(known[:0], asked).any()
