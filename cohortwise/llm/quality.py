@@ -39,6 +39,10 @@ AT_ONCE = 1 << 20
 STEP = 1e-3
 #: The mean over n characters is uncertain by about SPREAD / sqrt(n): a few characters can't condemn a text.
 SPREAD = 3.0
+#: Parts of the trusted documents, each scored by a model of the others for the threshold; 10 at most.
+FOLDS = 3
+#: Of the threshold's size, added to it.
+MARGIN = 0.0
 
 
 def _codes(column: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +251,38 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter("q = 1 and coalesce(t, 0) = 0").select("doc_id")
 
 
-def classify(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: float = 0.1) -> DataFrame:
+def _with_low(found: DataFrame) -> DataFrame:
+    return found.withColumn("low", F.round(F.col("log_perplexity") - F.lit(SPREAD) / F.sqrt("n"), 9))
+
+
+def _folded(trusted: DataFrame) -> DataFrame:
+    """``trusted`` with the fold of each text as the last character of ``lang``; equal texts of a language share a fold."""
+    fold = F.pmod(F.xxhash64("lang", "text"), F.lit(FOLDS)).cast("string")
+    return trusted.withColumn("lang", F.concat("lang", fold))
+
+
+def held_out(folded: DataFrame, counts: DataFrame) -> DataFrame:
+    """(lang, low) of trusted documents, each scored by a model that has seen no text of its fold.
+
+    ``folded`` comes from ``_folded``, ``counts`` are its n-grams. A fold that holds all of
+    a language's texts has no model; its ``low`` is null.
+    """
+    base, fold = F.expr("left(lang, length(lang) - 1)"), F.expr("right(lang, 1)")
+    for_others = F.explode(F.filter(F.array(*[F.lit(str(k)) for k in range(FOLDS)]), lambda k: k != fold))
+    others = counts.select(base.alias("base"), for_others.alias("fold"), "gram", "n").groupBy(F.concat("base", "fold").alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    model = written(kneser_ney(written(others, "others")), "heldout")
+    scores = written(gram_scores(counts, model), "heldscores")
+    return _with_low(log_perplexities(folded, scores)).select(base.alias("lang"), "low")
+
+
+def classify(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: float = MARGIN) -> DataFrame:
     """(doc_id, lang, n_chars, log_perplexity, low, threshold, keep) for every row of ``docs`` (doc_id, lang, text).
 
     The model of a language is trained on all its trusted documents (see
     ``trusted_ids``). A document's ``low`` is its log-perplexity less what so
     few characters leave uncertain (``SPREAD`` / sqrt(n)). The threshold of a
-    language is the ``share`` quantile of its trusted documents' ``low`` and
+    language is the ``share`` quantile of its trusted documents' ``low`` by models
+    without their fold (``held_out``; by the model itself if all its trusted text is in one fold) and
     ``margin`` of its size more; a document whose ``low`` is above it is rejected. Documents in a language without trusted text and texts without
     characters have no perplexity and are kept. A null language is a language
     of its own, a null text is empty, a null id is kept as it is; repeated rows
@@ -267,17 +296,23 @@ def _classified(docs: DataFrame, labels: DataFrame, share: float, margin: float)
     good = written(trusted_ids(labels), "trusted")
     # a few ids are broadcast, behind a count; more are joined by a shuffle
     of = F.broadcast(good) if good.count() <= FEW_IDS else good
-    model = written(kneser_ney(written(gram_counts(rows.join(of, "doc_id", "left_semi")), f"grams{ORDER}")), "model")
+    folded = _folded(rows.join(of, "doc_id", "left_semi"))
+    by_fold = written(gram_counts(folded), "folds")
+    counts = by_fold.groupBy(F.expr("left(lang, length(lang) - 1)").alias("lang"), "gram").agg(F.sum("n").alias("n"))
+    model = written(kneser_ney(written(counts, f"grams{ORDER}")), "model")
     scores = written(gram_scores(gram_counts(rows), model), "scores")
-    found = log_perplexities(rows, scores).withColumn("low", F.round(F.col("log_perplexity") - F.lit(SPREAD) / F.sqrt("n"), 9))
-    found = written(found, "perplexities")
-    limits = quantiles(found.join(of, "doc_id", "left_semi"), share).select("lang", (F.col("value") + F.abs("value") * F.lit(margin)).alias("threshold"))
+    found = written(_with_low(log_perplexities(rows, scores)), "perplexities")
+    own = quantiles(found.join(of, "doc_id", "left_semi"), share).withColumnRenamed("value", "own")
+    value = F.coalesce("value", "own")
+    # a row for each language
+    limits = (own.join(F.broadcast(quantiles(held_out(folded, by_fold), share)), "lang", "left")
+              .select("lang", (value + F.abs(value) * F.lit(margin)).alias("threshold")))
     keep = F.coalesce(F.col("low") <= F.col("threshold"), F.lit(True))
     # a row for each language
     return found.join(F.broadcast(limits), "lang", "left").select("doc_id", "lang", F.col("n").alias("n_chars"), "log_perplexity", "low", "threshold", keep.alias("keep"), "key")
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: float = 0.1) -> DataFrame:
+def kept_documents(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: float = MARGIN) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     gone = _classified(docs, labels, share, margin).filter(~F.col("keep")).select(F.col("key").alias("__key")).distinct()
     key = F.xxhash64("doc_id", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))

@@ -94,6 +94,25 @@ def test_held_out_labels(spark):
     assert len(junk) > 5 and sum(junk) / len(junk) < 0.4
 
 
+def test_threshold_from_texts_the_model_has_not_seen(spark):
+    """The quantile of trusted texts scored without their fold, and no margin on top."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    good = [" ".join(rng.choice(words) for _ in range(rng.randint(20, 40))) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(good)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    fold = {r.doc_id: r.fold for r in docs.selectExpr("doc_id", f"pmod(xxhash64(lang, text), {quality.FOLDS}) AS fold").collect()}
+    models = {f: plain_model([t for i, t in enumerate(good) if fold[i] != f]) for f in set(fold.values())}
+    assert len(models) > 1
+
+    def low(i, t):
+        padded = "\n" * (ORDER - 1) + t
+        return -sum(math.log(models[fold[i]](padded[k:k + ORDER])) for k in range(len(t))) / len(t) - quality.SPREAD / math.sqrt(len(t))
+    want = sorted(math.ceil(low(i, t) / quality.STEP) * quality.STEP for i, t in enumerate(good))[math.ceil(0.9 * 30) - 1]
+    got = {r.threshold for r in classify(docs, labels, share=0.9).collect()}
+    assert len(got) == 1 and got.pop() == pytest.approx(want, abs=1e-9)
+
+
 def test_nulls_empty_unknown_language_and_clashes(spark):
     rows = [(1, "a good text of some words", "en", 1), (2, None, "en", 2), (3, "", None, 3), (None, "#&%*!@ $$$$ ####", "en", 4), (None, "#&%*!@ $$$$ ####", "en", 4), (4, "text in no known language", None, 5)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, key int")
