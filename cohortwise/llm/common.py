@@ -11,6 +11,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortwise.session import ensure_checkpoint_dir
 
@@ -97,13 +98,33 @@ def utf8_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, off - off[0]
 
 
-def byte_rows(column: pa.Array | pa.ChunkedArray):
-    """Each value of a string or binary column as bytes, a null as no bytes."""
-    raw, off = utf8_parts(column)
-    view = memoryview(raw.tobytes() if not raw.flags.c_contiguous else raw)
-    ends = off.tolist()
-    for a, b in zip(ends, ends[1:]):
-        yield bytes(view[a:b])
+def binary_rows(x: np.ndarray) -> pa.Array:
+    """The rows of an array as a binary column of their bytes."""
+    raw = np.ascontiguousarray(x)
+    size = raw[0].nbytes if len(raw) else 0
+    off = pa.py_buffer((np.arange(len(raw) + 1) * size).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(raw), [None, off, pa.py_buffer(raw.tobytes())])
+
+
+#: A group with at least this share of the rows is joined by broadcast: there are 1 / HEAVY such groups at most.
+HEAVY = 0.001
+
+
+def join_groups(rows: DataFrame, key: str, groups: DataFrame, count: str) -> DataFrame:
+    """``rows`` with the columns of their group, where ``groups`` has a row for each ``key`` and its ``count`` of rows.
+
+    Nulls are one group; rows without a group are left out. Groups with a
+    ``HEAVY`` share of the counted rows, at most 1 / HEAVY of them, are joined
+    by broadcast and all others by a shuffle, so no key of it is hot.
+    """
+    groups = groups.withColumnRenamed(key, "__g")
+    every = groups.agg(F.sum(count).alias("__all"))  # one row
+    sized = groups.join(F.broadcast(every)).withColumn("__heavy", F.col(count) >= F.col("__all") * F.lit(HEAVY)).drop("__all", count)
+    heavy, light = (sized.filter(c).drop("__heavy") for c in ("__heavy", "not __heavy"))
+    more = [c for c in heavy.columns if c != "__g"]
+    met = rows.join(F.broadcast(heavy.withColumn("__met", F.lit(True))), F.col(key).eqNullSafe(F.col("__g")), "left").drop("__g")
+    rest = met.filter("__met is null").drop("__met", *more).join(light, F.col(key).eqNullSafe(F.col("__g"))).drop("__g")
+    return met.filter("__met").drop("__met").unionByName(rest)
 
 
 def slices_by_bytes(off: np.ndarray, most: int):

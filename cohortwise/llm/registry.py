@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from cohortwise.llm import bpe, fingerprints, packing, quality, sharding, simhash, suffix_dedup, topk, url_filters, warc
+from cohortwise.llm import bpe, codes, fingerprints, forest, merkle, packing, quality, sharding, simhash, suffix_dedup, topk, url_filters, warc
 
-LLM_REGISTRY = {**url_filters.QUERIES, **quality.QUERIES, **fingerprints.QUERIES, **simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES, **suffix_dedup.QUERIES,
+LLM_REGISTRY = {**url_filters.QUERIES, **quality.QUERIES, **fingerprints.QUERIES, **simhash.QUERIES, **packing.QUERIES, **warc.QUERIES, **topk.QUERIES, **sharding.QUERIES, **bpe.QUERIES, **suffix_dedup.QUERIES, **forest.QUERIES, **codes.QUERIES, **merkle.QUERIES,
                 "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL)}
