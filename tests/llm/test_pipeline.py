@@ -10,7 +10,7 @@ import __spark_entry__
 import corpus_pipeline
 from cohortwise.llm.bpe import public_path
 from cohortwise.llm.common import written
-from cohortwise.llm.quality import ORDER, SPREAD, STEP
+from cohortwise.llm.quality import FOLDS, MARGIN, ORDER, SPREAD, STEP
 from cohortwise.llm.registry import LLM_REGISTRY
 
 from tests.llm.test_quality import plain_model
@@ -22,27 +22,40 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in LLM_REGISTRY if n != "pipeline")
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(LLM_REGISTRY) <= set(__spark_entry__.queries())
 
 
-def plain_quality(rows, labels):
-    """Ids that the classifier keeps: models, bounds and quantiles in plain Python."""
-    def fold(t):
+def plain_quality(spark, rows, labels):
+    """Ids that the classifier keeps: models, bounds, folds and quantiles in plain Python."""
+    def plain(t):
         return "".join(c if ord(c) < 4000 else chr(4000 + ord(c) % 96) for c in t)
+
+    def bound(p, t):
+        padded = "\n" * (ORDER - 1) + plain(t)
+        return -sum(math.log(p(padded[i:i + ORDER])) for i in range(len(t))) / len(t) - SPREAD / math.sqrt(len(t)) if t else None
+
+    def quantile(lows):
+        bins = sorted(math.ceil(x / STEP) for x in lows if x is not None)
+        return STEP * next(b for b in bins if sum(x <= b for x in bins) >= 0.99 * len(bins)) if bins else None
     good = {i for i in {x.doc_id for x in labels} if all(x.quality == 1 and not x.toxic for x in labels if x.doc_id == i)}
-    low, kept = {}, set()
+    fold = {r.doc_id: r.fold for r in spark.createDataFrame(rows).selectExpr("doc_id", f"pmod(xxhash64(lang, text), {FOLDS}) AS fold").collect()}
+    kept = set()
     for lang in {r.lang for r in rows}:
         own = [r for r in rows if r.lang == lang]
-        trusted = [fold(r.text) for r in own if r.doc_id in good]
-        p = functools.cache(plain_model(trusted))
-        for r in own:
-            padded = "\n" * (ORDER - 1) + fold(r.text)
-            n = len(r.text)
-            low[r.doc_id] = -sum(math.log(p(padded[i:i + ORDER])) for i in range(n)) / n - SPREAD / math.sqrt(n) if n else None
-        bins = sorted(math.ceil(low[r.doc_id] / STEP) for r in own if r.doc_id in good)
-        value = STEP * next(b for k, b in enumerate(bins) if sum(x <= b for x in bins) >= 0.99 * len(bins))
-        kept |= {r.doc_id for r in own if low[r.doc_id] is None or low[r.doc_id] <= value + 0.1 * abs(value)}
+        trusted = [r for r in own if r.doc_id in good]
+        p = functools.cache(plain_model([plain(r.text) for r in trusted]))
+        low = {r.doc_id: bound(p, r.text) for r in own}
+        unseen = []
+        for f in {fold[r.doc_id] for r in trusted}:
+            others = [plain(r.text) for r in trusted if fold[r.doc_id] != f]
+            if others:
+                q = functools.cache(plain_model(others))
+                unseen += [bound(q, r.text) for r in trusted if fold[r.doc_id] == f]
+        value = quantile(unseen)
+        if value is None:
+            value = quantile([low[r.doc_id] for r in trusted])
+        kept |= {i for i, x in low.items() if x is None or value is None or round(x, 9) <= value + MARGIN * abs(value) + 1e-12}
     return kept
 
 
@@ -56,7 +69,7 @@ def test_stages_against_plain_python(spark):
         if k < 3:
             assert docs.columns == columns and len({r.doc_id for r in after}) == len(after)
         if k == 0:
-            assert {r.doc_id for r in after} == plain_quality(before, labels) and set(after) <= set(before)
+            assert {r.doc_id for r in after} == plain_quality(spark, before, labels) and set(after) <= set(before)
         elif k == 1:
             classes = plain_classes([(r.doc_id, plain_fingerprint(r.text)) for r in before])
             assert {r.doc_id for r in after} == set(classes) and set(after) <= set(before) and len(after) < len(before)
