@@ -54,14 +54,31 @@ def criteria_reason_col() -> Column:
                            F.lit(" km pre-filter bound"))))
 
 
-def criteria_report(listings: DataFrame, searches: DataFrame, search_ids: list) -> DataFrame:
-    """C4/C6/C7 with reasons: every listing against the searches named, with the first failing reason.
+#: Searches of a block, and the parts of the listings that meet each block on a key of their own.
+REPORT_BLOCK, REPORT_PARTS = 64, 64
 
-    A report for the few searches that someone asks about, whose ids are in the
-    plan; what passes for all searches comes from ``criteria_pass_banded``.
+
+def criteria_report(listings: DataFrame, searches: DataFrame) -> DataFrame:
+    """C4/C6/C7 with reasons: every listing against every one of ``searches``, with the first failing reason.
+
+    A report for a stated set of searches; what passes for all searches comes
+    from ``criteria_pass_banded``, and how many fail at each rule from ``reason_counts``.
+    The searches are numbered and packed into blocks of ``REPORT_BLOCK``, and a
+    listing meets a block by an equi-join on (block, its part of the listings),
+    so neither a product nor a key with all listings arises.
     """
-    s = complete_searches(searches.where(F.col("search_id").isin(*search_ids)))
-    joined = listings.join(F.broadcast(s))
+    from cohortwise.operators.prefix import row_position
+
+    s = complete_searches(searches)
+    packed = (row_position(s.select("search_id", F.struct(*[c for c in s.columns if c != "search_id"]).alias("_s")).withColumn("_all", F.lit(0)), ["_all"], [F.col("search_id")])
+              .groupBy(F.floor(F.col("_before") / REPORT_BLOCK).alias("_block")).agg(F.collect_list(F.struct("search_id", "_s.*")).alias("_block_searches"))
+              .withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(REPORT_PARTS - 1)))))
+    blocks = s.select(F.count(F.lit(1))).scalar()
+    last = F.floor((blocks - 1) / REPORT_BLOCK)
+    some = listings.withColumn("_part", F.pmod(F.xxhash64("listing_id"), F.lit(REPORT_PARTS)).cast("int"))
+    some = some.withColumn("_block", F.explode(F.when(last >= 0, F.sequence(F.lit(0).cast("bigint"), last))))
+    joined = some.join(packed, ["_block", "_part"]).drop("_block", "_part")
+    joined = joined.select(*[c for c in joined.columns if c != "_block_searches"], F.inline("_block_searches"))
     joined = joined.withColumn(
         "_dist_raw", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(),
                             haversine_km("lat", "lon", "anchor_lat", "anchor_lon")))
@@ -69,6 +86,38 @@ def criteria_report(listings: DataFrame, searches: DataFrame, search_ids: list)
             .withColumn("distance_km", pyround(F.col("_dist_raw"), 3)))
 
 
+#: The rules in the order that they are tried, each with the step of ``ranges.chain_counts`` that tells who is left.
+RULES = (("price below minimum", 1), ("price above maximum", 2), ("beds below minimum", 3), ("beds above maximum", 4), ("baths below minimum", 5),
+         ("baths above maximum", 6), ("sqft below minimum", 7), ("sqft above maximum", 8), ("listed too long ago", 10), ("property type not allowed", 11))
+BEYOND, PASSED = "beyond the distance bound", "passed"
+
+
+def reason_counts(listings: DataFrame, passed: DataFrame, searches: DataFrame) -> DataFrame:
+    """C4 for every search: (search_id, reason, n), how many listings fail first at each rule, or pass; no rows of n = 0.
+
+    No listing is paired with a search for it: the counts after each rule are
+    orthogonal range counts (``ranges.chain_counts``), and ``passed`` (what
+    ``criteria_pass_banded`` gives for these listings) tells who is left after the distance.
+    """
+    from cohortwise.operators.ranges import Dimension, chain_counts
+
+    s = complete_searches(searches)
+    dims = [Dimension("price", "price_min", "price_max"), Dimension("beds", "beds_min", "beds_max"), Dimension("baths", "baths_min", "baths_max"),
+            Dimension("sqft", "sqft_min", "sqft_max"), Dimension("days_on_market", None, "max_age_days")]
+    among = ("property_type", "property_types") if "property_types" in searches.columns else None
+    steps = chain_counts(listings, s, "search_id", dims, among)
+    per = steps.groupBy("search_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("m"))  # a dozen steps
+    met = passed.groupBy("search_id").agg(F.count(F.lit(1)).alias("_passed"))
+    per = per.join(met, "search_id", "left").withColumn("_passed", F.coalesce("_passed", F.lit(0)))
+    counts, before = [], F.col("m")[0]
+    for rule, step in RULES if among else RULES[:-1]:
+        left = F.col("m")[step]
+        counts.append(F.struct(F.lit(rule).alias("reason"), (before - left).alias("n")))
+        before = left
+    counts += [F.struct(F.lit(BEYOND).alias("reason"), (before - F.col("_passed")).alias("n")), F.struct(F.lit(PASSED).alias("reason"), F.col("_passed").alias("n"))]
+    return per.select("search_id", F.inline(F.array(*counts))).where("n > 0")
+
+
 def pass_counts(kept: DataFrame, passed: DataFrame, searches: DataFrame) -> DataFrame:
     """C5 for every search: how many kept rows pass, and how many don't."""
     n = kept.select(F.count(F.lit(1))).scalar()

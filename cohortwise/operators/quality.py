@@ -66,44 +66,39 @@ def dedupe(valid: DataFrame, order_col: str = "seq") -> DataFrame:
     return keyed.join(first, keyed[order_col] == first["_o"], "left_semi")
 
 
-def duplicates(valid: DataFrame, kept: DataFrame, id_col: str = "listing_id") -> DataFrame:
-    """H2: valid rows that dedupe dropped (keyed difference)."""
-    return valid.join(kept.select(id_col), id_col, "left_anti")
-
-
-# Undecided rows (three numbers or short texts each) up to this many are decided by one task at once.
-FINISH_ROWS = 200_000
+def duplicates(valid: DataFrame, kept: DataFrame, order_col: str = "seq") -> DataFrame:
+    """H2: valid rows that dedupe dropped (difference on the order column, which tells rows apart even where ids repeat)."""
+    return valid.join(kept.select(order_col), order_col, "left_anti")
 
 
 def dedupe_exact(valid: DataFrame, id_col: str = "listing_id", order_col: str = "seq") -> DataFrame:
     """C3 when ids repeat: the greedy rule exactly.
 
-    Greedy rule (in ``order_col`` order): keep a row unless an already *kept*
-    row has its id, or its (address key, price); dropped rows block nothing.
-    Two chained windows get this wrong (rows (i1,k1), (i2,k1), (i2,k2) keep
-    rows 1 and 3). Each round keeps every undecided row that is the earliest
-    undecided row of both its id group and its key group -- all earlier rows
-    of both groups were dropped, so the greedy rule keeps it -- then drops the
-    undecided rows sharing an id or key with a row just kept. Rounds go on
-    until no row is undecided; only undecided rows are carried, and only their
-    id, key and order. The globally earliest always qualifies, so every round
-    decides rows. Long chains, of which a round decides one link, are a few
-    rows: once no more than ``FINISH_ROWS`` are undecided, one task goes through
-    them in order. The whole rows are joined back once. ``order_col`` must be
-    unique.
+    Greedy rule (in ``order_col`` order, which must be unique): keep a row
+    unless an already *kept* row has its id, or its (address key, price);
+    dropped rows block nothing. Two chained windows get this wrong (rows
+    (i1,k1), (i2,k1), (i2,k2) keep rows 1 and 3).
+
+    Works in rounds over the undecided rows, of which only id, key and order
+    are carried. A row that no earlier undecided row shares its id or key
+    with is kept. A row with just one such rival stays if that one does not, so
+    it hangs on it; along a chain of those the decision alternates, and
+    ``_chain_parity`` finds every row's distance from the chain's head with a
+    number of joins that grows with the logarithm of its length. Rows that
+    share an id or key with a row just kept go. The earliest undecided row is
+    always decided, so the rounds end. The whole rows are joined back once.
     """
     keyed = with_address_key(valid)
     undecided = _pinned(keyed.select(F.col(id_col).alias("_i"), *_dedupe_keys(keyed, order_col), F.col(order_col).alias("_o")))
     kept = []
-    while (n := undecided.count()) > FINISH_ROWS:
-        first_id = undecided.groupBy("_i").agg(F.min("_o").alias("_fi"))
-        first_key = undecided.groupBy("_k", "_p").agg(F.min("_o").alias("_fk"))
-        keep = _pinned(undecided.join(first_id, "_i").join(first_key, ["_k", "_p"])
-                       .where((F.col("_o") == F.col("_fi")) & (F.col("_o") == F.col("_fk"))).select("_i", "_k", "_p", "_o"))
+    while not undecided.isEmpty():
+        ranked = _pinned(_rivals(undecided))
+        heads = ranked.where("_n = 0")
+        chained = _chain_parity(ranked.where("_n = 1").select("_o", F.col("_rival").alias("_to")), heads.select("_o"))
+        even = chained.where("_even").select("_o")
+        keep = _pinned(heads.select("_i", "_k", "_p", "_o").unionByName(ranked.join(even, "_o", "left_semi").select("_i", "_k", "_p", "_o")))
         kept.append(keep.select("_o"))
-        undecided = _pinned(undecided.join(keep.select("_i"), "_i", "left_anti").join(keep.select("_k", "_p"), ["_k", "_p"], "left_anti"))
-    if n:
-        kept.append(_greedy(undecided))
+        undecided = _pinned(undecided.join(keep.select("_i"), "_i", "left_anti").join(keep.select("_k", "_p").distinct(), ["_k", "_p"], "left_anti"))
     if not kept:
         return keyed
     winners = kept[0]
@@ -112,25 +107,48 @@ def dedupe_exact(valid: DataFrame, id_col: str = "listing_id", order_col: str =
     return keyed.join(winners, keyed[order_col] == winners["_o"], "left_semi")
 
 
+def _rivals(rows: DataFrame) -> DataFrame:
+    """``rows`` with _n, the number of earlier rows of the same id or key (2: or more), and _rival, the only one if there is one.
+
+    The first and second of each group are found by aggregates that combine
+    map-side, not by sorting a group.
+    """
+    def first_two(df: DataFrame, by: list[str], tag: str) -> DataFrame:
+        least = df.groupBy(*by).agg(F.min("_o").alias(f"_{tag}1"))
+        known = df.join(least, by)
+        second = known.where(F.col("_o") != F.col(f"_{tag}1")).groupBy(*by).agg(F.min("_o").alias(f"_{tag}2"))
+        return known.join(second, by, "left")
+    both = first_two(first_two(rows, ["_i"], "i"), ["_k", "_p"], "k")
+
+    def place(tag: str) -> Column:
+        return F.when(F.col("_o") == F.col(f"_{tag}1"), 0).when(F.col("_o") == F.col(f"_{tag}2"), 1).otherwise(2)
+    i, k = place("i"), place("k")
+    n = F.when((i == 1) & (k == 1) & (F.col("_i1") == F.col("_k1")), 1).otherwise(F.least(i + k, F.lit(2)))
+    return both.select("_i", "_k", "_p", "_o", n.alias("_n"), F.when(i == 1, F.col("_i1")).otherwise(F.col("_k1")).alias("_rival"))
+
+
+def _chain_parity(links: DataFrame, heads: DataFrame) -> DataFrame:
+    """(_o, _even) of the rows of ``links`` (_o, _to) whose chain ends at one of ``heads``: whether an even number of links leads there.
+
+    Pointer doubling: each pass replaces a row's pointer by its target's, so
+    the passes grow with the logarithm of the longest chain. A row that
+    reaches the end takes no further part, so the end is never a join key that
+    a whole chain shares.
+    """
+    kinds = links.select(F.col("_o").alias("_to"), F.lit(False).alias("_end")).unionByName(heads.select(F.col("_o").alias("_to"), F.lit(True).alias("_end")))
+    known = links.join(kinds, "_to", "left")
+    # _done: the pointer's target is not in links itself; _sure: it is a head
+    table = _pinned(known.select("_o", "_to", F.coalesce(F.col("_end"), F.lit(True)).alias("_done"), F.coalesce("_end", F.lit(False)).alias("_sure"), F.lit(False).alias("_even")))
+    while not table.where("not _done").isEmpty():
+        target = table.select(F.col("_o").alias("_to"), F.col("_to").alias("_to2"), F.col("_done").alias("_done2"), F.col("_sure").alias("_sure2"), F.col("_even").alias("_even2"))
+        moved = table.where("not _done").join(target, "_to").select("_o", F.col("_to2").alias("_to"), F.col("_done2").alias("_done"), F.col("_sure2").alias("_sure"),
+                                                                    (F.col("_even") == F.col("_even2")).alias("_even"))
+        table = _pinned(table.where("_done").unionByName(moved))
+    return table.where("_sure").select("_o", "_even")
+
+
 def _pinned(df: DataFrame) -> DataFrame:
     from cohortwise.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def _greedy(undecided: DataFrame) -> DataFrame:
-    """The greedy rule over a bounded number of rows, in one task."""
-    def scan(batches):
-        ids, keys = set(), set()
-        for pdf in batches:
-            out = []
-            for i, k, p, o in zip(pdf["_i"], pdf["_k"], pdf["_p"], pdf["_o"]):
-                if i not in ids and (k, p) not in keys:
-                    ids.add(i)
-                    keys.add((k, p))
-                    out.append(o)
-            yield pdf[pdf["_o"].isin(out)][["_o"]]
-
-    kind = undecided.schema["_o"].dataType.simpleString()
-    return undecided.repartition(1).sortWithinPartitions("_o").mapInPandas(scan, f"_o {kind}")

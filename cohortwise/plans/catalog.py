@@ -94,9 +94,55 @@ def q_dedupe_repeated_ids(spark, sf_dir):
     return Pipeline(t, source=first.unionByName(again), unique_ids=False).kept().select("listing_id", "seq", "address_key", "price")
 
 
+@register("dedupe_chain", """SELECT o_orderkey AS listing_id, o_orderkey AS seq FROM (
+  SELECT o_orderkey, row_number() OVER (PARTITION BY run ORDER BY o_orderkey) AS place FROM (
+    SELECT o_orderkey, o_orderkey - row_number() OVER (ORDER BY o_orderkey) AS run FROM orders)) WHERE place % 2 = 1""")
+def q_dedupe_chain(spark, sf_dir):
+    """C3 on orders that share an id with the key before and an address with the key after, so that each run of keys is one chain."""
+    from cohortwise.operators.quality import dedupe_exact
+
+    key = F.col("o_orderkey")
+    rows = tables(spark, sf_dir).orders.select(key.alias("seq"), F.floor((key + 1) / 2).alias("link"), F.concat(F.floor(key / 2).cast("string"), F.lit(" Chain Road NW")).alias("address"), F.lit(1).alias("price"))
+    return dedupe_exact(rows, id_col="link").select(F.col("seq").alias("listing_id"), "seq")
+
+
 @register("criteria_reason", O.with_chain("SELECT search_id, listing_id, criteria_reason, distance_km FROM rep"))
 def q_criteria_reason(spark, sf_dir):
-    return _p(spark, sf_dir).report([1, 2]).select("search_id", "listing_id", "criteria_reason", "distance_km")
+    """The searches whose id is divisible by 20, against every kept listing."""
+    return _p(spark, sf_dir).report(F.col("search_id") % 20 == 0).select("search_id", "listing_id", "criteria_reason", "distance_km")
+
+
+# Searches with every kind of bound, some of them null, and listings with nulls.
+_BOUNDED = ("SELECT * EXCLUDE (beds_min), CASE WHEN search_id % 11 = 0 THEN NULL ELSE beds_min END AS beds_min, "
+            "CASE WHEN search_id % 3 = 0 THEN CAST(beds_min + 2 AS INTEGER) END AS beds_max, CASE WHEN search_id % 4 = 0 THEN CAST(baths_min + 1 AS INTEGER) END AS baths_max, "
+            "CASE WHEN search_id % 5 = 0 THEN CAST(800 + search_id % 7 * 50 AS INTEGER) END AS sqft_min, CASE WHEN search_id % 2 = 0 THEN CAST(1500 + search_id % 9 * 100 AS INTEGER) END AS sqft_max, "
+            "CASE search_id % 6 WHEN 0 THEN [' house', 'CONDO'] WHEN 1 THEN ['Townhouse'] WHEN 2 THEN []::VARCHAR[] END AS property_types FROM srch")
+_REASON_SQL = """SELECT search_id, reason, count(*) AS n FROM (SELECT s.search_id, CASE
+  WHEN k.price < s.price_min THEN 'price below minimum' WHEN k.price > s.price_max THEN 'price above maximum'
+  WHEN k.beds < s.beds_min THEN 'beds below minimum' WHEN k.beds > s.beds_max THEN 'beds above maximum'
+  WHEN k.baths < s.baths_min THEN 'baths below minimum' WHEN k.baths > s.baths_max THEN 'baths above maximum'
+  WHEN k.sqft < s.sqft_min THEN 'sqft below minimum' WHEN k.sqft > s.sqft_max THEN 'sqft above maximum'
+  WHEN k.days_on_market > s.max_age_days THEN 'listed too long ago'
+  WHEN len(s.property_types) > 0 AND k.property_type <> '' AND NOT list_contains([lower(trim(t)) for t in s.property_types], lower(trim(k.property_type))) THEN 'property type not allowed'
+  WHEN """ + O.haversine("k.lat", "k.lon", "s.anchor_lat", "s.anchor_lon") + """ > s.geo_bound_km THEN 'beyond the distance bound' ELSE 'passed' END AS reason
+FROM kept k CROSS JOIN bounded s) GROUP BY search_id, reason"""
+
+
+def _bounded(searches: DataFrame) -> DataFrame:
+    """The searches with every kind of bound, some of them null."""
+    i = F.col("search_id")
+    none = F.array().cast("array<string>")
+    kinds = F.when(i % 6 == 0, F.array(F.lit(" house"), F.lit("CONDO"))).when(i % 6 == 1, F.array(F.lit("Townhouse"))).when(i % 6 == 2, none)
+    return (searches.withColumn("beds_max", F.when(i % 3 == 0, F.col("beds_min") + 2)).withColumn("baths_max", F.when(i % 4 == 0, F.col("baths_min") + 1))
+            .withColumn("sqft_min", F.when(i % 5 == 0, 800 + i % 7 * 50)).withColumn("sqft_max", F.when(i % 2 == 0, 1500 + i % 9 * 100))
+            .withColumn("beds_min", F.when(i % 11 != 0, F.col("beds_min"))).withColumn("property_types", kinds))
+
+
+@register("reason_counts", O.with_chain(f"SELECT * FROM (WITH bounded AS MATERIALIZED ({_BOUNDED}) {_REASON_SQL})"))
+def q_reason_counts(spark, sf_dir):
+    """How many kept listings fail first at each rule, for every search."""
+    t = tables(spark, sf_dir)
+    return Pipeline(t, searches=_bounded(t.v_search)).reason_counts()
 
 
 @register("pass_reject_counts", O.with_chain(

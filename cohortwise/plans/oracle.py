@@ -144,7 +144,7 @@ def _chain() -> list[tuple[str, str]]:
         ("kept", "SELECT * FROM keyed QUALIFY address_key = '' OR row_number() OVER (PARTITION BY address_key, coalesce(price, 0) ORDER BY seq) = 1"),
         ("dups", "SELECT * FROM keyed WHERE listing_id NOT IN (SELECT listing_id FROM kept)"),
         ("srch", "SELECT *, max_commute_min / 60e0 * CASE WHEN commute_mode = 'driving' THEN 80e0 ELSE 40e0 END AS geo_bound_km FROM v_search"),
-        ("rep0", f"SELECT k.*, s.*, CASE WHEN k.lat IS NOT NULL AND k.lon IS NOT NULL THEN {haversine('k.lat', 'k.lon', 's.anchor_lat', 's.anchor_lon')} END AS _dist_raw FROM kept k CROSS JOIN srch s WHERE s.search_id IN (1, 2)"),
+        ("rep0", f"SELECT k.*, s.*, CASE WHEN k.lat IS NOT NULL AND k.lon IS NOT NULL THEN {haversine('k.lat', 'k.lon', 's.anchor_lat', 's.anchor_lon')} END AS _dist_raw FROM kept k CROSS JOIN srch s WHERE s.search_id % 20 = 0"),
         ("rep", f"SELECT *, {_criteria_reason()} AS criteria_reason, {rnd('_dist_raw', 3)} AS distance_km FROM rep0"),
         ("scr0", f"SELECT k.*, s.*, CASE WHEN k.lat IS NOT NULL AND k.lon IS NOT NULL THEN {haversine('k.lat', 'k.lon', 's.anchor_lat', 's.anchor_lon')} END AS _dist_raw FROM kept k JOIN srch s ON k.price BETWEEN s.price_min AND s.price_max AND k.beds >= s.beds_min AND k.baths >= s.baths_min AND k.days_on_market <= s.max_age_days AND abs(k.lat - s.anchor_lat) <= s.geo_bound_km / 100e0"),
         ("passed", f"SELECT *, {rnd('_dist_raw', 3)} AS distance_km FROM scr0 WHERE ({_criteria_reason()}) IS NULL"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortwise.operators import criteria as C
@@ -97,9 +97,13 @@ class Pipeline:
     def duplicates(self) -> DataFrame:
         return self._m("dups", lambda: Q.duplicates(self.valid(), self.kept()))
 
-    def report(self, search_ids: list) -> DataFrame:
-        """Every kept listing against the searches named, with its first failing reason."""
-        return C.criteria_report(self.kept(), self._search(), search_ids)
+    def report(self, which: Column) -> DataFrame:
+        """Every kept listing against the searches that ``which`` holds for, with its first failing reason."""
+        return C.criteria_report(self.kept(), self._search().where(which))
+
+    def reason_counts(self) -> DataFrame:
+        """How many kept listings fail first at each rule of every search."""
+        return self._m("reason_counts", lambda: C.reason_counts(self.kept(), self.passed(), self._search()))
 
     def pass_counts(self) -> DataFrame:
         return self._m("pass_counts", lambda: C.pass_counts(self.kept(), self.passed(), self._search()))

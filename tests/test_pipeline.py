@@ -112,7 +112,7 @@ def test_price_drop_is_reconsidered_after_upsert(spark):
               "baths double, sqft long, property_type string, list_date string, lat double, lon double")
     sightings = spark.createDataFrame([first], schema)
     before = upsert(sightings, source_cols=cols[3:]).drop("stage", "reject_reason", "first_seen", "last_seen")
-    reasons = {r.search_id: r.criteria_reason for r in Pipeline(t, source=before, searches=_near(spark)).report([1, 2]).collect()}
+    reasons = {r.search_id: r.criteria_reason for r in Pipeline(t, source=before, searches=_near(spark)).report(F.col("search_id").isin(1, 2)).collect()}
     assert reasons[1] == "price $900,000 above maximum"
     after = upsert(spark.createDataFrame([first, again], schema), source_cols=cols[3:]) \
         .drop("stage", "reject_reason", "first_seen", "last_seen")
