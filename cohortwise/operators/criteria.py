@@ -12,8 +12,31 @@ OPTIONAL_SEARCH_COLS = {"beds_max": "int", "baths_max": "int", "sqft_min": "int"
                         "property_types": "array<string>"}
 
 
+# What a bound becomes that a search leaves unset.
+SEARCH_DEFAULTS = {"price_min": 600_000, "price_max": 800_000, "beds_min": 3, "baths_min": 2, "max_commute_min": 20, "commute_mode": "driving",
+                   "max_age_days": 30, "w_value": 0.34, "w_location": 0.33, "w_freshness": 0.33, "anchor_lat": 0.0, "anchor_lon": 0.0}
+DEFAULT_TYPES = ("House", "Townhouse", "Duplex")
+
+
+def with_defaults(searches: DataFrame) -> DataFrame:
+    """Unset (null) criteria become the defaults.
+
+    Bounds that are optional (``OPTIONAL_SEARCH_COLS`` but the types) stay null, which passes
+    everything. Null types become the default ones, an empty list allows all; without a
+    column of types no search restricts them. A column that is absent is left to the default for all.
+    """
+    for c, v in SEARCH_DEFAULTS.items():
+        if c not in searches.columns:
+            searches = searches.withColumn(c, F.lit(v))
+        else:
+            searches = searches.withColumn(c, F.coalesce(F.col(c), F.lit(v).cast(searches.schema[c].dataType)))
+    if "property_types" in searches.columns:
+        searches = searches.withColumn("property_types", F.coalesce("property_types", F.array(*[F.lit(t) for t in DEFAULT_TYPES])))
+    return searches
+
+
 def complete_searches(searches: DataFrame) -> DataFrame:
-    """Add absent optional bounds as nulls and the derived distance bound."""
+    """Add absent optional bounds as nulls and the derived distance bound (null, no bound, where the minutes are unset)."""
     for c, t in OPTIONAL_SEARCH_COLS.items():
         if c not in searches.columns:
             searches = searches.withColumn(c, F.lit(None).cast(t))
@@ -146,19 +169,6 @@ def field_health(df: DataFrame, group_col: str = "source", threshold: float = 0.
                           | (F.col("beds_share") < threshold))
 
 
-BAND_CELL_DEG = 0.1
-# Prices are banded by this ratio: a search reaches a few bands, or all (some 200) if it has no upper bound.
-PRICE_RATIO = 1.2
-MAX_BAND = 240
-
-
-def _price_band(price: Column) -> Column:
-    """Band of a price; -1 for none (which passes any bound), 0 for all below one."""
-    p = price.cast("double")
-    return F.when(p.isNull(), -1).when(p < 1, 0).otherwise(
-        F.least(F.floor(F.log(p) / F.log(F.lit(PRICE_RATIO))) + 1, F.lit(MAX_BAND))).cast("int")
-
-
 def lon_cells(lon: Column, reach: Column, cell_deg: float) -> Column:
     """The distinct columns of cells within ``reach`` degrees of a longitude, across the 180th meridian too."""
     low, high = lon - reach, lon + reach
@@ -176,34 +186,51 @@ def lon_cell(lon: Column, cell_deg: float) -> Column:
     return F.floor((lon + 180.0) / cell_deg).cast("bigint")
 
 
-def criteria_pass_banded(listings: DataFrame, searches: DataFrame, cell_deg: float = BAND_CELL_DEG) -> DataFrame:
-    """C4/C7 pass set for any number of searches, without the listings x searches product.
+def _reach_boxes() -> Column:
+    """The boxes of (lat, lon, price) that a search can reach, as arrays of lower and upper ends.
 
-    Every validated listing has coordinates, and a pass needs the haversine
-    distance within the search's bound and the price within its bounds. So each
-    search is exploded over the cells and price bands that it can reach and
-    equi-joined to listings on their own cell and band (one of each, so each
-    pair meets once); the exact rules then run on the candidate pairs. Returns
-    passing pairs only (``criteria_reason`` is null by construction).
+    Two boxes more where it reaches across the 180th meridian; listings without
+    a price lie at -1, which every search reaches. An unset distance bound reaches everywhere.
     """
     from cohortwise.functions.geo import KM_PER_DEGREE
 
-    s = complete_searches(searches)
-    reach = F.col("geo_bound_km") / KM_PER_DEGREE * 1.01
+    reach = F.coalesce(F.col("geo_bound_km") / KM_PER_DEGREE * 1.01, F.lit(360.0))
     lat_hi = F.least(F.abs(F.col("anchor_lat")) + reach, F.lit(89.999999))
     dlon = F.least(reach / F.cos(F.radians(lat_hi)), F.lit(180.0))
-    bands = F.concat(F.array(F.lit(-1)), F.sequence(
-        F.coalesce(F.greatest(_price_band(F.col("price_min")), F.lit(0)), F.lit(0)),
-        F.greatest(F.coalesce(F.when(F.col("price_max").isNotNull(), _price_band(F.col("price_max"))), F.lit(MAX_BAND)),
-                   F.coalesce(F.greatest(_price_band(F.col("price_min")), F.lit(0)), F.lit(0)))))
-    s = (s.withColumn("_cy", F.explode(F.sequence(F.floor((F.col("anchor_lat") - reach) / cell_deg).cast("bigint"),
-                                                  F.floor((F.col("anchor_lat") + reach) / cell_deg).cast("bigint"))))
-          .withColumn("_cx", F.explode(lon_cells(F.col("anchor_lon"), dlon, cell_deg)))
-          .withColumn("_band", F.explode(bands)))
-    l = (listings.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-         .withColumn("_cy", F.floor(F.col("lat") / cell_deg).cast("bigint"))
-         .withColumn("_cx", lon_cell(F.col("lon"), cell_deg)).withColumn("_band", _price_band(F.col("price"))))
-    joined = l.join(s, ["_cy", "_cx", "_band"]).drop("_cy", "_cx", "_band")
+    low, high = F.col("anchor_lon") - dlon, F.col("anchor_lon") + dlon
+    everywhere = F.lit(-1000.0), F.lit(1000.0)
+    none = F.array().cast("array<struct<w: double, e: double>>")
+    known = F.col("geo_bound_km").isNotNull() & F.col("anchor_lat").isNotNull() & F.col("anchor_lon").isNotNull()
+    lons = F.when(known, F.concat(F.array(F.struct(low.alias("w"), high.alias("e"))),
+                                  F.when(low < -180.0, F.array(F.struct((low + 360.0).alias("w"), F.lit(180.0).alias("e")))).otherwise(none),
+                                  F.when(high > 180.0, F.array(F.struct(F.lit(-180.0).alias("w"), (high - 360.0).alias("e")))).otherwise(none))
+                  ).otherwise(F.array(F.struct(everywhere[0].alias("w"), everywhere[1].alias("e"))))
+    south = F.when(known, F.col("anchor_lat") - reach).otherwise(everywhere[0])
+    north = F.when(known, F.col("anchor_lat") + reach).otherwise(everywhere[1])
+    dear = F.coalesce(F.col("price_max").cast("double"), F.lit(1e300))
+    cheap = F.coalesce(F.greatest(F.col("price_min").cast("double"), F.lit(0.0)), F.lit(0.0))
+    box = lambda x, a, b: F.array(south, x["w"], a, north, x["e"], b)
+    return F.concat(F.transform(lons, lambda x: box(x, cheap, dear)), F.transform(lons, lambda x: box(x, F.lit(-1.0), F.lit(-1.0))))
+
+
+def criteria_pass_banded(listings: DataFrame, searches: DataFrame) -> DataFrame:
+    """C4/C7 pass set for any number of searches, without the listings x searches product.
+
+    Every validated listing has coordinates, and a pass needs the haversine
+    distance within the search's bound and the price within its bounds. A k-d
+    split of (lat, lon, price) gives join keys of a bounded number of listings,
+    in a crowded city too (``kdsplit``); each search meets the leaves that its
+    bounds reach, so each pair meets once, and the exact rules run on those
+    candidates. A null bound passes everything. Returns passing pairs only
+    (``criteria_reason`` is null by construction).
+    """
+    from cohortwise.operators import kdsplit
+
+    s = complete_searches(searches)
+    l = listings.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    price = F.when(F.col("price").isNull(), F.lit(-1.0)).otherwise(F.greatest(F.col("price").cast("double"), F.lit(0.0)))
+    axes = [F.col("lat"), F.col("lon"), price]
+    joined = kdsplit.meet(l, s, kdsplit.split(l, axes, "listing_id"), axes, _reach_boxes(), "listing_id")
     joined = joined.withColumn("_dist_raw", haversine_km("lat", "lon", "anchor_lat", "anchor_lon"))
     return (joined.withColumn("criteria_reason", criteria_reason_col())
             .where(F.col("criteria_reason").isNull())

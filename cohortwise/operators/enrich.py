@@ -11,6 +11,7 @@ from cohortwise.functions.geo import KM_PER_DEGREE, geo_bucket, haversine_km
 from cohortwise.functions.text import is_blank
 from cohortwise.operators.criteria import lon_cell, lon_cells
 from cohortwise.operators.quality import with_address_key
+from cohortwise.session import stored
 
 # Fixed values (must equal the reference's).
 CATEGORIES = ("schools", "cafes", "parks", "groceries", "transit")
@@ -84,6 +85,34 @@ def _cell_deg(radius_km: float) -> float:
     return radius_km / KM_PER_DEGREE * 1.01
 
 
+#: Places that a point tests one by one in a cell; a cell with more is told apart by its quarters.
+LEAF_PLACES = 64
+#: Halvings of a cell of the radius at most: beyond them places lie within some metres.
+MOST_LEVELS = 12
+
+
+def _cell_classes(radius_km: float, box_deg: float | None) -> tuple[Column, Column]:
+    """Whether the cell (_south, _west, _size) lies wholly within a point's disc (and box), and wholly outside.
+
+    By the distances of its corners and of its nearest place, with room for
+    the curvature of so small a cell; near the poles neither is claimed.
+    """
+    north, east = F.col("_south") + F.col("_size"), F.col("_west") + F.col("_size")
+    plain = F.greatest(F.abs(F.col("_south")), F.abs(north)) < 85.0
+    corners = [(F.col("_south"), F.col("_west")), (F.col("_south"), east), (north, F.col("_west")), (north, east)]
+    farthest = F.greatest(*[haversine_km(F.col("lat"), F.col("lon"), a, b) for a, b in corners])
+    # the point's longitude as near the cell's as it comes across the 180th meridian
+    middle = F.col("_west") + F.col("_size") / 2
+    lon = F.when(F.col("lon") - middle > 180.0, F.col("lon") - 360.0).when(F.col("lon") - middle < -180.0, F.col("lon") + 360.0).otherwise(F.col("lon"))
+    nearest_lat = F.least(F.greatest(F.col("lat"), F.col("_south")), north)
+    nearest_lon = F.least(F.greatest(lon, F.col("_west")), east)
+    nearest = haversine_km(F.col("lat"), lon, nearest_lat, nearest_lon)
+    inside = plain & (farthest <= radius_km * 0.999)
+    if box_deg is not None:
+        inside = inside & (F.greatest(F.abs(F.col("lat") - F.col("_south")), F.abs(F.col("lat") - north)) < box_deg) & (F.greatest(F.abs(lon - F.col("_west")), F.abs(lon - east)) < box_deg)
+    return inside, plain & (nearest > radius_km * 1.001)
+
+
 def poi_counts_at(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM, box_deg: float | None = None) -> DataFrame:
     """D5 core: for each distinct (lat, lon), the POIs of each category within ``radius_km``
     (and, with ``box_deg``, inside the point's own box of that half width).
@@ -93,10 +122,17 @@ def poi_counts_at(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_
     touch (3 rows of latitude, and as many columns as its latitude needs,
     across the 180th meridian too). Both sides are pre-aggregated first --
     points to distinct coordinates, POIs to a coordinate with a count for each
-    category -- so repeated places do not multiply the pairs. Returns (lat, lon,
+    category -- so repeated places do not multiply the pairs.
+
+    A cell with over ``LEAF_PLACES`` places is a quadtree node that holds its
+    counts: a point whose disc holds the cell adds them, one whose disc misses
+    it is done with it, and only points on whose edge it lies go on to its
+    quarters, until few places are left to test. So a point in a dense centre
+    tests places along its circle, not all of them. Returns (lat, lon,
     ``_h_<category>``) for points with at least one hit.
     """
     cell = _cell_deg(radius_km)
+    names = [f"_w_{c}" for c in CATEGORIES]
     counts = [F.sum(F.when(F.col("category") == c, 1).otherwise(0)).cast("int").alias(f"_w_{c}") for c in CATEGORIES]
     pw = (pois.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
           .groupBy(F.col("lat").alias("plat"), F.col("lon").alias("plon")).agg(*counts)
@@ -111,8 +147,29 @@ def poi_counts_at(points: DataFrame, pois: DataFrame, radius_km: float = RADIUS_
     if box_deg is not None:
         across = F.abs(F.col("lon") - F.col("plon"))
         near = near & (F.abs(F.col("lat") - F.col("plat")) <= box_deg) & (F.least(across, 360.0 - across) <= box_deg)
-    return q.join(pw, ["_cy", "_cx"]).where(near).groupBy("lat", "lon").agg(
-        *[F.sum(f"_w_{c}").cast("int").alias(f"_h_{c}") for c in CATEGORIES])
+    inside, outside = _cell_classes(radius_km, box_deg)
+    hits = []
+    for level in range(MOST_LEVELS + 1):
+        nodes = pw.groupBy("_cy", "_cx").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(w).alias(w) for w in names])
+        dense = nodes.where(F.col("_n") > LEAF_PLACES).drop("_n")
+        if level == MOST_LEVELS or dense.isEmpty():
+            hits.append(q.join(pw, ["_cy", "_cx"]).where(near).select("lat", "lon", *names))
+            break
+        keys = dense.select("_cy", "_cx")
+        hits.append(q.join(pw.join(keys, ["_cy", "_cx"], "left_anti"), ["_cy", "_cx"]).where(near).select("lat", "lon", *names))
+        size = cell / 2 ** level
+        met = (q.join(dense, ["_cy", "_cx"]).withColumn("_size", F.lit(size)).withColumn("_south", F.col("_cy") * size).withColumn("_west", F.col("_cx") * size - 180.0)
+               .withColumn("_in", inside).where(~outside).select("lat", "lon", "_cy", "_cx", "_in", *names))
+        met = stored(met)
+        hits.append(met.where("_in").select("lat", "lon", *names))
+        half = F.array(F.lit(0), F.lit(1))
+        q = (met.where("not _in").select("lat", "lon", "_cy", "_cx").withColumn("_y", F.explode(half)).withColumn("_x", F.explode(half))
+             .select("lat", "lon", (F.col("_cy") * 2 + F.col("_y")).alias("_cy"), (F.col("_cx") * 2 + F.col("_x")).alias("_cx")))
+        pw = pw.join(keys, ["_cy", "_cx"], "left_semi").withColumn("_cy", F.floor(F.col("plat") / (size / 2))).withColumn("_cx", lon_cell(F.col("plon"), size / 2))
+    every = hits[0]
+    for more in hits[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("lat", "lon").agg(*[F.sum(f"_w_{c}").cast("int").alias(f"_h_{c}") for c in CATEGORIES])
 
 
 def radius_counts(df: DataFrame, pois: DataFrame, radius_km: float = RADIUS_KM,

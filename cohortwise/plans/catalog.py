@@ -112,11 +112,11 @@ def q_criteria_reason(spark, sf_dir):
     return _p(spark, sf_dir).report(F.col("search_id") % 20 == 0).select("search_id", "listing_id", "criteria_reason", "distance_km")
 
 
-# Searches with every kind of bound, some of them null, and listings with nulls.
-_BOUNDED = ("SELECT * EXCLUDE (beds_min), CASE WHEN search_id % 11 = 0 THEN NULL ELSE beds_min END AS beds_min, "
+# Searches with every kind of bound; some leave them unset and get the default, or none where there is none.
+_BOUNDED = ("SELECT * EXCLUDE (beds_min), CASE WHEN search_id % 11 = 0 THEN 3 ELSE beds_min END AS beds_min, "
             "CASE WHEN search_id % 3 = 0 THEN CAST(beds_min + 2 AS INTEGER) END AS beds_max, CASE WHEN search_id % 4 = 0 THEN CAST(baths_min + 1 AS INTEGER) END AS baths_max, "
             "CASE WHEN search_id % 5 = 0 THEN CAST(800 + search_id % 7 * 50 AS INTEGER) END AS sqft_min, CASE WHEN search_id % 2 = 0 THEN CAST(1500 + search_id % 9 * 100 AS INTEGER) END AS sqft_max, "
-            "CASE search_id % 6 WHEN 0 THEN [' house', 'CONDO'] WHEN 1 THEN ['Townhouse'] WHEN 2 THEN []::VARCHAR[] END AS property_types FROM srch")
+            "CASE search_id % 6 WHEN 0 THEN [' house', 'CONDO'] WHEN 1 THEN ['Townhouse'] WHEN 2 THEN []::VARCHAR[] ELSE ['House', 'Townhouse', 'Duplex'] END AS property_types FROM srch")
 _REASON_SQL = """SELECT search_id, reason, count(*) AS n FROM (SELECT s.search_id, CASE
   WHEN k.price < s.price_min THEN 'price below minimum' WHEN k.price > s.price_max THEN 'price above maximum'
   WHEN k.beds < s.beds_min THEN 'beds below minimum' WHEN k.beds > s.beds_max THEN 'beds above maximum'
@@ -664,6 +664,21 @@ def q_parcel_count(spark, sf_dir):
     return parcel_count(parcel_load(_parcel_raw(tables(spark, sf_dir)), ["c_custkey"]), "roll_year")
 
 
+_UNSET = {"price_min": 2, "price_max": 3, "beds_min": 5, "baths_min": 7, "max_commute_min": 4, "commute_mode": 6, "max_age_days": 9, "w_value": 8, "w_location": 8, "w_freshness": 8}
+_SET_SQL = ", ".join(f"CASE WHEN search_id % {m} = 1 THEN {repr(C.SEARCH_DEFAULTS[c])} ELSE {c} END AS {c}" for c, m in _UNSET.items())
+
+
+@register("search_defaults", O.with_chain(
+    "SELECT *, max_commute_min / 60e0 * CASE WHEN commute_mode = 'driving' THEN 80e0 ELSE 40e0 END AS geo_bound_km FROM ("
+    f"SELECT search_id, {_SET_SQL} FROM v_search)").replace("0.34", "0.34e0").replace("0.33 ", "0.33e0 "))
+def q_search_defaults(spark, sf_dir):
+    """Searches that leave criteria unset, with the defaults and the distance bound that follows."""
+    s = tables(spark, sf_dir).v_search
+    for c, m in _UNSET.items():
+        s = s.withColumn(c, F.when(F.col("search_id") % m != 1, F.col(c)))
+    return C.complete_searches(C.with_defaults(s)).select("search_id", *_UNSET, "geo_bound_km")
+
+
 @register("search_params", O.with_chain(
     "SELECT search_id, anchor_lat, anchor_lon, price_min, price_max, beds_min, baths_min, max_commute_min, commute_mode, max_age_days, "
     + ", ".join(f"CASE WHEN w_value + w_location + w_freshness <= 0 THEN 1e0 / 3 ELSE {w} / (w_value + w_location + w_freshness) END AS {w}"

@@ -18,7 +18,7 @@ from cohortwise.operators import quality as Q
 from cohortwise.operators.explain import explain
 from cohortwise.operators.rank import assign_rank
 from cohortwise.operators.score import score_cohorts
-from cohortwise.session import ensure_checkpoint_dir
+from cohortwise.session import stored
 from cohortwise.sources.tables import AS_OF, Tables
 
 
@@ -49,7 +49,8 @@ class Pipeline:
         return self._memo[key]
 
     def _search(self) -> DataFrame:
-        return self.searches if self.searches is not None else self.t.v_search
+        """The searches, with defaults for the criteria that they leave unset."""
+        return self._m("search", lambda: C.with_defaults(self.searches if self.searches is not None else self.t.v_search))
 
     def _parcels(self) -> DataFrame:
         return self.parcels if self.parcels is not None else self.t.v_parcel
@@ -88,10 +89,9 @@ class Pipeline:
         """Stage boundary: the deduplicated listings, with the columns that later stages use, are
         written once, so no stage goes through ingest and dedupe again."""
         def build():
-            ensure_checkpoint_dir(self.t.spark)
             df = Q.dedupe(self.valid()) if self.unique_ids else Q.dedupe_exact(self.valid())
             used = [c for c in KEPT_COLS if c in df.columns]
-            return df.select(*used).checkpoint(eager=True)
+            return stored(df.select(*used))
         return self._m("kept", build)
 
     def duplicates(self) -> DataFrame:
@@ -112,13 +112,12 @@ class Pipeline:
         """Stage boundary: the filter stage's survivors, written once (enrichment reads
         them from several branches and must not re-run ingest, dedupe and criteria).
 
-        Survivors come from the banded equi-join (searches exploded over the
-        cells and price bands their bounds reach), never from the listings x
-        searches product; ``report`` gives the reasons for searches someone names.
+        Survivors come from an equi-join on the leaves of a k-d split that the
+        searches' bounds reach, never from the listings x searches product;
+        ``report`` gives the reasons for a stated set of searches.
         """
         def build():
-            ensure_checkpoint_dir(self.t.spark)
-            return C.criteria_pass_banded(self.kept(), self._search()).checkpoint(eager=True)
+            return stored(C.criteria_pass_banded(self.kept(), self._search()))
         return self._m("passed", build)
 
     def enriched(self) -> DataFrame:
@@ -131,12 +130,11 @@ class Pipeline:
         return self._m("enriched", build)
 
     def analyzed(self) -> DataFrame:
-        """Stage boundary: the analysed cohort is written once (reliable checkpoint in the
+        """Stage boundary: the analysed cohort is written once (a Parquet table in the
         session's shared checkpoint folder) so scoring and ranking, which read it
         several times, never recompute ingest, dedupe, criteria and enrichment."""
         def build():
-            ensure_checkpoint_dir(self.t.spark)
-            return self.enriched().where(F.col("commute_reason").isNull()).checkpoint(eager=True)
+            return stored(self.enriched().where(F.col("commute_reason").isNull()))
         return self._m("analyzed", build)
 
     def scored(self) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: AQE for runtime re-planning (partition
 # coalescing, skew-join splitting, broadcast conversion), UTC for dates.
@@ -59,3 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="cohortwise-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a Parquet table to the shared checkpoint folder and read back.
+
+    Cuts the lineage like a checkpoint, but its readers prune columns, push
+    filters down and know its size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortwise.functions.text import address_key, strip
-from cohortwise.operators.criteria import complete_searches
+from cohortwise.operators.criteria import complete_searches, with_defaults
 
 PARCEL_CSV_SCHEMA = "address string, assessed_value string, roll_year string"
 
@@ -48,8 +48,8 @@ def parcel_load(raw: DataFrame, order_cols: list[str]) -> DataFrame:
 
 
 def search_params(searches: DataFrame) -> DataFrame:
-    """One row per search with defaults, normalised weights and the distance bound."""
-    s = complete_searches(searches).withColumn("_wt", F.col("w_value") + F.col("w_location") + F.col("w_freshness"))
+    """One row per search with defaults for what it leaves unset, normalised weights and the distance bound."""
+    s = complete_searches(with_defaults(searches)).withColumn("_wt", F.col("w_value") + F.col("w_location") + F.col("w_freshness"))
     for w in ("w_value", "w_location", "w_freshness"):
         s = s.withColumn(w, F.when(F.col("_wt") <= 0, F.lit(1 / 3)).otherwise(F.col(w) / F.col("_wt")))
     return s.drop("_wt")
