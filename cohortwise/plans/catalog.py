@@ -724,6 +724,19 @@ def q_scan_portal(spark, sf_dir):
                                                     "list_date", "days_on_market")
 
 
+@register("portal_files", O.with_chain(_duck_portal()))
+def q_portal_files(spark, sf_dir):
+    """A1 from files: the payload pages written as lines of text, read back in byte ranges and parsed."""
+    from cohortwise.session import shared_path
+    from cohortwise.sources.portal import payload_from_raw, portal_listings, read_portal_lines
+
+    path = shared_path(spark, "payload")
+    pages = payload_from_raw(tables(spark, sf_dir).v_raw)
+    pages.select(F.regexp_replace("json", r"^\{", F.concat(F.lit('{"page":'), F.col("page").cast("string"), F.lit(","))).alias("value")).write.text(path)
+    rows = portal_listings(read_portal_lines(spark, path), ["page"])
+    return rows.select("listing_id", "url", "address", "price", "beds", "sqft", "list_date", "days_on_market")
+
+
 @register("source_union", O.with_chain(
     "SELECT CAST(listing_id AS VARCHAR) AS listing_id, source, price FROM v_listing UNION ALL "
     f"SELECT listing_id, 'portal' AS source, price FROM ({_duck_portal()})"))
@@ -750,6 +763,78 @@ def q_source_counts(spark, sf_dir):
     return source_counts(rows, status)
 
 
+@register("source_failures", O.with_chain(
+    "SELECT source AS source_name, CASE WHEN source = '5-LOW' THEN 0 ELSE count(*) END AS listings, CASE WHEN source = '5-LOW' THEN 1 ELSE 0 END AS errors "
+    "FROM v_listing GROUP BY source UNION ALL SELECT 'payload', count(*) FILTER (WHERE listing_id % 9 <> 0), count(*) FILTER (WHERE listing_id % 9 = 0) FROM v_raw"))
+def q_source_failures(spark, sf_dir):
+    """Each source's listings in files of its own; one source has a spoiled file, and one writes text of which every ninth record is cut short."""
+    from cohortwise.session import shared_path
+    from cohortwise.sources.union import CORRUPT, read_sources, source_errors
+
+    t = tables(spark, sf_dir)
+    folder = shared_path(spark, "sources")
+    listings = t.v_listing.select("listing_id", "source", "price")
+    listings.write.partitionBy("source").parquet(folder)
+    spoiled = "5-LOW"
+    t.region.select(F.col("r_name").alias("value")).coalesce(1).write.mode("append").text(f"{folder}/source={spoiled}")
+    record = F.to_json(F.struct("listing_id", "price_text"))
+    cut = F.when(F.col("listing_id") % 9 == 0, F.expr("left(line, length(line) - 2)")).otherwise(F.col("line"))
+    t.v_raw.select("listing_id", record.alias("line")).select(cut.alias("value")).write.text(f"{folder}-text")
+    names = [r.source for r in t.v_listing.select("source").distinct().collect()]  # a row for each source
+
+    def portal(name):
+        return lambda: spark.read.schema("listing_id bigint, price bigint").parquet(f"{folder}/source={name}")
+    sources = {n: portal(n) for n in names}
+    sources["payload"] = lambda: spark.read.schema(f"listing_id bigint, price_text string, {CORRUPT} string").json(f"{folder}-text")
+    return source_errors(read_sources(sources)[1])
+
+
+@register("stream_upsert", REGISTRY["upsert"][1])
+def q_stream_upsert(spark, sf_dir):
+    """K1/K2: the sightings as files, streamed a few at a time into the snapshot; then some of them once more, which changes nothing."""
+    from cohortwise.session import shared_path
+    from cohortwise.streaming.ingest import latest_snapshot, run_sightings, snapshot_upsert
+
+    folder, root = shared_path(spark, "sightings"), shared_path(spark, "snapshot")
+    sightings = tables(spark, sf_dir).v_sighting.select("listing_id", F.col("seen_at").alias("at"), "seq", "source", "price")
+    sightings.withColumn("piece", F.pmod(F.col("seq"), F.lit(4))).repartition(4, "piece").drop("piece").write.parquet(folder)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sightings.schema)
+    order, cols = ("at", "seq"), ("source", "price")
+    run_sightings(spark, folder, root, f"{folder}-progress", schema, 2, order, cols)
+    snapshot_upsert(spark.read.schema(schema).parquet(folder).where(F.pmod(F.col("seq"), F.lit(4)) == 0), 0, root, source_cols=cols, order_cols=order, seen_col="at")
+    return latest_snapshot(spark, root, order).select("listing_id", *cols, "first_seen", "last_seen", "stage", "reject_reason")
+
+
+@register("ranked_readback", O.with_chain("SELECT search_id, listing_id, rank, score_total FROM ranked WHERE rank <= 5"))
+def q_ranked_readback(spark, sf_dir):
+    """Every search's ranking written in bands, and the first five read back."""
+    from cohortwise.session import shared_path
+    from cohortwise.sources.sinks import read_top, write_ranked_bands
+
+    path = shared_path(spark, "ranked")
+    write_ranked_bands(_p(spark, sf_dir).ranked().select("search_id", "listing_id", "rank", "score_total"), path)
+    return read_top(spark, path, 5)
+
+
+@register("raw_replay", O.with_chain(
+    f"SELECT listing_id, price, beds, address FROM ({_duck_portal()}) WHERE (CAST(regexp_extract(listing_id, '[0-9]+') AS BIGINT) // 1000) % 2 = 1"))
+def q_raw_replay(spark, sf_dir):
+    """Payloads retained on two days, and those of the second parsed again."""
+    from cohortwise.session import shared_path
+    from cohortwise.sources.portal import PAGE_DDL, payload_from_raw, portal_listings
+    from cohortwise.sources.sinks import read_raw, retain_raw
+
+    path = shared_path(spark, "raw")
+    raw = tables(spark, sf_dir).v_raw
+    days = [("2001-07-30", "parsed"), ("2001-07-31", "failed")]
+    for part, (day, _) in enumerate(days):
+        retain_raw(payload_from_raw(raw.where(F.floor(F.col("listing_id") / 1000) % 2 == part)), path, day)
+    table = spark.createDataFrame(days, "day string, state string").select(F.to_date("day").alias("ingest_date"), "state")
+    again = read_raw(spark, path, table.where("state = 'failed'"))
+    pages = again.select("page", F.from_json("json", PAGE_DDL).alias("p")).select("page", "p.Results")
+    return portal_listings(pages, ["page"]).select("listing_id", "price", "beds", "address")
+
+
 # -- A4/A6/A9/A10: pages, link windows, POI tags, synthetic rows ---------------------
 
 PAGE_LINK = r"(?<=\s)/([^\s/]+)"

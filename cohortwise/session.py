@@ -62,6 +62,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a Parquet table to the shared checkpoint folder and read back.
 
@@ -69,6 +74,6 @@ def stored(df: DataFrame) -> DataFrame:
     filters down and know its size.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    path = shared_path(spark, "stage")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

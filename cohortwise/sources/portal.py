@@ -33,6 +33,12 @@ def read_portal_json(spark: SparkSession, path: str) -> DataFrame:
             .withColumn("_file", natural_key(F.input_file_name())).withColumn("_page", F.monotonically_increasing_id()))
 
 
+def read_portal_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Payload files with a page to a line, each with its number in ``page``: Spark cuts them into
+    byte ranges, so a large file is read by many tasks. Lines that are no JSON give no results."""
+    return spark.read.schema(f"page bigint, {PAGE_DDL}").option("mode", "PERMISSIVE").json(path)
+
+
 def natural_key(name: Column) -> Column:
     """A text that sorts names with the numbers in them as numbers."""
     parts = F.regexp_extract_all(name, F.lit(r"\d+|\D+"), 0)

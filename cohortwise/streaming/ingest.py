@@ -20,6 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortwise.session import stored
 from cohortwise.sources.messages import MESSAGE_GLOB, decode, detail_link_pattern, link_windows, message_listings
 
 BINARY_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -62,13 +63,15 @@ SOURCE_COLS = ("source", "url", "price", "beds", "baths", "sqft", "address", "ci
 ORDER_COLS = ("path", "modificationTime", "pos")
 
 
-def _version(spark: SparkSession, root: str) -> tuple[int, dict[int, str]]:
+def _version(spark: SparkSession, root: str, buckets: int | None = None) -> tuple[int, dict[int, str]]:
     """The latest version and the folder of each of its buckets (at most a row for each bucket)."""
     try:
         rows = spark.read.parquet(f"{root}/versions")
     except AnalysisException:
         return -1, {}
-    last = rows.agg(F.max("version")).first()[0]
+    last, held = rows.agg(F.max("version"), F.max("buckets")).first()
+    if buckets not in (None, held):
+        raise ValueError(f"the snapshot has {held} buckets, not {buckets}")
     return last, {r.bucket: r.folder for r in rows.filter(F.col("version") == last).collect()}
 
 
@@ -76,41 +79,44 @@ def _rows_of(spark: SparkSession, folders: list[str]) -> DataFrame:
     return spark.read.parquet(*sorted(set(folders)))
 
 
-def snapshot_upsert(batch: DataFrame, batch_id: int, root: str, buckets: int = SNAPSHOT_BUCKETS) -> None:
+def snapshot_upsert(batch: DataFrame, batch_id: int, root: str, buckets: int = SNAPSHOT_BUCKETS,
+                    source_cols: tuple[str, ...] = SOURCE_COLS, order_cols: tuple[str, ...] = ORDER_COLS, seen_col: str = "modificationTime") -> None:
     """K2: fold one micro-batch into the listing snapshot (J1 rules), touching only
     the hash buckets of the listings in the batch.
 
     Within a batch the latest message wins (A7). A row of the snapshot is
     replaced by rows of later files only, whatever the order in which the files
     arrive, so the stream ends as the batch job does. Columns of the snapshot
-    that messages don't have (enrichment, scores) stay as they are.
+    that messages don't have (enrichment, scores) stay as they are. The batch is
+    stored first, so its messages are decoded once. A snapshot keeps the number
+    of buckets that it began with.
     """
     from cohortwise.operators.state import upsert_into
 
     spark = batch.sparkSession
     bucket = F.pmod(F.xxhash64(F.col("listing_id")), F.lit(buckets)).cast("int")
-    new = batch.select("listing_id", *ORDER_COLS, F.col("modificationTime").cast("timestamp").alias("seen_at"), *SOURCE_COLS).withColumn("bucket", bucket)
-    version, folders = _version(spark, root)
-    touched = {r.bucket for r in new.select("bucket").distinct().collect()}
+    new = stored(batch.select("listing_id", *order_cols, F.col(seen_col).alias("seen_at"), *source_cols).withColumn("bucket", bucket))
+    version, folders = _version(spark, root, buckets)
+    touched = {r.bucket for r in new.select("bucket").distinct().collect()}  # buckets at most
     if not touched:
         return
-    cols = (*SOURCE_COLS, *(c for c in ORDER_COLS), "bucket")
+    cols = (*source_cols, *order_cols, "bucket")
     old = [folders[b] for b in sorted(touched) if b in folders]
     if old:
         held = _rows_of(spark, old)
         # the stored row takes part, so that an older file that arrives late does not win
-        again = held.select("listing_id", *ORDER_COLS, F.col("last_seen").alias("seen_at"), *SOURCE_COLS, "bucket")
+        again = held.select("listing_id", *order_cols, F.col("last_seen").alias("seen_at"), *source_cols, "bucket")
         seen = new.select("listing_id").distinct()
         rows = new.unionByName(again.join(seen, "listing_id", "left_semi"))
-        merged = upsert_into(held, rows, "listing_id", ORDER_COLS, cols, "seen_at")
+        merged = upsert_into(held, rows, "listing_id", order_cols, cols, "seen_at")
     else:
         from cohortwise.operators.state import upsert
-        merged = upsert(new, "listing_id", ORDER_COLS, cols, "seen_at")
+        merged = upsert(new, "listing_id", order_cols, cols, "seen_at")
     folder = f"{root}/data-{version + 1:09d}-{uuid.uuid4().hex}"
     (merged.withColumn("part", F.col("bucket")).repartition("bucket").write.partitionBy("part").parquet(folder))
     now = {**folders, **{b: f"{folder}/part={b}" for b in touched}}
-    rows = [(version + 1, b, f) for b, f in sorted(now.items())]
-    spark.createDataFrame(rows, "version long, bucket int, folder string").coalesce(1).write.mode("append").parquet(f"{root}/versions")
+    rows = [(version + 1, b, f, buckets) for b, f in sorted(now.items())]
+    spark.createDataFrame(rows, "version long, bucket int, folder string, buckets int").coalesce(1).write.mode("append").parquet(f"{root}/versions")
 
 
 def run_ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, link: str | None = None):
@@ -122,7 +128,19 @@ def run_ingest(spark: SparkSession, inbox: str, root: str, checkpoint: str, link
     return q
 
 
-def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
+def run_sightings(spark: SparkSession, folder: str, root: str, checkpoint: str, schema: str, files_per_batch: int, order_cols: tuple[str, ...], source_cols: tuple[str, ...]):
+    """Folds every Parquet file of sightings now in ``folder`` (availableNow, so many files a batch) into the snapshot.
+
+    The first of ``order_cols`` is the time of a sighting.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    q = (stream.writeStream.foreachBatch(lambda df, bid: snapshot_upsert(df, bid, root, source_cols=source_cols, order_cols=order_cols, seen_col=order_cols[0]))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return q
+
+
+def latest_snapshot(spark: SparkSession, root: str, order_cols: tuple[str, ...] = ORDER_COLS) -> DataFrame:
     """The rows of the latest version."""
     _, folders = _version(spark, root)
-    return _rows_of(spark, list(folders.values())).drop("bucket", "part", *ORDER_COLS)
+    return _rows_of(spark, list(folders.values())).drop("bucket", "part", *order_cols)
