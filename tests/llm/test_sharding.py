@@ -1,5 +1,7 @@
 """Operator 8."""
 
+import os
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -25,6 +27,12 @@ def test_counts_and_slots(spark):
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
 
 
+def test_query_reads_back_whole_records(spark):
+    docs = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    for r in op8_sharding(spark, SF).collect():
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(docs[r.doc_id]) + 1, zlib.crc32(docs[r.doc_id]), "rows", None)
+
+
 def test_same_draw_again_and_another_seed(spark):
     df = spark.range(3000).select("id")
     place = lambda seed: {r.id: (r.shard, r.slot) for r in two_pass_shuffle(df, ["id"], 4, seed).collect()}
@@ -44,7 +52,7 @@ def test_uniform(spark):
 def test_nulls_ties_repeats_empty_and_clashes(spark):
     rows = [(None, None, 7)] * 5 + [(1, "x", 8)] * 2500 + [(2, "", 9)]
     df = spark.createDataFrame(rows, "id bigint, text string, shard bigint")
-    out = two_pass_shuffle(df, ["id", "text"], 3, bucket_rows=64).collect()  # the repeats fill many runs
+    out = two_pass_shuffle(df, ["id", "text"], 3, bucket_bytes=4096).collect()  # the repeats fill many runs
     assert Counter((r.id, r.text) for r in out) == Counter((a, b) for a, b, _ in rows)
     by = shards_of(out)
     assert sorted(map(len, by.values())) == [835, 835, 836]
@@ -62,3 +70,18 @@ def test_written_shards(spark, tmp_path):
     assert back.select("shard", "slot").distinct().count() == df.count()
     assert back.join(df, ["doc_id", "text"]).count() == df.count()
     assert back.agg(F.max("slot")).first()[0] == -(-df.count() // 4) - 1
+    files = {}
+    for r in back.select("shard", "slot", F.input_file_name().alias("f")).collect():
+        files.setdefault((r.shard, os.path.basename(r.f)), []).append(r.slot)
+    for shard in range(4):  # in the order of their names, the files hold the slots in order
+        assert [x for (k, _), slots in sorted(files.items()) if k == shard for x in sorted(slots)] == list(range(sum(len(v) for (k, _), v in files.items() if k == shard)))
+
+
+def test_buckets_by_bytes(spark):
+    """Long records among short ones, maps and clashing names: nothing is lost, and places do not depend on partitions."""
+    rows = [(i, "x" * (5000 if i % 40 == 0 else 5), {"a": i}, i) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, text string, m map<string,int>, slot int")
+    place = lambda d: {r.id: (r.shard, r.slot, r.text, r.m["a"]) for r in two_pass_shuffle(d, ["id"], 3, bucket_bytes=2048).collect()}
+    first = place(df)
+    assert sorted(first) == list(range(400)) and all(v[2] == rows[i][1] and v[3] == i for i, v in first.items())
+    assert first == place(df.repartition(5))
