@@ -8,8 +8,9 @@ region: a run of rows that share a prefix, cut at the least depth at which it
 has ``REGION`` members or fewer. Full sets of shingles decide.
 
 Texts with the same set are one entry. Candidates are verified in rounds, and
-a later round leaves out pairs that the links found so far already connect, so
-a large group of near copies costs a few pairs a member and not all pairs.
+a later round leaves out what the links found so far already connect. A region's
+sets meet in one place once and are counted against each other there, so a
+large group of near copies costs a set a member and order, not all pairs.
 
 What may be missed: two sets at similarity s share ``LEAST`` values in an order
 with probability s^LEAST, so with 32 orders a pair at 0.85 is no candidate in
@@ -37,9 +38,9 @@ SHINGLE = 5
 #: Sorted orders, MinHash values of each, and values that neighbours share at least. ORDERS x DEPTH is a power of two.
 ORDERS, DEPTH, LEAST = 32, 16, 4
 #: Members of a region at most. A region is cut at the first depth from LEAST to DEPTH that leaves it so few.
-REGION = 32
-#: Neighbours of the first orders are verified first, those of the others by what they leave apart.
-ROUNDS = (2, 8, ORDERS)
+REGION = 64
+#: Neighbours in this many orders are verified first; regions then leave out what they connect.
+FIRST = 2
 #: Bytes of text at a time, rows whose signatures are made at a time, and rows of a sorted partition.
 AT_ONCE, SIGNED, SORTED = 1 << 20, 2048, 1 << 20
 
@@ -71,21 +72,48 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
         yield i, j, h[first], np.cumsum(np.bincount(at[first], minlength=n))
 
 
+def _digests(hashes: np.ndarray, ends: np.ndarray) -> pa.Array:
+    starts = np.r_[0, ends[:-1]]
+    return pa.array([hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() for a, b in zip(starts, ends)], pa.binary())
+
+
 def marked(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, digest, shingles, row) for every row of ``docs`` (doc_id, text): its set, stored; row tells rows apart."""
+    """(doc_id, n, digest, signature, row) for every row of ``docs`` (doc_id, text), stored; digest tells sets apart, row tells rows apart."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("forest")
         for batch in batches:
             for i, j, h, ends in shingle_sets(batch.column(1)):
-                starts = np.r_[0, ends[:-1]]
-                sets = [h[a:b].tobytes() for a, b in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(ends - starts, pa.int64()),
-                                                  pa.array([hashlib.blake2b(x, digest_size=16).digest() for x in sets], pa.binary()), pa.array(sets, pa.binary())],
-                                                 names=["doc_id", "n", "digest", "shingles"])
+                for a in range(0, j - i, SIGNED):  # so many signatures at a time
+                    b = min(a + SIGNED, j - i)
+                    first = ends[a - 1] if a else 0
+                    own, upto = h[first:ends[b - 1]], ends[a:b] - first
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + a, b - a), pa.array(np.diff(np.r_[0, upto]), pa.int64()), _digests(own, upto), binary_rows(signatures(own, upto))],
+                                                     names=["doc_id", "n", "digest", "signature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.mapInArrow(mark, f"doc_id {kind}, n bigint, digest binary, shingles binary").withColumn("row", F.monotonically_increasing_id()), "marks")
+    return written(docs.mapInArrow(mark, f"doc_id {kind}, n bigint, digest binary, signature binary").withColumn("row", F.monotonically_increasing_id()), "marks")
+
+
+def sets_of(docs: DataFrame, marks: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sid, n, shingles) of the rows of ``marks`` that ``ids`` (sid) names, made from the texts again and stored.
+
+    Most sets have no neighbour, so they are not stored at first; a second
+    reading of the texts in question costs less.
+    """
+    wanted = written(marks.select(F.col("row").alias("sid"), "doc_id", "digest").join(ids, "sid", "left_semi"), "wanted")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("forest")
+        for batch in batches:
+            for _, _, h, ends in shingle_sets(batch.column(0)):
+                starts = np.r_[0, ends[:-1]]
+                yield pa.RecordBatch.from_arrays([_digests(h, ends), pa.array(ends - starts, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["digest", "n", "shingles"])
+
+    named = wanted.select(F.col("doc_id").alias("__id")).distinct()
+    texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
+    found = texts.mapInArrow(read, "digest binary, n bigint, shingles binary").join(wanted.select("digest", "sid"), "digest")
+    return written(found.select("sid", "n", "shingles").dropDuplicates(["sid"]), "sets")
 
 
 def signatures(hashes: np.ndarray, ends: np.ndarray, forest: int = 0) -> np.ndarray:
@@ -104,8 +132,8 @@ def signatures(hashes: np.ndarray, ends: np.ndarray, forest: int = 0) -> np.ndar
     return (_mixed(_densified(least)) & np.uint64(0xFFFF)).astype(">u2").reshape(n, ORDERS, DEPTH)
 
 
-def sorted_orders(entries: DataFrame, rows: int, forest: int = 0) -> DataFrame:
-    """(key, sid, n) of ``entries`` (sid, n, shingles; so many rows) in every order: key is the order's number and its values, bytewise; range-partitioned and sorted by it."""
+def signed(sets: DataFrame, forest: int) -> DataFrame:
+    """(sid, n, signature) of ``sets`` (sid, n, shingles) with the values of another ``forest``."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("forest")
@@ -114,16 +142,20 @@ def sorted_orders(entries: DataFrame, rows: int, forest: int = 0) -> DataFrame:
                 batch = whole.slice(a, SIGNED)
                 raw, off = utf8_parts(batch.column(2))
                 values = signatures(np.frombuffer(raw.tobytes(), np.uint64), off[1:] // 8, forest)
-                m = len(values)
-                key = np.empty((ORDERS, m, 1 + 2 * DEPTH), np.uint8)
-                key[:, :, 0] = np.arange(ORDERS)[:, None]
-                key[:, :, 1:] = values.transpose(1, 0, 2).copy().view(np.uint8).reshape(ORDERS, m, 2 * DEPTH)
-                sid, n = (np.tile(np.asarray(batch.column(c)), ORDERS) for c in (0, 1))
-                yield pa.RecordBatch.from_arrays([binary_rows(key.reshape(ORDERS * m, -1)), pa.array(sid), pa.array(n)], names=["key", "sid", "n"])
-
-    signed = entries.select("sid", "n", "shingles").mapInArrow(sign, "key binary, sid bigint, n bigint")
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), binary_rows(values)], names=["sid", "n", "signature"])
+
+    return sets.select("sid", "n", "shingles").mapInArrow(sign, "sid bigint, n bigint, signature binary")
+
+
+def sorted_orders(entries: DataFrame, rows: int) -> DataFrame:
+    """(key, sid, n) of ``entries`` (sid, n, signature; so many rows) in every order.
+
+    key is the order's number and its values, bytewise; the rows are range-partitioned and sorted by it.
+    """
+    key = F.expr(f"transform(sequence(0, {ORDERS - 1}), o -> concat(unhex(lpad(hex(o), 2, '0')), substring(signature, o * {2 * DEPTH} + 1, {2 * DEPTH})))")
+    each = entries.select(F.explode(key).alias("key"), "sid", "n")
     parts = buckets_for(entries.sparkSession, rows * ORDERS, SORTED)
-    return signed.repartitionByRange(parts, "key", "sid").sortWithinPartitions("key", "sid")
+    return each.repartitionByRange(parts, "key", "sid").sortWithinPartitions("key", "sid")
 
 
 def regions(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +176,10 @@ def regions(shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def neighbours(orders: DataFrame) -> DataFrame:
-    """(ord, sid, n, prev, prev_n, region, deep) of every row with a neighbour in its order.
+    """(ord, sid, n, prev, prev_n, edge, region, deep) of every row with a neighbour in its order.
 
-    prev is the row before it, where they share ``LEAST`` values; region is
-    null where it has fewer than three members; deep tells that the run was cut. A range's edge may part
+    prev is the row before it, where they share ``LEAST`` values, and edge tells
+    that it lies in another region; region is null for a row alone in it; deep tells that the run was cut. A range's edge may part
     neighbours in one order; the other orders have theirs elsewhere.
     """
 
@@ -165,20 +197,19 @@ def neighbours(orders: DataFrame) -> DataFrame:
         start, deep = regions(shared)
         size = np.bincount(start, minlength=len(start))[start]
         near = shared >= LEAST
-        some = np.flatnonzero(near | deep | (size > 2))
+        some = np.flatnonzero(near | deep | (size > 1))
         before = np.maximum(some - 1, 0)
         region = start[some].astype(np.int64) + (TaskContext.get().partitionId() << 32)
         yield pa.RecordBatch.from_arrays([
             pa.array(key[some, 0].astype(np.int32)), pa.array(sid[some]), pa.array(n[some]), pa.array(sid[before], mask=~near[some]),
-            pa.array(n[before], mask=~near[some]), pa.array(region, mask=size[some] <= 2), pa.array(deep[some])], names=["ord", "sid", "n", "prev", "prev_n", "region", "deep"])
+            pa.array(n[before], mask=~near[some]), pa.array(start[some] == some), pa.array(region, mask=size[some] < 2), pa.array(deep[some])],
+            names=["ord", "sid", "n", "prev", "prev_n", "edge", "region", "deep"])
 
-    return written(orders.mapInArrow(walk, "ord int, sid bigint, n bigint, prev bigint, prev_n bigint, region bigint, deep boolean"), "neighbours")
+    return written(orders.mapInArrow(walk, "ord int, sid bigint, n bigint, prev bigint, prev_n bigint, edge boolean, region bigint, deep boolean"), "neighbours")
 
 
-def linked(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    sets = written(marks.select(F.col("row").alias("sid"), "shingles").join(ids, "sid", "left_semi"), "sets")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("forest")
@@ -209,39 +240,93 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
     return met.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(pairs.columns)
 
 
-def _region_pairs(near: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Pairs of members of one region that the links so far do not connect; regions of one class make none."""
-    members = near.filter("region is not null").select("region", "sid", "n")
-    rooted = members.join(roots, members["sid"] == roots["node"], "left").drop("node") if roots is not None else members.withColumn("root", F.lit(None).cast("bigint"))
-    rooted = rooted.select("region", F.struct(F.coalesce("root", "sid").alias("root"), "sid", "n").alias("m"))
-    mixed = rooted.groupBy("region").agg(F.collect_list("m").alias("ms"), F.min("m.root").alias("low"), F.max("m.root").alias("high")).filter("low < high")  # REGION members at most
-    pair = F.inline(F.expr("flatten(transform(ms, x -> transform(filter(ms, y -> y.root > x.root), y -> struct(least(x.sid, y.sid) as a, greatest(x.sid, y.sid) as b, x.n as a_n, y.n as b_n))))"))
-    return mixed.select(pair)
+def _mixed_regions(near: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(region, sid, root) of the members of regions that the links so far leave in several classes."""
+    members = near.filter("region is not null").select("region", "sid")
+    if roots is None:
+        return members.withColumn("root", F.col("sid"))
+    rooted = members.join(roots, members["sid"] == roots["node"], "left").select("region", "sid", F.coalesce("root", "sid").alias("root"))
+    mixed = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("region")
+    return rooted.join(mixed, "region", "left_semi")
+
+
+def linked_regions(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links between the classes of each region's members (region, sid, root), as many as tell which classes belong together."""
+
+    def links(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(x) for *_, x in rows], np.int64)
+        number = np.unique(np.concatenate([x for *_, x in rows]), return_inverse=True)[1]
+        # an incidence matrix, so many of the shingles at a time
+        of = np.repeat(np.arange(len(rows)), sizes)
+        both = np.zeros((len(rows), len(rows)), np.int64)
+        for a in range(0, int(number.max()) + 1, AT_ONCE >> 6):
+            here = (number >= a) & (number < a + (AT_ONCE >> 6))
+            m = np.zeros((len(rows), AT_ONCE >> 6), np.float32)
+            m[of[here], number[here] - a] = 1
+            both += (m @ m.T).astype(np.int64)
+        close = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
+        root = {r: r for _, r, _ in rows}
+
+        def find(r):
+            while root[r] != r:
+                r = root[r]
+            return r
+        for i, j in zip(*np.nonzero(np.triu(close, 1))):
+            x, y = find(rows[i][1]), find(rows[j][1])
+            if x != y:
+                root[y] = x
+                yield tuple(sorted((rows[i][0], rows[j][0])))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_of("forest")
+        held, own, out = [], None, []  # the members of one region
+        for batch in batches:
+            for region, sid, root, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if region != own:
+                    out += links(held) if held else []
+                    held, own = [], region
+                held.append((sid, root, np.frombuffer(x.as_buffer(), np.uint64)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+                out = []
+        out += links(held) if held else []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
+
+    spread = members.join(sets.select("sid", "shingles"), "sid").select("region", "sid", "root", "shingles")
+    met = spread.repartition("region").sortWithinPartitions("region", "sid")
+    return written(met.mapInArrow(verify, "a bigint, b bigint"), "links")
 
 
 class _Links:
     """Links found so far, and the classes that they make."""
 
-    def __init__(self, marks: DataFrame, percent: int):
-        self.marks, self.percent = marks, percent
+    def __init__(self, sets: DataFrame, percent: int):
+        self.sets, self.percent = sets, percent
         self.roots: DataFrame | None = None
         self.links: DataFrame | None = None
-        self.tested: DataFrame | None = None
 
-    def add(self, pairs: DataFrame) -> bool:
-        """Verifies the pairs (a, b, a_n, b_n) that can link, were not tested before and are not connected; tells whether there were new links."""
-        fresh = _apart(pairs, self.roots).filter(_can_link(self.percent)).select("a", "b").distinct()
-        if self.tested is not None:
-            fresh = fresh.join(self.tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        self.tested = fresh if self.tested is None else self.tested.unionByName(fresh)
-        new = linked(fresh, self.marks, self.percent)
+    def add(self, *found: DataFrame) -> bool:
+        """Takes in links (a, b); tells whether there were any."""
+        new = found[0]
+        for more in found[1:]:
+            new = new.unionByName(more)
         if new.isEmpty():
             return False
         self.links = new if self.links is None else self.links.unionByName(new)
         self.roots = written(components(self.links, "a", "b"), "roots")
         return True
 
+    def beside(self, near: DataFrame) -> DataFrame:
+        """Links of the rows of ``near`` with the rows before them, where they are not connected yet."""
+        pairs = near.filter("prev is not null").select(F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b"), F.col("n").alias("a_n"), F.col("prev_n").alias("b_n"))
+        fresh = _apart(pairs, self.roots).filter(_can_link(self.percent)).select("a", "b").distinct()
+        return linked(fresh, self.sets, self.percent)
+
+    def within(self, near: DataFrame) -> DataFrame:
+        """Links in the regions of ``near`` that hold several classes."""
+        return linked_regions(_mixed_regions(near, self.roots), self.sets, self.percent)
+
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 85) -> DataFrame:
     """(id, n_shingles, component_id, kept) for every row: classes of texts that share most of their distinct 5-word shingles.
@@ -254,25 +339,26 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 85) -
     has an id; ``kept`` marks the row that gives the name, or all rows of a class
     without one. Repeated rows are kept. An empty table gives no rows.
     """
-    marks = marked(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
-    sets = written(marks.filter("n > 0").groupBy("digest").agg(F.min("row").alias("sid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
-    entries = marks.join(sets.select(F.col("sid").alias("row")), "row", "left_semi").withColumnRenamed("row", "sid")
-    found = _Links(marks, percent)
-    forest, size = 0, sets.count()
-    while size:
-        near = neighbours(sorted_orders(entries, size, forest))
-        beside = near.filter("prev is not null").select("ord", F.least("sid", "prev").alias("a"), F.greatest("sid", "prev").alias("b"), F.col("n").alias("a_n"), F.col("prev_n").alias("b_n"))
-        # of the first forest, neighbours in few orders are verified first, so that later rounds find large classes together
-        edges = [0, *ROUNDS] if not forest else [0, ORDERS]
-        new = [found.add(beside.filter((F.col("ord") >= a) & (F.col("ord") < b))) for a, b in zip(edges, edges[1:])]
-        new.append(found.add(_region_pairs(near, found.roots)))
-        if forest and not any(new):
-            break
+    docs = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marks = marked(docs)
+    distinct = written(marks.filter("n > 0").groupBy("digest").agg(F.min("row").alias("sid"), F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("rows")), "distinct")
+    entries = marks.join(distinct.select(F.col("sid").alias("row")), "row", "left_semi").withColumnRenamed("row", "sid")
+    near = neighbours(sorted_orders(entries, distinct.count()))
+    sets = sets_of(docs, marks, near.select("sid").unionByName(near.select(F.col("prev").alias("sid")).filter("sid is not null")).distinct())
+    found = _Links(sets, percent)
+    forest = 0
+    while True:
+        if not forest:  # a large class is mostly connected by neighbours, and its regions are then left out
+            found.add(found.beside(near.filter(F.col("ord") < FIRST)))
+        new = found.add(found.within(near), found.beside(near.filter("edge")))
         dense = written(near.filter("deep").select("sid").distinct(), "dense")
-        forest, size = forest + 1, dense.count()
-        entries = marks.withColumnRenamed("row", "sid").join(dense, "sid", "left_semi")
+        size = dense.count()
+        if not size or forest and not new:
+            break
+        forest += 1
+        near = neighbours(sorted_orders(signed(sets.join(dense, "sid", "left_semi"), forest), size))
     roots = found.roots
-    rooted = sets.join(roots, sets["sid"] == roots["node"], "left").select("digest", "first", "rows", F.coalesce("root", "sid").alias("root")) if roots is not None else sets.withColumnRenamed("sid", "root")
+    rooted = distinct.join(roots, distinct["sid"] == roots["node"], "left").select("digest", "first", "rows", F.coalesce("root", "sid").alias("root")) if roots is not None else distinct.withColumnRenamed("sid", "root")
     rooted = written(rooted, "rooted")
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("sets"))
     named = join_groups(rooted.select("digest", "rows", "root"), "root", names, "sets").select("digest", "rows", "component_id")
