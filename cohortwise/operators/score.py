@@ -43,14 +43,21 @@ def value_percentiles(df: DataFrame, group_cols: list[str], comps: list[str], pa
     of smaller values then comes from the range-partitioned prefix sum, so
     neither a hot value nor a huge cohort lands on one task.
     """
-    g = [*group_cols, "comp"]
-    counts = _long(df, group_cols, comps).groupBy(*g, "v").agg(F.count(F.lit(1)).alias("_c"))
-    ranked = weighted_before(counts, g, "v", "_c", partitions)
+    return _percentiles(value_counts(df, group_cols, comps), group_cols, partitions)
+
+
+def value_counts(df: DataFrame, group_cols: list[str], comps: list[str]) -> DataFrame:
+    """(group, comp, v, _c): how many rows of a group have a value; ties collapse map-side."""
+    return _long(df, group_cols, comps).groupBy(*group_cols, "comp", "v").agg(F.count(F.lit(1)).alias("_c"))
+
+
+def _percentiles(counts: DataFrame, group_cols: list[str], partitions: int | None = None, kept: tuple[str, ...] = ()) -> DataFrame:
+    ranked = weighted_before(counts, [*group_cols, "comp"], "v", "_c", partitions)
     i = F.col("_before")
     j = F.col("_before") + F.col("_c") - 1
     n = F.col("_group_total")
     pct = F.when(n == 1, F.lit(50.0)).otherwise(pyround(((i + j) / 2.0) / (n - 1) * 100.0, 2))
-    return ranked.select(*group_cols, "comp", "v", pct.alias("pct"))
+    return ranked.select(*group_cols, "comp", "v", *kept, pct.alias("pct"))
 
 
 def attach_percentiles(df: DataFrame, table: DataFrame, group_cols: list[str], comps: list[str],
@@ -118,3 +125,56 @@ def score_cohorts(df: DataFrame, group_cols: list[str] = ("search_id",), partiti
     raw = raw_components(df)
     table = value_percentiles(raw, g, comps, partitions)
     return score_columns(attach_percentiles(raw, table, g, comps))
+
+
+# -- scores kept up to date ---------------------------------------------------
+
+#: Folders of a stored score state; a search's rows and counts lie in one of each.
+SCORE_BUCKETS = 64
+_COMPS = [c for c, _ in COMPONENTS]
+
+
+def _bucket(group_col: str) -> Column:
+    return F.pmod(F.xxhash64(group_col), F.lit(SCORE_BUCKETS)).cast("int")
+
+
+def write_score_state(df: DataFrame, path: str, group_col: str = "search_id") -> None:
+    """Stores a cohort table with its scores, and each (group, component)'s values with their counts and percentiles."""
+    raw = raw_components(df)
+    values = _percentiles(value_counts(raw, [group_col], _COMPS), [group_col], kept=("_c",))
+    _by_bucket(values, group_col).parquet(f"{path}/values")
+    values = df.sparkSession.read.parquet(f"{path}/values").drop("bucket")
+    _by_bucket(score_columns(attach_percentiles(raw, values.drop("_c"), [group_col], _COMPS)), group_col).parquet(f"{path}/rows")
+
+
+def _by_bucket(df: DataFrame, group_col: str):
+    return df.withColumn("bucket", _bucket(group_col)).repartition("bucket", group_col).sortWithinPartitions("bucket", group_col).write.mode("overwrite").partitionBy("bucket")
+
+
+def rescored(spark, path: str, gone: DataFrame, come: DataFrame, group_col: str = "search_id", key_col: str = "listing_id") -> tuple[DataFrame, DataFrame]:
+    """E1/E5 after a change: (rows with scores, values with counts and percentiles) of the groups that it touches, and of no others.
+
+    ``gone`` holds the rows that leave a stored cohort, as they were, and
+    ``come`` those that enter it; a changed row is in both. The values of both
+    are counted with signs and added to the stored counts; prefix sums run again only for a (group,
+    component) whose counts differ, and the stored percentiles of the others
+    hold. Only the folders of touched groups are read.
+    """
+    from cohortwise.session import stored
+
+    g = [group_col]
+    old, new = raw_components(gone), raw_components(come)
+    signed = value_counts(old, g, _COMPS).withColumn("_c", -F.col("_c")).unionByName(value_counts(new, g, _COMPS))
+    delta = stored(signed.groupBy(group_col, "comp", "v").agg(F.sum("_c").alias("_c")).where("_c <> 0"))
+    touched = stored(gone.select(group_col).unionByName(come.select(group_col)).distinct())
+    buckets = [r[0] for r in touched.select(_bucket(group_col)).distinct().collect()]  # SCORE_BUCKETS at most
+
+    def held(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(buckets)).drop("bucket").join(touched, group_col, "left_semi")
+    differ = delta.select(group_col, "comp").distinct()
+    values = held("values")
+    counts = values.select(group_col, "comp", "v", "_c").join(differ, [group_col, "comp"], "left_semi").unionByName(delta)
+    again = _percentiles(counts.groupBy(group_col, "comp", "v").agg(F.sum("_c").alias("_c")).where("_c > 0"), g, kept=("_c",))
+    values = stored(values.join(differ, [group_col, "comp"], "left_anti").unionByName(again))
+    rows = held("rows").select(come.columns).join(gone.select(group_col, key_col), [group_col, key_col], "left_anti").unionByName(come)
+    return score_columns(attach_percentiles(raw_components(rows), values.drop("_c"), g, _COMPS, [key_col])), values

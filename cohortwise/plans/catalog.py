@@ -251,6 +251,27 @@ def q_midrank(spark, sf_dir):
     return _p(spark, sf_dir).scored().select("search_id", "listing_id", *RCOLS)
 
 
+_CHANGED = ("SELECT * REPLACE (CASE WHEN search_id % 10 = 0 AND listing_id % 20 = 0 THEN price + 15000 ELSE price END AS price) FROM enr "
+            "WHERE commute_reason IS NULL AND NOT (search_id % 10 = 0 AND listing_id % 33 = 0)")
+
+
+@register("rescored", O.with_chain("SELECT search_id, listing_id, " + ", ".join(RCOLS) + ", score_value, score_location, score_freshness, score_total FROM scored WHERE search_id IN ("
+                                   "SELECT search_id FROM enr WHERE commute_reason IS NULL AND search_id % 10 = 0 AND (listing_id % 20 = 0 OR listing_id % 33 = 0))")
+          .replace("SELECT * FROM enr WHERE commute_reason IS NULL", _CHANGED))
+def q_rescored(spark, sf_dir):
+    """A stored score state, a change to some searches' listings, and the scores of those searches after it."""
+    from cohortwise.operators.score import rescored, write_score_state
+    from cohortwise.session import shared_path
+
+    cohort, path = _p(spark, sf_dir).analyzed(), shared_path(spark, "scores")
+    write_score_state(cohort, path)
+    some = cohort.where(F.col("search_id") % 10 == 0)
+    dearer, left = F.col("listing_id") % 20 == 0, F.col("listing_id") % 33 == 0
+    come = some.where(dearer & ~left).withColumn("price", F.col("price") + 15000)
+    rows, _ = rescored(spark, path, some.where(dearer | left), come)
+    return rows.select("search_id", "listing_id", *RCOLS, "score_value", "score_location", "score_freshness", "score_total")
+
+
 @register("amenity_total", O.with_chain("SELECT search_id, listing_id, c_amenities AS amenity_total FROM comp"))
 def q_amenity_total(spark, sf_dir):
     from cohortwise.operators.enrich import amenity_total_col

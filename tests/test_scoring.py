@@ -140,3 +140,33 @@ def test_attach_gives_each_row_its_percentiles(spark):
         own = [r for r in rows if r[0] == g]
         a, b = naive_pct([r[2] for r in own]), naive_pct([r[3] for r in own])
         assert [got[(g, r[1])] for r in own] == list(zip(a, b))
+
+
+def test_rescored_equals_a_full_run(spark, tmpdir_path):
+    """Rows leave, enter and change in a few searches: those are scored as by a full run, values whose counts stay are not counted again, other searches are not read."""
+    import random
+
+    from cohortwise.operators.score import rescored, score_cohorts, write_score_state
+    rnd = random.Random(12)
+    some = lambda f: None if rnd.random() < 0.1 else f()
+
+    def row(s, i):
+        return (s, i, some(lambda: rnd.randrange(20) * 10000), some(lambda: rnd.choice([800, 1000, 1200])), some(lambda: rnd.randrange(80, 120) / 100), some(lambda: float(rnd.randrange(30))),
+                some(lambda: float(rnd.randrange(90))), *[some(lambda: rnd.randrange(5)) for _ in range(5)], some(lambda: rnd.randrange(60)), 0.3, 0.4, 0.3)
+    schema = ("search_id int, listing_id int, price long, sqft long, assessment_ratio double, commute_min double, walk_proxy double, schools_n int, cafes_n int, "
+              "parks_n int, groceries_n int, transit_n int, days_on_market int, w_value double, w_location double, w_freshness double")
+    before = [row(s, i) for s in range(12) for i in range(1 if s == 11 else 40)]
+    changed = {(2, 5), (2, 6), (7, 0), (11, 0)}
+    gone = [r for r in before if r[:2] in changed or r[0] == 4 and r[1] < 38]
+    come = [(*r[:2], 5, *r[3:]) for r in gone if r[:2] in changed] + [row(4, 99), row(20, 1), row(20, 2)]
+    after = [r for r in before if r not in gone] + come
+    df = lambda rows: spark.createDataFrame(rows, schema)
+    write_score_state(df(before), f"{tmpdir_path}/state")
+    got, values = rescored(spark, f"{tmpdir_path}/state", df(gone), df(come))
+    cols = ["search_id", "listing_id", "r_price_per_sqft", "r_amenities", "r_days_on_market", "score_value", "score_total", "data_completeness", "missing"]
+    touched = [2, 4, 7, 11, 20]
+    want = score_cohorts(df(after), ["search_id"]).where(F.col("search_id").isin(touched))
+    key = lambda x: sorted(map(repr, x.select(*cols).collect()))
+    assert key(got) == key(want) and want.count() > 80
+    assert {r.search_id for r in values.select("search_id").distinct().collect()} == set(touched)
+    assert values.where("_c <= 0").count() == 0
