@@ -8,9 +8,9 @@ region: a run of rows that share a prefix, cut at the least depth at which it
 has ``REGION`` members or fewer. Full sets of shingles decide.
 
 Texts with the same set are one entry. Candidates are verified in rounds, and
-a later round leaves out what the links found so far already connect. A region's
-sets meet in one place once and are counted against each other there, so a
-large group of near copies costs a set a member and order, not all pairs.
+a later round leaves out what the links found so far already connect. The members of
+a region meet in one place once, with 16 bits of each hash, which rules out
+almost all pairs, so a large group of near copies does not cost all of them.
 
 What may be missed: two sets at similarity s share ``LEAST`` values in an order
 with probability s^LEAST, so with 32 orders a pair at 0.85 is no candidate in
@@ -96,7 +96,7 @@ def marked(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, marks: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sid, n, shingles) of the rows of ``marks`` that ``ids`` (sid) names, made from the texts again and stored.
+    """(sid, n, shingles, shorts) of the rows of ``marks`` that ``ids`` (sid) names, made from the texts again and stored.
 
     Most sets have no neighbour, so they are not stored at first; a second
     reading of the texts in question costs less.
@@ -108,12 +108,13 @@ def sets_of(docs: DataFrame, marks: DataFrame, ids: DataFrame) -> DataFrame:
         for batch in batches:
             for _, _, h, ends in shingle_sets(batch.column(0)):
                 starts = np.r_[0, ends[:-1]]
-                yield pa.RecordBatch.from_arrays([_digests(h, ends), pa.array(ends - starts, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["digest", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([_digests(h, ends), pa.array(ends - starts, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
+                                                  pa.array([shorts(h[a:b]).tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["digest", "n", "shingles", "shorts"])
 
     named = wanted.select(F.col("doc_id").alias("__id")).distinct()
     texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    found = texts.mapInArrow(read, "digest binary, n bigint, shingles binary").join(wanted.select("digest", "sid"), "digest")
-    return written(found.select("sid", "n", "shingles").dropDuplicates(["sid"]), "sets")
+    found = texts.mapInArrow(read, "digest binary, n bigint, shingles binary, shorts binary").join(wanted.select("digest", "sid"), "digest")
+    return written(found.select("sid", "n", "shingles", "shorts").dropDuplicates(["sid"]), "sets")
 
 
 def signatures(hashes: np.ndarray, ends: np.ndarray, forest: int = 0) -> np.ndarray:
@@ -209,7 +210,10 @@ def neighbours(orders: DataFrame) -> DataFrame:
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; no other sets are shuffled."""
+    pairs = written(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sets = written(sets.select("sid", "shingles").join(ids, "sid", "left_semi"), "asked")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("forest")
@@ -250,52 +254,50 @@ def _mixed_regions(near: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rooted.join(mixed, "region", "left_semi")
 
 
-def linked_regions(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links between the classes of each region's members (region, sid, root), as many as tell which classes belong together."""
-
-    def links(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-        sizes = np.array([len(x) for *_, x in rows], np.int64)
-        number = np.unique(np.concatenate([x for *_, x in rows]), return_inverse=True)[1]
-        # an incidence matrix, so many of the shingles at a time
-        of = np.repeat(np.arange(len(rows)), sizes)
-        both = np.zeros((len(rows), len(rows)), np.int64)
-        for a in range(0, int(number.max()) + 1, AT_ONCE >> 6):
-            here = (number >= a) & (number < a + (AT_ONCE >> 6))
-            m = np.zeros((len(rows), AT_ONCE >> 6), np.float32)
-            m[of[here], number[here] - a] = 1
-            both += (m @ m.T).astype(np.int64)
-        close = 100 * both >= percent * (sizes[:, None] + sizes[None] - both)
-        root = {r: r for _, r, _ in rows}
-
-        def find(r):
-            while root[r] != r:
-                r = root[r]
-            return r
-        for i, j in zip(*np.nonzero(np.triu(close, 1))):
-            x, y = find(rows[i][1]), find(rows[j][1])
-            if x != y:
-                root[y] = x
-                yield tuple(sorted((rows[i][0], rows[j][0])))
+def shorts(hashes: np.ndarray) -> np.ndarray:
+    """The distinct last 16 bits of a set's hashes: two sets share no more hashes than these, and those that either lost by this."""
+    return np.unique(hashes.astype(np.uint16))
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def region_candidates(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of members of one region (region, sid, root), of different classes, that may be linked.
+
+    Each member comes once, with the last bits of its hashes only; an upper
+    bound of the intersection rules out all but real links and a few more, which
+    the caller verifies on full sets.
+    """
+
+    def pairs(rows: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int, int]]:
+        sid, root, size = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        kept = np.array([len(r[3]) for r in rows], np.int64)
+        values, number = np.unique(np.concatenate([r[3] for r in rows]), return_inverse=True)
+        m = np.zeros((len(rows), len(values)), np.float32)  # REGION x 65,536 at most
+        m[np.repeat(np.arange(len(rows)), kept), number] = 1
+        most = (m @ m.T).astype(np.int64) + np.minimum((size - kept)[:, None], (size - kept)[None])
+        most = np.minimum(most, np.minimum(size[:, None], size[None]))
+        close = (100 * most >= percent * (size[:, None] + size[None] - most)) & (root[:, None] != root[None])
+        i, j = np.nonzero(np.triu(close, 1))
+        return zip(np.minimum(sid[i], sid[j]).tolist(), np.maximum(sid[i], sid[j]).tolist())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("forest")
         held, own, out = [], None, []  # the members of one region
         for batch in batches:
-            for region, sid, root, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            for region, sid, root, n, x in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4)):
                 if region != own:
-                    out += links(held) if held else []
+                    out += pairs(held) if held else []
                     held, own = [], region
-                held.append((sid, root, np.frombuffer(x.as_buffer(), np.uint64)))
+                held.append((sid, root, n, np.frombuffer(x.as_buffer(), np.uint16)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
                 out = []
-        out += links(held) if held else []
+        out += pairs(held) if held else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=["a", "b"])
 
-    spread = members.join(sets.select("sid", "shingles"), "sid").select("region", "sid", "root", "shingles")
+    spread = members.join(sets.select("sid", "n", "shorts"), "sid").select("region", "sid", "root", "n", "shorts")
     met = spread.repartition("region").sortWithinPartitions("region", "sid")
-    return written(met.mapInArrow(verify, "a bigint, b bigint"), "links")
+    return met.mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 class _Links:
@@ -325,7 +327,7 @@ class _Links:
 
     def within(self, near: DataFrame) -> DataFrame:
         """Links in the regions of ``near`` that hold several classes."""
-        return linked_regions(_mixed_regions(near, self.roots), self.sets, self.percent)
+        return linked(region_candidates(_mixed_regions(near, self.roots), self.sets, self.percent), self.sets, self.percent)
 
 
 def near_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 85) -> DataFrame:

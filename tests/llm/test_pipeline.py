@@ -1,6 +1,9 @@
 """The registered queries and the stages of the pipeline."""
 
+import array
+import base64
 import functools
+import hashlib
 import math
 import re
 
@@ -94,3 +97,65 @@ def test_run(spark):
     for r in rows:
         by.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(sum(n for _, n in parts) <= 2048 for parts in by.values())
+
+
+def test_stages_on_nulls_repeats_clashes_and_nothing(spark):
+    """Every stage on odd rows: what its docstring says, no crash, all columns handed on."""
+    long = " ".join(f"wort{i * 7919}" for i in range(60_000))
+    shared = "a passage of words that several documents have in common, long enough to be found as a repeated string of two hundred bytes, " * 2
+    rows = [(1, None, "en", "s", None, 1), (2, "", None, None, 0, 2), (None, "no id but a text of its own", "en", "s", 27, 3), (None, None, None, None, None, 4),
+            (5, long, "de", "s", len(long), 5), (6, f"one {shared} end", "en", "s", 9, 6), (7, f"another start {shared}", "en", "s", 9, 7),
+            (8, "twice the same row", "en", "s", 18, 8), (8, "twice the same row", "en", "s", 18, 8), (9, "é" * 300, "fr", "s", 300, 9)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, {} bigint"
+    for extra in ("key", "fp", "row", "piece"):
+        docs = spark.createDataFrame(rows, schema.format(extra))
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            if k and extra in ("fp", "row") and k < 3:
+                continue  # one clash for each stage is enough
+            out = stage(spark, docs, SF)
+            got = out.collect()
+            if k < 3:
+                assert out.columns == docs.columns, name
+            if k == 0:
+                assert {r.doc_id for r in got} >= {1, 2} and sum(r.doc_id == 8 for r in got) in (0, 2)
+            elif k == 1:  # one of the texts without words, one of the repeated rows
+                assert sorted(r.doc_id for r in got if r.doc_id in (1, 2, 8)) == [1, 8]
+            elif k == 2:
+                assert len(got) == len(rows) and all(r.n_chars == len(r.text) for r in got)
+                assert not any(shared[:200] in r.text for r in got) and any(r.text == long for r in got)
+            else:
+                assert {r.doc_id for r in got} == {r[0] for r in rows}
+    empty = spark.createDataFrame([], schema.format("key"))
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_quality_query_against_plain_python(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    verdicts = LLM_REGISTRY["op4_quality"][0](spark, SF).collect()
+    assert len(verdicts) == len(docs)
+    assert {r.doc_id for r in verdicts if r.keep} == plain_quality(spark, docs, spark.read.parquet(f"{SF}/labels.parquet").collect())
+
+
+def test_bpe_query_against_the_library(spark):
+    library = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    got = {r.doc_id: r for r in LLM_REGISTRY["op9_bpe"][0](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False).encode()
+        want = (len(ids), hashlib.sha256(array.array("I", ids).tobytes()).hexdigest(), hashlib.sha256(back).hexdigest())
+        assert (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256) == want
+
+
+def test_warc_query_against_plain_python(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    payload = {r.page_id: (r.html or "").encode() for r in pages}
+    last = {}
+    for i, x in sorted(payload.items()):
+        last[x] = i
+    want = sorted((i, len(x), base64.b32encode(hashlib.sha1(x).digest()).decode(), "response" if last[x] == i else "revisit", None if last[x] == i else last[x]) for i, x in payload.items())
+    got = LLM_REGISTRY["op6_warc"][0](spark, SF).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert sorted(map(tuple, got)) == want
