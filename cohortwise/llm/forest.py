@@ -245,13 +245,20 @@ def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _mixed_regions(near: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(region, sid, root) of the members of regions that the links so far leave in several classes."""
-    members = near.filter("region is not null").select("region", "sid")
+    """(region, sid, root) of the members of regions that the links so far leave in several classes, stored.
+
+    A family of near copies is a region in most orders; of regions with the
+    same members (told by their number and 128 bits of hashes) one is left.
+    """
+    rooted = near.filter("region is not null").select("region", "sid")
     if roots is None:
-        return members.withColumn("root", F.col("sid"))
-    rooted = members.join(roots, members["sid"] == roots["node"], "left").select("region", "sid", F.coalesce("root", "sid").alias("root"))
-    mixed = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("region")
-    return rooted.join(mixed, "region", "left_semi")
+        rooted = rooted.withColumn("root", F.col("sid"))
+    else:
+        rooted = rooted.join(roots, rooted["sid"] == roots["node"], "left").select("region", "sid", F.coalesce("root", "sid").alias("root"))
+    members = [F.count(F.lit(1)).alias("size"), *[F.bit_xor(F.xxhash64(F.lit(k), "sid")).alias(f"x{k}") for k in (1, 2)]]
+    mixed = rooted.groupBy("region").agg(F.min("root").alias("low"), F.max("root").alias("high"), *members).filter("low < high")
+    one = written(mixed.groupBy("size", "x1", "x2").agg(F.min("region").alias("region")).select("region"), "regions")
+    return written(rooted.join(one, "region", "left_semi"), "members")
 
 
 def shorts(hashes: np.ndarray) -> np.ndarray:
@@ -358,7 +365,8 @@ def near_classes(df: DataFrame, id_col: str, text_col: str, percent: int = 85) -
         if not size or forest and not new:
             break
         forest += 1
-        near = neighbours(sorted_orders(signed(sets.join(dense, "sid", "left_semi"), forest), size))
+        found.sets = sets = written(sets.join(dense, "sid", "left_semi"), "sets")  # all that the further forests are about
+        near = neighbours(sorted_orders(signed(sets, forest), size))
     roots = found.roots
     rooted = distinct.join(roots, distinct["sid"] == roots["node"], "left").select("digest", "first", "rows", F.coalesce("root", "sid").alias("root")) if roots is not None else distinct.withColumnRenamed("sid", "root")
     rooted = written(rooted, "rooted")

@@ -121,3 +121,13 @@ def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted((tuple(r) for r in op11_forest(spark, sf).collect()), key=str) == plain(rows)
+
+
+def test_regions_of_the_same_members_meet_once(spark):
+    rows = [(10, 1), (10, 2), (10, 3), (20, 3), (20, 1), (20, 2), (30, 1), (30, 2), (40, 4), (40, 5), (None, 9)]
+    near = spark.createDataFrame(rows, "region bigint, sid bigint")
+    met = sorted((r.region, r.sid, r.root) for r in forest._mixed_regions(near, None).collect())
+    assert met == [(10, 1, 1), (10, 2, 2), (10, 3, 3), (30, 1, 1), (30, 2, 2), (40, 4, 4), (40, 5, 5)]
+    roots = spark.createDataFrame([(4, 4), (5, 4), (2, 1), (1, 1)], "node bigint, root bigint")
+    met = sorted((r.region, r.sid, r.root) for r in forest._mixed_regions(near, roots).collect())
+    assert met == [(10, 1, 1), (10, 2, 1), (10, 3, 3)]  # one class in the others
