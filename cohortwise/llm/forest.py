@@ -114,7 +114,8 @@ def sets_of(docs: DataFrame, marks: DataFrame, ids: DataFrame) -> DataFrame:
     named = wanted.select(F.col("doc_id").alias("__id")).distinct()
     texts = docs.join(named, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
     found = texts.mapInArrow(read, "digest binary, n bigint, shingles binary, shorts binary").join(wanted.select("digest", "sid"), "digest")
-    return written(found.select("sid", "n", "shingles", "shorts").dropDuplicates(["sid"]), "sets")
+    # a digest has one sid: by digest, as the join has dealt the rows, they are not shuffled again
+    return written(found.dropDuplicates(["digest"]).select("sid", "n", "shingles", "shorts"), "sets")
 
 
 def signatures(hashes: np.ndarray, ends: np.ndarray, forest: int = 0) -> np.ndarray:
