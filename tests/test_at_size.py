@@ -60,3 +60,24 @@ def test_a_plain_session_gets_what_the_queries_need(spark):
         plain.conf.unset(k)
     tables(plain, "/root/testdata/sf0.001")
     assert {k: plain.conf.get(k) for k in RUNTIME_CONF} == RUNTIME_CONF
+
+
+def test_boxes_do_not_meet_leaves_whose_points_they_miss(spark):
+    points = spark.range(4000).selectExpr("id", "double(id % 40) + if(id < 2000, 0, 1000) as x", "double(id % 50) as y")
+    axes = [F.col("x"), F.col("y")]
+    boxes = spark.createDataFrame([(1, 100.0, 900.0), (2, 10.0, 12.0), (3, 1039.5, 5000.0), (4, 1039.0, 5000.0)], "box int, low double, high double")
+    tree = kdsplit.split(points, axes, "id")
+    met = kdsplit.meet(points, boxes, tree, axes, F.expr("array(array(low, 0D, high, 60D))"), "id").select("id", "x", "box").collect()
+    assert {r.box for r in met} == {2, 4}
+    want = [(i, 2) for i in range(2000) if 10 <= i % 40 <= 12] + [(i, 4) for i in range(2000, 4000) if i % 40 == 39]
+    assert sorted((r.id, r.box) for r in met if (10 <= r.x <= 12 if r.box == 2 else r.x >= 1039)) == sorted(want)
+
+
+def test_ranking_reads_written_scores(spark):
+    from cohortwise.plans.pipeline import Pipeline
+
+    p = Pipeline(None)
+    p._memo["scored"] = spark.range(9).selectExpr("id % 2 as search_id", "id as listing_id", "id as seq", "id % 4 as score_total")
+    ranked = p.ranked()
+    assert "Range (" not in ranked._jdf.queryExecution().optimizedPlan().toString()  # nothing is scored again for the rows
+    assert [r.listing_id for r in ranked.where("search_id = 0").orderBy("rank").collect()] == [2, 6, 0, 4, 8]
