@@ -81,3 +81,36 @@ def test_ranking_reads_written_scores(spark):
     ranked = p.ranked()
     assert "Range (" not in ranked._jdf.queryExecution().optimizedPlan().toString()  # nothing is scored again for the rows
     assert [r.listing_id for r in ranked.where("search_id = 0").orderBy("rank").collect()] == [2, 6, 0, 4, 8]
+
+
+def test_repeated_ids_are_never_broadcast(spark, monkeypatch):
+    from cohortwise.operators import quality as Q
+
+    plans, pin = [], Q._pinned
+    monkeypatch.setattr(Q, "_pinned", lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or pin(d))
+    rows = spark.range(60).selectExpr("(id + 1) div 2 AS listing_id", "id AS seq", "concat(id div 2, ' Chain Rd') AS address", "1L AS price")
+    got = Q.dedupe_exact(rows)
+    plans.append(got._jdf.queryExecution().executedPlan().toString())
+    assert not any("BroadcastHashJoin" in p for p in plans)
+    assert sorted(r.seq for r in got.collect()) == list(range(0, 60, 2))
+
+
+def test_report_formats_a_listing_once(spark):
+    listings = spark.createDataFrame([(1, 1234567, 2.5, 1.0, None, 3, None, 51.0, -114.0), (2, 5, 2.0, 1.0, None, 3, None, 51.1, -114.2)],
+                                     "listing_id long, price long, beds double, baths double, sqft long, days_on_market int, property_type string, lat double, lon double")
+    searches = C.with_defaults(spark.createDataFrame([(i, 10, 99, 60 + i) for i in range(3)], "search_id long, price_min int, price_max int, max_commute_min int"))
+    report = C.criteria_report(listings, searches)
+    plan = report.select("search_id", "criteria_reason")._jdf.queryExecution().optimizedPlan().toString()
+    # what stands above the join and is done for each pair prints no price
+    assert "format_number(price" not in plan[:plan.index("Join Inner")]
+    assert {(r.listing_id, r.criteria_reason) for r in report.collect()} == {(1, "price $1,234,567 above maximum"), (2, "price $5 below minimum")}
+
+
+def test_rounding_without_text_is_the_same(spark):
+    from cohortwise.functions.fmt import pyround, pyround_of
+
+    rnd = random.Random(8)
+    xs = [0.0, -0.0, 0.0005, 0.0015, 2.0005, 1.0625, 0.0625, -0.0004, 5.35, 1e6, 1e12, float("nan"), float("inf"), None, *(rnd.uniform(-2e4, 2e4) for _ in range(3000)),
+          *(rnd.randrange(10**7) / 2000 for _ in range(3000))]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", pyround(F.col("x"), 3).alias("a"), pyround_of(F.col("x"), 3).alias("b")).collect()
+    assert [(r.x, r.a, r.b) for r in got if repr(r.a) != repr(r.b)] == []
