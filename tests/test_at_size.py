@@ -114,3 +114,60 @@ def test_rounding_without_text_is_the_same(spark):
           *(rnd.randrange(10**7) / 2000 for _ in range(3000))]
     got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", pyround(F.col("x"), 3).alias("a"), pyround_of(F.col("x"), 3).alias("b")).collect()
     assert [(r.x, r.a, r.b) for r in got if repr(r.a) != repr(r.b)] == []
+
+
+def test_scores_are_rounded_by_numbers(spark):
+    """Whole columns of rounded values equal the text route, also at ties, nulls and values without an end; the text is left for ties."""
+    from cohortwise.functions.fmt import pyround, rounded
+    from cohortwise.operators.score import COMPONENTS, score_columns
+
+    xs = [None, 0.0, -0.004, 0.005, 1.005, 2.675, 5.35, 66.665, 99.995, 1e12 + 0.125, float("nan"), float("inf")] + [random.Random(3).uniform(-200, 200) for _ in range(300)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double")
+    got = rounded(df, a=(F.col("x") / 3, 2), b=(F.col("x"), 1)).select("*", pyround(F.col("x") / 3, 2).alias("c"), pyround(F.col("x"), 1).alias("d"))
+    assert got.columns == ["i", "x", "a", "b", "c", "d"]
+    assert got.where("not (a <=> c) or not (b <=> d)").count() == 0
+    cohort = spark.range(3).selectExpr("id as listing_id", *[f"double(id) as r_{c}" for c, _ in COMPONENTS], "0.2D as w_value", "0.3D as w_location", "0.1D as w_freshness")
+    plan = score_columns(cohort)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("rint(") >= 5  # two for each of the scores
+
+
+def test_survivors_read_once_are_not_written(spark, monkeypatch):
+    from cohortwise.plans import catalog, pipeline
+
+    written, store = [], pipeline.stored
+    monkeypatch.setattr(pipeline, "stored", lambda d: written.append(d.columns) or store(d))
+    got = {}
+    for name in ("pass_reject_counts", "cohort_bbox", "match_rate", "route_join", "filter_funnel"):
+        written.clear()
+        got[name] = catalog.REGISTRY[name][0](spark, "/root/testdata/sf0.001")
+        assert ["search_id" in c for c in written] == [False]  # the kept listings alone
+    n = sum(r.passed for r in got["pass_reject_counts"].collect())
+    assert n == got["route_join"].count() == sum(r.total for r in got["match_rate"].collect()) > 0
+
+
+def test_survivors_are_written_with_what_the_job_reads(spark, monkeypatch):
+    from cohortwise.plans import catalog, pipeline
+
+    written, store = [], pipeline.stored
+    monkeypatch.setattr(pipeline, "stored", lambda d: written.append(d.columns) or store(d))
+    for name, columns in (("walk_proxy", catalog.POINT_COLS), ("stage_reset", pipeline.CUT_COLS), ("cohort_summary", pipeline.SCORED_COLS)):
+        written.clear()
+        catalog.REGISTRY[name][0](spark, "/root/testdata/sf0.001")
+        assert written[1] == list(columns)
+
+
+def test_many_boxes_go_down_the_tree_at_once(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(kdsplit, "BOXES_AT_ONCE", 7)
+    rng = np.random.default_rng(6)
+    tree = kdsplit.grown(rng.normal(0, 1, (4000, 2)), 90)
+    low = rng.normal(0, 1, (50, 2))
+    high = low + rng.uniform(0, 1, (50, 2))
+    box, leaf = tree.all_touched(low, high)
+    assert sorted(zip(box.tolist(), leaf.tolist())) == sorted((k, x) for k in range(50) for x in tree.touched(low[k], high[k]))
+    rows = [(k, [[*low[k].tolist(), *high[k].tolist()], [*low[-k].tolist(), *high[-k].tolist()]][: k % 3]) for k in range(50)]
+    df = spark.createDataFrame(rows, "k int, boxes array<array<double>>").coalesce(1)
+    got = {r.k: r.leaves for r in df.select("k", kdsplit.leaves_col(tree, F.col("boxes")).alias("leaves")).collect()}
+    want = {k: sorted({x for b in boxes for x in tree.touched(np.array(b[:2]), np.array(b[2:]))}) for k, boxes in rows}
+    assert got == want
