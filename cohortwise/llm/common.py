@@ -44,6 +44,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join whose rows grow with the corpus: the join is shuffled and merged.
+
+    Spark takes a side for small by the size of its files or by what an explode
+    had before it, and would collect it on the driver, many times that size, to broadcast it.
+    """
+    return df.hint("merge")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import written
+from cohortwise.llm.common import by_merge, written
+
+#: Up to this number of edges a join is left to Spark, which may broadcast a side; with more its sides are merged.
+FEW_EDGES = 100_000
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -14,18 +17,18 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, side) -> DataFrame:
     """Every node's larger neighbours are hung on the least node of its neighbourhood."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    return both.join(side(least), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, side) -> DataFrame:
     """Every node and its smaller neighbours are hung on the least of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = down.groupBy("a").agg(F.min("b").alias("m"))
-    hung = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    hung = down.join(side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return hung.unionByName(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
 
 
@@ -42,7 +45,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = written(edges, "edges")
     mark = _mark(edges)
     while mark[0]:
-        edges = written(_small_star(_large_star(edges)), "edges")
+        side = by_merge if mark[0] > FEW_EDGES else lambda x: x
+        edges = written(_small_star(_large_star(edges, side), side), "edges")
         now = _mark(edges)
         if now == mark:
             break

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import table, task_of, written
+from cohortwise.llm.common import by_merge, table, task_of, written
 from cohortwise.llm.components import components
 
 #: Shingles whose bits are counted at a time.
@@ -116,9 +116,9 @@ def _links(distinct_fps: DataFrame, most_bits: int) -> DataFrame:
         entries = _index(members, 0, width)
         width //= 2
         counts = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        shared = written(entries.join(counts, "key"), "entries")
+        shared = written(entries.join(by_merge(counts), "key"), "entries")
         few = shared if width == 4 else shared.filter(F.col("n") <= SHARED)
-        pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").filter(
+        pairs = few.select("key", F.col("fp").alias("a")).join(by_merge(few.select("key", F.col("fp").alias("b"))), "key").filter(
             (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits))
         found.append(pairs.select("a", "b"))
         members = shared.filter(F.col("n") > SHARED).select("fp", "key", "low").distinct()
@@ -136,9 +136,9 @@ def _classes(df: DataFrame, shingle: int, most_bits: int) -> DataFrame:
     rows = written(fingerprints(df, "text", "fp", shingle).select(*more, "fp"), "fingerprints")
     distinct_fps = written(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct")
     roots = written(components(_links(distinct_fps.select("fp"), most_bits), "a", "b"), "roots")
-    rooted = distinct_fps.join(roots, distinct_fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct_fps.join(by_merge(roots), distinct_fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.join(smallest, "root").select("fp", "root", "component_id"), "fp")
+    return rows.join(by_merge(rooted.join(by_merge(smallest), "root").select("fp", "root", "component_id")), "fp")
 
 
 def simhash_classes(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, most_bits: int = 3) -> DataFrame:
@@ -172,7 +172,7 @@ def simhash_dedup(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, m
     stay = first.select(F.col("r.h1").alias("__h1"), F.col("r.h2").alias("__h2"))
     # the join leaves equal rows together, so dropping repeats needs no further shuffle
     marked = df.withColumn("__a", marks[0]).withColumn("__b", marks[1])
-    kept = marked.join(stay, (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")), "left_semi")
+    kept = marked.join(by_merge(stay), (F.col("__a") == F.col("__h1")) & (F.col("__b") == F.col("__h2")), "left_semi")
     return kept.dropDuplicates(["__a", "__b"]).drop("__a", "__b")
 
 

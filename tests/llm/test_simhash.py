@@ -97,3 +97,23 @@ def test_dedup_keeps_one_of_each_class(spark):
     want = {r.component_id for r in classes.select("component_id").distinct().collect()}
     assert {r.doc_id for r in simhash_dedup(df, "doc_id", "text").collect()} == want
     assert simhash_dedup(df.withColumn("x", F.lit(1)), "doc_id", "text").count() == len(want)
+
+
+def test_no_side_that_grows_is_broadcast(spark, monkeypatch):
+    """Tables that are small by their files, as before an explode, are not collected by the driver."""
+    import cohortwise.llm.components as co
+
+    plans = []
+    kept = sh.written
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, tag)
+    monkeypatch.setattr(sh, "written", seen)
+    monkeypatch.setattr(co, "written", seen)
+    monkeypatch.setattr(co, "FEW_EDGES", 0)
+    docs = spark.createDataFrame([(i, f"text {i // 2} of a few words") for i in range(8)], "doc_id bigint, text string")
+    for last in (simhash_classes(docs, "doc_id", "text"), simhash_dedup(docs, "doc_id", "text")):
+        plans.append(last._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 6
+    assert not any("BroadcastHashJoin" in p or "BroadcastNestedLoopJoin" in p for p in plans)
