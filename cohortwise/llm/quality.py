@@ -22,16 +22,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortwise.llm.common import slices_by_bytes, table, task_of, utf8_parts, written
+from cohortwise.llm.common import by_merge, slices_by_bytes, table, task_of, utf8_parts, written
 
 ORDER = 4
 _BITS = 12
 #: The n-grams of a language that are broadcast, at most.
 HEAD = 1 << 16
-#: Trusted ids up to this number are broadcast; more are joined by a shuffle.
+#: Trusted ids up to this number go to the tasks as whole numbers of 8 bytes each; more, and ids of other types, are joined by a shuffle.
 FEW_IDS = 2_000_000
 #: Bytes of text taken apart at a time; a longer text is taken in pieces.
 AT_ONCE = 1 << 20
@@ -67,8 +68,30 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values, np.bincount(number, minlength=len(values))
 
 
-def gram_counts(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n): how often each n-gram occurs in the texts of each language; summed up in each task first."""
+def _shared_ids(docs: DataFrame, ids: DataFrame) -> Broadcast | None:
+    """The ids of ``ids`` (doc_id) for all tasks, sorted, if they are whole numbers and ``FEW_IDS`` at most."""
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    if not {d.schema["doc_id"].dataType.simpleString() for d in (docs, ids)} <= whole or ids.count() > FEW_IDS:
+        return None
+    found = ids.select(F.col("doc_id").cast("bigint")).toArrow().column(0).to_numpy()
+    return docs.sparkSession.sparkContext.broadcast(np.sort(found))
+
+
+def _of_ids(batch: pa.RecordBatch, column: int, ids: np.ndarray) -> pa.RecordBatch:
+    """The rows whose id, in the ``column``, is one of the sorted ``ids``; a null is none."""
+    if not len(ids):
+        return batch.slice(0, 0)
+    own = batch.column(column).cast(pa.int64())
+    known = own.fill_null(0).to_numpy(zero_copy_only=False)
+    same = ids[np.minimum(np.searchsorted(ids, known), len(ids) - 1)] == known
+    return batch.filter(pc.and_(pa.array(same), own.is_valid()))
+
+
+def gram_counts(docs: DataFrame, among: Broadcast | None = None) -> DataFrame:
+    """(lang, gram, n): how often each n-gram occurs in the texts of each language; summed up in each task first.
+
+    ``among``: only the texts with these ids (see ``_shared_ids``).
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task_of("quality")
@@ -79,6 +102,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             return values, np.bincount(number, np.concatenate([n for _, n in held[lang]]), len(values)).astype(np.int64)
 
         for batch in batches:
+            if among is not None:
+                batch = _of_ids(batch, 2, among.value)
             langs = np.array(batch.column(0).to_pylist(), object)
             for lang in sorted(set(langs.tolist())):
                 texts = batch.column(1).take(pa.array(np.flatnonzero(langs == lang)))
@@ -92,7 +117,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 v, m = values[a:a + (1 << 16)], n[a:a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(v), pa.string()), pa.array(v, pa.int64()), pa.array(m, pa.int64())], names=["lang", "gram", "n"])
 
-    return docs.select("lang", "text").mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text", *(["doc_id"] if among is not None else [])).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> DataFrame:
@@ -128,7 +153,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         off = off.select("lang", "gram", "n", d.alias("d"), F.shiftright("gram", _BITS).alias("context"), tail.alias("tail"))
         contexts = off.groupBy("lang", "context").agg(F.sum("n").cast("double").alias("total"), F.sum("d").alias("left"))
-        p = (off.join(contexts, ["lang", "context"]).join(below, ["lang", "tail"])
+        # below one character there is a row for each language, too
+        p = (off.join(by_merge(contexts), ["lang", "context"]).join(by_merge(below) if size > 1 else F.broadcast(below), ["lang", "tail"])
              .withColumn("p", (F.col("n") - F.col("d") + F.col("left") * F.col("p_below")) / F.col("total")))
         p = written(p.select("lang", "gram", "p"), f"p{size}")
         parts.append(p.select("lang", F.lit(size).alias("size"), "gram", F.lit("p").alias("kind"), F.log("p").alias("value")))
@@ -153,14 +179,14 @@ def gram_scores(grams: DataFrame, model: DataFrame) -> DataFrame:
         parts.append(F.struct(F.lit(size).alias("size"), tail.alias("part"), F.lit("p").alias("kind")))
         parts.append(F.struct(F.lit(size - 1).alias("size"), F.shiftright(tail, _BITS).alias("part"), F.lit("b").alias("kind")))
     asked = grams.select("lang", "gram", F.inline(F.array(*parts)))
-    found = asked.join(model.withColumnRenamed("gram", "part"), ["lang", "size", "part", "kind"])
+    found = asked.join(by_merge(model.withColumnRenamed("gram", "part")), ["lang", "size", "part", "kind"])
     best = found.groupBy("lang", "gram").agg(
         F.max(F.when(F.col("kind") == "p", F.struct("size", "value"))).alias("p"),
         F.collect_list(F.when(F.col("kind") == "b", F.struct("size", "value"))).alias("b"))  # ORDER at most
     # the order of a context is its size + 1: weights of orders above that of the probability count
     weight = F.aggregate(F.filter("b", lambda x: x["size"] >= F.col("p.size")), F.lit(0.0), lambda s, x: s + x["value"])
     scores = best.select("lang", "gram", (F.col("p.value") + weight).alias("score"))
-    return grams.join(scores, ["lang", "gram"])
+    return grams.join(by_merge(scores), ["lang", "gram"])
 
 
 def _head(scores: DataFrame) -> DataFrame:
@@ -179,8 +205,8 @@ def _head(scores: DataFrame) -> DataFrame:
     return scores.filter(step >= least)
 
 
-def log_perplexities(docs: DataFrame, scores: DataFrame) -> DataFrame:
-    """(doc_id, lang, key, n, log_perplexity) for every row of ``docs`` (doc_id, lang, text, key).
+def log_perplexities(docs: DataFrame, scores: DataFrame, among: Broadcast | None = None) -> DataFrame:
+    """(doc_id, lang, key, n, log_perplexity) for every row of ``docs`` (doc_id, lang, text, key), or those with the ids ``among`` (see ``_shared_ids``).
 
     ``scores`` holds every n-gram of the documents with its count ``n`` in the
     corpus. The log-perplexity is per character; it is null for a text without
@@ -202,6 +228,8 @@ def log_perplexities(docs: DataFrame, scores: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([ids, pa.array([lang] * len(rows), pa.string()), keys, pa.array(gram, pa.int64()), pa.array(k, pa.int64()), pa.array(n, pa.int64()), pa.array(total, pa.float64())], names=names)
 
         for batch in batches:
+            if among is not None:
+                batch = _of_ids(batch, 0, among.value)
             langs = np.array(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs.tolist())):
                 rows = np.flatnonzero(langs == lang)
@@ -223,13 +251,13 @@ def log_perplexities(docs: DataFrame, scores: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = written(docs.select("doc_id", "lang", "text", "key").mapInArrow(look_up, f"doc_id {kind}, lang string, key bigint, gram bigint, k bigint, n bigint, total double"), "lookups")
     per_row = found.filter("gram is null")
-    rest = (found.filter("gram is not null").join(scores.select("lang", "gram", "score"), ["lang", "gram"])
+    rest = (found.filter("gram is not null").join(by_merge(scores.select("lang", "gram", "score")), ["lang", "gram"])
             .select("key", F.lit(0).cast("bigint").alias("n"), (F.col("k") * F.col("score")).alias("total")))
     sums = per_row.select("key", "n", "total").unionByName(rest).groupBy("key").agg(F.sum("n").alias("all"), F.sum("total").alias("total"))
     # rows with the same key add up alike above and below the line
     scored = scores.select("lang").distinct().withColumn("known", F.lit(True))
     ratio = F.when(F.col("known") & (F.col("all") > 0), -F.col("total") / F.col("all"))
-    return per_row.select("doc_id", "lang", "key", "n").join(sums, "key").join(F.broadcast(scored), "lang", "left").select("doc_id", "lang", "key", "n", F.round(ratio, 9).alias("log_perplexity"))
+    return per_row.select("doc_id", "lang", "key", "n").join(by_merge(sums), "key").join(F.broadcast(scored), "lang", "left").select("doc_id", "lang", "key", "n", F.round(ratio, 9).alias("log_perplexity"))
 
 
 def quantiles(rows: DataFrame, share: float) -> DataFrame:
@@ -261,10 +289,10 @@ def _folded(trusted: DataFrame) -> DataFrame:
     return trusted.withColumn("lang", F.concat("lang", fold))
 
 
-def held_out(folded: DataFrame, counts: DataFrame) -> DataFrame:
+def held_out(folded: DataFrame, counts: DataFrame, among: Broadcast | None = None) -> DataFrame:
     """(lang, low) of trusted documents, each scored by a model that has seen no text of its fold.
 
-    ``folded`` comes from ``_folded``, ``counts`` are its n-grams. A fold that holds all of
+    ``folded`` comes from ``_folded`` (its rows with the ids ``among``, if given), ``counts`` are its n-grams. A fold that holds all of
     a language's texts has no model; its ``low`` is null.
     """
     base, fold = F.expr("left(lang, length(lang) - 1)"), F.expr("right(lang, 1)")
@@ -272,7 +300,7 @@ def held_out(folded: DataFrame, counts: DataFrame) -> DataFrame:
     others = counts.select(base.alias("base"), for_others.alias("fold"), "gram", "n").groupBy(F.concat("base", "fold").alias("lang"), "gram").agg(F.sum("n").alias("n"))
     model = written(kneser_ney(written(others, "others")), "heldout")
     scores = written(gram_scores(counts, model), "heldscores")
-    return _with_low(log_perplexities(folded, scores)).select(base.alias("lang"), "low")
+    return _with_low(log_perplexities(folded, scores, among)).select(base.alias("lang"), "low")
 
 
 def classify(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: float = MARGIN) -> DataFrame:
@@ -294,18 +322,17 @@ def classify(docs: DataFrame, labels: DataFrame, share: float = 0.99, margin: fl
 def _classified(docs: DataFrame, labels: DataFrame, share: float, margin: float) -> DataFrame:
     rows = prepared(docs)
     good = written(trusted_ids(labels), "trusted")
-    # a few ids are broadcast, behind a count; more are joined by a shuffle
-    of = F.broadcast(good) if good.count() <= FEW_IDS else good
-    folded = _folded(rows.join(of, "doc_id", "left_semi"))
-    by_fold = written(gram_counts(folded), "folds")
+    among = _shared_ids(rows, good)
+    folded = _folded(rows if among is not None else rows.join(by_merge(good), "doc_id", "left_semi"))
+    by_fold = written(gram_counts(folded, among), "folds")
     counts = by_fold.groupBy(F.expr("left(lang, length(lang) - 1)").alias("lang"), "gram").agg(F.sum("n").alias("n"))
     model = written(kneser_ney(written(counts, f"grams{ORDER}")), "model")
     scores = written(gram_scores(gram_counts(rows), model), "scores")
     found = written(_with_low(log_perplexities(rows, scores)), "perplexities")
-    own = quantiles(found.join(of, "doc_id", "left_semi"), share).withColumnRenamed("value", "own")
+    own = quantiles(found.join(by_merge(good), "doc_id", "left_semi"), share).withColumnRenamed("value", "own")
     value = F.coalesce("value", "own")
     # a row for each language
-    limits = (own.join(F.broadcast(quantiles(held_out(folded, by_fold), share)), "lang", "left")
+    limits = (own.join(F.broadcast(quantiles(held_out(folded, by_fold, among), share)), "lang", "left")
               .select("lang", (value + F.abs(value) * F.lit(margin)).alias("threshold")))
     keep = F.coalesce(F.col("low") <= F.col("threshold"), F.lit(True))
     # a row for each language
@@ -316,7 +343,7 @@ def kept_documents(docs: DataFrame, labels: DataFrame, share: float = 0.99, marg
     """The rows of ``docs`` that ``classify`` keeps, with all their columns."""
     gone = _classified(docs, labels, share, margin).filter(~F.col("keep")).select(F.col("key").alias("__key")).distinct()
     key = F.xxhash64("doc_id", F.coalesce("lang", F.lit("")), F.coalesce("text", F.lit("")))
-    return docs.join(gone, key == F.col("__key"), "left_anti")
+    return docs.join(by_merge(gone), key == F.col("__key"), "left_anti")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

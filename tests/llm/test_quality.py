@@ -123,3 +123,37 @@ def test_nulls_empty_unknown_language_and_clashes(spark):
     assert kept.columns == docs.columns and sorted(r.key for r in kept.collect()) == [1, 2, 3, 5]
     assert classify(docs.limit(0), labels).count() == 0
     assert all(r.keep for r in classify(docs, labels.limit(0)).collect())
+
+
+def test_only_a_row_for_each_language_is_broadcast(spark, monkeypatch):
+    """Trusted ids and tables of n-grams are never collected and broadcast by a join, however small their files are."""
+    import re
+
+    plans = []
+    kept = quality.written
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return kept(df, tag)
+    monkeypatch.setattr(quality, "written", seen)
+    docs = spark.createDataFrame([(i, f"some prose, number {i}", "en") for i in range(8)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    plans.append(kept_documents(docs, labels)._jdf.queryExecution().sparkPlan().toString())
+    by = [re.sub(r"#\d+L?", "", x) for p in plans for x in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)]
+    assert by and set(by) <= {"lang", "lang, tail"}
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint", "string"])
+def test_trusted_ids_of_any_type(spark, kind):
+    """Whole numbers are looked up, others joined; a null id is not trusted, and repeated rows count as often as they occur."""
+    rows = [(i, f"a text that is number {i} of some", "en") for i in (1, 2, 2, 3, 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, lang string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0), (-4, 1, 0)], "doc_id int, quality int, toxic int").withColumn("doc_id", F.col("doc_id").cast(kind))
+    ids = quality.trusted_ids(labels)
+    among = quality._shared_ids(docs, ids)
+    assert (among is None) == (kind == "string")
+    got = {(r.lang, r.gram): r.n for r in gram_counts(docs if among else docs.join(ids, "doc_id", "left_semi"), among).collect()}
+    want = {(r.lang, r.gram): r.n for r in gram_counts(docs.filter("doc_id in (1, 2)")).collect()}
+    assert got == want and sum(got.values()) == sum(len(t) for i, t, _ in rows if i in (1, 2))
+    none = spark.createDataFrame([], labels.schema)
+    assert gram_counts(docs, quality._shared_ids(docs, quality.trusted_ids(none))).count() == 0 if among else True
