@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortwise.llm.bpe import byte_characters, public_path
-from cohortwise.llm.common import buckets_for, holds_tables, slices_by_bytes, table, task_of, utf8_parts, written
+from cohortwise.llm.common import buckets_for, by_merge, holds_tables, slices_by_bytes, table, task_of, utf8_parts, written
 
 #: Groups of the linear grouping.
 GROUPS = 400
@@ -251,7 +251,7 @@ def pack(pieces: DataFrame, length_col: str, order_by: list[str], capacity: int
         length_col, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
     inner = Window.partitionBy(length_col, "__block").orderBy(*order_by)
     ranked = (blocked.withColumn("__rank", F.row_number().over(inner) - 1)
-              .join(bases, [length_col, "__block"]).withColumn("__rank", F.col("__rank") + F.col("__base")))
+              .join(by_merge(bases), [length_col, "__block"]).withColumn("__rank", F.col("__rank") + F.col("__base")))
 
     @F.pandas_udf("struct<sequence_id: bigint, offset: bigint>")
     def place(length, rank):

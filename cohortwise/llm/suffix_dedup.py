@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
-from cohortwise.llm.common import buckets_for, shuffle_width, slices_by_bytes, table, task_of, utf8_parts, written
+from cohortwise.llm.common import buckets_for, by_merge, shuffle_width, slices_by_bytes, table, task_of, utf8_parts, written
 from cohortwise.llm.fingerprints import _MULTIPLIER, _U, _mixed, _powers
 from cohortwise.llm.suffix_arrays import repeated_starts
 
@@ -176,14 +176,14 @@ def _run_texts(texts: DataFrame, repeated: DataFrame, anchors: DataFrame, length
         return texts.select("data", "text").mapInArrow(search, schema)
 
     # as many anchors as a text has, at most, in a row
-    marks = anchors.join(repeated, "anchor").groupBy("text").agg(F.collect_set("anchor").alias("marks"))
+    marks = anchors.join(by_merge(repeated), "anchor").groupBy("text").agg(F.collect_set("anchor").alias("marks"))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [set(x) for x in batch.column(2).to_pylist()]
             yield from cut(batch, np.asarray(batch.column(1)), lambda anchor, row, lists=lists: np.array([a in lists[r] for a, r in zip(anchor.tolist(), row.tolist())], bool))
 
-    return texts.join(marks, "text").select("data", "text", "marks").mapInArrow(look_up, schema)
+    return texts.join(by_merge(marks), "text").select("data", "text", "marks").mapInArrow(look_up, schema)
 
 
 def _string_digests(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -252,7 +252,7 @@ def _counted_strings(entries: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(shift), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["run_id", "shift", "d0", "d1"])
 
     # a frequent string's places are many rows of one key: sorted on disk, and split by AQE
-    hit = runs_.mapInArrow(places, "run_id bigint, shift bigint, d0 bigint, d1 bigint").join(again, ["d0", "d1"], "left_semi")
+    hit = runs_.mapInArrow(places, "run_id bigint, shift bigint, d0 bigint, d1 bigint").join(by_merge(again), ["d0", "d1"], "left_semi")
     island = F.col("shift") - F.row_number().over(Window.partitionBy("run_id").orderBy("shift"))
     return (hit.select("run_id", "shift", island.alias("island")).groupBy("run_id", "island")
             .agg(F.min("shift").alias("a"), (F.max("shift") + length).alias("b")).select("run_id", "a", "b"))
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, text_col: str, length: int = 200) -> DataFra
     found_again = _repeated_strings(entries, length)
     several = entries.filter("several").select("run_id", F.lit(0).cast("bigint").alias("a"), (F.col("count") + (length - 1)).alias("b"))
     hits = written(found_again.unionByName(several), "hits")
-    spans = found.select("run_id", "text", "first").distinct().join(hits, "run_id").select("text", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
+    spans = found.select("run_id", "text", "first").distinct().join(by_merge(hits), "run_id").select("text", (F.col("first") + F.col("a")).alias("a"), (F.col("first") + F.col("b")).alias("b"))
     return spans.unionByName(whole).groupBy("text").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", length: int = 200, k
     spans = written(repeated_spans(docs, text_col, length), "spans").withColumnsRenamed({"text": "__text", "spans": "__spans"})
     data = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     others = [c for c in docs.columns if c != text_col or "text" in keep]
-    joined = docs.withColumn("__data", data).withColumn("__hash", F.xxhash64("__data")).join(spans, F.col("__hash") == F.col("__text"), "left").select(*others, "__data", "__spans")
+    joined = docs.withColumn("__data", data).withColumn("__hash", F.xxhash64("__data")).join(by_merge(spans), F.col("__hash") == F.col("__text"), "left").select(*others, "__data", "__spans")
     n = len(others)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -86,3 +86,15 @@ def test_nulls_repeats_empty_clashes_and_ids(spark, docs):
     whole = sequences(out).collect()
     assert sum(len(r.ids) for r in whole) == sum(r.length for r in got)
     assert packed(df.limit(0)).count() == 0
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    """Neither the places of a length's blocks nor the spans of repeated strings are collected by the driver."""
+    from cohortwise.llm.packing import pack
+    from cohortwise.llm.suffix_dedup import without_repeats
+
+    pieces = spark.createDataFrame([(i, 5) for i in range(20)], "id int, length int")
+    docs = spark.createDataFrame([(i, "the same words in two texts of some length " * 9) for i in range(2)], "doc_id int, text string")
+    for out in (pack(pieces, "length", ["id"], 16), without_repeats(docs, "text")):
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
