@@ -171,3 +171,15 @@ def test_many_boxes_go_down_the_tree_at_once(spark, monkeypatch):
     got = {r.k: r.leaves for r in df.select("k", kdsplit.leaves_col(tree, F.col("boxes")).alias("leaves")).collect()}
     want = {k: sorted({x for b in boxes for x in tree.touched(np.array(b[:2]), np.array(b[2:]))}) for k, boxes in rows}
     assert got == want
+
+
+def test_a_report_deals_a_listing_once(spark, monkeypatch):
+    """What is shuffled of the listings does not grow with the blocks of searches."""
+    monkeypatch.setattr(C, "REPORT_BLOCK", 1)
+    listings = spark.range(30).selectExpr("id as listing_id", "id as price", "2.0 as beds", "1.0 as baths", "900L as sqft", "3 as days_on_market", "'' as property_type", "51.0 as lat", "-114.0 as lon")
+    searches = C.with_defaults(spark.createDataFrame([(i, 10, 99, 60) for i in range(5)], "search_id long, price_min int, price_max int, max_commute_min int"))
+    report = C.criteria_report(listings, searches)
+    plan = report._jdf.queryExecution().sparkPlan().toString()
+    side = plan[plan.index("Join [_part"):]
+    assert "Generate explode" not in side[:side.index("Range")]
+    assert sorted((r.search_id, r.listing_id) for r in report.collect()) == [(i, k) for i in range(5) for k in range(30)]
